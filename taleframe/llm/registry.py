@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from taleframe.llm import mixing, url_filter
+from taleframe.llm import mixing, pii, url_filter
 
 QUERIES = {
+    "op8_pii": pii.op8_pii,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
+    "op8_pii": pii.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
