@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from taleframe.llm import mixing, pii, url_filter
+from taleframe.llm import chat, mixing, pii, url_filter
 
 QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
     "op8_pii": pii.op8_pii,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
+    "op3_chat_format": chat.OP3_SQL,
     "op8_pii": pii.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
