@@ -56,6 +56,13 @@ class DocumentEncoder:
         self.tokenizer, self.keep = load_tokenizer(name), keep
         self.known: dict[str, bytes] = {}
 
+    @classmethod
+    def shared(cls, name: str = VOCABULARY) -> DocumentEncoder:
+        """One encoder per process, so tasks of a worker share what it keeps."""
+        if (key := f"encoder:{name}") not in _loaded:
+            _loaded[key] = cls(name)
+        return _loaded[key]
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
