@@ -78,7 +78,7 @@ class DocumentEncoder:
             if i not in taken and t:
                 chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else re.split("(?= )", t)
                 split.append((i, chunks))
-                missing.update(c for c in chunks if c not in known)
+                missing |= set(chunks).difference(known)
         if missing:
             # letters and one closing mark are two pieces
             ended = {c for c in missing if c[-1] in _ENDS and c[:-1].lstrip(" ").isalpha()}
