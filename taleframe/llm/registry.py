@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from taleframe.llm import chat, mixing, packing, pii, url_filter
+from taleframe.llm import chat, language, mixing, packing, pii, url_filter
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op5_pack": packing.op5_pack,
     "op3_chat_format": chat.op3_chat_format,
     "op8_pii": pii.op8_pii,
