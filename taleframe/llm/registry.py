@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from taleframe.llm import chat, language, minhash, mixing, packing, pii, url_filter
+from taleframe.llm import chat, language, minhash, mixing, near_vectors, packing, pii, url_filter
 
 QUERIES = {
+    "op4_near_vectors": near_vectors.op4_near_vectors,
     "op6_minhash": minhash.op6_minhash,
     "op1_language_id": language.op1_language_id,
     "op5_pack": packing.op5_pack,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
+    "op4_near_vectors": near_vectors.OP4_SQL,
     "op6_minhash": minhash.OP6_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op8_pii": pii.OP8_SQL,
