@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from taleframe.llm import chat, language, minhash, mixing, near_vectors, packing, pii, url_filter
+from taleframe.llm import chat, language, lm_score, minhash, mixing, near_vectors, packing, pii, url_filter
 
 QUERIES = {
+    "op2_lm_score": lm_score.op2_lm_score,
     "op4_near_vectors": near_vectors.op4_near_vectors,
     "op6_minhash": minhash.op6_minhash,
     "op1_language_id": language.op1_language_id,
