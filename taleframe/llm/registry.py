@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from taleframe.llm import chat, language, lm_score, minhash, mixing, near_vectors, packing, pii, url_filter
+from taleframe.llm import bm25, chat, language, lm_score, minhash, mixing, near_vectors, packing, pii, url_filter
 
 QUERIES = {
+    "op7_bm25": bm25.op7_bm25,
     "op2_lm_score": lm_score.op2_lm_score,
     "op4_near_vectors": near_vectors.op4_near_vectors,
     "op6_minhash": minhash.op6_minhash,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
+    "op7_bm25": bm25.OP7_SQL,
     "op4_near_vectors": near_vectors.OP4_SQL,
     "op6_minhash": minhash.OP6_SQL,
     "op3_chat_format": chat.OP3_SQL,
