@@ -49,8 +49,9 @@ def _training_position(demand: Column, turn: Column, schedules) -> Column:
 def source_targets(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
     """Per source: key, turn, rows, source_size, target.
 
-    Targets are min(most * size, level * weight) with the level at which they add up to the whole; it is
-    found in one pass over the sources in the order in which they reach their limit.
+    Targets are min(most * size, level * weight) with the level at which they add up to the whole.  In the
+    order in which sources reach their limit, the level that remains once those before are at theirs rises up
+    to the first source that stays under its own, and falls after it.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -64,7 +65,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, mos
     left = F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     t = t.withColumn("level", left / heavy)
-    level = F.min(F.when(F.col("limit") > F.col("level") * F.col("weight"), F.col("level"))).over(all_rows)
+    level = F.max(F.when(F.col("limit") > F.col("level") * F.col("weight"), F.col("level"))).over(all_rows)
     t = t.withColumn("target", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit"))))
     return t.select("source", "rank", "rows", "source_size", "target")
 
@@ -132,8 +133,9 @@ def mixed_documents(docs: DataFrame, most: int = 3, schedules=SCHEDULES, **optio
     decision, the largest; columns are those of ``docs``.
     """
     plan = mix_sources(docs, most=most, schedules=schedules, **options).where("copies > 0")
-    plan = plan.groupBy("doc_id").agg(F.max_by(F.struct("copies", "start", "source_size", "target", "rank"), "copies").alias("p"))
-    each = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
+    decision = F.max(F.struct("copies", "start", "source_size", "target", "rank")).alias("p")
+    plan = plan.groupBy(F.col("doc_id").alias("taken_id")).agg(decision)
+    each = docs.select(*DOCUMENT_COLUMNS).join(plan, F.col("doc_id").eqNullSafe(F.col("taken_id")))
     each = each.withColumn("r", F.explode(F.sequence(F.lit(0), (F.col("p.copies") - 1).cast("int"))))
     demand = F.least((F.col("r") * F.col("p.source_size") + F.col("p.start")) / F.when(F.col("p.target") > 0, F.col("p.target")), F.lit(1.0))
     each = each.withColumn("at", _training_position(demand, F.col("p.rank") % len(schedules), schedules))
@@ -167,7 +169,7 @@ levels AS (
   WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, rank, source_size,
-         least(cap, coalesce(min(CASE WHEN cap > level * weight THEN level END) OVER () * weight, cap)) AS target FROM levels),
+         least(cap, coalesce(max(CASE WHEN cap > level * weight THEN level END) OVER () * weight, cap)) AS target FROM levels),
 placed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
          sum(d.size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(d.doc_id::varchar, '')), d.doc_id NULLS FIRST, d.size

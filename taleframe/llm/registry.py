@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from taleframe.llm import bm25, chat, language, lm_score, minhash, mixing, near_vectors, packing, pii, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op7_bm25": bm25.op7_bm25,
     "op2_lm_score": lm_score.op2_lm_score,
     "op4_near_vectors": near_vectors.op4_near_vectors,
