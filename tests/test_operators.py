@@ -1,0 +1,78 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from taleframe.operators import matching, metrics, stories
+from taleframe.sources import story_files
+
+
+def lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_rouge_equals_table(spark):
+    rng = random.Random(1)
+    pairs = [(i, " ".join(rng.choices("abcd", k=rng.randint(0, 9))), " ".join(rng.choices("abcd", k=rng.randint(0, 9)))) for i in range(30)] + [(99, None, "a")]
+    df = spark.createDataFrame(pairs, "id long, candidate string, reference string")
+    for r in metrics.rouge_l(df).collect():
+        _, c, q = next(p for p in pairs if p[0] == r["id"])
+        c, q = (c or "").split(), (q or "").split()
+        n = lcs(c, q)
+        want = 0.0 if not n else (1 + 1.2**2) * (n / len(c)) * (n / len(q)) / (n / len(q) + 1.2**2 * n / len(c))
+        assert abs(r["score"] - want) < 1e-9
+    assert all(r["score"] >= 0 for r in metrics.cider(df.where("candidate is not null")).collect())
+
+
+def test_entities_match_across_frames(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=8), rng.normal(size=8)
+    rows = [(1, "cat", f, 2 * f + k, [float(x) for x in v + rng.normal(0, 0.01, 8)]) for f in range(3) for k, v in enumerate((a, b))]
+    m = matching.match_entities(spark.createDataFrame(rows, "story long, label string, frame int, pos long, clip array<double>"), threshold=0.95)
+    got = {}
+    for r in m.collect():
+        got.setdefault(r["match"], []).append((r["frame"], r["pos"] % 2))
+    assert sorted(map(sorted, got.values())) == [[(0, 0), (1, 0), (2, 0)], [(0, 1), (1, 1), (2, 1)]]
+    assert matching.rank_matches(m).count() == 2 and matching.entity_prefixes(m).count() == 2
+
+
+def test_faces_go_to_the_smaller_box_first(spark):
+    people = spark.createDataFrame([(0, 0, 0.0, 0.0, 500.0, 500.0), (0, 1, 100.0, 100.0, 200.0, 200.0)], "frame int, pos long, x double, y double, w double, h double")
+    faces = spark.createDataFrame([(0, 7, 0.9, 140.0, 140.0, 260.0, 260.0), (0, 8, 0.6, 0.0, 0.0, 200.0, 200.0)], "frame int, face long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    assert [(r["pos"], r["face"]) for r in matching.assign_faces(people, faces).collect()] == [(1, 7)]
+
+
+def test_mask_boxes_cover_two_blocks(spark):
+    points = [(float(x + d), float(y)) for d in (0, 50) for x in range(5) for y in range(5)]
+    rows = [(1, [{"x": x, "y": y} for x, y in points])]
+    got = matching.mask_boxes(spark.createDataFrame(rows, "id long, points array<struct<x:double,y:double>>")).collect()
+    assert sorted((r["x"], r["w"]) for r in got) == [(0.0, 5.0), (50.0, 5.0)]
+
+
+def test_packing_drops_the_rest_of_a_film(spark):
+    rows = [(i, f"m_scene_{s}_{i:03d}", p) for i, (s, p) in enumerate([(1, False)] * 3 + [(10, True)] * 3 + [(2, True)] * 4)]
+    got = stories.pack_stories(spark.createDataFrame(rows, "pos long, image_id string, has_person boolean")).collect()
+    assert [(r["n_images"], r["first_image"][:9]) for r in got] == [(6, "m_scene_1")]
+
+
+def test_json_defaults_and_split(spark, tmp_path):
+    d = spark.createDataFrame([('{"label": "a b_c", "box": {"x": 1, "y": 2, "w": 3, "h": 4}}',), ("{}",), ("junk",), (None,)], "t string")
+    got = [r["d"] for r in d.select(story_files.detection_from_json(F.col("t")).alias("d")).collect()]
+    assert got[0]["label"] == "a-b-c" and got[0]["score"] == 0.0 and got[0]["image_width"] == 0 and got[1:] == [None] * 3
+    rows = spark.range(100).select(F.col("id").cast("string").alias("story_id"))
+    story_files.export_split(rows, str(tmp_path / "x"))
+    assert story_files.read_stories(spark, str(tmp_path / "x"), "test").count() == 15
+    assert story_files.read_stories(spark, str(tmp_path / "x")).count() == 100
+
+
+def test_one_sided_stories(spark):
+    schema = "story_id long, pos long, label string, x double, y double, w double, h double, score double"
+    ref = spark.createDataFrame([(1, 1, "person", 0.0, 0.0, 1.0, 1.0, 0.0), (2, 1, "cat", 0.0, 0.0, 1.0, 1.0, 0.0)], schema)
+    cand = spark.createDataFrame([(1, 1, "Person", 0.0, 0.0, 1.0, 0.5, 0.9), (3, 1, "cat", 0.0, 0.0, 1.0, 1.0, 0.9)], schema)
+    got = {r["metric"]: r["score"] for r in metrics.grounding_scores(ref, cand).collect()}
+    assert got["precision"] == got["recall"] == got["f1"] == 1.0 and got["precision_object"] == 1.0
+    assert {r["story_id"]: r["ap"] for r in metrics.average_precision(ref, cand).collect()} == {1: 1.0, 2: 0.0}
