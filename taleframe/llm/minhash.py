@@ -21,6 +21,8 @@ BANDS, ROWS = 40, 5
 FILTER_BITS = 1 << 24
 _FILTER_BLOCKS = 64
 _COLUMNS = 4096
+#: Documents of one chunk when the members of a neighbourhood are compared.
+CHUNK = 512
 
 
 def _second_permutation(x: np.ndarray) -> None:
@@ -126,6 +128,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("u", "v")
 
 
+def _links_between(hoods: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a neighbourhood: all that share a bucket with the smallest id ``h``.
+
+    Two members were compared already.  A larger neighbourhood is dealt into chunks; each pair of chunks is one
+    task that holds their sets and returns the links only.
+    """
+    placed = hoods.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
+    placed = placed.select("h", "id", F.coalesce("c", "id").alias("c"))
+    open_ = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 2 and lo < hi")
+    open_ = open_.select("h", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    dealt = placed.join(open_, "h").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("h", "id", "c", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, c, chunk = (t.column(x).to_numpy() for x in ("id", "c", "chunk"))
+        held = t.column("shingles").chunk(0)
+        starts, sizes = held.offsets.to_numpy()[:-1] - held.offsets[0].as_py(), np.diff(held.offsets.to_numpy())
+        _, at = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        kinds, n = np.unique(c, return_counts=True)
+        u, v = [], []
+        for x in np.flatnonzero(c != kinds[n.argmax()]):  # any pair of two components has one outside the largest
+            mark = np.zeros(len(at), dtype=np.int32)
+            mark[at[starts[x] : starts[x] + sizes[x]]] = 1
+            shared = np.add.reduceat(mark[at], starts)
+            near = (shared * 100 >= (sizes + sizes[x] - shared) * percent) & (c != c[x])
+            if apart:
+                near &= chunk != chunk[x]
+            v.append(ids[near])
+            u.append(np.full(len(v[-1]), ids[x]))
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
+
+    return dealt.join(sets, "id").groupBy("h", "lo", "hi").applyInArrow(compare, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is its component's smallest).
 
@@ -136,8 +176,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     columns are ignored.
 
     Equal sets become one class first.  In each bucket every class is compared with the smallest only; once
-    these links have made components, the pairs of a bucket that lie in different components are compared
-    too, so no pair of a bucket is left undecided and none inside a component is spelled out.
+    these links have made components, classes of one bucket that lie in different components are compared
+    too, in blocks of bounded size whose pairs are never spelled out as rows, so no pair is left undecided.
     """
     signed = stage(signatures(docs, words, bands, rows), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
@@ -156,14 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = stage(_sets(docs, members.select("id").distinct(), words), "sets")
     linked = stage(_confirmed(first, sets, percent), "links")
     found = components(linked)
-    placed = members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = stage(placed.join(mixed, "key"), "mixed")
-    other = placed.select("key", *(F.col(x).alias(f"{x}2") for x in ("id", "n", "c")))
-    second = placed.join(other, "key").where((F.col("id") > F.col("id2")) & (F.col("c") != F.col("c2")) & alike(F.col("n"), F.col("n2")))
-    second = second.select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = stage(_confirmed(second, sets, percent), "links")
+    more = stage(_links_between(members.select(F.col("least.id").alias("h"), "id").distinct(), found, sets, percent), "links")
     every = copies.unionByName(linked).unionByName(more)
     last = components(every).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(last, "doc_id", "left")
