@@ -94,3 +94,22 @@ def merge_detections(objects: DataFrame, landmarks: DataFrame, fallback: DataFra
     if fallback is not None:
         landmarks = landmarks.unionByName(fallback.join(landmarks.select("story_id").distinct(), "story_id", "left_anti"))
     return objects.unionByName(landmarks)
+
+
+def landmark_detections(annotations: DataFrame, least: float = 0.7, most: int = 10) -> DataFrame:
+    """Landmark annotations above a score as detections, best first; the id is the annotation's place.
+
+    ``annotations`` has image_id, pos, name, score and corners x1, y1, x2, y2 as shares of the image.
+    """
+    kept = annotations.where(F.col("score") >= least)
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= most)
+    return kept.select("image_id", "rank", F.col("pos").alias("id"), text.landmark_name(F.col("name")).alias("label"), "score", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+
+
+def resolve_boxes(landmarks: DataFrame, detections: DataFrame, required: bool = False) -> DataFrame:
+    """Landmarks with the box of the detection that they name, else their own grid box; only named ones if required."""
+    boxes = detections.select("image_id", F.col("global_id").alias("use_box_id"), F.struct("x", "y", "w", "h").alias("found"))
+    joined = landmarks.join(boxes, ["image_id", "use_box_id"], "left")
+    own = geometry.from_grid(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    done = joined.withColumn("box", F.coalesce("found", F.when(F.lit(not required), own)))
+    return done.where("box is not null").drop("found")

@@ -570,3 +570,62 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus of tf-idf n-grams of each pair."""
     return metrics.cider(caption_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
+
+
+@query(f"""WITH {_CAPTIONS}, c AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(c) AS w FROM t) GROUP BY ALL), r AS (SELECT id, w, count(*) AS r FROM (SELECT id, unnest(r) AS w FROM t) GROUP BY ALL),
+h AS (SELECT id, sum(least(c, r))::double AS hit FROM c JOIN r USING (id, w) GROUP BY id)
+SELECT id, round(coalesce(hit / len(t.c) * hit / len(t.r) / (0.9 * hit / len(t.c) + 0.1 * hit / len(t.r)), 0), 6) AS score FROM t LEFT JOIN h USING (id)""")
+def unigram_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted harmonic mean of unigram precision and recall of each pair."""
+    return metrics.unigram_f(caption_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
+
+
+@query("""SELECT story_id, rank, pos AS id, translate(label, '_', ' ') AS label, round(score, 6) AS score, round(w, 6) AS w FROM (
+  SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, pos) AS rank FROM ref_det WHERE score >= 0.05) WHERE rank <= 3""")
+def landmark_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best annotations of each image as detections."""
+    d = view(spark, sf_dir, "ref_det").select(F.col("story_id").alias("image_id"), "pos", F.col("label").alias("name"), "score", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    return stories.landmark_detections(d, 0.05, 3).select(F.col("image_id").alias("story_id"), "rank", "id", "label", r6("score").alias("score"), r6("w").alias("w"))
+
+
+@query("""SELECT c.story_id, c.pos, round(coalesce(r.x, 0.1), 6) AS x, round(coalesce(r.w, 0.21), 6) AS w FROM cand_det c LEFT JOIN ref_det r ON r.story_id = c.story_id AND r.pos = c.pos + 1""")
+def resolved_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmarks that borrow the box of another detection, or keep their own."""
+    ref = view(spark, sf_dir, "ref_det").select(F.col("story_id").alias("image_id"), F.col("pos").cast("string").alias("global_id"), "x", "y", "w", "h")
+    lm = view(spark, sf_dir, "cand_det").select(F.col("story_id").alias("image_id"), "pos", (F.col("pos") + 1).cast("string").alias("use_box_id"), *(F.lit(v).alias(n) for n, v in (("x1", 10), ("y1", 10), ("x2", 30), ("y2", 30))))
+    return stories.resolve_boxes(lm, ref).select(F.col("image_id").alias("story_id"), "pos", r6("box.x").alias("x"), r6("box.w").alias("w"))
+
+
+@query("""SELECT concat('p', l_suppkey % 50) AS entity_id, arg_min(l_returnflag, l_linenumber::bigint * 1000000000 + l_orderkey * 10 + ascii(l_returnflag) % 10) AS name FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1
+  HAVING count(*) FILTER (l_returnflag <> 'N') > 0""")
+def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first name that each entity is given."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), (F.col("l_suppkey") % 50).cast("string")).alias("entity_id"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("name"), F.col("l_linenumber").alias("image_number"), (F.col("l_orderkey") * 10 + F.ascii("l_returnflag") % 10).alias("pos"))
+    return stories.entity_names(rows)
+
+
+@query("""WITH o AS (SELECT o_custkey % 40 AS match_id, o_orderkey AS id, o_orderpriority LIKE '1%' AS thing FROM orders WHERE o_custkey % 3 = 0 OR o_custkey < 40) SELECT id, match_id, members FROM (SELECT *, count(*) OVER (PARTITION BY match_id) AS members FROM o) WHERE members > 1 OR thing""")
+def entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of matches with several members, or that are things."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0 or o_custkey < 40").select((F.col("o_custkey") % 40).alias("match_id"), F.col("o_orderkey").alias("id"), F.startswith("o_orderpriority", F.lit("1")).alias("is_thing"), F.lit(None).cast("boolean").alias("is_landmark"))
+    return stories.entity_ids(o).select("id", "match_id", "members")
+
+
+@query("SELECT count(*) AS total, count_if(quality = 1) AS human, count_if(quality <> 1) AS auto FROM labels")
+def annotation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.annotation_stats(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("human_annotated")))
+
+
+@query()
+def sentiment_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive and negative valence of texts under the small lexicon."""
+    d = table(spark, sf_dir, "documents").select(statistics.sentiment(F.col("text")).alias("v"))
+    return statistics.sentiment_split(d, "v")
+
+
+@query(rf"""WITH {_TAGGED}, w AS (SELECT list_filter(regexp_extract_all(lower(regexp_replace(text, '<[^>]+>', '', 'g')), '[\p{{L}}\p{{N}}_]+'), lambda x: x = 'she') AS t, list_filter(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>(.*?)</gdo>', 1), lambda x: lower(x) = 'she') AS g FROM tagged)
+SELECT 'first' AS person, 0.0 AS mean UNION ALL SELECT 'second', 0.0 UNION ALL SELECT 'third', round(avg(greatest(0, len(t) - len(g))), 6) FROM w WHERE len(t) > 0""")
+def pronouns_by_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ungrounded pronouns of the three grammatical persons."""
+    d = statistics.ungrounded_pronouns(tagged(spark, sf_dir))
+    return statistics.by_person(d, "ungrounded").select("person", r6("mean").alias("mean"))
