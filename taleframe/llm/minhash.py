@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from taleframe.llm.common import DOCUMENT_COLUMNS, read, stage
 from taleframe.llm.components import components
-from taleframe.llm.shingles import batches_of, mix, shingle_sets
+from taleframe.llm.shingles import batches_of, mix, shingle_sets, slices
 
 #: Words of a shingle and least similarity in percent, where a caller names none.
 WORDS, PERCENT = 5, 80
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, two halves of a digest of the set, and the band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             n, one, two, keys = [], [], [], []
             for _, part in batches_of(texts):
@@ -108,7 +108,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
-        for b in batches:
+        for b in slices(batches):
             s = _slots(b.column("id").to_numpy(zero_copy_only=False))
             b = b.filter(pa.array((held[s // 8] >> (7 - s % 8).astype(np.uint8)) & 1 == 1))
             found = [x.view(np.int64) for _, part in batches_of(b.column("text").to_pylist()) for x in shingle_sets(part, words)]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,6 +67,13 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
             yield joined[:0]
 
 
+def slices(batches, rows: int = 512):
+    """Record batches in smaller ones, so that few texts are held twice."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.slice(a, rows)
+
+
 def batches_of(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, lower-cased texts) in turns of about ``most`` bytes; a null is empty."""
     first, part, held = 0, [], 0

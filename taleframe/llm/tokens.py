@@ -10,7 +10,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks that one Python worker keeps encoded.
-KEEP = 500_000
+KEEP = 300_000
 _loaded: dict[str, object] = {}
 #: White space other than blank and line feed; a text that holds one is encoded whole.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
