@@ -54,7 +54,7 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     joined = hashes.copy()
     n = len(hashes)
     for k in range(1, words):
-        joined[: n - k] = mix(joined[: n - k] * _A + hashes[k:])
+        joined[: max(n - k, 0)] = mix(joined[: max(n - k, 0)] * _A + hashes[k:])
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if z - a >= words:
             yield np.unique(joined[a : z - words + 1])

@@ -64,3 +64,11 @@ def test_nulls_repeats_and_empty(spark):
     assert got == [("4", 2, 4, True), ("4", 2, 4, True), ("7", 0, 7, True), ("9", 2, 4, False), ("None", 2, None, True)]
     assert sorted(str(r["doc_id"]) for r in deduplicated(docs).collect()) == ["4", "4", "7", "None"]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", range(1, 7))
+def test_a_partition_of_one_short_text(spark, n):
+    text = " ".join("abcdef"[:n])
+    docs = spark.createDataFrame([(1, text), (2, text.upper())], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect())
+    assert got == [(1, max(n - 4, 1), 1), (2, max(n - 4, 1), 1)]
