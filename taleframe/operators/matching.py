@@ -19,43 +19,60 @@ def running_centroids(members: DataFrame) -> DataFrame:
     return d.withColumn("mean", F.avg("value").over(order))
 
 
-def match_entities(detections: DataFrame, threshold: float = 0.9, factor: float = 1.5) -> DataFrame:
+def match_entities(detections: DataFrame, threshold: float = 0.9, factor: float = 1.5, face_threshold: float = 0.4) -> DataFrame:
     """story, label, match, member, frame, pos, similarity.
 
     Within a story and label, the first free detection (by frame, then position) seeds a match, which takes the
     first admissible detection of a frame it has none of, again and again.  A match admits a detection whose 75th
     percentile of similarities reaches the threshold and is not far under their mean.  similarity is the mean
-    with the members before it (0 for the seed).  Groups are the detections of one label in one story.
+    of image similarities with the members before it (0 for the seed).  Groups are the detections of one label
+    in one story; a group holds its vectors and a row of similarities for each member of the open match.
+
+    ``detections`` may have a column face (array, null where no face is seen).  A person is then judged by the
+    products of its face with the faces of the match, under ``face_threshold``, wherever there is any, else by images.
     """
+    columns = ["story", "label", "frame", "pos", "clip", *(["face"] if "face" in detections.columns else [])]
+
+    def admitted(s: np.ndarray, least: float) -> np.ndarray:
+        p75, mean, std = np.nanpercentile(s, 75, axis=0), np.nanmean(s, axis=0), np.nanstd(s, axis=0)
+        return (p75 >= least) & ((std <= 0) | (mean - p75 <= factor * std))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "pos"], kind="stable").reset_index(drop=True)
         e = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["clip"]])
         e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
-        sim = (e @ e.T + 1) / 2
-        frames, free, out, match = pdf["frame"].to_numpy(), list(range(len(pdf))), [], 0
-        while free:
-            members = [free.pop(0)]
-            out.append((match, 0, members[0], 0.0))
+        faces = None
+        if "face" in pdf and str(pdf["label"][0]).lower() == "person" and pdf["face"].notna().any():
+            width = len(next(x for x in pdf["face"] if x is not None))
+            faces = np.stack([np.full(width, np.nan) if x is None else np.asarray(x, dtype=np.float64) for x in pdf["face"]])
+        frames, free, out, match = pdf["frame"].to_numpy(), np.ones(len(pdf), dtype=bool), [], 0
+        while free.any():
+            i, mean, member, open_ = int(free.argmax()), 0.0, 0, free.copy()
+            sims, seen = np.zeros((0, len(pdf))), np.zeros((0, len(pdf)))
             while True:
-                for i in free:
-                    if frames[i] in frames[members]:
-                        continue
-                    s = sim[i, members]
-                    p75, mean, std = np.percentile(s, 75), s.mean(), s.std()
-                    if p75 >= threshold and (std <= 0 or mean - p75 <= factor * std):
-                        out.append((match, len(members), i, float(mean)))
-                        members.append(i)
-                        free.remove(i)
-                        break
-                else:
+                out.append((match, member, i, mean))
+                free[i] = False
+                open_ &= free & (frames != frames[i])
+                if not open_.any():
+                    break
+                sims, member = np.vstack([sims, (e @ e[i] + 1) / 2]), member + 1
+                at = np.flatnonzero(open_)
+                fits = admitted(sims[:, at], threshold)
+                if faces is not None:
+                    seen = np.vstack([seen, faces @ faces[i]])
+                    known = ~np.isnan(seen[:, at]).all(axis=0)
+                    if known.any():
+                        fits[known] = admitted(seen[:, at[known]], face_threshold)
+                if not fits.any():
                     break
+                i = int(at[fits.argmax()])
+                mean = float(sims[:, i].mean())
             match += 1
         rows = pd.DataFrame(out, columns=["match", "member", "i", "similarity"])
         picked = pdf.iloc[rows["i"]].reset_index(drop=True)
         return pd.DataFrame({"story": picked["story"], "label": picked["label"], "match": rows["match"], "member": rows["member"], "frame": picked["frame"], "pos": picked["pos"], "similarity": rows["similarity"]})
 
-    return detections.select("story", "label", "frame", "pos", "clip").groupBy("story", "label").applyInPandas(group, MATCHED)
+    return detections.select(*columns).groupBy("story", "label").applyInPandas(group, MATCHED)
 
 
 def entity_prefixes(matches: DataFrame) -> DataFrame:

@@ -500,9 +500,9 @@ def admission_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def matched_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities across frames: vectors of one label in one story, greedily matched."""
+    """Entities across frames: vectors of one label in one story, greedily matched; fifty vectors make a story of five frames."""
     e = table(spark, sf_dir, "embeddings")
-    d = e.select((F.col("vec_id") % 10).alias("story"), F.concat(F.lit("thing"), F.col("label").cast("string")).alias("label"), (F.floor(F.col("vec_id") / 10) % 5).cast("int").alias("frame"), F.col("vec_id").alias("pos"), F.col("embedding").alias("clip"))
+    d = e.select(F.floor(F.col("vec_id") / 50).alias("story"), F.concat(F.lit("thing"), F.col("label").cast("string")).alias("label"), (F.floor(F.col("vec_id") / 10) % 5).cast("int").alias("frame"), F.col("vec_id").alias("pos"), F.col("embedding").alias("clip"))
     m = matching.match_entities(d, threshold=0.55)
     return m.join(matching.entity_prefixes(m), ["story", "label", "match"]).select("story", "entity_id", "member", "frame", "pos", r6("similarity").alias("similarity"))
 

@@ -31,3 +31,7 @@ def test_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, str(DATA)).count() > 0
+
+
+def test_stories_of_vectors_grow_in_number(spark):
+    assert all(r["story"] == r["pos"] // 50 for r in queries.matched_entities(spark, str(DATA)).collect())
