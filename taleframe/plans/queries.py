@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taleframe.functions import geometry, text
@@ -546,6 +546,31 @@ def caption_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.col("conv_id").alias("id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("candidate"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("reference")).where("candidate is not null and reference is not null")
 
 
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, candidate, reference: each assistant turn as reference of the turn before it in its conversation.
+
+    Repeated rows of a turn meet in order of their text; the shorter side's last row stands for those it lacks.
+    """
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    rows = lambda d, name, *order: d.select("conv_id", "turn", F.col("text").alias(name), F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(*order)).alias(f"{name}_row"))
+    said = rows(c, "candidate", "text", "role").withColumnRenamed("turn", "before")
+    answers = rows(c.where("role = 'assistant'"), "reference", "text")
+    turns = c.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "assistant").alias("answers"))
+    earlier = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.select("conv_id", "turn", "answers", F.lag("turn").over(earlier).alias("before"), F.lag("n").over(earlier).alias("said")).where("answers > 0 and before is not null")
+    each = turns.select("*", F.explode(F.sequence(F.lit(1), F.greatest("answers", "said").cast("int"))).alias("k"))
+    each = each.withColumns({"reference_row": F.least("k", "answers").cast("int"), "candidate_row": F.least("k", "said").cast("int")})
+    both = each.join(answers, ["conv_id", "turn", "reference_row"]).join(said, ["conv_id", "before", "candidate_row"])
+    return both.select(F.concat_ws("-", "conv_id", "turn", "k").alias("id"), "candidate", "reference")
+
+
+_TURNS = r"""a AS (SELECT conv_id, turn, text, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM conversations WHERE role = 'assistant' AND text IS NOT NULL WINDOW w AS (PARTITION BY conv_id, turn ORDER BY text)),
+b AS (SELECT conv_id, turn, text, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id, turn ORDER BY text, role)),
+t AS (SELECT concat(a.conv_id, '-', a.turn, '-', greatest(a.i, b.i)) AS id, regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+') AS c, regexp_extract_all(lower(a.text), '[\p{L}\p{N}_]+') AS r
+  FROM a JOIN b ON b.conv_id = a.conv_id AND b.turn = (SELECT max(p.turn) FROM b p WHERE p.conv_id = a.conv_id AND p.turn < a.turn)
+  AND (a.i = b.i OR (a.i = a.n AND b.i > a.n) OR (b.i = b.n AND a.i > b.n)))"""
+
+
 _CAPTIONS = r"""t AS (SELECT conv_id AS id, regexp_extract_all(lower(max(text) FILTER (turn = 0)), '[\p{L}\p{N}_]+') AS c, regexp_extract_all(lower(max(text) FILTER (turn = 1)), '[\p{L}\p{N}_]+') AS r
   FROM conversations WHERE turn IN (0, 1) GROUP BY conv_id HAVING max(text) FILTER (turn = 0) IS NOT NULL AND max(text) FILTER (turn = 1) IS NOT NULL)"""
 
@@ -560,16 +585,26 @@ def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bleu(caption_pairs(spark, sf_dir)).select("order", r6("score").alias("score"))
 
 
+@query(f"""WITH {_TURNS}, o(n) AS (VALUES (1), (2), (3), (4)),
+own AS (SELECT n, id, g, count(*) AS k FROM (SELECT n, id, unnest(list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ' '))) AS g FROM t, o) GROUP BY ALL),
+ref AS (SELECT n, id, g, count(*) AS q FROM (SELECT n, id, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM t, o) GROUP BY ALL),
+h AS (SELECT n, sum(least(k, coalesce(q, 0))) AS hit, sum(k) AS total FROM own LEFT JOIN ref USING (n, id, g) GROUP BY n), l AS (SELECT sum(len(c)) AS lc, sum(len(r)) AS lr FROM t)
+SELECT n AS "order", round(CASE WHEN lc < lr THEN exp(1 - lr / lc) ELSE 1 END * exp(avg(ln(greatest(hit, 1e-15) / total)) OVER (ORDER BY n)), 6) AS score FROM h, l""")
+def bleu_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus BLEU of one to four words over all assistant turns; bleu holds the first two turns only."""
+    return metrics.bleu(turn_pairs(spark, sf_dir)).select("order", r6("score").alias("score"))
+
+
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-score of the longest common subsequence of each pair."""
-    return metrics.rouge_l(caption_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
+    return metrics.rouge_l(turn_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
 @query()
 def cider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus of tf-idf n-grams of each pair."""
-    return metrics.cider(caption_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
+    return metrics.cider(turn_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
 @query(f"""WITH {_CAPTIONS}, c AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(c) AS w FROM t) GROUP BY ALL), r AS (SELECT id, w, count(*) AS r FROM (SELECT id, unnest(r) AS w FROM t) GROUP BY ALL),
@@ -580,6 +615,14 @@ def unigram_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.unigram_f(caption_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
+@query(f"""WITH {_TURNS}, c AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(c) AS w FROM t) GROUP BY ALL), r AS (SELECT id, w, count(*) AS r FROM (SELECT id, unnest(r) AS w FROM t) GROUP BY ALL),
+h AS (SELECT id, sum(least(c, r))::double AS hit FROM c JOIN r USING (id, w) GROUP BY id)
+SELECT id, round(coalesce(hit / len(t.c) * hit / len(t.r) / (0.9 * hit / len(t.c) + 0.1 * hit / len(t.r)), 0), 6) AS score FROM t LEFT JOIN h USING (id)""")
+def unigram_f_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted harmonic mean of unigram precision and recall of all assistant turns; unigram_f holds the first two turns only."""
+    return metrics.unigram_f(turn_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
+
+
 @query("""SELECT story_id, rank, pos AS id, translate(label, '_', ' ') AS label, round(score, 6) AS score, round(w, 6) AS w FROM (
   SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, pos) AS rank FROM ref_det WHERE score >= 0.05) WHERE rank <= 3""")
 def landmark_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
