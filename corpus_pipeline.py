@@ -3,7 +3,7 @@
 Each stage takes what the one before kept, written as Parquet and read again:
 
 1. language: documents whose language is not recognised go; a null lang is filled in
-2. near_duplicates: one document of each group of near-duplicates stays (five-word shingles, similarity 0.8)
+2. near_duplicates: one row of each group of near-duplicate rows stays, whatever their ids (five-word shingles, similarity 0.8)
 3. personal_data: spans are replaced by their kind in brackets
 4. mixture: documents are taken as often as their source's target asks, in training order
 5. packing: every document becomes token pieces with a place in a sequence
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taleframe.llm.common import read, shared_dir
 from taleframe.llm.language import known_language_documents, train_languages
-from taleframe.llm.minhash import deduplicated
+from taleframe.llm.minhash import distinct_documents
 from taleframe.llm.mixing import mixed_documents
 from taleframe.llm.packing import pack_documents
 from taleframe.llm.pii import redact_documents
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs)
+    return distinct_documents(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

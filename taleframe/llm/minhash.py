@@ -210,6 +210,19 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component of near-duplicate rows: that of the smallest doc_id (null last), then row.
+
+    Rows, not ids, are the nodes here, so repeated rows and copies without doc_id go, and a different text under
+    the id of a copy stays.  A null or blank text links with nothing and stays.
+    """
+    rows = stage(docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*DOCUMENT_COLUMNS)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
 

@@ -77,6 +77,7 @@ def mix_sources(
     most: int = 3,
     schedules=SCHEDULES,
     bucket_rows: int = BUCKET_ROWS,
+    row: str | None = None,
 ) -> DataFrame:
     """Decide how often each document is taken, and where in training.
 
@@ -86,13 +87,15 @@ def mix_sources(
     Every document of a source is taken floor(target / source_size) times; those first in the order of
     md5(doc_id) are taken once more until the target is met to within half a document.  Sources are ordered
     by code point, null last.  A null or blank text has size 0 and changes no target; with a source's size 0
-    its documents are not taken.  Repeated ids are told apart by size; rows equal in both are interchangeable.
+    its documents are not taken.  Repeated ids are told apart by size; rows equal in both are interchangeable,
+    unless a column ``row`` numbers them: it comes last in the order and is kept in the result.
     An empty table gives an empty result; other columns are ignored.
 
     A source's running sum is a sum over prefixes of the md5 (as many as its rows need) plus a window
     inside one prefix, so no window holds a whole source.
     """
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
+    number = [row] if row else []
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *number), "mix")
     targets = stage(source_targets(sized, weights, share, most), "mix-targets").withColumn(
         "key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     )
@@ -104,6 +107,7 @@ def mix_sources(
         "doc_id",
         "source",
         "size",
+        *number,
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
     ).withColumn("bucket", F.substring("order", 1, digits))
@@ -111,7 +115,7 @@ def mix_sources(
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("held").over(earlier), F.lit(0))).drop("held")
     offsets = offsets.join(targets.select("key", "rank", "source_size", "target"), "key")
-    inside = Window.partitionBy("key", "bucket").orderBy("order", F.col("doc_id").asc_nulls_first(), "size")
+    inside = Window.partitionBy("key", "bucket").orderBy("order", F.col("doc_id").asc_nulls_first(), "size", *number)
     d = d.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     d = d.join(offsets, ["key", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
@@ -122,25 +126,24 @@ def mix_sources(
     position = F.when((F.col("copies") > 0) & (F.col("target") > 0), _training_position(demand, F.col("rank") % len(schedules), schedules))
     return d.select(
         "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), "start", "rank", position.alias("position"),
+        (F.col("copies") * F.col("size")).alias("taken"), "start", "rank", position.alias("position"), *number,
     )
 
 
 def mixed_documents(docs: DataFrame, most: int = 3, schedules=SCHEDULES, **options) -> DataFrame:
     """The training stream: each document as often as it is taken, range-sorted by training position.
 
-    Copy r of a document is due after r whole passes over its source.  Documents of equal id share one
-    decision, the largest; columns are those of ``docs``.
+    Copy r of a document is due after r whole passes over its source.  Every row has a decision of its own,
+    whatever its id; columns are those of ``docs``.
     """
-    plan = mix_sources(docs, most=most, schedules=schedules, **options).where("copies > 0")
-    decision = F.max(F.struct("copies", "start", "source_size", "target", "rank")).alias("p")
-    plan = plan.groupBy(F.col("doc_id").alias("taken_id")).agg(decision)
-    each = docs.select(*DOCUMENT_COLUMNS).join(plan, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    rows = stage(docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    plan = mix_sources(rows, most=most, schedules=schedules, row="row", **options).where("copies > 0")
+    each = rows.join(plan.select("row", F.struct("copies", "start", "source_size", "target", "rank").alias("p")), "row")
     each = each.withColumn("r", F.explode(F.sequence(F.lit(0), (F.col("p.copies") - 1).cast("int"))))
     demand = F.least((F.col("r") * F.col("p.source_size") + F.col("p.start")) / F.when(F.col("p.target") > 0, F.col("p.target")), F.lit(1.0))
     each = each.withColumn("at", _training_position(demand, F.col("p.rank") % len(schedules), schedules))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartitionByRange(n, "at", "doc_id").sortWithinPartitions("at", "doc_id").select(*DOCUMENT_COLUMNS)
+    return each.repartitionByRange(n, "at", "doc_id").sortWithinPartitions("at", "doc_id", "row").select(*DOCUMENT_COLUMNS)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from taleframe.llm import minhash
-from taleframe.llm.minhash import deduplicated, near_duplicates
+from taleframe.llm.minhash import deduplicated, distinct_documents, near_duplicates
 
 
 def brute(rows: list[tuple], words: int, percent: int) -> dict:
@@ -72,3 +72,13 @@ def test_a_partition_of_one_short_text(spark, n):
     docs = spark.createDataFrame([(1, text), (2, text.upper())], "doc_id long, text string").repartitionByRange(2, "doc_id")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect())
     assert got == [(1, max(n - 4, 1), 1), (2, max(n - 4, 1), 1)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "a b c d e f"
+    rows = [(None, text, None, None, 1), (9, text.upper(), None, None, 1), (4, text, None, None, 1), (4, text, None, None, 1), (9, "g h i j k l", None, None, 1), (None, "m n o p q r", None, None, 1), (7, None, None, None, None), (7, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in distinct_documents(docs).collect())
+    assert got == [("4", text), ("7", ""), ("7", ""), ("9", "g h i j k l"), ("None", "m n o p q r")]
+    assert distinct_documents(docs.limit(0)).count() == 0

@@ -72,3 +72,15 @@ def test_stream_holds_each_copy(docs):
     want = {r["doc_id"]: r["copies"] for r in mix_sources(plain).where("copies > 0").collect()}
     got = {r["doc_id"]: r["n"] for r in mixed_documents(plain).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_rows_of_one_id_are_decided_each(spark):
+    rows = [(i % 4 if i % 5 else None, "w " * (i % 23 + 1), "en", "abc"[i % 3], 0, "") for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (r["doc_id"], r["source"])
+    want, got = {}, {}
+    for r in mix_sources(docs).collect():
+        want[key(r)] = want.get(key(r), 0) + r["taken"]
+    for r in mixed_documents(docs).collect():
+        got[key(r)] = got.get(key(r), 0) + len(r["text"].split())
+    assert got == {k: n for k, n in want.items() if n}
