@@ -15,21 +15,28 @@ def scenes(frames: DataFrame) -> DataFrame:
     return named.groupBy("movie", "scene").agg(F.array_sort(F.collect_list(F.struct("image_id", "pos"))).alias("images"), F.max("has_person").alias("has_person"))
 
 
+def scene_bounds(frames: DataFrame) -> DataFrame:
+    """movie, scene, n, first, last (by image id and position), has_person: scenes without their images."""
+    movie, scene = text.movie_and_scene(F.col("image_id"))
+    named = frames.select(movie.alias("movie"), F.coalesce(scene, F.lit("default")).alias("scene"), F.struct("image_id", "pos").alias("image"), "has_person")
+    return named.groupBy("movie", "scene").agg(F.count("*").alias("n"), F.min("image").alias("first"), F.max("image").alias("last"), F.max("has_person").alias("has_person"))
+
+
 def pack_stories(frames: DataFrame, least: int = 5) -> DataFrame:
     """movie, k, n_images, first_image, last_image: whole scenes in string order, a story as soon as it has
     enough images and a person; what is left of a film is dropped.
 
     The fold is over a film's scenes, so a film is the unit of work, and films are independent.
     """
-    s = scenes(frames).select("movie", F.struct("scene", F.size("images").alias("n"), "has_person", F.element_at("images", 1)["image_id"].alias("first"), F.element_at("images", -1)["image_id"].alias("last")).alias("s"))
+    s = scene_bounds(frames).select("movie", F.struct("scene", "n", "has_person", F.col("first.image_id").alias("first"), F.col("last.image_id").alias("last")).alias("s"))
     films = s.groupBy("movie").agg(F.array_sort(F.collect_list("s")).alias("scenes"))
-    story = "struct<n:int,first:string,last:string>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("p"), F.lit(None).cast("string").alias("first"), F.array().cast(f"array<{story}>").alias("out"))
+    story = "struct<n:bigint,first:string,last:string>"
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("p"), F.lit(None).cast("string").alias("first"), F.array().cast(f"array<{story}>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         n, p, first = a["n"] + x["n"], a["p"] | x["has_person"], F.coalesce(a["first"], x["first"])
         done = F.array_append(a["out"], F.struct(n.alias("n"), first.alias("first"), x["last"].alias("last")).cast(story))
-        kind = f"struct<n:int,p:boolean,first:string,out:array<{story}>>"
+        kind = f"struct<n:bigint,p:boolean,first:string,out:array<{story}>>"
         full = F.struct(F.lit(0), F.lit(False), F.lit(None).cast("string"), done).cast(kind)
         return F.when((n >= least) & p, full).otherwise(F.struct(n, p, first, a["out"]).cast(kind))
 

@@ -346,8 +346,8 @@ def box_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT regexp_extract(image_id, '^(.+?)_scene_?(\d+)', 1) AS movie, regexp_extract(image_id, '^(.+?)_scene_?(\d+)', 2) AS scene, image_id, has_person FROM scene_frame) GROUP BY movie, scene""")
 def movie_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames grouped by film and scene."""
-    s = stories.scenes(view(spark, sf_dir, "scene_frame"))
-    return s.select("movie", "scene", F.size("images").cast("bigint").alias("images"), "has_person", F.element_at("images", 1)["image_id"].alias("first_image"))
+    s = stories.scene_bounds(view(spark, sf_dir, "scene_frame"))
+    return s.select("movie", "scene", F.col("n").alias("images"), "has_person", F.col("first.image_id").alias("first_image"))
 
 
 @query(r"""WITH RECURSIVE s AS (SELECT movie, scene, row_number() OVER (PARTITION BY movie ORDER BY scene) AS k, n, p, a, z FROM (

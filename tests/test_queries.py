@@ -51,3 +51,10 @@ def test_every_assistant_turn_is_scored(spark, db, tmp_path):
     for name in ("bleu_turns", "unigram_f_turns"):
         df, rel = queries.QUERIES[name](spark, str(tmp_path)), own.sql(queries.ORACLE[name])
         assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(list(rel.columns), rel.fetchall())
+
+
+def test_scenes_are_counted_without_their_images(spark):
+    for name in ("movie_scenes", "packed_stories"):
+        plan = queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(struct(image_id" not in plan and "collect_list(named_struct(image_id" not in plan
+        assert plan.count("collect_list") == (name == "packed_stories")
