@@ -240,6 +240,13 @@ def mentioned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.mentioned_only(view(spark, sf_dir, "entity_frame"), texts, objects=False).select("story_id", "entity_id", "image_number")
 
 
+@query(rf"""WITH {_TAGGED}, said AS (SELECT DISTINCT story_id, unnest(regexp_extract_all(text, '<gd[oal]\s+([^>]+)>', 1)) AS entity_id FROM tagged)
+SELECT e.story_id, e.entity_id, e.image_number FROM entity_frame e WHERE entity_id LIKE 'obj%' OR EXISTS (SELECT 1 FROM said s WHERE s.story_id = e.story_id AND s.entity_id = e.entity_id)""")
+def mentioned_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mentioned_entities with the texts of all stories."""
+    return stories.mentioned_only(view(spark, sf_dir, "entity_frame"), tagged(spark, sf_dir).select("story_id", "text"), objects=False).select("story_id", "entity_id", "image_number")
+
+
 @query(rf"""WITH {_TAGGED} SELECT story_id, len(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>.*?</gdo>')) AS character_refs, len(regexp_extract_all(text, '(?s)<gdo obj\d+[^>]*>.*?</gdo>')) AS object_refs,
   len(regexp_extract_all(text, '(?s)<gda[^>]*>.*?</gda>')) AS action_refs, len(regexp_extract_all(text, '(?s)<gdl[^>]*>.*?</gdl>')) AS setting_refs,
   len(list_distinct(regexp_extract_all(text, '<gdo char(\d+)', 1))) AS distinct_characters, len(list_filter(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>(.*?)</gdo>', 1), lambda r: lower(r) = 'she')) AS pronoun_refs,
@@ -391,6 +398,15 @@ def complete_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("idx", F.size("image_ids").cast("bigint").alias("lines"))
 
 
+@query("""SELECT doc_id AS idx, len(string_split(trim(text), chr(10))) AS lines FROM documents WHERE trim(text) <> ''""")
+def complete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """complete_samples over all documents: a null text lacks its files, a blank one is invalid."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text")
+    files = d.select(F.explode(F.array(*(F.format_string(f"%d_{k}.txt", "idx") for k in ("cot", "story", "metadata")))).alias("name"), "text")
+    kept = story_files.without_invalid(story_files.complete_samples(story_files.sample_parts(files)), d.where("trim(text) = ''").select("idx"))
+    return kept.select("idx", F.size("image_ids").cast("bigint").alias("lines"))
+
+
 # --- statistics -----------------------------------------------------------------------------------------
 
 
@@ -654,6 +670,14 @@ def entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.entity_ids(o).select("id", "match_id", "members")
 
 
+@query("""WITH o AS (SELECT o_custkey * 10000 + year(o_orderdate) AS match_id, o_orderkey AS id, o_orderpriority LIKE '1%' AS thing FROM orders) SELECT id, match_id, members FROM (SELECT *, count(*) OVER (PARTITION BY match_id) AS members FROM o) WHERE members > 1 OR thing""")
+def year_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_members over all orders; a match is a customer's orders of one year, of which many are alone."""
+    match_id = F.col("o_custkey") * 10000 + F.year("o_orderdate")
+    o = table(spark, sf_dir, "orders").select(match_id.alias("match_id"), F.col("o_orderkey").alias("id"), F.startswith("o_orderpriority", F.lit("1")).alias("is_thing"), F.lit(None).cast("boolean").alias("is_landmark"))
+    return stories.entity_ids(o).select("id", "match_id", "members")
+
+
 @query("SELECT count(*) AS total, count_if(quality = 1) AS human, count_if(quality <> 1) AS auto FROM labels")
 def annotation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.annotation_stats(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("human_annotated")))

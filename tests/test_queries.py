@@ -58,3 +58,14 @@ def test_scenes_are_counted_without_their_images(spark):
         plan = queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list(struct(image_id" not in plan and "collect_list(named_struct(image_id" not in plan
         assert plan.count("collect_list") == (name == "packed_stories")
+
+
+def test_matches_and_samples_are_whole(spark, db, tmp_path):
+    alone = {r["id"] for r in queries.year_members(spark, str(DATA)).where("members = 1").collect()}
+    things = "select o_orderkey from orders where o_orderpriority like '1%' and (o_custkey, year(o_orderdate)) in (select (o_custkey, year(o_orderdate)) from orders group by o_custkey, year(o_orderdate) having count(*) = 1)"
+    assert alone and alone == {r[0] for r in db.sql(things).fetchall()}
+    assert queries.year_members(spark, str(DATA)).count() < db.sql("select o_orderkey from orders").count("*").fetchall()[0][0]
+    docs = [(3, "a\nb"), (5, "c"), (8, None), (9, "  ")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, queries.complete_documents(spark, str(tmp_path)).collect())) == [(3, 2), (5, 1)]
+    assert {r["story_id"] for r in queries.mentioned_in_all(spark, str(DATA)).collect()} == {r[0] for r in db.sql("select distinct l_orderkey from lineitem").fetchall()}
