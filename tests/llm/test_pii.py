@@ -60,3 +60,36 @@ def test_redaction(spark):
     assert got[5]["text"] == "é€😀 [EMAIL] 😀 [IP]" and got[5]["n_chars"] == len(got[5]["text"])
     assert got[7]["text"] is None and got[6]["text"] == "" and got[8]["text"] == TEXTS[8] and got[12]["text"] in ("[CARD] [CARD]", TEXTS[12])
     assert redact(detect_pii(docs(spark).limit(0))).count() == 0
+
+
+HOSTILE = {
+    "labels": "a@b" + ".c" * 100_000,
+    "addresses": "x@y.zz " * 100_000,
+    "dots": "1." * 200_000,
+    "digits": "1 " * 500_000,
+    "phones": "+1" + " " * 300_000 + "+2" * 100_000,
+    "nested": ".".join(["1"] * 60_000) + "@b.cd",
+    "hex": "a" * 100_000 + "0" * 100_000,
+    "long": "é word " * 1_500_000 + "a@b.cd",
+}
+
+
+def test_hostile_texts_cost_what_they_are_long(spark):
+    d = spark.createDataFrame([(k, t) for k, t in HOSTILE.items()], "doc_id string, text string").repartition(4)
+    found = {r["doc_id"]: r for r in redact(detect_pii(d)).selectExpr("doc_id", "size(spans) n", "try_element_at(spans, -1) last", "length(text) as size", "right(text, 20) as tail", "left(text, 30) as head").collect()}
+    assert found["labels"]["n"] == 1 and found["labels"]["last"]["end"] == len(HOSTILE["labels"]) and found["labels"]["head"] == "[EMAIL]"
+    assert found["addresses"]["n"] == 100_000 and found["addresses"]["size"] == 8 * 100_000 and found["addresses"]["head"] == "[EMAIL] [EMAIL] [EMAIL] [EMAIL"[:30]
+    assert found["nested"]["n"] == 1 + 15_000 and found["nested"]["head"] == "[EMAIL]"
+    assert found["long"]["n"] == 1 and found["long"]["tail"].endswith("word [EMAIL]") and found["long"]["last"]["start"] == len(HOSTILE["long"]) - 6
+    for k in ("dots", "nested"):
+        assert base(HOSTILE[k][:4000])  # the plain rules agree on shorter ones
+    short = spark.createDataFrame([(k, t[:4001]) for k, t in HOSTILE.items()], "doc_id string, text string")
+    for r in detect_pii(short).collect():
+        want = base(r["text"])
+        assert [(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] in ("email", "ip", "card", "phone")] == [(a, k, z) for a, _, k, z in want]
+
+
+def test_context_decides_on_added_kinds(spark):
+    rows = [(1, "token = " + "a1" * 20), (2, "see " + "a1" * 20), (3, "AKIA" + "B2" * 8), (4, "commit sha " + "a1" * 20), (5, "key " + "1" * 40)]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in detect_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["secret"], 2: [], 3: ["secret"], 4: [], 5: []}
