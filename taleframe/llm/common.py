@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Folders that the file system was asked to remove at the end.
+_REMOVED_AT_END: set[str] = set()
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -19,13 +21,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="taleframe-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """This application's folder in what driver and executors share; removed when the driver's JVM ends.
+
+    It lies in spark.checkpoint.dir.  Where a session names none, a temporary folder does for a local master, whose
+    tasks run in the driver; on a cluster the warehouse is used, which all share.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if spark.sparkContext.master.split("[")[0] == "local":
+            top = tempfile.mkdtemp(prefix="taleframe-")
+        else:
+            top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/taleframe-scratch"
+        spark.sparkContext.setCheckpointDir(top)
+    folder = f"{top}/taleframe-{spark.sparkContext.applicationId}"
+    if folder not in _REMOVED_AT_END:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _REMOVED_AT_END.add(folder)
     return folder
 
 

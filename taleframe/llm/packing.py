@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the limit, so a histogram of at most ``limit`` counts holds the whole packing
 problem.  The plan is made from it in runs (so many pieces of one length, into so many sequences from this
 number on) and its size does not depend on the number of documents; pieces then look up their place by their
-rank among the pieces of their length.
+rank among the pieces of their length.  A training order is kept by packing each run of it on its own.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ END = 2
 #: (groups, share of the limit above which a length is large) that are tried; the plan with the fewest
 #: sequences is kept.  Large lengths are grouped, rounded up and put in configurations.
 SCHEMES = ((64, 1 / 8), (48, 1 / 3), (24, 1 / 2))
-BATCH = 64
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
+#: Characters that are encoded before their pieces are handed on.
+BATCH_CHARS = 1 << 20
+#: Sequences of a run are numbered from run << RUN_BITS on.
+RUN_BITS = 40
 
 
 # --- the plan, from a histogram -------------------------------------------------------------------------
@@ -192,65 +195,118 @@ def packing_plan(counts: np.ndarray, limit: int = LIMIT, groups: int = 64, large
 # --- pieces and their places ----------------------------------------------------------------------------
 
 
+def training_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with run and place, its order of training: the number of its part file, and the row in it.
+
+    Writers of sorted tables number their part files in order.  Rows that do not come straight from Parquet files
+    are one run, in the order of their partitions.
+    """
+    try:
+        held = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lit(0).cast("long").alias("run"), F.monotonically_increasing_id().alias("place"))
+    number = lambda pattern: F.coalesce(F.regexp_extract("file", pattern, 1).try_cast("long"), F.lit(0))
+    return held.select("doc_id", "text", number(r"^part-(\d+)").alias("run"), (F.shiftleft(number(r"-c(\d+)\."), 40) + F.col("at")).alias("place"))
+
+
 def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
-    """Pieces of each document's ids; ``local`` counts those of equal length earlier in the same partition ``part``."""
+    """Pieces of each document's ids: doc_id, run, place, piece, start, length, ids_crc32, part, local (and ids).
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``docs`` has doc_id, text, run and place; ``local`` counts pieces of equal run and length earlier in partition ``part``.
+    """
+    names = ["doc_id", "run", "place", "piece", "start", "length", "ids_crc32", "part", "local"] + ["ids"] * with_ids
+    last = np.array([end], dtype="<u4").tobytes()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = DocumentEncoder.shared(vocabulary)
-        part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, dtype=np.int64)
-        last = np.array([end], dtype="<u4").tobytes()
+        part, seen = TaskContext.get().partitionId(), {}
         for whole in batches:
-            for i in range(0, len(whole), BATCH):
-                b, rows = whole.iloc[i : i + BATCH], []
-                texts = [t if t is not None else "" for t in b["text"]]
-                for doc_id, ids in zip(b["doc_id"], encoder.encode(texts), strict=True):
+            at, size = 0, len(whole)
+            runs, columns = whole.column("run").to_pylist(), whole.column("text")
+            while at < size:
+                texts: list[str] = []
+                chars, first = 0, at
+                while at < size and (not texts or chars < BATCH_CHARS):
+                    texts.append(columns[at].as_py() or "")
+                    chars, at = chars + len(texts[-1]), at + 1
+                row, fields, held_ids = [], [], []
+                for i, ids in enumerate(encoder.encode(texts), start=first):
                     ids += last
                     n = len(ids) // 4
+                    count = seen.get(runs[i])
+                    if count is None:
+                        count = seen[runs[i]] = [0] * (limit + 1)
                     edges = [0, *range((n - 1) % limit + 1, n + 1, limit)]
                     for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
                         held = ids[4 * a : 4 * z]
-                        rows.append((doc_id, k, a, z - a, zlib.crc32(held), part, int(seen[z - a])) + ((held,) if with_ids else ()))
-                        seen[z - a] += 1
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"] + ["ids"] * with_ids
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE + ", ids binary" * with_ids)
+                        row.append(i)
+                        fields.append((k, a, z - a, zlib.crc32(held), part, count[z - a]))
+                        count[z - a] += 1
+                        if with_ids:
+                            held_ids.append(held)
+                given = whole.select(["doc_id", "run", "place"]).take(pa.array(row, pa.int64()))
+                made = np.array(fields, dtype=np.int64).reshape(-1, 6).T
+                out = [*given.columns, pa.array(made[0].astype(np.int32)), *map(pa.array, made[1:4]), pa.array(made[4].astype(np.int32)), pa.array(made[5])]
+                if with_ids:
+                    edge = np.r_[0, np.cumsum(made[2])].astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(np.frombuffer(b"".join(held_ids), dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, run long, place long, piece int, start long, length long, ids_crc32 long, part int, local long" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "run", "place", "text").mapInArrow(cut, schema)
+
+
+def _plans(counts: DataFrame, limit: int, schemes: tuple[tuple[int, float], ...]) -> DataFrame:
+    """run, length, runs: the plan of each run, made where its histogram (at most ``limit`` rows) is."""
+
+    def plan(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        held = np.zeros(limit + 1, dtype=np.int64)
+        held[t.column("length").to_numpy()] = t.column("n").to_numpy()
+        rows, _ = min((packing_plan(held, limit, *s) for s in schemes), key=lambda p: p[1])
+        by_length: dict[int, list] = {}
+        for length, low, n, sequence, offset, per in sorted(rows):
+            by_length.setdefault(length, []).append({"low": low, "sequence": sequence, "offset": offset, "per": per})
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("low", "sequence", "offset", "per")]))
+        return pa.table({"run": pa.array([key[0].as_py()] * len(by_length), pa.int64()), "length": pa.array(list(by_length), pa.int64()), "runs": pa.array(list(by_length.values()), kind)})
+
+    return counts.groupBy("run").applyInArrow(plan, "run long, length long, runs array<struct<low:long,sequence:long,offset:long,per:long>>")
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int = END, schemes: tuple[tuple[int, float], ...] = SCHEMES, with_ids: bool = False
+    docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int = END, schemes: tuple[tuple[int, float], ...] = SCHEMES, with_ids: bool = False, ordered: bool = False
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     A null text is empty and still has its end token.  A document of more than ``limit`` ids is cut so that
     all pieces but the first are full.  Repeated documents are packed as often as they come.  An empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored.  With ``ordered``, rows come from files in the order of
+    training: sequences of a part file hold its pieces only and are numbered after those of the files before it;
+    run and place (file, row in it) tell copies of a document apart.
     """
-    spark = docs.sparkSession
-    pieces = stage(tokenized_pieces(docs, vocabulary, limit, end, with_ids), "pieces")
-    held = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
-    counts = np.zeros(limit + 1, dtype=np.int64)
-    for row in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``limit`` rows
-        counts[row["length"]] = row["n"]
-    rows, _ = min((packing_plan(counts, limit, *s) for s in schemes), key=lambda p: p[1])
-    by_length: dict[int, list] = {}
-    for length, low, n, sequence, offset, per in sorted(rows):
-        by_length.setdefault(length, []).append((low, sequence, offset, per))
-    plan = spark.createDataFrame(list(by_length.items()), "length long, runs array<struct<low:long,sequence:long,offset:long,per:long>>")
-    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    placed = pieces.join(base, ["part", "length"]).join(F.broadcast(plan), "length").withColumn("rank", F.col("base") + F.col("local"))
-    placed = placed.withColumn("run", F.element_at(F.filter("runs", lambda r: r["low"] <= F.col("rank")), -1))
-    at = F.col("rank") - F.col("run.low")
+    source = training_runs(docs) if ordered else docs.select("doc_id", "text", F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("place"))
+    pieces = stage(tokenized_pieces(source, vocabulary, limit, end, with_ids), "pieces")
+    held = stage(pieces.groupBy("run", "part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    plan = stage(_plans(held.groupBy("run", "length").agg(F.sum("n").alias("n")), limit, schemes), "plan")
+    earlier = Window.partitionBy("run", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("run", "part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = pieces.join(base, ["run", "part", "length"]).join(plan if ordered else F.broadcast(plan), ["run", "length"])  # one run: at most ``limit`` rows
+    placed = placed.withColumn("rank", F.col("base") + F.col("local"))
+    placed = placed.withColumn("put", F.element_at(F.filter("runs", lambda r: r["low"] <= F.col("rank")), -1))
+    at = F.col("rank") - F.col("put.low")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("run.sequence") + F.floor(at / F.col("run.per"))).alias("sequence_id"),
-        (F.col("run.offset") + at % F.col("run.per") * F.col("length")).alias("offset"),
+        (F.shiftleft("run", RUN_BITS) + F.col("put.sequence") + F.floor(at / F.col("put.per"))).alias("sequence_id"),
+        (F.col("put.offset") + at % F.col("put.per") * F.col("length")).alias("offset"),
+        *(["run", "place"] if ordered else []),
         *(["ids"] if with_ids else []),
     )
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every row of documents and their places in sequences of at most 1024 tokens.
+
+    A null or empty text is its end token; texts of any length are encoded whole; repeated rows and ids are packed
+    as often as they come; other columns are ignored; an empty table gives an empty result.
+    """
     return pack_documents(read(spark, sf_dir, "documents"))

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Chunks that one Python worker keeps encoded.
-KEEP = 300_000
+#: A text with a longer run of letters, or of white space, goes to the encoder whose time does not grow with a run's square.
+LONGEST_RUN = 1000
+#: Fixed: the splitting rule of byte-level vocabularies, as the vocabulary file names it (ByteLevel with use_regex).
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BLANKS = re.compile(r"\s{%d}" % LONGEST_RUN)
 _loaded: dict[str, object] = {}
-#: White space other than blank and line feed; a text that holds one is encoded whole.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_ENDS = frozenset(".,;:!?")
+
+
+def vocabulary_path(name: str) -> str:
+    """``name`` itself if it is a path, else the file of the public vocabularies."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def load_tokenizer(name: str):
@@ -24,92 +34,55 @@ def load_tokenizer(name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        path = name
-        if os.sep not in name:
-            import public_tokenizers
-
-            path = public_tokenizers.path(name)
-        tokenizer = Tokenizer.from_file(str(path))
+        tokenizer = Tokenizer.from_file(vocabulary_path(name))
         tokenizer.encode_special_tokens = True
         _loaded[name] = tokenizer
     return _loaded[name]
 
 
-def _odd(text: str) -> bool:
-    """True if a blank of the text has white space beside it, or may have."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-        return True
-    if text.isascii():
-        return any(c in text for c in _OTHER_ASCII)
-    return _OTHER_SPACE.search(text) is not None
+def _byte_of() -> dict[str, int]:
+    """The byte behind each character in which a byte-level vocabulary is written: printable ones stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class DocumentEncoder:
-    """Little-endian 32-bit ids of texts, as the tokenizer gives them for the whole text.
+def _fast_encoder(spec: dict):
+    """An encoder that merges by id, for a vocabulary whose ids follow the order of its merges; else None."""
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges)
+    if not plain or any(vocab.get(m) != 256 + i for i, m in enumerate(merged)):
+        return None
+    import tiktoken
 
-    The vocabulary's splitting rule always starts a new piece at a blank between two characters that are not
-    white space, so chunks between such blanks encode on their own; frequent chunks are kept.  Texts with
-    other runs of white space are encoded in one go.
-    """
+    byte_of, added = _byte_of(), {a["content"] for a in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
+    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def __init__(self, name: str = VOCABULARY, keep: int = KEEP):
-        self.tokenizer, self.keep = load_tokenizer(name), keep
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.blank_first = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.blank_first[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how the file writes a blank
+
+class DocumentEncoder:
+    """Little-endian 32-bit ids of texts, as the tokenizer gives them for the whole text; nothing is kept between texts."""
+
+    def __init__(self, name: str = VOCABULARY):
+        self.tokenizer = load_tokenizer(name)
+        with open(vocabulary_path(name), encoding="utf-8") as f:
+            self.fast = _fast_encoder(json.load(f))
 
     @classmethod
     def shared(cls, name: str = VOCABULARY) -> DocumentEncoder:
-        """One encoder per process, so tasks of a worker share what it keeps."""
+        """One encoder per process."""
         if (key := f"encoder:{name}") not in _loaded:
             _loaded[key] = cls(name)
         return _loaded[key]
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def exact(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks.  Those that begin with their only blank are encoded in one go and cut before each blank."""
-        led = [c for c in chunks if c[0] == " " and c.rfind(" ") == 0 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
-        done: dict[str, bytes] = {}
-        if led:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.blank_first[ids])
-            if len(cuts) == len(led):
-                held, edges = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                done = {c: held[a:z] for c, a, z in zip(led, edges, edges[1:], strict=False)}
-        rest = [c for c in chunks if c not in done]
-        done.update(zip(rest, self._raw(rest), strict=True))
-        return [done[c] for c in chunks]
-
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        known, out, split = self.known, [b""] * len(texts), []
-        whole = [i for i, t in enumerate(texts) if _odd(t)]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        taken = set(whole)
-        missing: set[str] = set()
-        for i, t in enumerate(texts):
-            if i not in taken and t:
-                chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else re.split("(?= )", t)
-                split.append((i, chunks))
-                missing |= set(chunks).difference(known)
-        if missing:
-            # letters and one closing mark are two pieces
-            ended = {c for c in missing if c[-1] in _ENDS and c[:-1].lstrip(" ").isalpha()}
-            alone = list((missing - ended) | {c[:-1] for c in ended if c[:-1] not in known} | {c[-1] for c in ended if c[-1] not in known})
-            fresh = dict(zip(alone, self._chunks(alone), strict=True))
-            for c in ended:
-                fresh[c] = (fresh.get(c[:-1]) or known[c[:-1]]) + (fresh.get(c[-1]) or known[c[-1]])
-            if len(known) + len(fresh) <= self.keep:
-                known.update(fresh)
-                get = known.__getitem__
-            else:
-                get = lambda c: fresh.get(c) or known[c]
-        else:
-            get = known.__getitem__
-        for i, chunks in split:
-            out[i] = b"".join(map(get, chunks))
+        out = []
+        for t in texts:
+            long = self.fast is None or len(t) > LONGEST_RUN and (len(max(t.split(), key=len, default="")) > LONGEST_RUN or _BLANKS.search(t))
+            out.append(self.exact([t])[0] if long else array("I", self.fast.encode_ordinary(t)).tobytes())
         return out

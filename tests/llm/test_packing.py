@@ -45,13 +45,14 @@ def test_plan_places_every_piece_once(seed):
     assert best <= best_fit(lengths)
 
 
-def test_chunks_encode_as_whole_texts():
+def test_encoder_gives_the_tokenizer_s_ids():
     rng = random.Random(1)
     texts = [t for t in ODD if t is not None] + [rng.choice(["", " "]) + rng.choice(" \n").join(rng.choices(["the", "Tion.", "a,b", "é", "x1", "it's", "...", "(q)"], k=30)) for _ in range(60)]
+    texts += ["".join(rng.choices("ab'sZ1.,\n é!x-\t\x0b\x1c\x85\xa0\u2003\u180e\u200bⅷ١ʰ🙂", k=rng.randint(0, 40))) for _ in range(400)]
+    texts += ["ab" * 40_000, " " * 50_000 + "x", "\n" * 20_000, "word " * 20_000]
     whole = [np.array(e.ids, dtype="<u4").tobytes() for e in load_tokenizer(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
-    for keep in (10**6, 5):
-        encoder = DocumentEncoder(VOCABULARY, keep)
-        assert encoder.encode(texts) == whole and encoder.encode(texts) == whole
+    encoder = DocumentEncoder(VOCABULARY)
+    assert encoder.fast is not None and encoder.encode(texts) == whole and encoder.exact(texts) == whole
 
 
 def test_pieces_and_sequences(spark):
@@ -67,7 +68,7 @@ def test_pieces_and_sequences(spark):
             z = first if not k else a + 1024
             held = np.array(ids[a:z], dtype="<u4").tobytes()
             want.append((str(i), k, a, z - a, zlib.crc32(held), held))
-    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in got) == sorted(want)
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"], np.array(r["ids"], dtype="<u4").tobytes()) for r in got) == sorted(want)
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -76,3 +77,26 @@ def test_pieces_and_sequences(spark):
         assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(places[-1]) <= 1024
     assert len(by) <= -(-sum(w[3] for w in want) // 1024) + 3
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ordered_packing_keeps_runs_of_training(spark, tmp_path):
+    texts = [" ".join(["ten"] * (1 + i * 37 % 500)) for i in range(60)]
+    rows = [(i % 50, t) for i, t in enumerate(texts)]
+    for k in range(3):  # three part files of 20 rows
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        part = next((tmp_path / f"w{k}").glob("part-*.parquet"))
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        part.rename(tmp_path / "docs" / part.name.replace("part-00000", f"part-{k:05d}"))
+    got = pack_documents(spark.read.parquet(str(tmp_path / "docs")), ordered=True, with_ids=True).collect()
+    assert {(r["run"], r["place"]) for r in got} == {(k, i) for k in range(3) for i in range(20)}
+    for r in got:
+        assert r["doc_id"] == rows[20 * r["run"] + r["place"]][0] and r["sequence_id"] >> 40 == r["run"]
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["ids"]))
+    for places in by.values():
+        places.sort()
+        assert all(a + n == b for (a, n, _), (b, _, _) in zip(places, places[1:], strict=False)) and places[0][0] == 0 and sum(n for _, n, _ in places) <= 1024
+    assert sum(len(i) for p in by.values() for _, _, i in p) == sum(r["length"] for r in got)
+    loose = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), ordered=True).collect()
+    assert len({r["place"] for r in loose}) == 60

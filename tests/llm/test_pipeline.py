@@ -44,3 +44,22 @@ def test_stages_equal_brute_force(spark, tmp_path):
     n = sum(len(load_tokenizer(VOCABULARY).encode(r["text"], add_special_tokens=False).ids) + 1 for r in seen["mixture"])
     assert sum(r["length"] for r in seen["packing"]) == n
     assert sorted(r["doc_id"] for r in seen["packing"] if r["piece"] == 0) == sorted(r["doc_id"] for r in seen["mixture"])
+    assert all(len(r["ids"]) == r["length"] for r in seen["packing"])
+    # training order: the sequences of a part file come from its rows only, and copies differ in their place
+    assert len({(r["run"], r["place"]) for r in seen["packing"]}) == len(seen["mixture"])
+    assert all(r["sequence_id"] >> 40 == r["run"] for r in seen["packing"])
+
+
+def test_run_on_awkward_tables(spark, tmp_path):
+    def run(name, rows, schema=SCHEMA):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        return corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+
+    assert run("empty", []) == []
+    assert run("nulls", [(None, None, None, None, None), (1, "", "en", "s", 0), (None, "  ", None, None, None)]) == []
+    text = " ".join(f"the thing{i % 7} and over it" for i in range(40))
+    extra = [(i, f"{text} {chr(97 + i) * 3} " + "word " * (5 * i), "en", "s" if i % 2 else None, None, "clash", i, "x") for i in range(12)]
+    extra += [(3, extra[3][1], "en", "s", None, "clash", 1, "x"), (None, "le éau que oiseau des " * 30, "fr", None, None, "", 0, ""), (20, "the thing and over it " * 5000, "en", "s", 0, "", 0, "")]
+    got = run("extra", extra, SCHEMA + ", row string, size long, place string")
+    assert got and all(len(r["ids"]) == r["length"] <= 1024 for r in got)
+    assert {r["doc_id"] for r in got} <= {*range(12), 20, None}
