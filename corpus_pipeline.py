@@ -24,23 +24,42 @@ from taleframe.llm.pii import redact_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is learned from ``docs`` themselves; null, empty and letterless texts go, as all do without labels.
+
+    Repeated rows stay repeated, very long texts are read whole, other columns go; an empty table gives an empty result.
+    """
     return known_language_documents(docs, train_languages(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicate rows, repeated rows and null ids included; null and blank texts stay.
+
+    Ties go to the smallest doc_id (null last); other columns go; an empty table gives an empty result.
+    """
     return distinct_documents(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data in its text redacted; null and empty texts stay as they are; other columns go."""
     return redact_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, in part files in the order of training.
+
+    A null source is one source; a null or blank text has no words and is taken as the others of its source that come first;
+    repeated rows are decided each; other columns go; an empty table gives an empty result.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    """Pieces with their ids and places, packed inside each part file, so that the order of training holds.
+
+    A null or empty text is one end token; very long texts are cut into pieces; run and place tell repeated rows apart;
+    other columns are ignored; an empty table gives an empty result.
+    """
+    return pack_documents(docs, with_ids=True, ordered=True)
 
 
 STAGES = [
@@ -55,7 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each one's result written and read again."""
+    """Apply all stages to documents, each one's result written and read again.
+
+    Rows with a null or blank text, or in no known language, never reach the result; null ids, sources and labels, repeated rows,
+    very long texts and columns beyond those of documents are allowed; an empty table gives an empty result.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
