@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from taleframe.llm import bm25
@@ -24,11 +26,13 @@ def brute(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block", "terms"), [(8192, 128, 10**6), (16, 4, 200)])
-def test_equals_brute_force(spark, shard, block, terms, monkeypatch):
+@pytest.mark.parametrize(("shard", "block", "terms", "postings", "phase"), [(8192, 128, 10**6, 10**6, 8), (16, 4, 200, 10**6, 8), (16, 4, 10**6, 60, 2)])
+def test_equals_brute_force(spark, shard, block, terms, postings, phase, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD", shard)
     monkeypatch.setattr(bm25, "BLOCK", block)
     monkeypatch.setattr(bm25, "ROUND_TERMS", terms)
+    monkeypatch.setattr(bm25, "SHARD_POSTINGS", postings)
+    monkeypatch.setattr(bm25, "PHASE", phase)
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(200)]
     docs = [(i * 7 % 1009, " ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(200)], k=rng.randint(0, 60))).upper()) for i in range(160)]
@@ -48,3 +52,37 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b")], "qid long, text string")
     assert bm25.top_documents(none, some).count() == 0
     assert bm25.top_documents(some.withColumnRenamed("qid", "doc_id"), some.limit(0)).count() == 0
+
+
+def shard_of(docs, block):
+    found = list(bm25._term_counts(docs))
+    term = np.concatenate([t for t, _ in found]).view(np.int64)
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t, _ in found])
+    tf, order = np.concatenate([n for _, n in found]).astype(np.int32), np.argsort(term, kind="stable")
+    term, doc, tf = term[order], doc[order], tf[order]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    sizes = np.array([n.sum() for _, n in found], dtype=np.int32)
+    row = [[list(range(len(docs)))], [sizes.tobytes()], [term[first]], [np.r_[first, len(term)].astype(np.int32)], [doc.tobytes()], [tf.tobytes()]]
+    return bm25.Shard(pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["doc_ids", "sizes", "terms", "starts", "posting", "tf"]), float(sizes.mean()), block)
+
+
+@pytest.mark.parametrize("block", [1, 4, 128])
+def test_pruning_loses_nothing_above_the_floor(block):
+    rng = random.Random(block)
+    vocabulary, weights = [f"w{k}" for k in range(300)], [1 / (k + 1) for k in range(300)]
+    docs = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(0, 80))) for _ in range(500)]
+    docs += docs[:20]
+    shard = shard_of(docs, block)
+    for _ in range(40):
+        terms = np.unique(np.concatenate([t.view(np.int64) for t, _ in bm25._term_counts([" ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60)))])]))
+        idf = np.array([0.1 + rng.random() * 8 for _ in terms])
+        whole = np.zeros(len(docs))
+        for t, w in zip(terms, idf, strict=True):
+            a = np.searchsorted(shard.terms, t)
+            if a < len(shard.terms) and shard.terms[a] == t:
+                whole[shard.doc[shard.starts[a] : shard.starts[a + 1]]] += w * shard.impact[shard.starts[a] : shard.starts[a + 1]]
+        for floor in (-np.inf, *np.quantile(whole, [0.5, 0.9, 0.99]), whole.max(), whole.max() + 1):
+            got = dict(zip(*(x.tolist() for x in shard.best(terms, idf, 10, floor)), strict=True))
+            least = max(floor, np.sort(whole)[-10])
+            want = {i: s for i, s in enumerate(whole) if s > 0 and s >= least}
+            assert set(want) <= set(got) and all(abs(got[i] - whole[i]) < 1e-9 for i in got)
