@@ -1,15 +1,20 @@
 """Language-model scoring: hashed-context bit predictors under gated logistic mixing.
 
-All that is learned from the corpus is counted: words, then events (a byte after its context) of the distinct
-words weighted by the words' counts, then bits per hashed context.  Since contexts stay inside a word, counting
-distinct words with their weights is exact, and a word's cost is worked out once however often it comes.  The
-mixing weights are learned online in each partition of the events and averaged.
+A text is scored as one stream of binary decisions, word after word in its order (see mixing_model).  Everything that is
+counted is counted over all training texts: words; zeros and ones at the nodes of ranks, in all and by class, from those
+counts; zeros and ones after the last word and the last two, in hashed tables of one size; and zeros and ones of the bytes
+of distinct words, from which words without a rank are spelled.  Mixing weights are learned online over the training
+words of each partition, each word left out of its own counts, and averaged; refinement tables are counted on the way.
+
+The class of a text is not given but guessed from the words before, so it changes while a text is read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleframe.llm.common import fold, read, stage
-from taleframe.llm.mixing_model import CONTEXTS, SLOTS, Mixer, count_slots, word_events
+from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR, SLOTS, START, Mixer, WordMixer, add_near, add_slots, node_counts, word_events
 
-#: Classes of documents that get contexts of their own, at most; rarer ones share one more.
+#: Classes of documents that get counts of their own, at most (the commonest labels); rarer ones share one more.
 CLASSES = 7
-#: Words that are broadcast, at most, each of at most HEAD_BYTES bytes; all others are joined.
-HEAD, HEAD_BYTES = 1 << 18, 64
-ROUNDS, RATE, STEP = 2, 0.06, 4096
-_BLOCKS = 16
-_HELD = 400_000
+#: Bytes of a word with a rank, at most; longer ones are spelled.
+HEAD_BYTES = 256
+RATE, STEP, SPELL_STEP = 0.06, 16384, 4096
+#: Words that are encoded at once.
+BATCH_WORDS = 1 << 17
+_HELD, _READ = 400_000, 1 << 27
+_BLOCK, _FAN = 1 << 17, 64
+_CLASS_SHIFT = 24
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -51,13 +59,16 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
                     yield whole.slice(a, 1 << 16)
             held.clear()
 
+        seen = 0
         for b in batches:
             for text, cls, train in zip(b.column("text"), b.column("cls").to_pylist(), b.column("train").to_pylist(), strict=True):
                 words = _words(text.as_py())
+                seen += sum(map(len, words))
                 words.append(b"")
                 held.setdefault(cls if train else -1, Counter()).update(words)
-                if sum(map(len, held.values())) > _HELD:
+                if seen > _READ or sum(map(len, held.values())) > _HELD:
                     yield from rows()
+                    seen = 0
         yield from rows()
 
     parts = docs.select("text", "cls", "train").mapInArrow(count, "token string, cls int, n long")
@@ -65,154 +76,131 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n").alias("c"), *by_class)
 
 
-def _columns(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(np.float64)
+# --- tables of one size, counted by all tasks -----------------------------------------------------------
+
+
+def _summed(parts: DataFrame, tables: int) -> np.ndarray:
+    """The sum of what tasks have counted (which, block, task, data): ``tables`` tables of SLOTS pairs.
+
+    Sums are made in groups of about _FAN tasks first, and batch by batch, so no task holds what grows with the input.
+    """
+
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * _BLOCK)
+        for b in batches:
+            for data in b.column("data"):
+                out += np.frombuffer(zlib.decompress(data.as_py()), dtype=np.float32)
+        data = zlib.compress(out.astype(np.float32).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.int32()), pa.array([data])], ["which", "block", "task", "data"])
+
+    schema = "which int, block int, task int, data binary"
+    once = parts.withColumn("task", F.floor(F.col("task") / _FAN).cast("int")).groupBy("which", "block", "task").applyInArrow(total, schema)
+    twice = once.withColumn("task", F.lit(0)).groupBy("which", "block", "task").applyInArrow(total, schema)
+    out = np.zeros((tables, SLOTS, 2), dtype=np.float32)
+    for r in twice.toLocalIterator():  # tables x SLOTS / _BLOCK rows, whatever the input
+        out[r["which"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.float32).reshape(-1, 2)
+    return out
+
+
+def _blocks(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
+    for which in range(len(tables)):
+        for block in range(SLOTS // _BLOCK):
+            part = tables[which, block * _BLOCK : (block + 1) * _BLOCK]
+            if part.any():
+                data = zlib.compress(part.astype(np.float32).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([data])], ["which", "block", "task", "data"])
+
 
+def _averaged(found: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray] | None:
+    """Weights averaged by how much each task has seen, and sums of the cells; a few thousand numbers, added on the executors."""
+    rows = found.select("seen", F.posexplode("data").alias("at", "x")).groupBy("at")
+    got = rows.agg(F.sum("x").alias("total"), (F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("mean")).collect()
+    if not got:
+        return None
+    both = np.zeros((2, sum(sizes)))
+    for r in got:
+        both[:, r["at"]] = r["mean"], r["total"]
+    edges = np.cumsum([0, *sizes])
+    return [both[int(k == len(sizes) - 1), a:z] for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False))]
 
-def _pieces(b: pa.RecordBatch, column: str = "token", step: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
+
+def _learned(start, found: DataFrame):
+    got = _averaged(found, (start.weights.size, start.squares.size, start.cells.size))
+    if got is None:
+        return start
+    return type(start)(got[0].reshape(start.weights.shape), got[1].reshape(start.squares.shape), start.cells + got[2].reshape(start.cells.shape))
+
+
+def _state(model, start, seen: int) -> pa.RecordBatch:
+    data = np.concatenate([model.weights.ravel(), model.squares.ravel(), (model.cells - start.cells).ravel()])
+    return pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([data], pa.list_(pa.float64()))], ["seen", "data"])
+
+
+# --- spelling -------------------------------------------------------------------------------------------
+
+
+def _spelled_pieces(b: pa.RecordBatch, names: list[str], step: int = 1 << 17) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     for a in range(0, len(b), step):
-        yield a, [t.encode("utf-8") for t in b.column(column).slice(a, step).to_pylist()]
+        part = b.slice(a, step)
+        counts = np.stack([part.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1) > 0
+        yield a, [t.encode("utf-8") for t in part.column("token").to_pylist()], counts.astype(np.int64)
 
 
-def count_events(vocabulary: DataFrame, classes: int) -> DataFrame:
-    """near (the last three context bytes), event, n_0...: partitioned by near, so longer contexts stay together."""
+def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[np.ndarray, Mixer]:
+    """Bytes of distinct training words, each once per class that has it, and the mixer over them."""
     names = [f"c_{k}" for k in range(classes)]
+    known = vocabulary.where("c > 0").select("token", *names)
 
-    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((len(CONTEXTS), SLOTS, 2), dtype=np.float32)
         for b in batches:
-            for a, words in _pieces(b):
+            for _, words, counts in _spelled_pieces(b, names):
                 event, starts = word_events(words)
-                counts = np.repeat(_columns(b.slice(a, len(words)), names), np.diff(np.r_[starts, len(event)]), axis=0)
-                unique, at = np.unique(event, return_inverse=True)
-                sums = [np.bincount(at, weights=counts[:, k]).astype(np.int64) for k in range(classes)]
-                yield pa.RecordBatch.from_arrays([pa.array((unique >> 8) & 0xFFFFFF), pa.array(unique), *map(pa.array, sums)], ["near", "event", *(f"n_{k}" for k in range(classes))])
-
-    schema = "near long, event long, " + ", ".join(f"n_{k} long" for k in range(classes))
-    found = vocabulary.where("c > 0").select("token", *names).mapInArrow(events, schema)
-    return found.repartition("near").groupBy("near", "event").agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in range(classes)])
-
-
-def count_bits(events: DataFrame, classes: int) -> np.ndarray:
-    """Zeros and ones per predictor and slot: an array of one size whatever the corpus."""
-    names, width = [f"n_{k}" for k in range(classes)], SLOTS // _BLOCKS
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("event").to_numpy(zero_copy_only=False), _columns(b, names)) for b in batches if len(b)]
-        if parts:
-            event, counts = np.concatenate([e for e, _ in parts]), np.concatenate([c for _, c in parts])
-            for which, at, zeros, ones in count_slots(event, counts):
-                whole = pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), which, np.int32)), pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(zeros), pa.array(ones)],
-                    ["which", "block", "slot", "zeros", "ones"],
-                )
-                for a in range(0, len(at), 1 << 17):
-                    yield whole.slice(a, 1 << 17)
-
-    def dense(t: pa.Table) -> pa.Table:
-        out = np.zeros((width, 2))
-        slot = t.column("slot").to_numpy()
-        for k, name in enumerate(("zeros", "ones")):
-            out[:, k] = np.bincount(slot, weights=t.column(name).to_numpy(), minlength=width)
-        return pa.table({"which": [t.column("which")[0].as_py()], "block": [t.column("block")[0].as_py()], "data": [out.astype(np.float32).tobytes()]})
-
-    rows = events.select("event", *names).mapInArrow(bits, "which int, block int, slot int, zeros double, ones double")
-    rows = rows.groupBy("which", "block", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    tables = np.zeros((len(CONTEXTS), SLOTS, 2), dtype=np.float32)
-    for r in rows.groupBy("which", "block").applyInArrow(dense, "which long, block long, data binary").toLocalIterator():
-        tables[r["which"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["data"], dtype=np.float32).reshape(-1, 2)
-    return tables
-
-
-def _steps(b: pa.RecordBatch, names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches (event, class, count) of the events of each class."""
-    event, counts = b.column("event").to_numpy(zero_copy_only=False), _columns(b, names)
-    at, cls = np.nonzero(counts)
-    order = np.random.default_rng(5).permutation(len(at))
-    for a in range(0, len(order), STEP):
-        i = order[a : a + STEP]
-        yield event[at[i]], cls[i], counts[at[i], cls[i]]
-
-
-def fit_mixer(events: DataFrame, tables, classes: int) -> Mixer:
-    """Learn weights online in each partition and average them, twice; then count the refinement."""
-    names = [f"n_{k}" for k in range(classes)]
-    model = Mixer()
-
-    def learn(start: Mixer, rate: float, refine: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Mixer(start.weights.copy(), start.squares.copy(), start.cells)
-            seen, cells = 0, np.zeros_like(start.cells)
-            for b in batches:
-                for event, cls, n in _steps(b, names):
-                    seen += len(event)
-                    if refine:
-                        cells += m.refine(tables.value, event, cls, n)
-                    else:
-                        m.learn(tables.value, event, cls, np.sqrt(n), rate)
-            if seen:
-                out = cells if refine else np.stack([m.weights, m.squares])
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["seen", "data"])
-
-        each = events.select("event", *names).mapInArrow(run, "seen long, data array<double>")
-        # sums of a few thousand numbers, made on the executors
-        size = start.cells.size if refine else 2 * start.weights.size
-        scaled = each.select("seen", F.posexplode("data").alias("at", "x"))
-        rows = scaled.groupBy("at").agg(F.sum("x").alias("total"), (F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("mean")).collect()
-        out = np.zeros((2, size))
-        for r in rows:
-            out[:, r["at"]] = r["total"], r["mean"]
-        return out if rows else None
-
-    for k in range(ROUNDS):
-        if (got := learn(model, RATE / (k + 1), False)) is None:
-            return model
-        weights, squares = got[1].reshape(2, *model.weights.shape)
-        model = Mixer(weights, squares, model.cells)
-    model.cells = model.cells + learn(model, 0.0, True)[0].reshape(model.cells.shape)
-    return model
-
-
-def spell_words(vocabulary: DataFrame, tables, model: Mixer, classes: int) -> DataFrame:
-    """``vocabulary`` with s_0...: log10 of the mixed probability of each word's bytes, by class."""
-    names = vocabulary.columns
+                add_slots(tables, event, np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
+        yield from _blocks(tables)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables = _summed(known.mapInArrow(count, "which int, block int, task int, data binary"), len(CONTEXTS))
+    shared, start = vocabulary.sparkSession.sparkContext.broadcast(tables), Mixer()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = Mixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0
         for b in batches:
-            for a, words in _pieces(b):
+            for _, words, counts in _spelled_pieces(b, names):
                 event, starts = word_events(words)
+                at, cls = np.nonzero(np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
+                for a in range(0, len(at), SPELL_STEP):
+                    i = at[a : a + SPELL_STEP]
+                    model.learn(shared.value, event[i], cls[a : a + SPELL_STEP], np.ones(len(i)), RATE)
+                seen += len(at)
+        if seen:
+            yield _state(model, start, seen)
+
+    return tables, _learned(start, known.mapInArrow(learn, "seen long, data array<double>"))
+
+
+def spell_words(words: DataFrame, tables, model: Mixer, classes: int) -> DataFrame:
+    """``words`` (token, ...) with s_0...: bits of each word's bytes, by class."""
+    names = words.columns
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, len(b), 1 << 17):
+                part = b.slice(a, 1 << 17)
+                event, starts = word_events([t.encode("utf-8") for t in part.column("token").to_pylist()])
                 unique, at = np.unique(event, return_inverse=True)
                 cost = np.concatenate([model.bits(tables.value, unique[i : i + 65536], classes) for i in range(0, len(unique), 65536)])
-                total = np.add.reduceat(cost[at], starts, axis=0) * -np.log10(2)
-                part = b.slice(a, len(words))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(total[:, k]) for k in range(classes))], [*names, *(f"s_{k}" for k in range(classes))])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vocabulary.schema) + "".join(f", s_{k} double" for k in range(classes))
-    return vocabulary.mapInArrow(spell, schema)
-
-
-def _shares(spelled: DataFrame, sizes: list[int], total: int, rounds: int = 4) -> list[float]:
-    """Shares of three guesses of a word (its class's counts, all counts, its spelling), each word left out once."""
-    shares = [0.3, 0.4, 0.3]
-    for _ in range(rounds):
-        sums = []
-        for k, size in enumerate(sizes):
-            parts = [
-                shares[0] * (F.col(f"c_{k}") - 1) / max(size - 1, 1),
-                shares[1] * (F.col("c") - 1) / max(total - 1, 1),
-                shares[2] * F.pow(F.lit(10.0), f"s_{k}"),
-            ]
-            whole = parts[0] + parts[1] + parts[2] + 1e-300
-            sums += [F.sum(F.when(F.col(f"c_{k}") > 0, F.col(f"c_{k}") * p / whole)) for p in parts]
-        got = spelled.agg(*[s.alias(f"x{i}") for i, s in enumerate(sums)]).first()
-        by = [sum(got[i] or 0.0 for i in range(j, len(got), 3)) for j in range(3)]
-        if not sum(by):
-            return [0.0, 0.0, 1.0]
-        shares = [max(x / sum(by), 1e-4) for x in by]
-        shares = [x / sum(shares) for x in shares]
-    return shares
-
-
-def _head(words: DataFrame) -> int:
+                total = np.stack([np.add.reduceat(cost[at, k], starts) for k in range(classes)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, total)], [*names, *(f"s_{k}" for k in range(classes))])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + "".join(f", s_{k} double" for k in range(classes))
+    return words.mapInArrow(spell, schema)
+
+
+# --- ranks and contexts ---------------------------------------------------------------------------------
+
+
+def _least(words: DataFrame) -> int:
     """The least count at which at most HEAD short words have it, from a histogram of counts by their size."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
     rows = words.where((F.col("c") > 0) & (F.octet_length("token") <= HEAD_BYTES)).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
@@ -225,106 +213,223 @@ def _head(words: DataFrame) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, train: Column, group: str | None = "lang") -> DataFrame:
-    """Score the whole text of every row of ``docs``, learning from the rows where ``train`` is true.
+@dataclass
+class Ranks:
+    """Frequent words by rank (0: all others): base score, what each class makes of a word, and what a class starts with."""
 
-    Columns doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.  A text is its words
-    (A-Z lower-cased, apart by ASCII white space) and one end; a null text is empty.  score is log10 of the
-    probability that the model gives to the sequence of words and the end: a mixture over classes of documents
-    (values of ``group`` in training rows, never looked at when scoring), of products over words.  base_score
-    is the add-one unigram score over training words.  With no training rows the base is 0 for all words and the
-    model spells by its start weights.  Repeated rows are scored each; an empty table gives an empty result.
+    words: list[bytes]
+    base: np.ndarray
+    leaning: np.ndarray
+    prior: np.ndarray
+
+
+def encode_documents(marked: DataFrame, ranks, kind: str) -> DataFrame:
+    """Rows of texts (rid, doc_id, train, cls, n_tokens, n_bytes, n_known, base, codes) and of their spelled words (rid, token, klass, tf).
+
+    A code is a word's rank and the class guessed from the words before it.
     """
+    names = ["rid", "doc_id", "train", "cls", "n_tokens", "n_bytes", "n_known", "base", "codes", "token", "klass", "tf"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Ranks = ranks.value
+        index = {w: i for i, w in enumerate(held.words, start=1)}
+        rid = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            at = 0
+            while at < len(whole):
+                first, texts, size = at, [], 0
+                while at < len(whole) and size < BATCH_WORDS:
+                    words = _words(whole.column("text")[at].as_py())
+                    texts.append(words)
+                    size, at = size + len(words) + 1, at + 1
+                b, n_bytes = whole.slice(first, at - first), [sum(map(len, w)) + len(w) + 1 for w in texts]
+                for w in texts:
+                    w.append(b"")
+                flat = [w for t in texts for w in t]
+                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                rank = np.array([index.get(w, 0) for w in flat], dtype=np.int64)
+                lean = np.cumsum(held.leaning[rank], axis=0)
+                before = np.vstack([np.zeros((1, lean.shape[1])), lean[:-1]])
+                before -= np.repeat(before[starts], sizes, axis=0) - held.prior
+                cls = before.argmax(axis=1)
+                codes = (rank | cls << _CLASS_SHIFT).astype("<u4")
+                blobs = [codes[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                known, base = np.add.reduceat((rank > 0).astype(np.int64), starts), np.add.reduceat(held.base[rank], starts)
+                number = np.arange(rid, rid + len(texts))
+                none = lambda k, t: pa.nulls(k, t)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number), b.column("doc_id"), b.column("train"), b.column("cls"), pa.array(sizes), pa.array(n_bytes, pa.int64()), pa.array(known), pa.array(base), pa.array(blobs, pa.binary()),
+                     none(len(texts), pa.string()), none(len(texts), pa.int32()), none(len(texts), pa.int64())], names)
+                rare = np.flatnonzero(rank == 0)
+                of = np.searchsorted(starts, rare, side="right") - 1
+                tf = Counter(zip(of.tolist(), cls[rare].tolist(), map(flat.__getitem__, rare.tolist()), strict=True))
+                if tf:
+                    k = len(tf)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(number[[i for i, _, _ in tf]]), none(k, b.column("doc_id").type), none(k, pa.bool_()), none(k, pa.int32()), *(none(k, pa.int64()) for _ in range(3)), none(k, pa.float64()), none(k, pa.binary()),
+                         pa.array([t.decode("utf-8") for _, _, t in tf]), pa.array([c for _, c, _ in tf], pa.int32()), pa.array(list(tf.values()), pa.int64())], names)
+                rid += len(texts)
+
+    schema = f"rid long, doc_id {kind}, train boolean, cls int, n_tokens long, n_bytes long, n_known long, base double, codes binary, token string, klass int, tf long"
+    return marked.select("doc_id", "text", "train", "cls").mapInArrow(encode, schema)
+
+
+def _streams(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, ...]]]:
+    """(first row, end row, where texts start, (rank, last word, the one before, class)) of rows with codes, some words at a time."""
+    codes, at = b.column("codes"), 0
+    while at < len(b):
+        first, held, size = at, [], 0
+        while at < len(b) and size < BATCH_WORDS:
+            held.append(np.frombuffer(codes[at].as_py(), dtype="<u4"))
+            size, at = size + len(held[-1]), at + 1
+        starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+        flat = np.concatenate(held)
+        rank = (flat & ((1 << _CLASS_SHIFT) - 1)).astype(np.int32)
+        one = np.r_[np.int32(START), rank[:-1]]
+        one[starts] = START
+        two = np.r_[np.int32(START), one[:-1]]
+        two[starts] = START
+        yield first, at, starts, (rank, one, two, (flat >> _CLASS_SHIFT).astype(np.int32))
+
+
+def fit_words(coded: DataFrame, common: np.ndarray, by_class: np.ndarray) -> tuple[np.ndarray, WordMixer]:
+    """Zeros and ones after the last words, and the mixer over ranks."""
+    training = coded.where("train").select("codes", "cls")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((NEAR, SLOTS, 2), dtype=np.float32)
+        for b in batches:
+            for _, _, _, (rank, one, two, _) in _streams(b):
+                add_near(tables, rank, one, two)
+        yield from _blocks(tables)
+
+    near = _summed(training.mapInArrow(count, "which int, block int, task int, data binary"), NEAR)
+    shared, start = coded.sparkSession.sparkContext.broadcast((common, by_class, near)), WordMixer()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = WordMixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0
+        for b in batches:
+            label = b.column("cls").to_numpy(zero_copy_only=False).astype(np.int32)
+            for first, end, starts, stream in _streams(b):
+                own = np.repeat(label[first:end], np.diff(np.r_[starts, len(stream[0])]))
+                for a in range(0, len(own), STEP):
+                    model.learn(*shared.value, *(x[a : a + STEP] for x in stream), own[a : a + STEP], RATE)
+                seen += len(own)
+        if seen:
+            yield _state(model, start, seen)
+
+    return near, _learned(start, training.mapInArrow(learn, "seen long, data array<double>"))
+
+
+def cost_words(coded: DataFrame, tables, model: WordMixer) -> DataFrame:
+    """Texts of ``coded`` with bits: what the decisions on their ranks cost."""
+    names = ["rid", "doc_id", "train", "n_tokens", "n_bytes", "n_known", "base"]
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = model.prepared(*tables.value)
+        for b in batches:
+            bits = np.zeros(len(b))
+            for first, end, starts, stream in _streams(b):
+                each = [model.cost(prepared, *(x[a : a + STEP] for x in stream)) for a in range(0, len(stream[0]), STEP)]
+                bits[first:end] = np.add.reduceat(np.concatenate(each).astype(np.float64), starts)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(bits)], [*names, "bits"])
+
+    texts = coded.where("token is null").select(*names, "codes")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "codes") + ", bits double"
+    return texts.mapInArrow(cost, schema)
+
+
+# --- the operator ---------------------------------------------------------------------------------------
+
+
+@dataclass
+class LanguageModel:
+    """What was learned, and the staged tables that scoring reads."""
+
+    ranks: Ranks
+    common: np.ndarray
+    by_class: np.ndarray
+    near: np.ndarray
+    words: WordMixer
+    spelling: np.ndarray
+    letters: Mixer
+    total: int
+    distinct: int
+    classes: int
+    vocabulary: DataFrame
+    coded: DataFrame
+    least: int
+
+
+def learn_model(docs: DataFrame, train: Column, group: str | None = "lang") -> LanguageModel:
+    """Learn from the rows of ``docs`` where ``train`` is true; all rows are encoded on the way."""
     spark = docs.sparkSession
     label = F.col(group) if group else F.lit("all")
     marked = docs.select("doc_id", "text", label.cast("string").alias("label"), F.coalesce(train, F.lit(False)).alias("train"))
-    common = marked.where("train and label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES).collect()
-    classes = len(common) + 1
-    cls = F.lit(len(common))
-    for k, r in enumerate(common):
+    common_labels = marked.where("train and label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES).collect()
+    classes = len(common_labels) + 1
+    cls = F.lit(len(common_labels))
+    for k, r in enumerate(common_labels):
         cls = F.when(F.col("label") == r["label"], k).otherwise(cls)
     marked = marked.withColumn("cls", cls)
     vocabulary = stage(count_words(marked, classes), "words")
     sums = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), *[F.sum(f"c_{k}") for k in range(classes)]).first()
-    total, distinct, sizes = sums[0] or 0, sums[1] or 0, [x or 0 for x in sums[2:]]
-    events = stage(count_events(vocabulary, classes), "events")
-    tables = spark.sparkContext.broadcast(count_bits(events, classes))
-    model = fit_mixer(events, tables, classes)
-    spelled = stage(spell_words(vocabulary, tables, model, classes), "spelled")
-    shares = _shares(spelled, sizes, total)
-
-    def log_p(k: int) -> Column:
-        return F.log10(
-            shares[0] * F.col(f"c_{k}") / max(sizes[k], 1) + shares[1] * F.col("c") / max(total, 1) + (shares[2] if total else 1.0) * F.pow(F.lit(10.0), F.greatest(f"s_{k}", F.lit(-280.0)))
-        )
-
-    # a word too long for its probability to be a double is its spelling alone
-    p = [F.when(F.col(f"s_{k}") < -280, F.col(f"s_{k}") + float(np.log10(shares[2]))).otherwise(log_p(k)).alias(f"p_{k}") for k in range(classes)]
-    base = F.log10((F.col("c") + 1.0) / (total + distinct + 1.0)).alias("base")
-    word = spelled.select("token", (F.col("c") > 0).cast("long").alias("known"), base, *p, "c")
-    least = _head(spelled)
-    frequent = (F.col("c") >= least) & (F.octet_length("token") <= HEAD_BYTES)
-    top = word.where(frequent).toArrow()
-    values = np.stack([top.column(n).to_numpy().astype(np.float64) for n in ("known", "base", *(f"p_{k}" for k in range(classes)))], axis=1)
-    head = spark.sparkContext.broadcast(({t.encode("utf-8"): i for i, t in enumerate(top.column("token").to_pylist())}, values))
-    fields = ["known", "base", *(f"p_{k}" for k in range(classes))]
-    names = ["rid", "token", "tf", "doc_id", "train", "n_tokens", "n_bytes", *fields]
+    total, distinct, sizes = sums[0] or 0, sums[1] or 0, np.array([x or 0 for x in sums[2:]], dtype=np.float64)
+    least = _least(vocabulary)
+    top = vocabulary.where((F.col("c") >= least) & (F.octet_length("token") <= HEAD_BYTES)).toArrow()  # HEAD rows at most
+    tokens = [t.encode("utf-8") for t in top.column("token").to_pylist()]
+    counts = np.stack([top.column(n).to_numpy() for n in ("c", *(f"c_{k}" for k in range(classes)))], axis=1).astype(np.float64).reshape(-1, classes + 1)
+    order = sorted(range(len(tokens)), key=lambda i: (-counts[i, 0], tokens[i]))
+    # row 0 is every word without a rank
+    by_rank = np.vstack([np.r_[total, sizes] - counts.sum(axis=0), counts[order].reshape(-1, classes + 1)])
+    leaning = np.log((by_rank[:, 1:] + 0.5) / (sizes + 0.5 * len(by_rank)))
+    leaning[0] = 0
+    ranks = Ranks([tokens[i] for i in order], np.log10((by_rank[:, 0] + 1) / (total + distinct + 1)), leaning, np.log((sizes + 1) / (total + classes)))
+    ranks.base[0] = 0
+    coded = stage(encode_documents(marked, spark.sparkContext.broadcast(ranks), docs.schema["doc_id"].dataType.simpleString()), "coded")
+    common, by_class = node_counts(by_rank[:, 0]), np.stack([node_counts(by_rank[:, 1 + k]) for k in range(classes)])
+    near, words = fit_words(coded, common, by_class)
+    spelling, letters = fit_spelling(vocabulary, classes)
+    return LanguageModel(ranks, common, by_class, near, words, spelling, letters, total, distinct, classes, vocabulary, coded, least)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, value = head.value
-        rid = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for first in range(0, len(whole), 256):
-                b = whole.slice(first, 256)
-                n, size, sums, t_rid, t_token, t_tf = [], [], np.zeros((len(b), len(fields))), [], [], []
-                for i, text in enumerate(b.column("text")):
-                    words = _words(text.as_py())
-                    size.append(sum(map(len, words)) + len(words) + 1)
-                    words.append(b"")
-                    n.append(len(words))
-                    c = Counter(words)
-                    at = list(map(index.get, c))
-                    known = [x for x in at if x is not None]
-                    tf = np.fromiter(c.values(), dtype=np.float64, count=len(c))
-                    if len(known) < len(at):
-                        mask = np.array([x is not None for x in at])
-                        for (t, f), x in zip(c.items(), at, strict=True):
-                            if x is None:
-                                t_rid.append(rid + i)
-                                t_token.append(t.decode("utf-8"))
-                                t_tf.append(f)
-                        tf = tf[mask]
-                    if known:
-                        sums[i] = tf @ value[known]
-                m = len(b)
-                none = lambda kind, k: pa.nulls(k, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + m)), none(pa.string(), m), none(pa.int64(), m), b.column("doc_id"), b.column("train"), pa.array(n, pa.int64()), pa.array(size, pa.int64()),
-                     *(pa.array(sums[:, k]) for k in range(len(fields)))], names)
-                k = len(t_rid)
-                if k:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(t_rid, pa.int64()), pa.array(t_token, pa.string()), pa.array(t_tf, pa.int64()), none(b.column("doc_id").type, k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.int64(), k),
-                         *(none(pa.float64(), k) for _ in fields)], names)
-                rid += m
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"rid long, token string, tf long, doc_id {kind}, train boolean, n_tokens long, n_bytes long, " + ", ".join(f"{f} double" for f in fields)
-    counted = stage(marked.select("doc_id", "text", "train").mapInArrow(count, schema), "scored")
-    rare = counted.where("token is not null").select("rid", "token", "tf")
-    joined = rare.join(word.where(~frequent), "token")
-    tail = joined.groupBy("rid").agg(*[F.sum(F.col("tf") * F.col(f)).alias(f"t_{f}") for f in fields])
-    whole = counted.where("token is null").join(tail, "rid", "left")
-    add = {f: F.col(f) + F.coalesce(f"t_{f}", F.lit(0.0)) for f in fields}
-    weighed = [add[f"p_{k}"] + float(np.log10((sizes[k] + 1) / (total + classes))) for k in range(classes)]
-    whole = whole.withColumns({f"w_{k}": w for k, w in enumerate(weighed)}).withColumn("top", F.array_max(F.array(*[f"w_{k}" for k in range(classes)])))
-    score = F.col("top") + F.log10(sum((F.pow(F.lit(10.0), F.col(f"w_{k}") - F.col("top")) for k in range(classes)), F.lit(0.0)))
+
+def score_documents(docs: DataFrame, train: Column, group: str | None = "lang") -> DataFrame:
+    """Score the whole text of every row of ``docs``, learning from the rows where ``train`` is true.
+
+    Columns doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.  A text is its words
+    (A-Z lower-cased, apart by ASCII white space) and one end; a null text is empty.  score is log10 of the
+    probability that the mixed predictors give to the stream of words and the end, in their order.  Values of ``group``
+    in training rows are the classes whose counts are kept apart; a scored row's own value is never looked at.  base_score
+    is the add-one unigram score over training words.  With no training rows the base is 0 for all words and the
+    model spells by its start weights.  Texts of any length are read whole; repeated rows are scored each; other columns are
+    ignored; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    m = learn_model(docs, train, group)
+    tables = spark.sparkContext.broadcast((m.common, m.by_class, m.near))
+    texts = cost_words(m.coded, tables, m.words)
+    base = F.log10((F.col("c") + 1.0) / (m.total + m.distinct + 1.0))
+    rest = m.vocabulary.where((F.col("c") < m.least) | (F.octet_length("token") > HEAD_BYTES)).select("token", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"))
+    spelled = spell_words(rest, spark.sparkContext.broadcast(m.spelling), m.letters, m.classes)
+    rare = m.coded.where("token is not null").select("rid", "token", "klass", "tf")
+    bits = F.element_at(F.array(*[f"s_{k}" for k in range(m.classes)]), F.col("klass") + 1)
+    joined = rare.join(spelled, "token")
+    tail = joined.groupBy("rid").agg(*[F.sum(F.col("tf") * x).alias(n) for n, x in (("t_known", F.col("known")), ("t_base", F.col("base")), ("t_bits", bits))])
+    whole = texts.join(tail, "rid", "left")
+    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    bits = add("bits", "t_bits")
     return whole.select(
-        "doc_id", "train", "n_tokens", F.round(add["known"]).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        add["base"].alias("base_score"), score.alias("score"), (-score / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+        "doc_id", "train", "n_tokens", add("n_known", "t_known").cast("long").alias("n_known"), F.lit(m.total).cast("long").alias("train_tokens"),
+        add("base", "t_base").alias("base_score"), (-bits * float(np.log10(2))).alias("score"), (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of documents, learned from the rows whose crc32(doc_id) mod 7 is not 2.
+
+    Null and empty texts are an end alone; a null id counts as the empty string; texts of any length are scored whole; repeated
+    rows are scored each; other columns are ignored; an empty table gives an empty result.
+    """
     scored = score_documents(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

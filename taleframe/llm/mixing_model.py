@@ -1,11 +1,14 @@
-"""Bits of bytes under several hashed contexts, mixed in the logistic domain: the numpy half of the language model.
+"""Bits under several hashed contexts, mixed in the logistic domain: the numpy half of the language model.
 
-A word is its bytes and a closing blank; an event is one byte after the five before it in its word, as one
-number (five context bytes, then the byte).  Each byte is eight binary decisions.
+A text is a stream of words, and each word a stream of binary decisions.  A frequent word has a rank: the number of
+bits of its rank takes five decisions, the bits themselves the rest, so frequent words take few.  Rank 0 says that the
+word is spelled instead: its bytes and a closing blank, eight decisions each.  ``WordMixer`` predicts the decisions on ranks
+in the context of the words before, ``Mixer`` those on bytes in the context of the bytes before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +17,7 @@ from taleframe.llm.shingles import mix
 
 CLOSE = 0x20
 REACH = 5
-#: (bytes of context, whether the class of the document belongs to the context)
+#: (bytes of context, whether the class of the text so far belongs to the context)
 CONTEXTS = ((1, False), (2, False), (3, False), (4, False), (5, False), (2, True), (4, True))
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -60,19 +63,17 @@ def _decisions(event: np.ndarray):
         yield b, (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
 
 
-def count_slots(event: np.ndarray, counts: np.ndarray):
-    """(predictor, slots, zeros, ones) summed over events; ``counts`` has a column per class."""
+def add_slots(tables: np.ndarray, event: np.ndarray, counts: np.ndarray) -> None:
+    """Add events to the zeros and ones of their slots, for each predictor; ``counts`` has a column per class."""
     context = event >> 8
     for which, (_, by_class) in enumerate(CONTEXTS):
-        total = np.zeros(2 * SLOTS)
+        flat = tables[which].reshape(-1)
         for k in range(counts.shape[1]) if by_class else [None]:
             weight = counts.sum(axis=1) if k is None else counts[:, k]
-            h = _hash(context, which, k or 0)
-            for _, node, bit in _decisions(event):
-                total += np.bincount(2 * _slot(h, node).astype(np.int64) + bit, weights=weight, minlength=2 * SLOTS)
-        pairs = total.reshape(SLOTS, 2)
-        at = np.flatnonzero(pairs.sum(axis=1))
-        yield which, at, pairs[at, 0], pairs[at, 1]
+            seen = np.flatnonzero(weight)
+            h = _hash(context[seen], which, k or 0)
+            for _, node, bit in _decisions(event[seen]):
+                flat += np.bincount(2 * _slot(h, node).astype(np.int64) + bit, weights=weight[seen], minlength=2 * SLOTS).astype(tables.dtype)
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -99,30 +100,19 @@ class Mixer:
         return np.rint((np.clip(z, -_SPAN, _SPAN) + _SPAN) * ((_CELLS - 1) / (2 * _SPAN))).astype(np.int64)
 
     def learn(self, tables: np.ndarray, event: np.ndarray, cls: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One online step over a batch of events, each left out of its own counts."""
+        """One online step over a batch of events, each left out of its own counts; what came after each logit is refined."""
         hashes = [_hash(event >> 8, i, cls) for i in range(len(CONTEXTS))]
         total = weight.sum()
         for b, node, bit in _decisions(event):
             inputs = [self._inputs(tables[i], hashes[i], node, bit) for i in range(len(CONTEXTS))]
             z = sum(self.weights[i, level, b] * st for i, (st, level) in enumerate(inputs))
+            self.cells[b] += np.bincount(2 * self._cell(z) + bit, weights=weight, minlength=2 * _CELLS).reshape(_CELLS, 2)
             wrong = (_squash(z) - bit) * weight / total
             for i, (st, level) in enumerate(inputs):
                 g = np.bincount(level, weights=wrong * st, minlength=len(_LEVELS) + 1)
                 self.squares[i, :, b] += g * g
                 self.weights[i, :, b] -= rate * g / np.sqrt(self.squares[i, :, b])
 
-    def refine(self, tables: np.ndarray, event: np.ndarray, cls: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What came after each mixed logit: counts to add to the refinement table."""
-        out = np.zeros_like(self.cells)
-        hashes = [_hash(event >> 8, i, cls) for i in range(len(CONTEXTS))]
-        for b, node, bit in _decisions(event):
-            z = 0.0
-            for i in range(len(CONTEXTS)):
-                st, level = self._inputs(tables[i], hashes[i], node, bit)
-                z = z + self.weights[i, level, b] * st
-            out[b] += np.bincount(2 * self._cell(z) + bit, weights=weight, minlength=2 * _CELLS).reshape(_CELLS, 2)
-        return out
-
     def bits(self, tables: np.ndarray, event: np.ndarray, classes: int) -> np.ndarray:
         """Cost of each event in bits, a column per class."""
         refined = np.log(self.cells[:, :, 1] / self.cells[:, :, 0])
@@ -144,3 +134,130 @@ class Mixer:
                 z = np.clip((z + refined[b, self._cell(z)]) / 2, -16, 16)
                 cost[:, k] += np.logaddexp(0, np.where(bit == 1, -z, z))
         return cost / np.log(2)
+
+
+# --- words by rank --------------------------------------------------------------------------------------
+
+LENGTH_BITS, RANK_BITS = 5, 18
+#: Ranks go from 1 to HEAD; 0 is for words that are spelled.
+HEAD = (1 << RANK_BITS) - 1
+NODES, STEPS = (1 << LENGTH_BITS) + (1 << RANK_BITS), LENGTH_BITS + RANK_BITS - 1
+#: Before the first word of a text.
+START = HEAD + 1
+#: Contexts of the words before: the last one, the last two.
+NEAR = 2
+WORD_LEVELS = 12
+
+
+def rank_decisions(rank: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
+    """(step, which of the words, node reached so far, bit) for the decisions on ranks."""
+    size = np.frexp(rank.astype(np.float32))[1]  # bits of the rank, 0 for rank 0
+    for j in range(LENGTH_BITS):
+        yield j, slice(None), (1 << j) | (size >> (LENGTH_BITS - j)), (size >> (LENGTH_BITS - 1 - j)) & 1
+    which = np.flatnonzero(size >= 2)
+    r, n, i = rank[which].astype(np.int32), size[which], 0
+    while len(which):
+        node = (1 << LENGTH_BITS) + (1 << (n - 1)) + (r >> (n - 1 - i))
+        yield LENGTH_BITS + i, which, node, (r >> (n - 2 - i)) & 1
+        i += 1
+        more = n >= i + 2
+        which, r, n = which[more], r[more], n[more]
+
+
+def node_counts(by_rank: np.ndarray) -> np.ndarray:
+    """Zeros and ones at each node, for counts of ranks."""
+    out = np.zeros(2 * NODES)
+    for _, which, node, bit in rank_decisions(np.arange(len(by_rank))):
+        out += np.bincount(2 * node + bit, weights=by_rank[which], minlength=2 * NODES)
+    return out.reshape(NODES, 2).astype(np.float32)
+
+
+def near_hashes(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the last word, and of the last two."""
+    a = (one.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    return [a, (a ^ (a >> np.uint32(15))) * np.uint32(0x85EBCA6B) + (two.astype(np.uint32) + np.uint32(1)) * np.uint32(0xC2B2AE35)]
+
+
+def add_near(tables: np.ndarray, rank: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    hashes = near_hashes(one, two)
+    for _, which, node, bit in rank_decisions(rank):
+        for k, h in enumerate(hashes):
+            tables[k] += np.bincount(2 * _slot(h[which], node).astype(np.int64) + bit, minlength=2 * SLOTS).reshape(SLOTS, 2).astype(tables.dtype)
+
+
+def _stretch(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched guess, level of evidence) of float32 counts; the level is the number of bits of their sum."""
+    level = ((n0 + n1 + np.float32(1)).view(np.int32) >> 23) - 127
+    return np.log((n1 + np.float32(_PRIOR)) / (n0 + np.float32(_PRIOR))), np.minimum(level, WORD_LEVELS - 1)
+
+
+def _pairs(table: np.ndarray) -> np.ndarray:
+    """A float32 table of (zeros, ones) as a flat one whose items are taken together."""
+    return np.ascontiguousarray(table).view(np.complex64).reshape(-1)
+
+
+@dataclass
+class WordMixer:
+    """Mixes four predictors of a decision: its counts in all texts, in texts of the class so far, after the last word, after the last two.
+
+    A predictor's weight is chosen by the step and by how much evidence it has; a refinement table corrects the mixed logit.
+    """
+
+    weights: np.ndarray = field(default_factory=lambda: np.full((2 + NEAR, WORD_LEVELS, STEPS), 0.3))
+    squares: np.ndarray = field(default_factory=lambda: np.full((2 + NEAR, WORD_LEVELS, STEPS), 1e-4))
+    cells: np.ndarray = field(default_factory=lambda: 20.0 * np.stack([1 - _squash(np.linspace(-_SPAN, _SPAN, _CELLS)), _squash(np.linspace(-_SPAN, _SPAN, _CELLS))], axis=1)[None].repeat(STEPS, axis=0))
+
+    def _cell(self, z: np.ndarray) -> np.ndarray:
+        return np.rint((np.clip(z, -_SPAN, _SPAN) + np.float32(_SPAN)) * np.float32((_CELLS - 1) / (2 * _SPAN))).astype(np.int64)
+
+    def learn(self, common: np.ndarray, by_class: np.ndarray, near: np.ndarray, rank, one, two, cls, own, rate: float) -> None:
+        """One online step over a batch of words, each left out of its own counts; ``own`` is the class it was counted under."""
+        tables = [_pairs(common), _pairs(by_class), *(_pairs(n) for n in near)]
+        hashes, weights = near_hashes(one, two), self.weights.astype(np.float32)
+        offset, mine = cls * NODES, (cls == own).astype(np.float32)
+        for j, which, node, bit in rank_decisions(rank):
+            ones = bit.astype(np.float32)
+            zeros, size = np.float32(1) - ones, np.float32(len(ones))
+            z, inputs = np.zeros(len(ones), dtype=np.float32), []
+            for i in range(2 + NEAR):
+                at = node if i == 0 else offset[which] + node if i == 1 else _slot(hashes[i - 2][which], node)
+                n = tables[i].take(at)
+                out0, out1 = (zeros * mine[which], ones * mine[which]) if i == 1 else (zeros, ones)
+                st, level = _stretch(np.maximum(n.real - out0, 0), np.maximum(n.imag - out1, 0))
+                z += weights[i, :, j].take(level) * st
+                inputs.append((st, level))
+            self.cells[j] += np.bincount(2 * self._cell(z) + bit, minlength=2 * _CELLS).reshape(_CELLS, 2)
+            wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - ones) / size
+            for i, (st, level) in enumerate(inputs):
+                g = np.bincount(level, weights=wrong * st, minlength=WORD_LEVELS)
+                self.squares[i, :, j] += g * g
+                self.weights[i, :, j] -= rate * g / np.sqrt(self.squares[i, :, j])
+
+    def prepared(self, common: np.ndarray, by_class: np.ndarray, near: np.ndarray) -> tuple:
+        """Weighted guesses of the nodes, for all texts and by class; guesses and levels of the hashed contexts."""
+        step = np.zeros(NODES, dtype=np.int64)  # a node belongs to one step
+        for j, _, node, _ in rank_decisions(np.arange(HEAD + 1)):
+            step[node] = j
+        fixed = []
+        for i, counts in ((0, common[None]), (1, by_class)):
+            st, level = _stretch(counts[:, :, 0], counts[:, :, 1])
+            fixed.append((self.weights[i][level, step[None]] * st).astype(np.float32))
+        hashed = []
+        for n in near:
+            st, level = _stretch(n[:, 0], n[:, 1])
+            hashed.append((st, level.astype(np.uint8)))
+        refined = np.log(self.cells[:, :, 1] / self.cells[:, :, 0]).astype(np.float32)
+        return fixed[0][0], fixed[1].reshape(-1), hashed, self.weights.astype(np.float32), refined
+
+    def cost(self, prepared: tuple, rank, one, two, cls) -> np.ndarray:
+        """Bits of each word's decisions."""
+        common, by_class, hashed, weights, refined = prepared
+        hashes, out, offset = near_hashes(one, two), np.zeros(len(rank), dtype=np.float32), cls * NODES
+        for j, which, node, bit in rank_decisions(rank):
+            z = common.take(node) + by_class.take(offset[which] + node)
+            for k, (st, level) in enumerate(hashed):
+                at = _slot(hashes[k][which], node)
+                z += weights[2 + k, :, j].take(level.take(at)) * st.take(at)
+            z = np.clip((z + refined[j].take(self._cell(z))) * np.float32(0.5), -16, 16)
+            out[which] += np.log(1 + np.exp(np.where(bit == 1, -z, z)))
+        return out / np.float32(np.log(2))
