@@ -12,10 +12,12 @@ Each stage takes what the one before kept, written as Parquet and read again:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taleframe.llm.common import read, shared_dir
+from taleframe.llm.common import noted, read, remove, shared_dir
 from taleframe.llm.language import known_language_documents, train_languages
 from taleframe.llm.minhash import distinct_documents
 from taleframe.llm.mixing import mixed_documents
@@ -23,6 +25,27 @@ from taleframe.llm.packing import pack_documents
 from taleframe.llm.pii import redact_documents
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: What the stage before has staged; its result is written by the time that the next one begins.
+_left: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """``stage``, after removing the working tables of the stage before, unless ``docs`` still reads them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not any(path in file for file in docs.inputFiles() for path in _left):
+            remove(spark, _left)
+        with noted() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[:] = paths
+        return out
+
+    return run_stage
+
+
+@_tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is learned from ``docs`` themselves; null, empty and letterless texts go, as all do without labels.
 
@@ -31,6 +54,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language_documents(docs, train_languages(docs))
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicate rows, repeated rows and null ids included; null and blank texts stay.
 
@@ -39,11 +63,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return distinct_documents(docs)
 
 
+@_tidy
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, with personal data in its text redacted; null and empty texts stay as they are; other columns go."""
     return redact_documents(docs)
 
 
+@_tidy
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them, in part files in the order of training.
 
@@ -53,6 +79,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+@_tidy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places, packed inside each part file, so that the order of training holds.
 
@@ -79,9 +106,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with a null or blank text, or in no known language, never reach the result; null ids, sources and labels, repeated rows,
     very long texts and columns beyond those of documents are allowed; an empty table gives an empty result.
     """
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove(spark, before)
+        before = [path]
+    remove(spark, _left)
+    _left.clear()
     return docs
