@@ -19,11 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleframe.llm.common import fold, read, stage
-from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR, SLOTS, START, Mixer, WordMixer, add_near, add_slots, node_counts, word_events
+from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR, NEAR_SLOTS, SLOTS, START, Mixer, WordMixer, add_near, add_slots, node_counts, word_events
 
 #: Classes of documents that get counts of their own, at most (the commonest labels); rarer ones share one more.
 CLASSES = 7
@@ -79,8 +80,8 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
 # --- tables of one size, counted by all tasks -----------------------------------------------------------
 
 
-def _summed(parts: DataFrame, tables: int) -> np.ndarray:
-    """The sum of what tasks have counted (which, block, task, data): ``tables`` tables of SLOTS pairs.
+def _summed(parts: DataFrame, tables: int, slots: int) -> np.ndarray:
+    """The sum of what tasks have counted (which, block, task, data): ``tables`` tables of ``slots`` pairs.
 
     Sums are made in groups of about _FAN tasks first, and batch by batch, so no task holds what grows with the input.
     """
@@ -96,8 +97,8 @@ def _summed(parts: DataFrame, tables: int) -> np.ndarray:
     schema = "which int, block int, task int, data binary"
     once = parts.withColumn("task", F.floor(F.col("task") / _FAN).cast("int")).groupBy("which", "block", "task").applyInArrow(total, schema)
     twice = once.withColumn("task", F.lit(0)).groupBy("which", "block", "task").applyInArrow(total, schema)
-    out = np.zeros((tables, SLOTS, 2), dtype=np.float32)
-    for r in twice.toLocalIterator():  # tables x SLOTS / _BLOCK rows, whatever the input
+    out = np.zeros((tables, slots, 2), dtype=np.float32)
+    for r in twice.toLocalIterator():  # tables x slots / _BLOCK rows, whatever the input
         out[r["which"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.float32).reshape(-1, 2)
     return out
 
@@ -105,7 +106,7 @@ def _summed(parts: DataFrame, tables: int) -> np.ndarray:
 def _blocks(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for which in range(len(tables)):
-        for block in range(SLOTS // _BLOCK):
+        for block in range(tables.shape[1] // _BLOCK):
             part = tables[which, block * _BLOCK : (block + 1) * _BLOCK]
             if part.any():
                 data = zlib.compress(part.astype(np.float32).tobytes(), 1)
@@ -147,7 +148,7 @@ def _spelled_pieces(b: pa.RecordBatch, names: list[str], step: int = 1 << 17) ->
         yield a, [t.encode("utf-8") for t in part.column("token").to_pylist()], counts.astype(np.int64)
 
 
-def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[np.ndarray, Mixer]:
+def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]:
     """Bytes of distinct training words, each once per class that has it, and the mixer over them."""
     names = [f"c_{k}" for k in range(classes)]
     known = vocabulary.where("c > 0").select("token", *names)
@@ -160,7 +161,7 @@ def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[np.ndarray, Mixer
                 add_slots(tables, event, np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
         yield from _blocks(tables)
 
-    tables = _summed(known.mapInArrow(count, "which int, block int, task int, data binary"), len(CONTEXTS))
+    tables = _summed(known.mapInArrow(count, "which int, block int, task int, data binary"), len(CONTEXTS), SLOTS)
     shared, start = vocabulary.sparkSession.sparkContext.broadcast(tables), Mixer()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[np.ndarray, Mixer
         if seen:
             yield _state(model, start, seen)
 
-    return tables, _learned(start, known.mapInArrow(learn, "seen long, data array<double>"))
+    return shared, _learned(start, known.mapInArrow(learn, "seen long, data array<double>"))
 
 
 def spell_words(words: DataFrame, tables, model: Mixer, classes: int) -> DataFrame:
@@ -249,7 +250,7 @@ def encode_documents(marked: DataFrame, ranks, kind: str) -> DataFrame:
                 sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 rank = np.array([index.get(w, 0) for w in flat], dtype=np.int64)
-                lean = np.cumsum(held.leaning[rank], axis=0)
+                lean = np.cumsum(held.leaning[rank], axis=0, dtype=np.float64)
                 before = np.vstack([np.zeros((1, lean.shape[1])), lean[:-1]])
                 before -= np.repeat(before[starts], sizes, axis=0) - held.prior
                 cls = before.argmax(axis=1)
@@ -293,18 +294,18 @@ def _streams(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, tuple[np
         yield first, at, starts, (rank, one, two, (flat >> _CLASS_SHIFT).astype(np.int32))
 
 
-def fit_words(coded: DataFrame, common: np.ndarray, by_class: np.ndarray) -> tuple[np.ndarray, WordMixer]:
-    """Zeros and ones after the last words, and the mixer over ranks."""
+def fit_words(coded: DataFrame, common: np.ndarray, by_class: np.ndarray) -> tuple[Broadcast, WordMixer]:
+    """The tables (given ones, and zeros and ones after the last words), and the mixer over ranks."""
     training = coded.where("train").select("codes", "cls")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((NEAR, SLOTS, 2), dtype=np.float32)
+        tables = np.zeros((NEAR, NEAR_SLOTS, 2), dtype=np.float32)
         for b in batches:
             for _, _, _, (rank, one, two, _) in _streams(b):
                 add_near(tables, rank, one, two)
         yield from _blocks(tables)
 
-    near = _summed(training.mapInArrow(count, "which int, block int, task int, data binary"), NEAR)
+    near = _summed(training.mapInArrow(count, "which int, block int, task int, data binary"), NEAR, NEAR_SLOTS)
     shared, start = coded.sparkSession.sparkContext.broadcast((common, by_class, near)), WordMixer()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +320,7 @@ def fit_words(coded: DataFrame, common: np.ndarray, by_class: np.ndarray) -> tup
         if seen:
             yield _state(model, start, seen)
 
-    return near, _learned(start, training.mapInArrow(learn, "seen long, data array<double>"))
+    return shared, _learned(start, training.mapInArrow(learn, "seen long, data array<double>"))
 
 
 def cost_words(coded: DataFrame, tables, model: WordMixer) -> DataFrame:
@@ -348,11 +349,9 @@ class LanguageModel:
     """What was learned, and the staged tables that scoring reads."""
 
     ranks: Ranks
-    common: np.ndarray
-    by_class: np.ndarray
-    near: np.ndarray
+    tables: Broadcast
     words: WordMixer
-    spelling: np.ndarray
+    spelling: Broadcast
     letters: Mixer
     total: int
     distinct: int
@@ -385,13 +384,14 @@ def learn_model(docs: DataFrame, train: Column, group: str | None = "lang") -> L
     by_rank = np.vstack([np.r_[total, sizes] - counts.sum(axis=0), counts[order].reshape(-1, classes + 1)])
     leaning = np.log((by_rank[:, 1:] + 0.5) / (sizes + 0.5 * len(by_rank)))
     leaning[0] = 0
+    leaning = leaning.astype(np.float32)
     ranks = Ranks([tokens[i] for i in order], np.log10((by_rank[:, 0] + 1) / (total + distinct + 1)), leaning, np.log((sizes + 1) / (total + classes)))
     ranks.base[0] = 0
     coded = stage(encode_documents(marked, spark.sparkContext.broadcast(ranks), docs.schema["doc_id"].dataType.simpleString()), "coded")
     common, by_class = node_counts(by_rank[:, 0]), np.stack([node_counts(by_rank[:, 1 + k]) for k in range(classes)])
-    near, words = fit_words(coded, common, by_class)
+    tables, words = fit_words(coded, common, by_class)
     spelling, letters = fit_spelling(vocabulary, classes)
-    return LanguageModel(ranks, common, by_class, near, words, spelling, letters, total, distinct, classes, vocabulary, coded, least)
+    return LanguageModel(ranks, tables, words, spelling, letters, total, distinct, classes, vocabulary, coded, least)
 
 
 def score_documents(docs: DataFrame, train: Column, group: str | None = "lang") -> DataFrame:
@@ -405,13 +405,11 @@ def score_documents(docs: DataFrame, train: Column, group: str | None = "lang")
     model spells by its start weights.  Texts of any length are read whole; repeated rows are scored each; other columns are
     ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     m = learn_model(docs, train, group)
-    tables = spark.sparkContext.broadcast((m.common, m.by_class, m.near))
-    texts = cost_words(m.coded, tables, m.words)
+    texts = cost_words(m.coded, m.tables, m.words)
     base = F.log10((F.col("c") + 1.0) / (m.total + m.distinct + 1.0))
     rest = m.vocabulary.where((F.col("c") < m.least) | (F.octet_length("token") > HEAD_BYTES)).select("token", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"))
-    spelled = spell_words(rest, spark.sparkContext.broadcast(m.spelling), m.letters, m.classes)
+    spelled = spell_words(rest, m.spelling, m.letters, m.classes)
     rare = m.coded.where("token is not null").select("rid", "token", "klass", "tf")
     bits = F.element_at(F.array(*[f"s_{k}" for k in range(m.classes)]), F.col("klass") + 1)
     joined = rare.join(spelled, "token")

@@ -19,8 +19,9 @@ CLOSE = 0x20
 REACH = 5
 #: (bytes of context, whether the class of the text so far belongs to the context)
 CONTEXTS = ((1, False), (2, False), (3, False), (4, False), (5, False), (2, True), (4, True))
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
+#: Slots of a table of bytes, and of one of words.
+SLOT_BITS, NEAR_BITS = 18, 20
+SLOTS, NEAR_SLOTS = 1 << SLOT_BITS, 1 << NEAR_BITS
 _LEVELS = np.array([0.5, 1.5, 3.5, 10.5, 100.5, 2000.5])
 _PRIOR = 0.4
 _CELLS, _SPAN = 33, 8.0
@@ -51,9 +52,9 @@ def _hash(context: np.ndarray, which: int, cls: np.ndarray | int) -> np.ndarray:
     return (mix(seen ^ salt) >> np.uint64(32)).astype(np.uint32)
 
 
-def _slot(h: np.ndarray, node: np.ndarray) -> np.ndarray:
+def _slot(h: np.ndarray, node: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
     x = (h ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
-    return (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS)
+    return (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - bits)
 
 
 def _decisions(event: np.ndarray):
@@ -182,7 +183,7 @@ def add_near(tables: np.ndarray, rank: np.ndarray, one: np.ndarray, two: np.ndar
     hashes = near_hashes(one, two)
     for _, which, node, bit in rank_decisions(rank):
         for k, h in enumerate(hashes):
-            tables[k] += np.bincount(2 * _slot(h[which], node).astype(np.int64) + bit, minlength=2 * SLOTS).reshape(SLOTS, 2).astype(tables.dtype)
+            tables[k] += np.bincount(2 * _slot(h[which], node, NEAR_BITS).astype(np.int64) + bit, minlength=2 * NEAR_SLOTS).reshape(NEAR_SLOTS, 2).astype(tables.dtype)
 
 
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +221,7 @@ class WordMixer:
             zeros, size = np.float32(1) - ones, np.float32(len(ones))
             z, inputs = np.zeros(len(ones), dtype=np.float32), []
             for i in range(2 + NEAR):
-                at = node if i == 0 else offset[which] + node if i == 1 else _slot(hashes[i - 2][which], node)
+                at = node if i == 0 else offset[which] + node if i == 1 else _slot(hashes[i - 2][which], node, NEAR_BITS)
                 n = tables[i].take(at)
                 out0, out1 = (zeros * mine[which], ones * mine[which]) if i == 1 else (zeros, ones)
                 st, level = _stretch(np.maximum(n.real - out0, 0), np.maximum(n.imag - out1, 0))
@@ -256,7 +257,7 @@ class WordMixer:
         for j, which, node, bit in rank_decisions(rank):
             z = common.take(node) + by_class.take(offset[which] + node)
             for k, (st, level) in enumerate(hashed):
-                at = _slot(hashes[k][which], node)
+                at = _slot(hashes[k][which], node, NEAR_BITS)
                 z += weights[2 + k, :, j].take(level.take(at)) * st.take(at)
             z = np.clip((z + refined[j].take(self._cell(z))) * np.float32(0.5), -16, 16)
             out[which] += np.log(1 + np.exp(np.where(bit == 1, -z, z)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taleframe.llm.common import fold
 from taleframe.llm import mixing_model as mm
 from taleframe.llm.lm_score import learn_model, op2_lm_score, score_documents
-from taleframe.llm.mixing_model import CONTEXTS, HEAD, SLOTS, START, Mixer, WordMixer, add_slots, node_counts, word_events
+from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR_SLOTS, SLOTS, START, Mixer, WordMixer, add_slots, node_counts, word_events
 
 SCHEMA = "doc_id long, text string, lang string, score double"
 
@@ -70,7 +70,7 @@ def test_ranks_have_one_code_each():
     model, counts = WordMixer(), np.zeros(HEAD + 1)
     counts[:50] = 7
     common = node_counts(counts)
-    near = np.zeros((2, SLOTS, 2), dtype=np.float32)
+    near = np.zeros((2, NEAR_SLOTS, 2), dtype=np.float32)
     every = np.arange(HEAD + 1)
     p = 2.0 ** -model.cost(model.prepared(common, common[None], near), every, every * 0 + 3, every * 0 + 4, every * 0).astype(np.float64)
     assert 0.98 < p.sum() < 1.0001
@@ -107,7 +107,7 @@ def test_score_is_the_plain_loop_s(spark, tmp_path):
     node, node_by, near = Counter(), [Counter() for _ in by], [Counter(), Counter()]
 
     def slot(k, one, two, at):
-        return int(mm._slot(mm.near_hashes(np.array([one]), np.array([two]))[k], np.array([at]))[0])
+        return int(mm._slot(mm.near_hashes(np.array([one]), np.array([two]))[k], np.array([at]), mm.NEAR_BITS)[0])
 
     for i, t, lang, _ in rows:
         if in_train(i):
@@ -119,9 +119,9 @@ def test_score_is_the_plain_loop_s(spark, tmp_path):
                     for k in range(2):
                         near[k][slot(k, seen[-1], seen[-2], at), bit] += 1
                 seen.append(rank[w])
-    assert all(m.common[at, bit] == n for (at, bit), n in node.items()) and m.common.sum() == sum(node.values())
+    assert all(m.tables.value[0][at, bit] == n for (at, bit), n in node.items()) and m.tables.value[0].sum() == sum(node.values())
     for k in range(2):
-        assert all(m.near[k][at, bit] == n for (at, bit), n in near[k].items()) and m.near[k].sum() == sum(near[k].values())
+        assert all(m.tables.value[2][k][at, bit] == n for (at, bit), n in near[k].items()) and m.tables.value[2][k].sum() == sum(near[k].values())
     sizes = [sum(c.values()) for c in by]
 
     def bits_of(n0, n1, i, j):
