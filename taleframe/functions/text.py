@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ CHARACTER_RULE = "|--------------|------|-------------|----------|---------|----
 OBJECT_RULE = "|-----------|-------------|----------|------------|-------------------|--------------|"
 SETTING_RULE = "|-----------------|-------------|------|------|-------------------|"
 PHASE_RULE = "|-----------------|-------------|-----------|--------|"
+# Headings and tags of the file format, oddities included (a table's last row needs its line end).
+IMAGE_HEADING = r"## Image (\d+)\s*\n"
+TABLE_AFTER = r"(?d)### {name}\s*\n((?:.++\n)++)"
+NARRATIVE_TABLE = r"(?d)## Narrative Structure\s*\n((?:.++(?:\n|\z))++)"
 # Classes of things that fill areas.
 STUFF_CLASSES = (
     "house", "light", "mirror-stuff", "net", "pillow", "platform", "playingfield", "railroad", "river", "road", "roof", "sand",
@@ -27,6 +33,11 @@ STUFF_CLASSES = (
 )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, although it is used more than once or inside other functions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -105,7 +116,7 @@ def tag_counts(c: Column) -> dict[str, Column]:
         "setting_refs": F.regexp_count(c, F.lit(r"(?s)<gdl[^>]*>.*?</gdl>")),
         "distinct_characters": F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(r"<gdo char(\d+)"), F.lit(1)))),
         "distinct_objects": F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(r"<gdo obj(\d+)"), F.lit(1)))),
-        "character_actions": F.regexp_count(c, F.lit(r"(?s)<gda char[^>]*>.*?</gda>")),
+        "character_actions": F.regexp_count(c, F.lit(r"(?s)<gda char\d+[^>]*>.*?</gda>")),
     }
 
 
@@ -128,48 +139,73 @@ def tagged_boxes(c: Column, strict: bool = True) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    """Texts between the bars of a line and one bar more."""
-    return F.transform(F.slice(F.split(F.concat(line, F.lit("|")), r"\|", -1), 2, 1 << 20), strip)
+    """Texts behind each bar of a line."""
+    return F.transform(F.filter(F.split(line, r"\|", -1), lambda _, i: i > 0), strip)
+
+
+def _table_of(c: Column) -> Column:
+    """struct<headers, rows>: the first line's cells, a line that is skipped, then rows with enough cells."""
+
+    def read(lines: Column) -> Column:
+        headers = F.filter(_cells(F.element_at(lines, 1)), lambda h: ~F.rlike(h, F.lit("^-*$")))
+        data = F.filter(lines, lambda line, i: (i >= 2) & F.contains(line, F.lit("|")))
+        rows = lambda h: F.filter(F.transform(data, _cells), lambda r: F.size(r) >= F.size(h))
+        return bind(headers, lambda h: F.struct(h.alias("headers"), rows(h).alias("rows")))
+
+    return bind(F.split(strip(c), "\n", -1), read)
+
+
+def _place(headers: Column, name: Column) -> Column:
+    """Where a header stands, the last one of equal ones; null if it is not there."""
+    at = F.array_position(F.reverse(headers), name)
+    return F.when(at > 0, (F.size(headers) - at + 1).cast("int"))
 
 
 def parse_table(c: Column) -> Column:
-    """array<map<string,string>> of a table: headers, a line that is skipped, then rows with enough cells."""
-    lines = F.split(strip(c), "\n", -1)
-    # the last piece is what follows the added bar; it is no cell
-    cells = lambda line: F.slice(_cells(line), 1, F.size(_cells(line)) - 1)
-    headers = F.filter(cells(F.element_at(lines, 1)), lambda h: ~F.rlike(h, F.lit("^-*$")))
-    data = F.filter(F.slice(lines, 3, 1 << 20), lambda line: F.contains(line, F.lit("|")))
-    rows = F.filter(F.transform(data, cells), lambda r: F.size(r) >= F.size(headers))
-    return F.transform(rows, lambda r: F.map_from_arrays(headers, F.slice(r, 1, F.size(headers))))
+    """array<map<string,string>> of a table; of equal headers the last one counts."""
+
+    def mapped(t: Column) -> Column:
+        kept = F.transform(F.array_distinct(t["headers"]), lambda h: F.struct(h.alias("h"), _place(t["headers"], h).alias("at")))
+        return bind(kept, lambda k: F.transform(t["rows"], lambda r: F.map_from_entries(F.transform(k, lambda x: F.struct(x["h"], F.element_at(r, x["at"]))))))
+
+    return bind(_table_of(c), mapped)
 
 
 def image_numbers(c: Column) -> Column:
     """1, 2, 3 and so on, up to the first number without a header."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"## Image (\d+)\s*\n"), F.lit(1)), lambda n: n.try_cast("int")))
-    sorted_ = F.array_sort(F.filter(found, lambda n: n >= 1))
-    return F.filter(sorted_, lambda n: n == F.array_position(sorted_, n))
+    return _unbroken(F.transform(F.regexp_extract_all(c, F.lit(IMAGE_HEADING), F.lit(1)), lambda n: n.try_cast("int")))
+
+
+def _unbroken(numbers: Column) -> Column:
+    return bind(F.array_sort(F.filter(F.array_distinct(numbers), lambda n: n >= 1)), lambda s: F.filter(s, lambda n, i: n == i + 1))
 
 
 def image_section(c: Column, n: Column) -> Column:
     """Text of image n up to the next image header; null without a header."""
-    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"## Image (\d+)\s*\n"), F.lit(1)), lambda x: x.try_cast("int"))
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(IMAGE_HEADING), F.lit(1)), lambda x: x.try_cast("int"))
     at = F.array_position(numbers, n)
-    return F.when(at > 0, F.try_element_at(F.split(c, r"## Image \d+\s*\n", -1), at.cast("int") + 1))
+    return F.when(at > 0, F.try_element_at(F.split(c, IMAGE_HEADING, -1), at.cast("int") + 1))
 
 
 def section_table(section: Column, name: str) -> Column:
     """The block of non-empty, ended lines under a heading; a last line without an end is not part of it."""
-    return F.regexp_extract(section, rf"(?d)### {name}\s*\n((?:.+\n)+)", 1)
+    return F.regexp_extract(section, TABLE_AFTER.replace("{name}", name), 1)
 
 
 def narrative_table(c: Column) -> Column:
-    return F.regexp_extract(c, r"(?d)## Narrative Structure\s*\n((?:.+(?:\n|\z))+)", 1)
+    return F.regexp_extract(c, NARRATIVE_TABLE, 1)
 
 
 def typed_rows(table: Column, headers: tuple[str, ...], names: tuple[str, ...]) -> Column:
-    """Rows of a table as structs; a missing header is an empty string."""
-    rows = F.when(table != "", parse_table(table)).otherwise(F.array().cast("array<map<string,string>>"))
-    return F.transform(rows, lambda r: F.struct(*[F.coalesce(F.try_element_at(r, F.lit(h)), F.lit("")).alias(n) for h, n in zip(headers, names, strict=True)]))
+    """Rows of a table as structs; a missing header is an empty string, of equal ones the last counts."""
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>")
+
+    def read(t: Column) -> Column:
+        places = F.array(*[_place(t["headers"], F.lit(h)) for h in headers])
+        cell = lambda r, p, k: F.coalesce(F.when(p[k].isNotNull(), F.element_at(r, F.coalesce(p[k], F.lit(1)))), F.lit(""))
+        return bind(places, lambda p: F.transform(t["rows"], lambda r: F.struct(*[cell(r, p, k).alias(n) for k, n in enumerate(names)])))
+
+    return bind(table, lambda t: F.when(t != "", bind(_table_of(t), read)).otherwise(none))
 
 
 def coerce(c: Column, values: tuple[str, ...]) -> Column:
@@ -186,9 +222,7 @@ def coerce(c: Column, values: tuple[str, ...]) -> Column:
 SNAKE = {h: h.lower().replace(" ", "_") for h in (*CHARACTER_HEADERS, *OBJECT_HEADERS, *SETTING_HEADERS, *PHASE_HEADERS)}
 
 
-def parse_image(c: Column, n: Column) -> Column:
-    """struct<image_number, characters, objects, settings> of one image."""
-    section = image_section(c, n)
+def _parse_section(section: Column, n: Column) -> Column:
     kinds = (("characters", "Characters", CHARACTER_HEADERS), ("objects", "Objects", OBJECT_HEADERS), ("settings", "Setting", SETTING_HEADERS))
     parts = []
     for alias, heading, headers in kinds:
@@ -199,9 +233,20 @@ def parse_image(c: Column, n: Column) -> Column:
     return F.struct(n.alias("image_number"), *parts)
 
 
+def parse_image(c: Column, n: Column) -> Column:
+    """struct<image_number, characters, objects, settings> of one image."""
+    return bind(image_section(c, n), lambda section: _parse_section(section, n))
+
+
 def parse_scenes(c: Column) -> Column:
-    """array of ``parse_image`` for the unbroken run of image numbers."""
-    return F.transform(image_numbers(c), lambda n: parse_image(c, n))
+    """array of ``parse_image`` for the unbroken run of image numbers; the text is cut once."""
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(IMAGE_HEADING), F.lit(1)), lambda x: x.try_cast("int"))
+
+    def read(t: Column) -> Column:
+        piece = lambda n: F.element_at(t["pieces"], F.array_position(t["numbers"], n).cast("int") + 1)
+        return F.transform(_unbroken(t["numbers"]), lambda n: bind(piece(n), lambda section: _parse_section(section, n)))
+
+    return bind(F.struct(numbers.alias("numbers"), F.split(c, IMAGE_HEADING, -1).alias("pieces")), read)
 
 
 def parse_phases(c: Column) -> Column:
@@ -259,6 +304,11 @@ def readable_label(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("-"), F.lit(" ")))
 
 
+def placeholder_tag(label: Column, id_: Column, image: Column, box: tuple[Column, ...]) -> Column:
+    """``[global id: x,y,w,h]`` with two decimals."""
+    return F.concat(F.lit("["), global_id(label, id_, image), F.lit(": "), F.concat_ws(",", *(F.format_string("%.2f", c) for c in box)), F.lit("]"))
+
+
 def global_id(label: Column, id_: Column, image: Column) -> Column:
     return F.when(image.isNotNull(), F.lower(F.concat_ws("-", image, label, id_.cast("string")))).otherwise(F.concat_ws("-", label, id_.cast("string")))
 

@@ -66,3 +66,14 @@ def test_boxes(spark):
     assert one(spark, geometry.parse_box(F.col("t"), F.lit(100), F.lit(100)), t="a,b,c,d") is None
     assert one(spark, geometry.pixel_box(*box(0.5, 0.5, 0.1, 0.1), F.lit(0), F.lit(10))) is None
     assert one(spark, geometry.percentile(F.array(*map(F.lit, (0.1, 0.4, 0.6))), 0.75)) == 0.5
+
+
+def test_repeated_headers_and_long_tables(spark):
+    t = F.col("t")
+    assert one(spark, text.parse_table(t), t="| A | B | A |\n|-|-|-|\n| 1 | 2 | 3 |") == [{"A": "3", "B": "2"}]
+    scene = "## Image 1\n### Characters\n| Character ID | Name | Name |\n|-|-|-|\n| char1 | x | y |\n"
+    assert one(spark, text.parse_scenes(t), t=scene)[0]["characters"][0]["name"] == "y"
+    rows = "".join(f"| char{i} |\n" for i in range(30_000))
+    assert one(spark, F.size(text.parse_scenes(t)[0]["characters"]), t=f"## Image 1\n### Characters\n| Character ID |\n|-|\n{rows}") == 30_000
+    assert one(spark, text.placeholder_tag(F.lit("cup"), F.lit(3), F.lit(None).cast("string"), tuple(map(F.lit, (0.1, 0.25, 0.333, 1.0)))), t="") == "[cup-3: 0.10,0.25,0.33,1.00]"
+    assert one(spark, text.tag_counts(t)["character_actions"], t="<gda char1>a</gda><gda char>b</gda>") == 1
