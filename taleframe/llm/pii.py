@@ -173,8 +173,11 @@ def detect_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind in PATTERNS:
         docs = docs.withColumn(f"_pii_{kind}", _proposed(kind, t))
 
+    def ranked(spans: Column, rank: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(rank).alias("rank"), s.alias("span")))
+
     def ordered(wide: Column) -> Column:
-        per_kind = [F.transform(_spans(k, wide, F.col(f"_pii_{k}")), lambda s, r=r: F.struct(s["start"].alias("at"), F.lit(r).alias("rank"), s.alias("span"))) for r, k in enumerate(PATTERNS)]
+        per_kind = [ranked(_spans(k, wide, F.col(f"_pii_{k}")), r) for r, k in enumerate(PATTERNS)]
         return F.transform(F.array_sort(F.concat(*per_kind)), lambda x: x["span"])
 
     any_ = sum((F.size(f"_pii_{k}") for k in PATTERNS), F.lit(0)) > 0

@@ -10,7 +10,7 @@ TEXTS = [
     "card 4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 1234567890123 3782 822463 10005",
     "phone +1 (017) 555-7713 and +12 34 +123456789012345678 +1.234.567.8901.",
     "iban DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 but not GB82WEST12345698765433",
-    "é€😀 a@b.cd 😀 8.8.8.8", "", None, "no data here", "1 " * 3000, "+" * 500, "a" * 20000 + "@b.cd", "4111111111111111 4111111111111111",
+    "é€😀 a@b.cd 😀 8.8.8.8", "", None, "no data here", "1 " * 3000, "+" * 500, "a" * 20000 + "@b.cd", "4111111111111111 4111111111111111", "x 4111111111111111@b.cd +1.2.3.4.5.6.7.8.9.0 1.2.3.4@c.de",
 ]
 
 
