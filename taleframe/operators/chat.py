@@ -32,7 +32,7 @@ def story_examples(stories: DataFrame, most_images: int | None = None) -> DataFr
 
 def caption_examples(rows: DataFrame) -> DataFrame:
     """id, messages: the prompt, an image mark, and a line for each detection with its box to two places."""
-    box = lambda d: F.concat(F.lit("["), text.global_id(d["label"], d["id"], F.lit(None).cast("string")), F.lit(": "), F.array_join(F.transform(F.array(*(d["box"][c] for c in "xywh")), lambda v: F.format_number(v, "0.00")), ","), F.lit("]"))
+    box = lambda d: text.placeholder_tag(d["label"], d["id"], F.lit(None).cast("string"), tuple(d["box"][c] for c in "xywh"))
     asked = F.concat(chosen_prompt(F.col("id")), F.lit("\n[IMG]\n[DETECTIONS]\n"), F.array_join(F.transform("detections", box), "\n"), F.lit("\n[/DETECTIONS]"))
     return rows.select("id", F.array(message("user", asked), message("assistant", F.col("caption"))).alias("messages"))
 

@@ -12,11 +12,26 @@ from taleframe.functions import geometry
 MATCHED = "story bigint, label string, match int, member int, frame int, pos bigint, similarity double"
 
 
-def running_centroids(members: DataFrame) -> DataFrame:
-    """Plain running mean of the first coordinate and the weighted form that gives the n-th member weight n/(n+1)."""
-    order = Window.partitionBy("story", "label").orderBy("frame", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = members.withColumn("n", F.count("*").over(order))
-    return d.withColumn("mean", F.avg("value").over(order))
+def match_centroids(members: DataFrame, column: str = "clip") -> DataFrame:
+    """story, label, match, members, with_face, centroid, faces: what is known of each match (members with ``clip``, maybe ``face``).
+
+    The image centroid joins members one by one, the n-th (from 1) when n members are listed already, so it weighs 1 in n + 1
+    and the first one 1 in 1: its weights are those of a mean that counts the first member twice.  Faces are a plain mean.
+    """
+    face = F.col("face") if "face" in members.columns else F.lit(None).cast("array<double>")
+    row = F.struct("member", F.col(column).cast("array<double>").alias("v"), face.cast("array<double>").alias("f"))
+    held = members.groupBy("story", "label", "match").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    add = lambda a, v: F.when(F.size(a) == 0, v).otherwise(F.zip_with(a, v, lambda x, y: x + y))
+    none = F.array().cast("array<double>")
+    faces = F.filter(F.transform("rows", lambda r: r["f"]), lambda f: f.isNotNull())
+    vectors = F.transform("rows", lambda r: r["v"])
+    total = F.aggregate(F.concat(F.slice(vectors, 1, 1), vectors), none, add)
+    n = F.size("rows")
+    weight = F.when(n > 1, n + 1).otherwise(2)
+    return held.select(
+        "story", "label", "match", n.alias("members"), F.size(faces).alias("with_face"),
+        F.transform(total, lambda x: x / weight).alias("centroid"), F.transform(F.aggregate(faces, none, add), lambda x: x / F.size(faces)).alias("faces"),
+    )
 
 
 def match_entities(detections: DataFrame, threshold: float = 0.9, factor: float = 1.5, face_threshold: float = 0.4) -> DataFrame:

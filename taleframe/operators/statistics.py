@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleframe.functions import text
+from taleframe.functions.text import bind
 
 # Pronouns by kind, as references are counted.
 SUBJECT = ("he", "she", "they", "I", "we", "you")
@@ -28,6 +31,12 @@ def annotation_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if("human_annotated").alias("human"), F.count_if(~F.col("human_annotated")).alias("auto"))
 
 
+def per_image_counts(rows: DataFrame) -> DataFrame:
+    """story_id, image_number, characters, objects, settings: rows of each table of each image of ``scenes``."""
+    i = rows.select("story_id", F.explode("scenes").alias("i"))
+    return i.select("story_id", "i.image_number", *[F.size(f"i.{c}").alias(c) for c in ("characters", "objects", "settings")])
+
+
 def entity_kind(e: Column) -> Column:
     return F.when(F.startswith(e, F.lit("char")), "character").when(F.startswith(e, F.lit("bg")), "background").otherwise("object")
 
@@ -152,6 +161,63 @@ def sentiment_split(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.coalesce(F.avg(F.when(v > 0, v)), F.lit(0.0)).alias("positive"), F.coalesce(F.abs(F.avg(F.when(v < 0, v))), F.lit(0.0)).alias("negative"), F.count_if(v > 0).alias("n_positive"), F.count_if(v < 0).alias("n_negative"))
 
 
+def pronoun_ranking(pronouns: DataFrame, value: str) -> DataFrame:
+    """pronoun, kind, mean, rank: pronouns by falling mean, with their kind; 0 for those without a value."""
+    means = pronouns.groupBy("pronoun").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
+    p = F.col("pronoun")
+    kind = F.when(p.isin(*TEXT_SUBJECT), "subject").when(p.isin(*TEXT_POSSESSIVE), "possessive").otherwise("object")
+    # a language has few pronouns, so one window over all of them is small
+    return means.select("pronoun", kind.alias("kind"), "mean", F.row_number().over(Window.orderBy(F.desc("mean"), "pronoun")).alias("rank"))
+
+
+def _multi_frame(images: Column, ids: Callable[[Column], Column]) -> Column:
+    """Percentage of the distinct ids that are in two images or more; null without ids."""
+    every = F.flatten(F.transform(images, lambda i: F.array_distinct(ids(i))))
+    return bind(every, lambda e: bind(F.array_distinct(e), lambda d: F.when(F.size(d) > 0, F.size(F.filter(d, lambda x: F.size(F.filter(e, lambda y: y == x)) >= 2)) * 100 / F.size(d))))
+
+
+def story_statistics(samples: DataFrame) -> DataFrame:
+    """One row a story of ``samples`` (story_id, frames, cot, story): every figure that means are taken of, null where it does not count."""
+    d = samples.select("story_id", "frames", "story", text.parse_scenes(F.col("cot")).alias("scenes"), text.parse_phases(F.col("cot")).alias("phases"))
+    each = lambda c: F.aggregate(F.transform("scenes", lambda i: F.size(i[c])), F.lit(0), lambda a, x: a + x)
+    objects = lambda i: F.filter(F.transform(i["objects"], lambda o: o["object_id"]), lambda x: ~F.startswith(x, F.lit("bg")))
+    shape = d.select(
+        "story_id", "frames", F.size("scenes").alias("images"), each("characters").alias("n_characters"), each("objects").alias("n_objects"), each("settings").alias("n_settings"),
+        _multi_frame(F.col("scenes"), lambda i: F.transform(i["characters"], lambda c: c["character_id"])).alias("pct_chars_multi_frame"),
+        _multi_frame(F.col("scenes"), objects).alias("pct_objs_multi_frame"), (F.size("phases") == 5).cast("int").alias("complete"),
+    )
+    tags = tag_statistics(samples.select("story_id", F.col("story").alias("text"))).drop("image_tags")
+    said = ungrounded_pronouns(samples.select("story_id", F.col("story").alias("text")))
+    kinds = {"pronouns": TEXT_SUBJECT + TEXT_POSSESSIVE + TEXT_OBJECT, "subject_pronouns": TEXT_SUBJECT, "possessive_pronouns": TEXT_POSSESSIVE}
+    share = lambda c, k: F.sum(F.when(F.col("pronoun").isin(*k), F.col(c)))
+    loose = said.groupBy("story_id").agg(*[(share("ungrounded", k) * 100 / share("total", k)).alias(f"ungrounded_{n}") for n, k in kinds.items()])
+    return shape.join(tags, "story_id").join(loose, "story_id", "left")
+
+
+def dataset_statistics(samples: DataFrame) -> DataFrame:
+    """metric, value: the statistics of a dataset of samples (story_id, frames, cot, story) in long form, 0 where nothing counts.
+
+    Shares of ungrounded nouns need a tagger and are not among them; shares by pronoun come as ``ungrounded_<pronoun>``.
+    """
+    per = story_statistics(samples)
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    with_refs = lambda c: mean(F.when(F.col("character_refs") > 0, F.col(c) * 100 / F.col("character_refs")))
+    an_image = lambda c: F.coalesce(F.sum(c) / F.sum("images"), F.lit(0.0))
+    named = {
+        "total_stories": F.count("*").cast("double"), "avg_frames_per_story": mean(F.when(F.col("frames") > 0, F.col("frames"))), "max_frames_per_story": F.coalesce(F.max("frames"), F.lit(0)).cast("double"),
+        "pct_chars_multi_frame": mean("pct_chars_multi_frame"), "pct_objs_multi_frame": mean("pct_objs_multi_frame"),
+        "avg_entity_refs": mean("total_refs"), "avg_char_refs": mean("character_refs"), "avg_obj_refs": mean("object_refs"), "avg_setting_refs": mean("setting_refs"), "avg_action_refs": mean("action_refs"),
+        "avg_pronoun_pct": with_refs("pronoun_refs"), "avg_subject_pronoun_pct": with_refs("subject_refs"), "avg_possessive_pronoun_pct": with_refs("possessive_refs"),
+        "avg_ungrounded_pronouns_pct": mean("ungrounded_pronouns"), "avg_ungrounded_subject_pronouns_pct": mean("ungrounded_subject_pronouns"), "avg_ungrounded_possessive_pronouns_pct": mean("ungrounded_possessive_pronouns"),
+        "avg_chars_per_image": an_image("n_characters"), "avg_objs_per_image": an_image("n_objects"), "avg_settings_per_image": an_image("n_settings"),
+        "pct_complete_narratives": mean("complete") * 100, "avg_words_per_story": mean("words"), "avg_distinct_chars": mean("distinct_characters"), "avg_char_actions": mean("character_actions"),
+    }
+    wide = per.agg(*[c.cast("double").alias(n) for n, c in named.items()])
+    said = ungrounded_pronouns(samples.select("story_id", F.col("story").alias("text")))
+    by = said.groupBy("pronoun").agg(F.avg(F.col("ungrounded") * 100 / F.col("total")).alias("value"))
+    return wide.unpivot([], list(named), "metric", "value").unionByName(by.select(F.concat(F.lit("ungrounded_"), "pronoun").alias("metric"), "value"))
+
+
 def final_statistics(tags: DataFrame, frames: DataFrame) -> DataFrame:
     """metric, value: the means of a dataset in long form, 0 where there is nothing to average."""
     names = ("character_refs", "object_refs", "action_refs", "setting_refs", "total_refs", "pronoun_refs", "pronoun_share", "words", "distinct_characters", "distinct_objects")

@@ -96,13 +96,29 @@ def mentioned_only(entities: DataFrame, stories: DataFrame, characters: bool = T
     return marked.where(free | F.coalesce("said", F.lit(False))).drop("said")
 
 
-def merge_detections(objects: DataFrame, landmarks: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """Objects and landmarks of each frame; frames without a landmark take those of the fallback."""
+def merge_detections(objects: DataFrame, landmarks: DataFrame, fallback: DataFrame | None = None, keys: tuple[str, ...] = ("story_id", "frame")) -> DataFrame:
+    """Objects and landmarks of each frame (``keys``); frames without a landmark take those of the fallback."""
     if fallback is not None:
-        landmarks = landmarks.unionByName(fallback.join(landmarks.select("story_id").distinct(), "story_id", "left_anti"))
+        held = landmarks.select(*keys).distinct().withColumn("_held", F.lit(True))
+        same = [fallback[k].eqNullSafe(held[k]) for k in keys]
+        landmarks = landmarks.unionByName(fallback.join(held, same, "left_anti"))
     return objects.unionByName(landmarks)
 
 
+def story_arrays(frames: DataFrame) -> DataFrame:
+    """story_id, image_ids, captions, images, has_person, detections: a story's frames as arrays that run side by side.
+
+    ``frames`` has story_id, pos, image_id, caption, image (struct width, height) and detections (array of structs); each
+    detection gets the sides of its image, and a frame has a person if a detection's label says so.
+    """
+    sized = F.transform("detections", lambda d: d.withField("image_width", F.col("image.width")).withField("image_height", F.col("image.height")))
+    person = F.exists("detections", lambda d: F.lower(d["label"]) == "person")
+    row = F.struct("pos", "image_id", "caption", "image", F.coalesce(person, F.lit(False)).alias("has_person"), sized.alias("detections"))
+    whole = frames.groupBy("story_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    part = lambda c, n: F.transform("rows", lambda r: r[c]).alias(n)
+    return whole.select("story_id", part("image_id", "image_ids"), part("caption", "captions"), part("image", "images"), part("has_person", "has_person"), part("detections", "detections"))
+
+
 def landmark_detections(annotations: DataFrame, least: float = 0.7, most: int = 10) -> DataFrame:
     """Landmark annotations above a score as detections, best first; the id is the annotation's place.
 

@@ -37,6 +37,14 @@ def story_fault(story: Column, scenes: Column, n_images: Column) -> Column:
     )
 
 
+def invalid_samples(samples: DataFrame) -> DataFrame:
+    """idx, scene_fault, story_fault: samples (idx, cot, story, n_images, width, height) that break a rule, with the first one on each side."""
+    d = samples.select("idx", "story", "n_images", "width", "height", text.parse_scenes(F.col("cot")).alias("scenes"), text.parse_phases(F.col("cot")).alias("phases"))
+    n, scenes = F.col("n_images"), F.col("scenes")
+    found = d.select("idx", scene_fault(scenes, F.col("phases"), n, F.col("width"), F.col("height")).alias("scene_fault"), story_fault(F.col("story"), scenes, n).alias("story_fault"))
+    return found.where("scene_fault is not null or story_fault is not null")
+
+
 def dataset_summary(rows: DataFrame) -> DataFrame:
     """Counts of samples with a wrong image count, missing tables, missing phases; ``problems`` sums the three."""
     empty = F.exists("scenes", lambda i: (F.size(i["characters"]) == 0) | (F.size(i["objects"]) == 0) | (F.size(i["settings"]) == 0))

@@ -232,11 +232,11 @@ def story_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).select("story_id", F.array_join(text.mentioned_ids(t), ",").alias("mentioned"), F.array_join(text.grounding_ids(t), ",").alias("grounded"))
 
 
-@query(rf"""WITH {_TAGGED}, said AS (SELECT DISTINCT story_id, unnest(regexp_extract_all(text, '<gd[oal]\s+([^>]+)>', 1)) AS entity_id FROM tagged WHERE story_id % 3 <> 0)
+@query(rf"""WITH {_TAGGED}, said AS (SELECT DISTINCT story_id, unnest(regexp_extract_all(text, '<gd[oal]\s+([^>]+)>', 1)) AS entity_id FROM tagged)
 SELECT e.story_id, e.entity_id, e.image_number FROM entity_frame e WHERE entity_id LIKE 'obj%' OR EXISTS (SELECT 1 FROM said s WHERE s.story_id = e.story_id AND s.entity_id = e.entity_id)""")
 def mentioned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that their story mentions; objects stay in any case."""
-    texts = tagged(spark, sf_dir).where("story_id % 3 <> 0").select("story_id", "text")
+    texts = tagged(spark, sf_dir).select("story_id", "text")
     return stories.mentioned_only(view(spark, sf_dir, "entity_frame"), texts, objects=False).select("story_id", "entity_id", "image_number")
 
 
@@ -281,9 +281,9 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLANK = {"characters": text.CHARACTER_HEADERS, "objects": text.OBJECT_HEADERS, "settings": text.SETTING_HEADERS}
 
 
-def scene_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """story_id, images, text: descriptions rendered from the entities of each image."""
-    e = view(spark, sf_dir, "entity_frame")
+def scene_texts(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    """story_id, n_images, text: descriptions rendered from the entities of each image."""
+    e = view(spark, sf_dir, "entity_frame") if e is None else e
     box = F.concat_ws(",", *(F.lit(v) for v in ("10", "20", "300", "400")))
 
     def struct(headers: tuple[str, ...], own: dict) -> Column:
@@ -387,14 +387,14 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return story_files.assign_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
 
 
-@query("""SELECT doc_id AS idx, len(string_split(trim(text), chr(10))) AS lines FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 5 <> 0""")
+@query("""SELECT doc_id AS idx, len(string_split(trim(text), chr(10))) AS lines FROM documents WHERE trim(text) <> ''""")
 def complete_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that have all three files and are not invalid."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = F.explode(F.array(*map(F.lit, ("cot", "story", "metadata")))).alias("kind")
-    files = d.select(F.col("doc_id").alias("d"), kinds, "text").where("not (kind = 'story' and d % 7 = 3)")
+    files = d.select(F.col("doc_id").alias("d"), kinds, "text")
     parts = story_files.sample_parts(files.select(F.concat_ws("_", F.col("d").cast("string"), F.concat("kind", F.lit(".txt"))).alias("name"), "text"))
-    kept = story_files.without_invalid(story_files.complete_samples(parts), d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("idx")))
+    kept = story_files.without_invalid(story_files.complete_samples(parts), d.where("trim(text) = ''").select(F.col("doc_id").alias("idx")))
     return kept.select("idx", F.size("image_ids").cast("bigint").alias("lines"))
 
 
@@ -663,10 +663,10 @@ def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.entity_names(rows)
 
 
-@query("""WITH o AS (SELECT o_custkey % 40 AS match_id, o_orderkey AS id, o_orderpriority LIKE '1%' AS thing FROM orders WHERE o_custkey % 3 = 0 OR o_custkey < 40) SELECT id, match_id, members FROM (SELECT *, count(*) OVER (PARTITION BY match_id) AS members FROM o) WHERE members > 1 OR thing""")
+@query("""WITH o AS (SELECT o_custkey AS match_id, o_orderkey AS id, o_orderpriority LIKE '1%' AS thing FROM orders) SELECT id, match_id, members FROM (SELECT *, count(*) OVER (PARTITION BY match_id) AS members FROM o) WHERE members > 1 OR thing""")
 def entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of matches with several members, or that are things."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0 or o_custkey < 40").select((F.col("o_custkey") % 40).alias("match_id"), F.col("o_orderkey").alias("id"), F.startswith("o_orderpriority", F.lit("1")).alias("is_thing"), F.lit(None).cast("boolean").alias("is_landmark"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("match_id"), F.col("o_orderkey").alias("id"), F.startswith("o_orderpriority", F.lit("1")).alias("is_thing"), F.lit(None).cast("boolean").alias("is_landmark"))
     return stories.entity_ids(o).select("id", "match_id", "members")
 
 

@@ -75,6 +75,28 @@ def complete_samples(parts: DataFrame) -> DataFrame:
     return wide.where("cot is not null and story is not null and metadata is not null").select("idx", F.trim("cot").alias("cot"), F.trim("story").alias("story"), F.split(F.trim("metadata"), "\n", -1).alias("image_ids"))
 
 
+def sample_texts(samples: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """name, text of the three files of each sample (idx, cot, story, image_ids) that is not among ``present`` (name) as a whole."""
+    if present is not None:
+        parts = sample_parts(present.select("name", F.lit("").alias("text")))
+        whole = parts.groupBy("idx").agg(F.countDistinct("kind").alias("n")).where("n = 3")
+        samples = samples.join(whole, "idx", "left_anti")
+    texts = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("cot", F.col("cot")), ("story", F.col("story")), ("metadata", F.array_join("image_ids", "\n")))])
+    each = samples.select("idx", F.explode(texts).alias("f"))
+    return each.select(F.concat(F.col("idx").cast("string"), F.lit("_"), F.col("f.kind"), F.lit(".txt")).alias("name"), F.coalesce("f.text", F.lit("")).alias("text"))
+
+
+def write_samples(samples: DataFrame, folder: str, present: DataFrame | None = None) -> None:
+    """Write the texts of samples as a table of names and texts, from which ``sample_parts`` reads them again."""
+    sample_texts(samples, present).write.mode("append").parquet(folder)
+
+
+def examples(stories: DataFrame, limit_images: int | None = None) -> DataFrame:
+    """The five columns of an example; at most so many images."""
+    images = F.slice("images", 1, limit_images) if limit_images else F.col("images")
+    return stories.select("story_id", images.alias("images"), "frame_count", "chain_of_thought", "story")
+
+
 def assign_split(rows: DataFrame, key: str, share: float = 0.15) -> DataFrame:
     """``rows`` with split: the first floor(n * share) rows in the order of md5(key) are test.
 

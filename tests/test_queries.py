@@ -5,6 +5,7 @@ import pytest
 from conftest import DATA, ROOT
 
 from taleframe.plans import queries
+from taleframe.plans import story_queries  # noqa: F401 (registers its queries)
 
 sys.path.insert(0, str(ROOT / "tools"))
 from compare import TABLES, rows  # noqa: E402
