@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from taleframe.llm.common import stage
 
 EDGE = "u long, v long"
+#: Nodes that a task keeps while it shrinks its edges, about.
+HELD = 500_000
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, smallest node of its tree) for the edges of one partition, batch by batch."""
+    """(node, smallest node of its tree) for the edges of one partition, some HELD nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -30,15 +32,21 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x], x = top, p
         return top
 
+    def trees() -> Iterator[pd.DataFrame]:
+        nodes = np.fromiter(parent, dtype=np.int64, count=len(parent))
+        for i in range(0, len(nodes), 65536):
+            part = nodes[i : i + 65536]
+            yield pd.DataFrame({"u": part, "v": np.array([root(int(x)) for x in part], dtype=np.int64)})
+        parent.clear()
+
     for b in batches:
         for u, v in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
             a, c = root(u), root(v)
             if a != c:
                 parent[max(a, c)] = min(a, c)
-    nodes = np.fromiter(parent, dtype=np.int64, count=len(parent))
-    for i in range(0, len(nodes), 65536):
-        part = nodes[i : i + 65536]
-        yield pd.DataFrame({"u": part, "v": np.array([root(int(x)) for x in part], dtype=np.int64)})
+        if len(parent) > HELD:
+            yield from trees()
+    yield from trees()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -176,12 +176,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             texts = b.column("text")
             lang, score = [UNKNOWN] * len(b), np.zeros(len(b))
             todo = [i for i, ok in enumerate(b.column("letters").to_pylist()) if ok] if m.languages else []
-            while todo:
-                part, held = [], 0
-                while todo and (not part or held < BATCH_BYTES):
-                    i = todo.pop()
-                    part.append((i, _bytes(texts[i].as_py())))
-                    held += len(part[-1][1])
+            for part in _in_batches(texts, todo):
                 p = m.probabilities([t for _, t in part])
                 for (i, _), k, q in zip(part, p.argmax(axis=1), p.max(axis=1), strict=True):
                     lang[i], score[i] = m.languages[k], q
@@ -197,8 +192,26 @@ def train_languages(docs: DataFrame, rows: int = SAMPLE) -> LanguageModel:
     return fit_languages(*training_sample(docs.select("text", "lang"), rows))
 
 
+def _in_batches(texts: pa.Array, todo: list[int]) -> Iterator[list[tuple[int, bytes]]]:
+    """(row, text) of the rows ``todo``, about BATCH_BYTES at a time; a longer text is alone."""
+    part: list[tuple[int, bytes]] = []
+    held = 0
+    for i in todo:
+        part.append((i, _bytes(texts[i].as_py())))
+        held += len(part[-1][1])
+        if held >= BATCH_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def known_language_documents(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Documents that the model does not reject, with lang set where it was null."""
+    """Documents that the model does not reject, with lang set where it was null.
+
+    Null, empty and letterless texts go, as all do if the model learned nothing; texts of any length are read whole; repeated
+    rows stay repeated; columns other than those of documents go; an empty table gives an empty result.
+    """
     pairs = docs.select(*DOCUMENT_COLUMNS)
     schema = pairs.schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,10 +222,9 @@ def known_language_documents(docs: DataFrame, model: LanguageModel) -> DataFrame
             texts, letters = b.column("text"), b.column("letters").to_pylist()
             langs, kept = b.column("lang").to_pylist(), np.zeros(len(b), dtype=bool)
             todo = [i for i, ok in enumerate(letters) if ok] if m.languages else []
-            for a in range(0, len(todo), 64):
-                part = todo[a : a + 64]
-                p = m.probabilities([_bytes(texts[i].as_py()) for i in part])
-                for i, k, q in zip(part, p.argmax(axis=1), p.max(axis=1), strict=True):
+            for part in _in_batches(texts, todo):
+                p = m.probabilities([t for _, t in part])
+                for (i, _), k, q in zip(part, p.argmax(axis=1), p.max(axis=1), strict=True):
                     kept[i] = q >= m.threshold
                     langs[i] = langs[i] if langs[i] is not None else m.languages[k]
             b = b.set_column(b.schema.get_field_index("lang"), "lang", pa.array(langs, pa.string()))
@@ -223,6 +235,12 @@ def known_language_documents(docs: DataFrame, model: LanguageModel) -> DataFrame
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all rows of documents, learned from those whose crc32(doc_id) mod 4 is not 2.
+
+    Null, empty and letterless texts are ``und`` with score 0; a null id counts as the empty string; texts of any length are read
+    whole; ties go to the language that comes first by name; repeated rows stay repeated; other columns are never looked at; an
+    empty table gives an empty result.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train_languages(docs.where(fold(F.col("doc_id"), 4) != 2))
     found = identify_languages(docs.select("doc_id", "text"), model)

@@ -56,6 +56,14 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """Two halves of a digest of a set of shingles, 0 for an empty one."""
+    s = s.view(np.uint64)
+    if not len(s):
+        return 0, 0
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+
+
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, two halves of a digest of the set, and the band keys."""
 
@@ -66,8 +74,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for _, part in batches_of(texts):
                 for s in shingle_sets(part, words):
                     n.append(len(s))
-                    one.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                    for half, value in zip((one, two), _digest(s), strict=True):
+                        half.append(value)
                     keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
@@ -103,7 +111,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, shingles (whole set) of the documents among ``ids``."""
+    """id, one, two (digest), shingles (whole set) of the documents among ``ids``."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +120,12 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             s = _slots(b.column("id").to_numpy(zero_copy_only=False))
             b = b.filter(pa.array((held[s // 8] >> (7 - s % 8).astype(np.uint8)) & 1 == 1))
             found = [x.view(np.int64) for _, part in batches_of(b.column("text").to_pylist()) for x in shingle_sets(part, words)]
+            one, two = (pa.array([d[k] for d in map(_digest, found)], pa.int64()) for k in (0, 1))
             for a in range(0, len(b), 256):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, 256), pa.array(found[a : a + 256], pa.list_(pa.int64()))], ["id", "shingles"])
+                held = pa.array(found[a : a + 256], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, 256), one.slice(a, 256), two.slice(a, 256), held], ["id", "one", "two", "shingles"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").mapInArrow(sets, "id long, shingles array<long>")
+    kept = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").mapInArrow(sets, "id long, one long, two long, shingles array<long>")
     return kept.join(ids, "id", "left_semi")
 
 
@@ -128,6 +138,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("u", "v")
 
 
+def _copies(digested: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: documents whose sets have one digest and are equal element by element.
+
+    Groups of any size are dealt into parts of about CHUNK; a part is read once, each of its sets against the part's first, and
+    the first ones of all parts meet again, in as many rounds as the largest group needs.
+    """
+
+    def equal(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, whole = None, None
+        for b in batches:
+            ids, held = b.column("id").to_numpy(), b.column("shingles")
+            u = []
+            for i in range(len(b)):
+                s = held[i].values.to_numpy()
+                if first is None:
+                    first, whole = int(ids[i]), s
+                elif len(s) == len(whole) and (s == whole).all():
+                    u.append(int(ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([first] * len(u), pa.int64())], ["u", "v"])
+
+    digest = ["n_shingles", "one", "two"]
+    out, now = None, digested.select("id", *digest, "copies")
+    while True:
+        parts = F.ceil(F.col("copies") / CHUNK).cast("int")
+        dealt = now.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(sets, ["id", "one", "two"])
+        found = stage(dealt.select(*digest, "part", "id", "shingles").groupBy(*digest, "part").applyInArrow(equal, "u long, v long"), "copies")
+        out = found if out is None else out.unionByName(found)
+        first = now.where(F.col("copies") > CHUNK)
+        if first.isEmpty():
+            return out
+        # the first of a part is what no other one was equal to
+        first = first.join(found.select(F.col("u").alias("id")), "id", "left_anti").drop("copies")
+        again = first.groupBy(*digest).agg(F.count("*").alias("copies")).where("copies > 1")
+        now = stage(first.join(again, digest), "copies-left")
+
+
 def _links_between(hoods: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of a neighbourhood: all that share a bucket with the smallest id ``h``.
 
@@ -175,9 +221,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Rows with one doc_id are one node, one row each in the result.  Empty tables give empty results; other
     columns are ignored.
 
-    Equal sets become one class first.  In each bucket every class is compared with the smallest only; once
-    these links have made components, classes of one bucket that lie in different components are compared
-    too, in blocks of bounded size whose pairs are never spelled out as rows, so no pair is left undecided.
+    Equal sets become one class first, by a digest that is confirmed set against set.  In each bucket every class is
+    compared with the smallest only; once these links have made components, classes of one bucket that lie in
+    different components are compared too, in blocks of bounded size whose pairs are never spelled out as rows, so
+    no pair is left undecided.
     """
     signed = stage(signatures(docs, words, bands, rows), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
@@ -185,15 +232,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = stage(
         usable.groupBy(*digest).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "classes"
     )
-    copies = usable.select("doc_id", *digest).join(classes.where("copies > 1").select("id", *digest), digest)
-    copies = copies.where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    copied = usable.select(F.col("doc_id").alias("id"), *digest).distinct().join(classes.where("copies > 1").select(*digest, "copies"), digest)
+    copied = stage(copied, "copied")
     member = classes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
     members = stage(member.join(shared.select("key", "least"), "key"), "members")
     alike = lambda a, b: (F.greatest(a, b) * percent <= F.least(a, b) * 100)
     first = members.where((F.col("id") != F.col("least.id")) & alike(F.col("n"), F.col("least.n")))
     first = stage(first.select(F.col("id").alias("u"), F.col("least.id").alias("v")).distinct(), "pairs")
-    sets = stage(_sets(docs, members.select("id").distinct(), words), "sets")
+    sets = stage(_sets(docs, members.select("id").unionByName(copied.select("id")).distinct(), words), "sets")
+    copies, sets = _copies(copied, sets), sets.select("id", "shingles")
     linked = stage(_confirmed(first, sets, percent), "links")
     found = components(linked)
     more = stage(_links_between(members.select(F.col("least.id").alias("h"), "id").distinct(), found, sets, percent), "links")
@@ -205,7 +253,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that a smaller near-duplicate stands for."""
+    """The documents without those that a smaller near-duplicate stands for.
+
+    Decided by doc_id: all rows of an id stay or go together, rows without one stay, and so do null and blank texts.  Very long
+    texts are read whole; columns other than those of documents go; an empty table gives an empty result.
+    """
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
 
@@ -224,6 +276,11 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all rows of documents: sets of two words, 80 of 100 alike.
+
+    Null and blank texts have no shingle and link with nothing; texts of any length are read whole; equal texts link; the smallest
+    doc_id names a component; rows of one id are one node; other columns are ignored; an empty table gives an empty result.
+    """
     return near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
 
 

@@ -134,7 +134,9 @@ def mixed_documents(docs: DataFrame, most: int = 3, schedules=SCHEDULES, **optio
     """The training stream: each document as often as it is taken, range-sorted by training position.
 
     Copy r of a document is due after r whole passes over its source.  Every row has a decision of its own,
-    whatever its id; columns are those of ``docs``.
+    whatever its id, so repeated rows and null ids are no exception; a null source is one source; null and blank texts have
+    size 0 and are taken as often as their place in the order says; very long texts are moved whole.  Columns are those of
+    documents; an empty table gives an empty result.
     """
     rows = stage(docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
     plan = mix_sources(rows, most=most, schedules=schedules, row="row", **options).where("copies > 0")
@@ -147,6 +149,12 @@ def mixed_documents(docs: DataFrame, most: int = 3, schedules=SCHEDULES, **optio
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each row of documents is taken so that sources meet their targets, and when in training.
+
+    A null text has size 0; null is a source of its own, last in order; sizes of texts of any length are counted whole; ties in
+    the order of hashes go by doc_id and size; repeated rows are taken as one another; other columns are ignored; an empty
+    table gives an empty result.
+    """
     mixed = mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")

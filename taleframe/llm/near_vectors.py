@@ -3,6 +3,10 @@
 Unit vectors at cosine >= c lie within squared distance 2 - 2c.  After one rotation the coordinates are cut into
 blocks; two such vectors lie, in at least one block, within that block's proportional share of the budget.  Each
 block is range-joined on a grid over its first two coordinates, and the union of candidates is verified exactly.
+
+Pairs are never spelled out as rows.  A cell's first task sees the coordinates of one block and tells which vectors have
+a candidate there; its second sees these vectors whole, verifies every pair and counts it if no earlier block admits
+it, and returns a count and a tree for each vector.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from taleframe.llm.components import components
 COSINE, BLOCK = 0.93, 8
 #: Rows of a grid cell that one task compares with each other; larger cells are dealt into chunks.
 CELL_ROWS = 4096
-#: Room for rounding: squared distances are compared with a little more than their share.
-SLACK = 1e-6
+#: Room for rounding: squared distances of single precision are compared with a little more than their share,
+#: those of double precision with TIGHT more; what lies nearer to a bound than TIGHT is worked out pair by pair.
+SLACK, TIGHT = 1e-6, 1e-9
+STEP = 256
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -70,15 +76,30 @@ def _placed(units: DataFrame, cosine: float, block: int) -> DataFrame:
     return units.select("rid", "label", "unit").mapInArrow(place, f"rid long, label {kind}, width int, block int, cx int, cy int, home boolean, x array<float>")
 
 
-def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
-    budget = 2 - 2 * cosine
-    cell = ["label", "width", "block", "cx", "cy"]
-    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")).where("homes > 0 and n > 1")
+CELL = ("label", "width", "block", "cx", "cy")
+
+
+def _in_chunks(cells: DataFrame) -> DataFrame:
+    """Rows of cells with a home row and another one; a row of chunk i of a large cell meets chunk j in the task (least, greatest)."""
+    sizes = cells.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")).where("homes > 0 and n > 1")
     sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / CELL_ROWS).cast("int")).drop("n", "homes")
-    dealt = placed.join(sizes, cell).withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    # a row of chunk i meets chunk j in the task (min, max)
+    dealt = cells.join(sizes, [*CELL]).withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("rid", *cell, "home", "x", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    return dealt.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("chunks", "other")
+
+
+def _partners(rows: np.ndarray, near: np.ndarray, rid: np.ndarray, home: np.ndarray, chunk: np.ndarray, apart: bool) -> np.ndarray:
+    """``near`` without what other cells or tasks see: each home row's pairs with visitors, and once with home rows after it."""
+    near &= rid[rows][:, None] != rid[None, :]
+    near &= ~home[None, :] | (rid[rows][:, None] < rid[None, :])
+    if apart:
+        near &= chunk[rows][:, None] != chunk[None, :]
+    return near
+
+
+def _involved(placed: DataFrame, cosine: float) -> DataFrame:
+    """CELL, rid, home of the vectors that have a candidate in a cell."""
+    budget = 2 - 2 * cosine
 
     def join(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -88,33 +109,62 @@ def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
         reach = budget * x.shape[1] / width + SLACK
         apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
         norm = (x * x).sum(axis=1)
-        u, v = [], []
-        homes = np.flatnonzero(home)
-        for a in range(0, len(homes), 512):
-            rows = homes[a : a + 512]
+        seen, homes = np.zeros(len(rid), dtype=bool), np.flatnonzero(home)
+        for a in range(0, len(homes), STEP):
+            rows = homes[a : a + STEP]
             near = norm[rows][:, None] + norm[None, :] - 2 * (x[rows] @ x.T) <= reach
-            i, j = np.nonzero(near)
-            i = rows[i]
-            keep = (rid[i] != rid[j]) & (~home[j] | (rid[i] < rid[j]))
-            if apart:
-                keep &= chunk[i] != chunk[j]
-            u.append(np.minimum(rid[i], rid[j])[keep])
-            v.append(np.maximum(rid[i], rid[j])[keep])
-        return pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+            near = _partners(rows, near, rid, home, chunk, apart)
+            seen[rows] |= near.any(axis=1)
+            seen |= near.any(axis=0)
+        return t.select([*CELL, "rid", "home"]).filter(pa.array(seen))
 
-    return dealt.groupBy(*cell, "lo", "hi").applyInArrow(join, "u long, v long").distinct()
+    kind = placed.schema["label"].dataType.simpleString()
+    schema = f"label {kind}, width int, block int, cx int, cy int, rid long, home boolean"
+    return _in_chunks(placed).groupBy(*CELL, "lo", "hi").applyInArrow(join, schema).distinct()
 
 
-def _verified(pairs: DataFrame, units: DataFrame, cosine: float) -> DataFrame:
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for width, b in _by_width(whole, "a"):
-                cos = np.einsum("ij,ij->i", _matrix(b.column("a"), width), _matrix(b.column("b"), width))
-                yield b.select(["u", "v"]).filter(pa.array(cos >= cosine))
+def _verified(involved: DataFrame, units: DataFrame, cosine: float, block: int) -> DataFrame:
+    """rid, linked (copies of the classes linked in a task), root (smallest rid of its tree there)."""
+    budget = 2 - 2 * cosine
 
-    left = units.select(F.col("rid").alias("u"), F.col("unit").alias("a"))
-    right = units.select(F.col("rid").alias("v"), F.col("unit").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    def count(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        mine, width = t.column("block")[0].as_py(), t.column("width")[0].as_py()
+        rid, home, chunk, copies = (t.column(c).to_numpy() for c in ("rid", "home", "chunk", "copies"))
+        apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        u = _matrix(t.column("unit").chunk(0), width)
+        turned = u @ rotation(width)
+        parts = [turned[:, a : a + block] for a in range(0, width, block)][: mine + 1]
+        norms = [(x * x).sum(axis=1) for x in parts]
+        linked, tree = np.zeros(len(rid), dtype=np.int64), np.arange(len(rid))
+        homes = np.flatnonzero(home)
+        for a in range(0, len(homes), STEP):
+            rows = homes[a : a + STEP]
+            cos = u[rows] @ u.T
+            near = _partners(rows, cos >= cosine - TIGHT, rid, home, chunk, apart)
+            i, j = np.nonzero(near & (np.abs(cos - cosine) <= TIGHT))
+            near[i, j] = (u[rows[i]] * u[j]).sum(axis=1) >= cosine
+            for k, x in enumerate(parts):
+                share = budget * x.shape[1] / width + TIGHT
+                d = norms[k][rows][:, None] + norms[k][None, :] - 2 * (x[rows] @ x.T)
+                admits = d <= share
+                i, j = np.nonzero(near & (np.abs(d - share) <= TIGHT))
+                admits[i, j] = ((x[rows[i]] - x[j]) ** 2).sum(axis=1) <= share
+                near &= admits if k == mine else ~admits
+            linked[rows] += near @ copies
+            linked += copies[rows] @ near
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                trees = tree[np.flatnonzero(near[i])]
+                if (trees != tree[rows[i]]).any():
+                    trees = np.unique(np.r_[trees, tree[rows[i]]])
+                    tree[np.isin(tree, trees)] = trees[0]
+        root = np.full(len(rid), np.iinfo(np.int64).max)
+        np.minimum.at(root, tree, rid)
+        found = np.flatnonzero(linked)
+        return pa.table({"rid": rid[found], "linked": linked[found], "root": root[tree[found]]})
+
+    whole = _in_chunks(involved).join(units.select("rid", "copies", "unit"), "rid")
+    return whole.groupBy(*CELL, "lo", "hi").applyInArrow(count, "rid long, linked long, root long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -140,12 +190,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     kind = rows.schema["label"].dataType.simpleString()
     classes = good.groupBy("label", "e").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     units = stage(classes.select("rid", "label", "copies", "e").mapInArrow(to_unit, f"rid long, label {kind}, copies long, unit array<double>"), "units")
-    pairs = stage(_candidates(_placed(units, cosine, block), cosine), "vector-pairs")
-    links = stage(_verified(pairs, units, cosine), "vector-links")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    involved = stage(_involved(_placed(units, cosine, block), cosine), "vector-cells")
+    found = stage(_verified(involved, units, cosine, block), "vector-links")
     own = units.select("rid", "copies")
-    direct = both.join(own.withColumnRenamed("rid", "v"), "v").groupBy("u").agg(F.sum("copies").alias("linked")).withColumnRenamed("u", "rid")
-    roots = components(links).withColumnRenamed("node", "rid")
+    direct = found.groupBy("rid").agg(F.sum("linked").alias("linked"))
+    roots = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rid")
     per_class = own.join(direct, "rid", "left").join(roots, "rid", "left").select(
         F.col("rid").alias("first"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rid").alias("root"), "copies"
     )
@@ -160,6 +209,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all rows of embeddings, at cosine 0.93 and more.
+
+    Null, empty, zero and non-finite vectors, and rows without a label, link with nothing; equal vectors link with each other;
+    ties go to the smaller vec_id; rows that share one are vectors of their own; other columns are ignored; an empty table gives
+    an empty result.
+    """
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 

@@ -101,6 +101,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the url of every row of pages, by the five fixed rules; ``allow`` where none fits.
+
+    A null url, or one without ``://``, has empty host and path and fits no rule; urls of any length are read whole; the longest
+    rule wins; repeated rows stay repeated; other columns are ignored; an empty table gives an empty result.
+    """
     return filter_urls(read(spark, sf_dir, "pages"), rule_table(spark))
 
 

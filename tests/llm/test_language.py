@@ -1,6 +1,8 @@
 import random
 
-from taleframe.llm.language import fit_languages, identify_languages, known_language_documents, train_languages
+import zlib
+
+from taleframe.llm.language import fit_languages, identify_languages, known_language_documents, op1_language_id, train_languages
 
 SYLLABLES = {"aa": ["the", "ing", "and", "er"], "bb": ["ich", "und", "ß", "ver"], "cc": ["éau", "le", "que", "oi"]}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rejected string"
@@ -46,3 +48,18 @@ def test_nothing_learned(spark):
     assert [(r["lang_pred"], r["score"]) for r in identify_languages(docs, model).collect()] == [("und", 0.0)]
     assert train_languages(docs.limit(0)).languages == [] and identify_languages(docs.limit(0), model).count() == 0
     assert fit_languages(["only one"], ["xx"]).probabilities([b"anything"])[0, 0] == 1.0
+
+
+def test_query_never_looks_at_held_out_labels(spark, tmp_path):
+    plain = rows(240, 5)
+    plain += [(None, "the and the ing er", "bb", None, None, None), (400, plain[0][1] * 20_000, None, None, None, None), (401, None, "aa", None, None, None)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    spark.createDataFrame(plain, SCHEMA).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    turned = [(i, t, "cc" if held(i) else lang, s, n, x) for i, t, lang, s, n, x in plain]
+    spark.createDataFrame(turned, SCHEMA).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    one, two = (sorted((str(r["doc_id"]), r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in op1_language_id(spark, str(tmp_path / d)).collect()) for d in "ab")
+    assert one == two and len(one) == len(plain)
+    got = {i: (h, p) for i, h, p, _ in one}
+    assert all(got[str(i)][0] == held(i) for i, *_ in plain)
+    right = [got[str(i)][1] == lang for i, _, lang, *_ in plain[:240] if held(i)]
+    assert sum(right) >= 0.9 * len(right) and got["400"][1] == plain[0][2] and got["401"][1] == "und"

@@ -42,6 +42,7 @@ def rows():
             out.append(rng.choice([" ", "\n", "  "]).join(x.upper() if rng.random() < 0.1 and x.isascii() else x for x in w))
     out += ["", None, " \t\n", "one", "ONE", "one two", "one  two ", "É", "é", out[0], out[0], "z" * 5000, "z" * 5000 + "y"]
     out += [" ".join(passage), "long " * 3000, "long " * 2900]
+    out += [out[1].upper() if k % 2 else out[1].lower() for k in range(40)]
     order = list(range(len(out)))
     rng.shuffle(order)
     return list(zip(order, out, strict=True))

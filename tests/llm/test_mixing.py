@@ -84,3 +84,11 @@ def test_rows_of_one_id_are_decided_each(spark):
     for r in mixed_documents(docs).collect():
         got[key(r)] = got.get(key(r), 0) + len(r["text"].split())
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_very_long_texts_and_one_source(spark):
+    rows = [(i, "word " * (200_000 if i == 3 else 50), None, "s" if i < 8 else None, 0, "clash") for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in mix_sources(docs).collect()}
+    assert got[3]["size"] == 200_000 and all(r["copies"] <= 3 for r in got.values())
+    assert mixed_documents(docs).count() == sum(r["copies"] for r in got.values())
