@@ -52,14 +52,14 @@ q AS (SELECT *, ox > 0 AND oy > 0 AND ox / tw < oy / th AS sx, ox > 0 AND oy > 0
 m AS (SELECT story_id, CASE WHEN sx AND NOT lx THEN ax1 + ox * aw / tw ELSE ax1 END AS ax1, CASE WHEN sx AND lx THEN ax2 - ox * aw / tw ELSE ax2 END AS ax2,
   CASE WHEN sy AND NOT ly THEN ay1 + oy * ah / th ELSE ay1 END AS ay1, CASE WHEN sy AND ly THEN ay2 - oy * ah / th ELSE ay2 END AS ay2,
   CASE WHEN sx AND lx THEN bx1 + ox * bw / tw ELSE bx1 END AS bx1, CASE WHEN sy AND NOT ly THEN by2 - oy * bh / th ELSE by2 END AS by2 FROM q)
-SELECT story_id, round(least(ax1, ax2), 6) AS ax1, round(greatest(ax1, ax2), 6) AS ax2, round(least(ay1, ay2), 6) AS ay1, round(greatest(ay1, ay2), 6) AS ay2, round(bx1, 6) AS bx1, round(by2, 6) AS by2 FROM m""")
+SELECT story_id, round(least(ax1, ax2), 9) AS ax1, round(greatest(ax1, ax2), 9) AS ax2, round(least(ay1, ay2), 9) AS ay1, round(greatest(ay1, ay2), 9) AS ay2, round(bx1, 9) AS bx1, round(by2, 9) AS by2 FROM m""")
 def separated_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two boxes of a story, moved apart."""
     d = view(spark, sf_dir, "ref_det").where("pos <= 2")
     box = F.struct(F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     held = d.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("pos", box.alias("b")))).alias("p")).where("size(p) = 2")
     s = held.select("story_id", detections.separated_boxes(F.transform("p", lambda p: p["b"])).alias("s"))
-    return s.select("story_id", *[r6(F.col("s")[k][c]).alias(f"{n}{c[1:]}") for k, n, c in ((0, "ax", "x1"), (0, "ax", "x2"), (0, "ay", "y1"), (0, "ay", "y2"), (1, "bx", "x1"), (1, "by", "y2"))])
+    return s.select("story_id", *[F.round(F.col("s")[k][c], 9).alias(f"{n}{c[1:]}") for k, n, c in ((0, "ax", "x1"), (0, "ax", "x2"), (0, "ay", "y1"), (0, "ay", "y2"), (1, "bx", "x1"), (1, "by", "y2"))])
 
 
 @query("""SELECT l_orderkey AS id, min(l_partkey % 100)::double AS x, min(l_suppkey % 100)::double AS y, (max(l_partkey % 100) - min(l_partkey % 100))::double AS w, (max(l_suppkey % 100) - min(l_suppkey % 100))::double AS h FROM lineitem GROUP BY l_orderkey""")
