@@ -46,6 +46,23 @@ def _training_position(demand: Column, turn: Column, schedules) -> Column:
     return at
 
 
+def _before(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the total of each of ``sums`` over the rows that come before in a total order.
+
+    Rows are dealt by ranges; a range adds what the ranges before it hold, one row each, so no window spans the table.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumns({f"_{k}": c for k, c in sums.items()}).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    dealt = stage(dealt, "ranges")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in sums])
+    base = totals.select("_part", *[F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_base_{k}") for k in sums])
+    here = dealt.withColumns({f"_in_{k}": F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)) for k in sums}).join(base, "_part")
+    done = here.withColumns({k: F.col(f"_base_{k}") + F.col(f"_in_{k}") for k in sums})
+    return done.select(*rows.columns, *sums)
+
+
 def source_targets(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
     """Per source: key, turn, rows, source_size, target.
 
@@ -54,20 +71,16 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, mos
     to the first source that stays under its own, and falls after it.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    ranked = _before(sums, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
-    limit = (F.col("source_size") * most).cast("double")
-    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), "rank")
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = by_limit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = sums.withColumn("rank", rank).withColumn("weight", weight).withColumn("limit", limit)
-    t = t.withColumn("total", F.sum("source_size").over(all_rows) * F.lit(float(share)))
-    left = F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    t = t.withColumn("level", left / heavy)
-    level = F.max(F.when(F.col("limit") > F.col("level") * F.col("weight"), F.col("level"))).over(all_rows)
-    t = t.withColumn("target", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit"))))
-    return t.select("source", "rank", "rows", "source_size", "target")
+    t = ranked.withColumn("weight", weight).withColumn("limit", (F.col("source_size") * most).cast("double"))
+    t = _before(t, [F.col("limit") / F.col("weight"), F.col("rank")], {"full": F.col("limit"), "light": F.col("weight")})
+    whole = t.agg((F.sum("source_size") * F.lit(float(share))).alias("total"), F.sum("weight").alias("heavy"))
+    t = t.crossJoin(whole)  # one row
+    t = t.withColumn("level", (F.col("total") - F.col("full")) / (F.col("heavy") - F.col("light")))
+    level = t.agg(F.max(F.when(F.col("limit") > F.col("level") * F.col("weight"), F.col("level"))).alias("at"))  # one row
+    t = t.crossJoin(level).withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("at") * F.col("weight"), F.col("limit"))))
+    return t.select("source", F.col("rank").cast("int").alias("rank"), "rows", "source_size", "target")
 
 
 def mix_sources(
