@@ -122,8 +122,8 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             found = [x.view(np.int64) for _, part in batches_of(b.column("text").to_pylist()) for x in shingle_sets(part, words)]
             one, two = (pa.array([d[k] for d in map(_digest, found)], pa.int64()) for k in (0, 1))
             for a in range(0, len(b), 256):
-                held = pa.array(found[a : a + 256], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, 256), one.slice(a, 256), two.slice(a, 256), held], ["id", "one", "two", "shingles"])
+                lists = pa.array(found[a : a + 256], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, 256), one.slice(a, 256), two.slice(a, 256), lists], ["id", "one", "two", "shingles"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").mapInArrow(sets, "id long, one long, two long, shingles array<long>")
     return kept.join(ids, "id", "left_semi")

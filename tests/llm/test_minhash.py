@@ -83,3 +83,9 @@ def test_one_row_of_each_group_stays(spark):
     got = sorted((str(r["doc_id"]), r["text"] or "") for r in distinct_documents(docs).collect())
     assert got == [("4", text), ("7", ""), ("7", ""), ("9", "g h i j k l"), ("None", "m n o p q r")]
     assert distinct_documents(docs.limit(0)).count() == 0
+
+
+def test_many_batches_in_a_partition(spark):
+    rows = [(i, f"a{i % 700} b c d e f{i % 700} g h") for i in range(1400)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), words=5).collect()
+    assert len(got) == 1400 and all(r["component_id"] == r["doc_id"] % 700 for r in got)
