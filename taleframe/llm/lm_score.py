@@ -30,7 +30,7 @@ from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR, NEAR_SLOTS, SLOTS,
 CLASSES = 7
 #: Bytes of a word with a rank, at most; longer ones are spelled.
 HEAD_BYTES = 256
-RATE, STEP, SPELL_STEP = 0.06, 16384, 4096
+RATE, STEP = 0.06, 16384
 #: Words that are encoded at once.
 BATCH_WORDS = 1 << 17
 _HELD, _READ = 400_000, 1 << 27
@@ -170,9 +170,8 @@ def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]
             for _, words, counts in _spelled_pieces(b, names):
                 event, starts = word_events(words)
                 at, cls = np.nonzero(np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
-                for a in range(0, len(at), SPELL_STEP):
-                    i = at[a : a + SPELL_STEP]
-                    model.learn(shared.value, event[i], cls[a : a + SPELL_STEP], np.ones(len(i)), RATE)
+                for a in range(0, len(at), STEP):
+                    model.learn(shared.value, event[at[a : a + STEP]], cls[a : a + STEP], RATE)
                 seen += len(at)
         if seen:
             yield _state(model, start, seen)
@@ -250,9 +249,10 @@ def encode_documents(marked: DataFrame, ranks, kind: str) -> DataFrame:
                 sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 rank = np.array([index.get(w, 0) for w in flat], dtype=np.int64)
-                lean = np.cumsum(held.leaning[rank], axis=0, dtype=np.float64)
-                before = np.vstack([np.zeros((1, lean.shape[1])), lean[:-1]])
-                before -= np.repeat(before[starts], sizes, axis=0) - held.prior
+                lean = held.leaning[rank]
+                before = np.cumsum(lean, axis=0, dtype=np.float64)
+                before -= lean
+                before -= np.repeat(before[starts] - held.prior, sizes, axis=0)
                 cls = before.argmax(axis=1)
                 codes = (rank | cls << _CLASS_SHIFT).astype("<u4")
                 blobs = [codes[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]

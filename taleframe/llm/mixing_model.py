@@ -22,7 +22,8 @@ CONTEXTS = ((1, False), (2, False), (3, False), (4, False), (5, False), (2, True
 #: Slots of a table of bytes, and of one of words.
 SLOT_BITS, NEAR_BITS = 18, 20
 SLOTS, NEAR_SLOTS = 1 << SLOT_BITS, 1 << NEAR_BITS
-_LEVELS = np.array([0.5, 1.5, 3.5, 10.5, 100.5, 2000.5])
+#: Levels of evidence: bits of the number of events, at most.
+LEVELS = 12
 _PRIOR = 0.4
 _CELLS, _SPAN = 33, 8.0
 
@@ -66,15 +67,51 @@ def _decisions(event: np.ndarray):
 
 def add_slots(tables: np.ndarray, event: np.ndarray, counts: np.ndarray) -> None:
     """Add events to the zeros and ones of their slots, for each predictor; ``counts`` has a column per class."""
-    context = event >> 8
+    context, whole = event >> 8, counts.sum(axis=1)
     for which, (_, by_class) in enumerate(CONTEXTS):
-        flat = tables[which].reshape(-1)
         for k in range(counts.shape[1]) if by_class else [None]:
-            weight = counts.sum(axis=1) if k is None else counts[:, k]
+            weight = whole if k is None else counts[:, k]
             seen = np.flatnonzero(weight)
-            h = _hash(context[seen], which, k or 0)
-            for _, node, bit in _decisions(event[seen]):
-                flat += np.bincount(2 * _slot(h, node).astype(np.int64) + bit, weights=weight[seen], minlength=2 * SLOTS).astype(tables.dtype)
+            if len(seen):
+                h = _hash(context[seen], which, k or 0)
+                at = np.concatenate([2 * _slot(h, node).astype(np.int64) + bit for _, node, bit in _decisions(event[seen])])
+                held = np.bincount(at, weights=np.tile(weight[seen], 8), minlength=2 * SLOTS)
+                tables[which] += held.reshape(SLOTS, 2).astype(tables.dtype)
+
+
+def _stretch(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched guess, level of evidence) of float32 counts; the level is the number of bits of their sum."""
+    level = ((n0 + n1 + np.float32(1)).view(np.int32) >> 23) - 127
+    return np.log((n1 + np.float32(_PRIOR)) / (n0 + np.float32(_PRIOR))), np.minimum(level, LEVELS - 1)
+
+
+def _cell(z: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(z, -_SPAN, _SPAN) + np.float32(_SPAN)) * np.float32((_CELLS - 1) / (2 * _SPAN))).astype(np.int64)
+
+
+def _start_cells(steps: int) -> np.ndarray:
+    p = _squash(np.linspace(-_SPAN, _SPAN, _CELLS))
+    return 20.0 * np.stack([1 - p, p], axis=1)[None].repeat(steps, axis=0)
+
+
+def _bits_of(z: np.ndarray, refined: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Natural logs that a decision costs: the mixed logit and what came after it before, in equal parts."""
+    z = np.clip((z + refined.take(_cell(z))) * np.float32(0.5), -16, 16)
+    return np.log(1 + np.exp(np.where(bit == 1, -z, z)))
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, inputs: list, z: np.ndarray, ones: np.ndarray, rate: float) -> None:
+    """Move the weights of one decision against the mean error of a batch."""
+    wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - ones) / np.float32(len(z))
+    for i, (st, level) in enumerate(inputs):
+        g = np.bincount(level, weights=wrong * st, minlength=LEVELS)
+        squares[i] += g * g
+        weights[i] -= rate * g / np.sqrt(squares[i])
+
+
+def _pairs(table: np.ndarray) -> np.ndarray:
+    """A float32 table of (zeros, ones) as a flat one whose items are taken together."""
+    return np.ascontiguousarray(table).view(np.complex64).reshape(-1)
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -85,55 +122,44 @@ def _squash(z: np.ndarray) -> np.ndarray:
 class Mixer:
     """Weights of each predictor by its evidence and the decision, and a refinement table over the mixed logit."""
 
-    weights: np.ndarray = field(default_factory=lambda: np.full((len(CONTEXTS), len(_LEVELS) + 1, 8), 0.3))
-    squares: np.ndarray = field(default_factory=lambda: np.full((len(CONTEXTS), len(_LEVELS) + 1, 8), 1e-4))
-    cells: np.ndarray = field(default_factory=lambda: 20.0 * np.stack([1 - _squash(np.linspace(-_SPAN, _SPAN, _CELLS)), _squash(np.linspace(-_SPAN, _SPAN, _CELLS))], axis=1)[None].repeat(8, axis=0))
+    weights: np.ndarray = field(default_factory=lambda: np.full((len(CONTEXTS), LEVELS, 8), 0.3))
+    squares: np.ndarray = field(default_factory=lambda: np.full((len(CONTEXTS), LEVELS, 8), 1e-4))
+    cells: np.ndarray = field(default_factory=lambda: _start_cells(8))
 
-    def _inputs(self, table: np.ndarray, h: np.ndarray, node: np.ndarray, bit: np.ndarray | None):
-        """(stretched guess, level of evidence); with ``bit``, as if the event had not been counted."""
-        n = table[_slot(h, node)]
-        n0, n1 = n[:, 0].astype(np.float64), n[:, 1].astype(np.float64)
-        if bit is not None:
-            n1, n0 = np.maximum(n1 - bit, 0), np.maximum(n0 - (1 - bit), 0)
-        return np.log((n1 + _PRIOR) / (n0 + _PRIOR)), np.searchsorted(_LEVELS, n0 + n1)
-
-    def _cell(self, z: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(z, -_SPAN, _SPAN) + _SPAN) * ((_CELLS - 1) / (2 * _SPAN))).astype(np.int64)
-
-    def learn(self, tables: np.ndarray, event: np.ndarray, cls: np.ndarray, weight: np.ndarray, rate: float) -> None:
+    def learn(self, tables: np.ndarray, event: np.ndarray, cls: np.ndarray, rate: float) -> None:
         """One online step over a batch of events, each left out of its own counts; what came after each logit is refined."""
+        flat, weights = [_pairs(t) for t in tables], self.weights.astype(np.float32)
         hashes = [_hash(event >> 8, i, cls) for i in range(len(CONTEXTS))]
-        total = weight.sum()
         for b, node, bit in _decisions(event):
-            inputs = [self._inputs(tables[i], hashes[i], node, bit) for i in range(len(CONTEXTS))]
-            z = sum(self.weights[i, level, b] * st for i, (st, level) in enumerate(inputs))
-            self.cells[b] += np.bincount(2 * self._cell(z) + bit, weights=weight, minlength=2 * _CELLS).reshape(_CELLS, 2)
-            wrong = (_squash(z) - bit) * weight / total
-            for i, (st, level) in enumerate(inputs):
-                g = np.bincount(level, weights=wrong * st, minlength=len(_LEVELS) + 1)
-                self.squares[i, :, b] += g * g
-                self.weights[i, :, b] -= rate * g / np.sqrt(self.squares[i, :, b])
+            ones = bit.astype(np.float32)
+            zeros, z, inputs = np.float32(1) - ones, np.zeros(len(event), dtype=np.float32), []
+            for i, h in enumerate(hashes):
+                n = flat[i].take(_slot(h, node))
+                st, level = _stretch(np.maximum(n.real - zeros, 0), np.maximum(n.imag - ones, 0))
+                z += weights[i, :, b].take(level) * st
+                inputs.append((st, level))
+            self.cells[b] += np.bincount(2 * _cell(z) + bit, minlength=2 * _CELLS).reshape(_CELLS, 2)
+            _step(self.weights[:, :, b], self.squares[:, :, b], inputs, z, ones, rate)
 
     def bits(self, tables: np.ndarray, event: np.ndarray, classes: int) -> np.ndarray:
         """Cost of each event in bits, a column per class."""
-        refined = np.log(self.cells[:, :, 1] / self.cells[:, :, 0])
-        cost = np.zeros((len(event), classes))
+        refined, weights = np.log(self.cells[:, :, 1] / self.cells[:, :, 0]).astype(np.float32), self.weights.astype(np.float32)
+        flat, cost = [_pairs(t) for t in tables], np.zeros((len(event), classes))
         shared = [i for i, (_, by_class) in enumerate(CONTEXTS) if not by_class]
         own = [i for i, (_, by_class) in enumerate(CONTEXTS) if by_class]
         hashes = {i: _hash(event >> 8, i, 0) for i in shared}
         by_class = {(i, k): _hash(event >> 8, i, k) for i in own for k in range(classes)}
+
+        def guess(i: int, h: np.ndarray, node: np.ndarray, b: int) -> np.ndarray:
+            n = flat[i].take(_slot(h, node))
+            st, level = _stretch(n.real, n.imag)
+            return weights[i, :, b].take(level) * st
+
         for b, node, bit in _decisions(event):
-            base = 0.0
-            for i in shared:
-                st, level = self._inputs(tables[i], hashes[i], node, None)
-                base = base + self.weights[i, level, b] * st
+            base = sum(guess(i, hashes[i], node, b) for i in shared)
             for k in range(classes):
-                z = base
-                for i in own:
-                    st, level = self._inputs(tables[i], by_class[i, k], node, None)
-                    z = z + self.weights[i, level, b] * st
-                z = np.clip((z + refined[b, self._cell(z)]) / 2, -16, 16)
-                cost[:, k] += np.logaddexp(0, np.where(bit == 1, -z, z))
+                z = base + sum(guess(i, by_class[i, k], node, b) for i in own)
+                cost[:, k] += _bits_of(z, refined[b], bit)
         return cost / np.log(2)
 
 
@@ -147,7 +173,6 @@ NODES, STEPS = (1 << LENGTH_BITS) + (1 << RANK_BITS), LENGTH_BITS + RANK_BITS -
 START = HEAD + 1
 #: Contexts of the words before: the last one, the last two.
 NEAR = 2
-WORD_LEVELS = 12
 
 
 def rank_decisions(rank: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
@@ -181,20 +206,10 @@ def near_hashes(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
 
 def add_near(tables: np.ndarray, rank: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
     hashes = near_hashes(one, two)
-    for _, which, node, bit in rank_decisions(rank):
-        for k, h in enumerate(hashes):
-            tables[k] += np.bincount(2 * _slot(h[which], node, NEAR_BITS).astype(np.int64) + bit, minlength=2 * NEAR_SLOTS).reshape(NEAR_SLOTS, 2).astype(tables.dtype)
-
-
-def _stretch(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched guess, level of evidence) of float32 counts; the level is the number of bits of their sum."""
-    level = ((n0 + n1 + np.float32(1)).view(np.int32) >> 23) - 127
-    return np.log((n1 + np.float32(_PRIOR)) / (n0 + np.float32(_PRIOR))), np.minimum(level, WORD_LEVELS - 1)
-
-
-def _pairs(table: np.ndarray) -> np.ndarray:
-    """A float32 table of (zeros, ones) as a flat one whose items are taken together."""
-    return np.ascontiguousarray(table).view(np.complex64).reshape(-1)
+    path = list(rank_decisions(rank))
+    for k, h in enumerate(hashes):
+        at = np.concatenate([2 * _slot(h[which], node, NEAR_BITS).astype(np.int64) + bit for _, which, node, bit in path])
+        tables[k] += np.bincount(at, minlength=2 * NEAR_SLOTS).reshape(NEAR_SLOTS, 2).astype(tables.dtype)
 
 
 @dataclass
@@ -204,12 +219,9 @@ class WordMixer:
     A predictor's weight is chosen by the step and by how much evidence it has; a refinement table corrects the mixed logit.
     """
 
-    weights: np.ndarray = field(default_factory=lambda: np.full((2 + NEAR, WORD_LEVELS, STEPS), 0.3))
-    squares: np.ndarray = field(default_factory=lambda: np.full((2 + NEAR, WORD_LEVELS, STEPS), 1e-4))
-    cells: np.ndarray = field(default_factory=lambda: 20.0 * np.stack([1 - _squash(np.linspace(-_SPAN, _SPAN, _CELLS)), _squash(np.linspace(-_SPAN, _SPAN, _CELLS))], axis=1)[None].repeat(STEPS, axis=0))
-
-    def _cell(self, z: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(z, -_SPAN, _SPAN) + np.float32(_SPAN)) * np.float32((_CELLS - 1) / (2 * _SPAN))).astype(np.int64)
+    weights: np.ndarray = field(default_factory=lambda: np.full((2 + NEAR, LEVELS, STEPS), 0.3))
+    squares: np.ndarray = field(default_factory=lambda: np.full((2 + NEAR, LEVELS, STEPS), 1e-4))
+    cells: np.ndarray = field(default_factory=lambda: _start_cells(STEPS))
 
     def learn(self, common: np.ndarray, by_class: np.ndarray, near: np.ndarray, rank, one, two, cls, own, rate: float) -> None:
         """One online step over a batch of words, each left out of its own counts; ``own`` is the class it was counted under."""
@@ -218,7 +230,7 @@ class WordMixer:
         offset, mine = cls * NODES, (cls == own).astype(np.float32)
         for j, which, node, bit in rank_decisions(rank):
             ones = bit.astype(np.float32)
-            zeros, size = np.float32(1) - ones, np.float32(len(ones))
+            zeros = np.float32(1) - ones
             z, inputs = np.zeros(len(ones), dtype=np.float32), []
             for i in range(2 + NEAR):
                 at = node if i == 0 else offset[which] + node if i == 1 else _slot(hashes[i - 2][which], node, NEAR_BITS)
@@ -227,12 +239,8 @@ class WordMixer:
                 st, level = _stretch(np.maximum(n.real - out0, 0), np.maximum(n.imag - out1, 0))
                 z += weights[i, :, j].take(level) * st
                 inputs.append((st, level))
-            self.cells[j] += np.bincount(2 * self._cell(z) + bit, minlength=2 * _CELLS).reshape(_CELLS, 2)
-            wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - ones) / size
-            for i, (st, level) in enumerate(inputs):
-                g = np.bincount(level, weights=wrong * st, minlength=WORD_LEVELS)
-                self.squares[i, :, j] += g * g
-                self.weights[i, :, j] -= rate * g / np.sqrt(self.squares[i, :, j])
+            self.cells[j] += np.bincount(2 * _cell(z) + bit, minlength=2 * _CELLS).reshape(_CELLS, 2)
+            _step(self.weights[:, :, j], self.squares[:, :, j], inputs, z, ones, rate)
 
     def prepared(self, common: np.ndarray, by_class: np.ndarray, near: np.ndarray) -> tuple:
         """Weighted guesses of the nodes, for all texts and by class; guesses and levels of the hashed contexts."""
@@ -259,6 +267,5 @@ class WordMixer:
             for k, (st, level) in enumerate(hashed):
                 at = _slot(hashes[k][which], node, NEAR_BITS)
                 z += weights[2 + k, :, j].take(level.take(at)) * st.take(at)
-            z = np.clip((z + refined[j].take(self._cell(z))) * np.float32(0.5), -16, 16)
-            out[which] += np.log(1 + np.exp(np.where(bit == 1, -z, z)))
+            out[which] += _bits_of(z, refined[j], bit)
         return out / np.float32(np.log(2))

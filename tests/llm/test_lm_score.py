@@ -20,10 +20,10 @@ def test_bytes_of_a_context_add_up_to_one():
     event, _ = word_events([b"banana", b"band", b"can"] * 5)
     add_slots(tables, event, np.ones((len(event), 2), dtype=np.int64))
     model = Mixer()
-    model.learn(tables, event, np.zeros(len(event), dtype=np.int64), np.ones(len(event)), 0.05)
+    model.learn(tables, event, np.zeros(len(event), dtype=np.int64), 0.05)
     for context in (event[3] >> 8, 0, 0x6261):
         cost = model.bits(tables, (context << 8) | np.arange(256), 2)
-        assert np.allclose((2.0**-cost).sum(axis=0), 1)
+        assert np.allclose((2.0**-cost).sum(axis=0), 1, atol=1e-4)
 
 
 @pytest.mark.parametrize("group", ["lang", None])
@@ -172,7 +172,7 @@ def test_score_is_the_plain_loop_s(spark, tmp_path):
             z = 0.0
             for i, s in enumerate(where):
                 n0, n1 = letters[i][s, 0], letters[i][s, 1]
-                z += m.letters.weights[i, sum(n0 + n1 > x for x in mm._LEVELS), q] * math.log((n1 + 0.4) / (n0 + 0.4))
+                z += m.letters.weights[i, min(int(n0 + n1 + 1).bit_length() - 1, 11), q] * math.log((n1 + 0.4) / (n0 + 0.4))
             cell = m.letters.cells[q, round((min(max(z, -8), 8) + 8) * 2)]
             z = min(max((z + math.log(cell[1] / cell[0])) / 2, -16), 16)
             total += math.log2(1 + math.exp(-z if bit else z))
