@@ -136,5 +136,8 @@ def write_metrics(metrics: DataFrame, path: str, hidden: tuple[str, ...] = ()) -
 
 
 def read_images(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,bmp,PNG,JPG,JPEG,GIF,BMP}").load(folder).orderBy("path")
-    return rows.limit(most) if most else rows
+    """Image files of a folder; with ``most``, the first so many by path, chosen before any content is read."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,bmp,PNG,JPG,JPEG,GIF,BMP}").load(folder)
+    if most is None:
+        return rows
+    return rows.join(F.broadcast(rows.select("path").orderBy("path").limit(most)), "path", "left_semi")
