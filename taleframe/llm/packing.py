@@ -270,7 +270,9 @@ def _plans(counts: DataFrame, limit: int, schemes: tuple[tuple[int, float], ...]
         kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("low", "sequence", "offset", "per")]))
         return pa.table({"run": pa.array([key[0].as_py()] * len(by_length), pa.int64()), "length": pa.array(list(by_length), pa.int64()), "runs": pa.array(list(by_length.values()), kind)})
 
-    return counts.groupBy("run").applyInArrow(plan, "run long, length long, runs array<struct<low:long,sequence:long,offset:long,per:long>>")
+    # a plan takes a second or so: runs are dealt to as many tasks as there may be, small as their histograms are
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.repartition(n, "run").groupBy("run").applyInArrow(plan, "run long, length long, runs array<struct<low:long,sequence:long,offset:long,per:long>>")
 
 
 def pack_documents(
