@@ -109,6 +109,19 @@ def _step(weights: np.ndarray, squares: np.ndarray, inputs: list, z: np.ndarray,
         weights[i] -= rate * g / np.sqrt(squares[i])
 
 
+def _own(ones: np.ndarray) -> np.ndarray:
+    """What each event has added to its own counts, as a pair."""
+    out = np.empty(len(ones), dtype=np.complex64)
+    out.real, out.imag = np.float32(1) - ones, ones
+    return out
+
+
+def _without(n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    out = n - own
+    np.maximum(out.view(np.float32), 0, out=out.view(np.float32))
+    return out
+
+
 def _pairs(table: np.ndarray) -> np.ndarray:
     """A float32 table of (zeros, ones) as a flat one whose items are taken together."""
     return np.ascontiguousarray(table).view(np.complex64).reshape(-1)
@@ -132,10 +145,10 @@ class Mixer:
         hashes = [_hash(event >> 8, i, cls) for i in range(len(CONTEXTS))]
         for b, node, bit in _decisions(event):
             ones = bit.astype(np.float32)
-            zeros, z, inputs = np.float32(1) - ones, np.zeros(len(event), dtype=np.float32), []
+            own, z, inputs = _own(ones), np.zeros(len(event), dtype=np.float32), []
             for i, h in enumerate(hashes):
-                n = flat[i].take(_slot(h, node))
-                st, level = _stretch(np.maximum(n.real - zeros, 0), np.maximum(n.imag - ones, 0))
+                n = _without(flat[i].take(_slot(h, node)), own)
+                st, level = _stretch(n.real, n.imag)
                 z += weights[i, :, b].take(level) * st
                 inputs.append((st, level))
             self.cells[b] += np.bincount(2 * _cell(z) + bit, minlength=2 * _CELLS).reshape(_CELLS, 2)
@@ -230,20 +243,18 @@ class WordMixer:
         offset, mine = cls * NODES, (cls == own).astype(np.float32)
         for j, which, node, bit in rank_decisions(rank):
             ones = bit.astype(np.float32)
-            zeros = np.float32(1) - ones
-            z, inputs = np.zeros(len(ones), dtype=np.float32), []
+            out, z, inputs = _own(ones), np.zeros(len(ones), dtype=np.float32), []
             for i in range(2 + NEAR):
                 at = node if i == 0 else offset[which] + node if i == 1 else _slot(hashes[i - 2][which], node, NEAR_BITS)
-                n = tables[i].take(at)
-                out0, out1 = (zeros * mine[which], ones * mine[which]) if i == 1 else (zeros, ones)
-                st, level = _stretch(np.maximum(n.real - out0, 0), np.maximum(n.imag - out1, 0))
+                n = _without(tables[i].take(at), out * mine[which] if i == 1 else out)
+                st, level = _stretch(n.real, n.imag)
                 z += weights[i, :, j].take(level) * st
                 inputs.append((st, level))
             self.cells[j] += np.bincount(2 * _cell(z) + bit, minlength=2 * _CELLS).reshape(_CELLS, 2)
             _step(self.weights[:, :, j], self.squares[:, :, j], inputs, z, ones, rate)
 
     def prepared(self, common: np.ndarray, by_class: np.ndarray, near: np.ndarray) -> tuple:
-        """Weighted guesses of the nodes, for all texts and by class; guesses and levels of the hashed contexts."""
+        """Weighted guesses of the nodes (in all texts and in the class, added up) by class; guesses and levels of the hashed contexts."""
         step = np.zeros(NODES, dtype=np.int64)  # a node belongs to one step
         for j, _, node, _ in rank_decisions(np.arange(HEAD + 1)):
             step[node] = j
@@ -256,14 +267,14 @@ class WordMixer:
             st, level = _stretch(n[:, 0], n[:, 1])
             hashed.append((st, level.astype(np.uint8)))
         refined = np.log(self.cells[:, :, 1] / self.cells[:, :, 0]).astype(np.float32)
-        return fixed[0][0], fixed[1].reshape(-1), hashed, self.weights.astype(np.float32), refined
+        return (fixed[0] + fixed[1]).reshape(-1), hashed, self.weights.astype(np.float32), refined
 
     def cost(self, prepared: tuple, rank, one, two, cls) -> np.ndarray:
         """Bits of each word's decisions."""
-        common, by_class, hashed, weights, refined = prepared
+        fixed, hashed, weights, refined = prepared
         hashes, out, offset = near_hashes(one, two), np.zeros(len(rank), dtype=np.float32), cls * NODES
         for j, which, node, bit in rank_decisions(rank):
-            z = common.take(node) + by_class.take(offset[which] + node)
+            z = fixed.take(offset[which] + node)
             for k, (st, level) in enumerate(hashed):
                 at = _slot(hashes[k][which], node, NEAR_BITS)
                 z += weights[2 + k, :, j].take(level.take(at)) * st.take(at)
