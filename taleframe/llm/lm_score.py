@@ -30,7 +30,7 @@ from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR, NEAR_SLOTS, SLOTS,
 CLASSES = 7
 #: Bytes of a word with a rank, at most; longer ones are spelled.
 HEAD_BYTES = 256
-RATE, STEP = 0.06, 16384
+RATE, STEP = 0.06, 32768
 #: Words that are encoded at once.
 BATCH_WORDS = 1 << 17
 _HELD, _READ = 400_000, 1 << 27
