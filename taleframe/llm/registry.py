@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from taleframe.llm import bm25, chat, language, lm_score, minhash, mixing, near_vectors, packing, pii, url_filter
+from taleframe.llm import bm25, chat, conversation_trie, filter_audit, language, lm_score, minhash, mixing, near_vectors, packing, pii, url_filter, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_warc": warc.op13_warc,
 }
 ORACLE_SQL = {
     "op7_bm25": bm25.OP7_SQL,
@@ -26,4 +29,7 @@ ORACLE_SQL = {
     "op8_pii": pii.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_conversation_trie": conversation_trie.OP12_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
