@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import pairwise, permutations
 
@@ -94,9 +95,10 @@ def audit(counts: DataFrame) -> DataFrame:
         seen = 0
         for k, letter in enumerate(order, 1):
             bit = 1 << FILTERS.index(letter)
-            steps.append(F.struct(F.lit(order).alias("filter_order"), F.lit(k).alias("step"), F.lit(bit).alias("bit"), F.lit(seen).alias("before")))
+            steps.append({"filter_order": order, "step": k, "bit": bit, "before": seen})
             seen |= bit
-    each = counts.select("part", *tables.values()).withColumn("s", F.explode(F.array(*steps)))
+    every = F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order: string, step: int, bit: int, before: int>>")  # one constant
+    each = counts.select("part", *tables.values()).withColumn("s", F.explode(every))
     bit, before = F.col("s.bit"), F.col("s.before")
     total = lambda kind, test: F.aggregate(F.filter(kind, lambda x: test(x["mask"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     here = lambda m: (m.bitwiseAND(bit) != 0) & (m.bitwiseAND(before) == 0)
