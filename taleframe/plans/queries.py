@@ -507,20 +507,54 @@ def frame_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("vec_id").alias("a"), "b", F.round(geometry.similarity(F.col("embedding"), F.col("e2")), 5).alias("similarity"))
 
 
-@query("""SELECT story_id, round(quantile_cont(score, 0.75), 6) AS p75, quantile_cont(score, 0.75) >= 0.0501::double AND (stddev_pop(score) = 0 OR avg(score) - quantile_cont(score, 0.75) <= 1.5 * stddev_pop(score)) AS admitted FROM ref_det GROUP BY story_id""")
+@query("""WITH m AS (SELECT story_id, avg(score) FILTER (pos % 2 = 1) AS mean, stddev_pop(score) FILTER (pos % 2 = 1) AS spread, quantile_cont(score, 0.75) FILTER (pos % 2 = 0) AS p75 FROM ref_det GROUP BY story_id)
+SELECT story_id, round(p75, 6) AS p75, p75 >= 0.0301::double AND (spread = 0 OR mean - p75 <= 0.5::double * spread) AS admitted FROM m WHERE p75 IS NOT NULL""")
 def admission_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether scores of a story would admit a detection to a match."""
-    d = view(spark, sf_dir, "ref_det").groupBy("story_id").agg(F.collect_list("score").alias("s"))
-    return d.select("story_id", r6(geometry.percentile(F.col("s"), 0.75)).alias("p75"), geometry.admission(F.col("s"), 0.0501, 1.5).alias("admitted"))
+    """Whether every other score of a story would be admitted to a match whose last admission left the rest."""
+    own, left = F.col("pos") % 2 == 0, F.when(F.col("pos") % 2 == 1, F.col("score"))
+    d = view(spark, sf_dir, "ref_det").groupBy("story_id").agg(F.collect_list(F.when(own, F.col("score"))).alias("s"), F.avg(left).alias("mean"), F.stddev_pop(left).alias("spread"))
+    admitted = geometry.admission(F.col("s"), F.col("mean"), F.col("spread"), 0.0301, 0.5)
+    return d.where("size(s) > 0").select("story_id", r6(geometry.percentile(F.col("s"), 0.75)).alias("p75"), admitted.alias("admitted"))
+
+
+def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as detections: fifty make a story of five frames, one label in three is a person's, and some people show a face."""
+    e, label = table(spark, sf_dir, "embeddings"), F.col("label")
+    name = F.when(label % 3 == 0, F.lit("person")).otherwise(F.concat(F.lit("thing"), label.cast("string")))
+    face = F.when((label % 3 == 0) & (F.col("vec_id") % 4 != 0), F.slice("embedding", 1, 16))
+    return e.where("label is not null").select(F.floor(F.col("vec_id") / 50).alias("story"), name.alias("label"), (F.floor(F.col("vec_id") / 10) % 5).cast("int").alias("frame"), F.col("vec_id").alias("pos"), F.col("embedding").alias("clip"), face.alias("face"))
+
+
+#: Thresholds of the queries over vectors, which are less alike than crops of images.
+MATCHING = {"threshold": 0.5, "face_threshold": 0.0, "factor": 0.5}
 
 
 @query()
 def matched_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities across frames: vectors of one label in one story, greedily matched; fifty vectors make a story of five frames."""
-    e = table(spark, sf_dir, "embeddings")
-    d = e.select(F.floor(F.col("vec_id") / 50).alias("story"), F.concat(F.lit("thing"), F.col("label").cast("string")).alias("label"), (F.floor(F.col("vec_id") / 10) % 5).cast("int").alias("frame"), F.col("vec_id").alias("pos"), F.col("embedding").alias("clip"))
-    m = matching.match_entities(d, threshold=0.55)
-    return m.join(matching.entity_prefixes(m), ["story", "label", "match"]).select("story", "entity_id", "member", "frame", "pos", r6("similarity").alias("similarity"))
+    """Entities across frames: vectors of one label in one story, greedily matched by faces and images."""
+    m = matching.match_entities(vector_frames(spark, sf_dir), **MATCHING)
+    state = [r6(c).alias(c) for c in ("similarity", "spread", "face_similarity", "face_spread")]
+    return m.join(matching.entity_prefixes(m), ["story", "label", "match"]).select("story", "entity_id", "member", "frame", "pos", *state)
+
+
+@query()
+def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a story by what their last admission left; people without a face take no part and single members go."""
+    m = matching.match_entities(vector_frames(spark, sf_dir), **MATCHING, require_face=True, keep_single=False)
+    return matching.rank_matches(m).select("story", "label", "match", "members", "rank", r6("best").alias("best"))
+
+
+@query()
+def assigned_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of people by story: a face in each box, of which small ones fall away; every third person has a mask."""
+    d = view(spark, sf_dir, "ref_det").where("label = 'person'")
+    x, y, w, h = (F.col(c) * 1000 for c in "xywh")
+    cell = lambda k: (F.col("pos") + k) % 2
+    mask = F.when(F.col("pos") % 3 == 0, F.array(F.array(cell(0), cell(1)), F.array(cell(1), F.lit(1).cast("int"))))
+    people = d.select(F.col("story_id").alias("frame"), "pos", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), mask.alias("mask"))
+    side = w / 4 + 20
+    faces = d.select(F.col("story_id").alias("frame"), F.col("pos").alias("face"), (F.lit(0.6) + F.col("score") * 4).alias("confidence"), (x + w / 3).alias("x1"), (y + h / 5).alias("y1"), (x + w / 3 + side).alias("x2"), (y + h / 5 + side * 0.8).alias("y2"))
+    return matching.assign_faces(people, faces)
 
 
 # --- chat and language ----------------------------------------------------------------------------------

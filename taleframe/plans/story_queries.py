@@ -70,6 +70,15 @@ def thing_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.segment_detections(s).where("is_thing").select("id", "x", "y", "w", "h")
 
 
+@query()
+def area_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes over clusters of the pixels that an order's lines fill, two squares a line: what has no tight box because it is no thing."""
+    line, at = table(spark, sf_dir, "lineitem"), F.explode(F.sequence(F.lit(0), F.lit(35)))
+    pixel = F.struct((F.col("l_partkey") % 60 + F.floor(F.col("k") / 6)).alias("x"), (F.col("l_suppkey") % 60 + F.col("k") % 6).alias("y"))
+    s = line.select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey", at.alias("k")).groupBy("id").agg(F.collect_set(pixel).alias("points")).withColumn("label_id", F.lit(detections.LAST_THING + 1))
+    return detections.segment_detections(s).where("not is_thing").select("id", "k", "x", "y", "w", "h")
+
+
 @query("""SELECT story_id, pos, trunc((x + w / 4) * 640)::int AS x1, trunc((y + h) * 480)::int AS y2,
   coalesce(CASE WHEN cx >= 0 AND cx < 3 AND cy >= 0 AND cy < 2 THEN [[1, 0, 1], [0, 1, 1]][cy + 1][cx + 1] = 1 END, false) AS on_mask FROM (
   SELECT *, trunc((x + w / 4 + x + w * 1.2::double) / 2 / 1 * 0 + ((x + w / 4 + (x + w * 1.2::double)) / 2 - x) / w * 3)::int AS cx, trunc(((y + y + h) / 2 - y) / h * 2)::int AS cy FROM ref_det)""")
@@ -98,13 +107,15 @@ def merged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.merge_detections(shape(d.where("label <> 'person'"), 0), shape(d.where("label = 'person'"), 100), shape(view(spark, sf_dir, "cand_det"), 200))
 
 
-@query("""SELECT label, n AS members, round(CASE WHEN n > 1 THEN (s + f) / (n + 1) ELSE s END, 6) AS first FROM (
-  SELECT label, count(*) AS n, sum(embedding[1]::double) AS s, arg_min(embedding[1]::double, vec_id) AS f FROM embeddings WHERE label IS NOT NULL GROUP BY label)""")
+@query("""SELECT vec_id // 50 AS story, label, k - 1 AS coordinate, count(*) AS members,
+  round(CASE WHEN count(*) > 1 THEN (sum(v) + arg_min(v, vec_id)) / (count(*) + 1) ELSE sum(v) END, 6) AS value
+FROM (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::double AS v FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL""")
 def match_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centroids of matches; here a label's vectors, by id, are one match."""
-    e = table(spark, sf_dir, "embeddings").where("label is not null").select(F.lit(0).alias("story"), "label", F.col("label").alias("match"), F.col("vec_id").alias("member"), F.slice("embedding", 1, 4).alias("clip"))
-    c = matching.match_centroids(e)
-    return c.select("label", F.col("members").cast("long").alias("members"), r6(F.col("centroid")[0]).alias("first"))
+    """Centroids of matches, every coordinate; here the vectors of a label in a story, by id, are one match."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null")
+    m = e.select(F.floor(F.col("vec_id") / 50).alias("story"), "label", F.col("label").alias("match"), F.col("vec_id").alias("member"), F.col("embedding").alias("clip"))
+    c = matching.match_centroids(m).select("story", "label", F.col("members").cast("long").alias("members"), F.posexplode("centroid").alias("coordinate", "value"))
+    return c.select("story", "label", F.col("coordinate").cast("long").alias("coordinate"), "members", r6("value").alias("value"))
 
 
 # --- stories and samples --------------------------------------------------------------------------------

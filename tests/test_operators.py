@@ -40,33 +40,6 @@ def test_entities_match_across_frames(spark):
     assert matching.rank_matches(m).count() == 2 and matching.entity_prefixes(m).count() == 2
 
 
-def test_entities_equal_a_loop_over_pairs(spark):
-    rng = np.random.default_rng(6)
-    rows = [(s, label, int(rng.integers(0, 5)), k, [float(x) for x in rng.normal(size=4)]) for s in range(3) for label in "ab" for k in range(30)]
-    m = matching.match_entities(spark.createDataFrame(rows, "story long, label string, frame int, pos long, clip array<double>"), threshold=0.6)
-    got = sorted((r["story"], r["label"], r["match"], r["member"], r["pos"], round(r["similarity"], 9)) for r in m.collect())
-    want = []
-    for story, label in sorted({r[:2] for r in rows}):
-        mine = sorted((r for r in rows if r[:2] == (story, label)), key=lambda r: r[2:4])
-        e = np.array([r[4] for r in mine])
-        sim = ((e @ e.T) / np.outer(np.linalg.norm(e, axis=1), np.linalg.norm(e, axis=1)) + 1) / 2
-        free, match = list(range(len(mine))), 0
-        while free:
-            members, i, mean = [], free[0], 0.0
-            while i is not None:
-                want.append((story, label, match, len(members), mine[i][3], round(mean, 9)))
-                members.append(i)
-                free.remove(i)
-                i = None
-                for j in free:
-                    s = sim[j, members]
-                    if mine[j][2] not in {mine[k][2] for k in members} and np.percentile(s, 75) >= 0.6 and (s.std() <= 0 or s.mean() - np.percentile(s, 75) <= 1.5 * s.std()):
-                        i, mean = j, float(s.mean())
-                        break
-            match += 1
-    assert got == sorted(want)
-
-
 def test_faces_overrule_images_of_people(spark):
     one, other = [1.0, 0.0], [0.0, 1.0]
     seen = [(0, one), (1, other), (2, one), (3, None)]
@@ -79,19 +52,6 @@ def test_faces_overrule_images_of_people(spark):
     assert {k: sorted(v) for k, v in got.items()} == {("Person", 0): [0, 2, 3], ("Person", 1): [1], ("thing", 0): [0, 1, 2, 3]}
 
 
-def test_faces_go_to_the_smaller_box_first(spark):
-    people = spark.createDataFrame([(0, 0, 0.0, 0.0, 500.0, 500.0), (0, 1, 100.0, 100.0, 200.0, 200.0)], "frame int, pos long, x double, y double, w double, h double")
-    faces = spark.createDataFrame([(0, 7, 0.9, 140.0, 140.0, 260.0, 260.0), (0, 8, 0.6, 0.0, 0.0, 200.0, 200.0)], "frame int, face long, confidence double, x1 double, y1 double, x2 double, y2 double")
-    assert [(r["pos"], r["face"]) for r in matching.assign_faces(people, faces).collect()] == [(1, 7)]
-
-
-def test_mask_boxes_cover_two_blocks(spark):
-    points = [(float(x + d), float(y)) for d in (0, 50) for x in range(5) for y in range(5)]
-    rows = [(1, [{"x": x, "y": y} for x, y in points])]
-    got = matching.mask_boxes(spark.createDataFrame(rows, "id long, points array<struct<x:double,y:double>>")).collect()
-    assert sorted((r["x"], r["w"]) for r in got) == [(0.0, 5.0), (50.0, 5.0)]
-
-
 def test_packing_drops_the_rest_of_a_film(spark):
     rows = [(i, f"m_scene_{s}_{i:03d}", p) for i, (s, p) in enumerate([(1, False)] * 3 + [(10, True)] * 3 + [(2, True)] * 4)]
     got = stories.pack_stories(spark.createDataFrame(rows, "pos long, image_id string, has_person boolean")).collect()
