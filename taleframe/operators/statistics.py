@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from taleframe.functions import text
 from taleframe.functions.text import bind
+from taleframe.operators import names
 
 # Pronouns by kind, as references are counted.
 SUBJECT = ("he", "she", "they", "I", "we", "you")
 POSSESSIVE = ("his", "her", "their", "my", "our", "your")
 OBJECT = ("him", "them", "me", "us")
-# Pronouns by kind, as words of a text are counted.
-TEXT_SUBJECT = ("i", "you", "he", "she", "it", "we", "they")
+# Pronouns by kind, as words of a text are counted; those are lower-cased, so "I" never is.
+TEXT_SUBJECT = ("I", "you", "he", "she", "it", "we", "they")
 TEXT_POSSESSIVE = ("my", "your", "his", "her", "its", "our", "their")
 TEXT_OBJECT = ("me", "you", "him", "her", "it", "us", "them")
-#: A small valence lexicon of our own; a scorer with a full one can take its place.
-VALENCE = {"good": 1.9, "happy": 2.7, "love": 3.2, "bright": 1.9, "calm": 1.3, "smile": 2.0, "bad": -2.5, "sad": -2.1, "fear": -2.2, "dark": -1.4, "anger": -2.7, "cry": -2.1}
 
 
 def frame_stats(stories: DataFrame) -> DataFrame:
@@ -89,13 +88,15 @@ def tag_statistics(stories: DataFrame) -> DataFrame:
 
 def ungrounded_pronouns(stories: DataFrame) -> DataFrame:
     """story_id, pronoun, total, grounded, ungrounded: every word of the text that is a pronoun; no parser decides on it."""
+    every = F.array(*map(F.lit, sorted(set(TEXT_SUBJECT + TEXT_POSSESSIVE + TEXT_OBJECT))))
+    only = lambda a: F.filter(a, lambda x: F.array_contains(every, x))
     words = F.regexp_extract_all(F.lower(text.strip_story_tags(F.col("text"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     refs = F.transform(F.regexp_extract_all("text", F.lit(r"(?s)<gdo char\d+[^>]*>(.*?)</gdo>"), F.lit(1)), F.lower)
-    every = sorted(set(TEXT_SUBJECT + TEXT_POSSESSIVE + TEXT_OBJECT))
-    d = stories.select("story_id", words.alias("w"), refs.alias("r")).withColumn("pronoun", F.explode(F.array(*map(F.lit, every))))
+    d = stories.select("story_id", only(words).alias("w"), only(refs).alias("r"))
+    d = d.select("story_id", "w", "r", F.explode(F.array_distinct("w")).alias("pronoun"))
     count = lambda a: F.size(F.filter(a, lambda x: x == F.col("pronoun")))
     d = d.select("story_id", "pronoun", count("w").alias("total"), count("r").alias("grounded"))
-    return d.where("total > 0").withColumn("ungrounded", F.greatest(F.lit(0), F.col("total") - F.col("grounded")))
+    return d.withColumn("ungrounded", F.greatest(F.lit(0), F.col("total") - F.col("grounded")))
 
 
 def tag_density_by_phase(phases: DataFrame, images: DataFrame) -> DataFrame:
@@ -144,30 +145,17 @@ def mean_by_key(rows: DataFrame, key: str, value: str) -> DataFrame:
 def by_person(pronouns: DataFrame, value: str) -> DataFrame:
     """person, mean: first, second and third person; 0 for none."""
     # Grammatical person of pronouns.
-    groups = {"first": ("i", "me", "my", "we", "us", "our"), "second": ("you", "your"), "third": ("he", "she", "it", "they", "him", "her", "them", "his", "its", "their")}
+    groups = {"first": ("I", "me", "my", "we", "us", "our"), "second": ("you", "your"), "third": ("he", "she", "it", "they", "him", "her", "its", "their", "them")}
     return pronouns.agg(*[F.coalesce(F.avg(F.when(F.col("pronoun").isin(*g), F.col(value))), F.lit(0.0)).alias(k) for k, g in groups.items()]).unpivot([], list(groups), "person", "mean")
 
 
-def sentiment(c: Column) -> Column:
-    """Compound valence between -1 and 1 of a text under the small lexicon."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}']+"), F.lit(0))
-    scores = F.create_map(*[x for k, v in VALENCE.items() for x in (F.lit(k), F.lit(v))])
-    total = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(scores, w), F.lit(0.0)))
-    return total / F.sqrt(total * total + 15)
-
-
-def sentiment_split(rows: DataFrame, value: str) -> DataFrame:
-    v = F.col(value)
-    return rows.agg(F.coalesce(F.avg(F.when(v > 0, v)), F.lit(0.0)).alias("positive"), F.coalesce(F.abs(F.avg(F.when(v < 0, v))), F.lit(0.0)).alias("negative"), F.count_if(v > 0).alias("n_positive"), F.count_if(v < 0).alias("n_negative"))
-
-
 def pronoun_ranking(pronouns: DataFrame, value: str) -> DataFrame:
     """pronoun, kind, mean, rank: pronouns by falling mean, with their kind; 0 for those without a value."""
     means = pronouns.groupBy("pronoun").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
     p = F.col("pronoun")
     kind = F.when(p.isin(*TEXT_SUBJECT), "subject").when(p.isin(*TEXT_POSSESSIVE), "possessive").otherwise("object")
     # a language has few pronouns, so one window over all of them is small
-    return means.select("pronoun", kind.alias("kind"), "mean", F.row_number().over(Window.orderBy(F.desc("mean"), "pronoun")).alias("rank"))
+    return means.select("pronoun", kind.alias("kind"), "mean", F.row_number().over(Window.orderBy(F.desc(F.round("mean", 9)), "pronoun")).alias("rank"))
 
 
 def _multi_frame(images: Column, ids: Callable[[Column], Column]) -> Column:
@@ -191,13 +179,15 @@ def story_statistics(samples: DataFrame) -> DataFrame:
     kinds = {"pronouns": TEXT_SUBJECT + TEXT_POSSESSIVE + TEXT_OBJECT, "subject_pronouns": TEXT_SUBJECT, "possessive_pronouns": TEXT_POSSESSIVE}
     share = lambda c, k: F.sum(F.when(F.col("pronoun").isin(*k), F.col(c)))
     loose = said.groupBy("story_id").agg(*[(share("ungrounded", k) * 100 / share("total", k)).alias(f"ungrounded_{n}") for n, k in kinds.items()])
-    return shape.join(tags, "story_id").join(loose, "story_id", "left")
+    share = F.sum("ungrounded") * 100 / F.sum("total")
+    nouns = names.proper_nouns(samples.select("story_id", F.col("story").alias("text"))).groupBy("story_id").agg(share.alias("ungrounded_nouns"))
+    return shape.join(tags, "story_id").join(loose, "story_id", "left").join(nouns, "story_id", "left")
 
 
 def dataset_statistics(samples: DataFrame) -> DataFrame:
     """metric, value: the statistics of a dataset of samples (story_id, frames, cot, story) in long form, 0 where nothing counts.
 
-    Shares of ungrounded nouns need a tagger and are not among them; shares by pronoun come as ``ungrounded_<pronoun>``.
+    Nouns are those of ``names.proper_nouns``, which stands in for a tagger; shares by pronoun come as ``ungrounded_<pronoun>``.
     """
     per = story_statistics(samples)
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
@@ -209,6 +199,7 @@ def dataset_statistics(samples: DataFrame) -> DataFrame:
         "avg_entity_refs": mean("total_refs"), "avg_char_refs": mean("character_refs"), "avg_obj_refs": mean("object_refs"), "avg_setting_refs": mean("setting_refs"), "avg_action_refs": mean("action_refs"),
         "avg_pronoun_pct": with_refs("pronoun_refs"), "avg_subject_pronoun_pct": with_refs("subject_refs"), "avg_possessive_pronoun_pct": with_refs("possessive_refs"),
         "avg_ungrounded_pronouns_pct": mean("ungrounded_pronouns"), "avg_ungrounded_subject_pronouns_pct": mean("ungrounded_subject_pronouns"), "avg_ungrounded_possessive_pronouns_pct": mean("ungrounded_possessive_pronouns"),
+        "avg_ungrounded_proper_nouns_pct": mean("ungrounded_nouns"),
         "avg_chars_per_image": an_image("n_characters"), "avg_objs_per_image": an_image("n_objects"), "avg_settings_per_image": an_image("n_settings"),
         "pct_complete_narratives": mean("complete") * 100, "avg_words_per_story": mean("words"), "avg_distinct_chars": mean("distinct_characters"), "avg_char_actions": mean("character_actions"),
     }

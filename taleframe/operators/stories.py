@@ -130,9 +130,12 @@ def landmark_detections(annotations: DataFrame, least: float = 0.7, most: int =
 
 
 def resolve_boxes(landmarks: DataFrame, detections: DataFrame, required: bool = False) -> DataFrame:
-    """Landmarks with the box of the detection that they name, else their own grid box; only named ones if required."""
+    """Landmarks with the box of the detection that they name; one that names none has its own grid box, unless a name is required.
+
+    A landmark that names a detection that is not there goes.
+    """
     boxes = detections.select("image_id", F.col("global_id").alias("use_box_id"), F.struct("x", "y", "w", "h").alias("found"))
     joined = landmarks.join(boxes, ["image_id", "use_box_id"], "left")
     own = geometry.from_grid(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    done = joined.withColumn("box", F.coalesce("found", F.when(F.lit(not required), own)))
+    done = joined.withColumn("box", F.coalesce("found", F.when(F.col("use_box_id").isNull() & F.lit(not required), own)))
     return done.where("box is not null").drop("found")

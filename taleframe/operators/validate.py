@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from taleframe.functions import geometry, text
 
 
+def _image_fault(i: Column, width: Column, height: Column) -> Column:
+    """The first rule that one image of a description breaks."""
+    none_but = lambda rows, test: F.exists(rows, lambda r: ~test(r))
+    boxed = lambda r: geometry.box_is_valid(r["bounding_box"], width, height)
+    return F.coalesce(
+        F.when(none_but(i["characters"], lambda c: F.startswith(c["character_id"], F.lit("char"))), F.lit("character id")),
+        F.when(none_but(i["objects"], lambda o: F.rlike(o["object_id"], F.lit("^(obj|lm|bg)"))), F.lit("object id")),
+        F.when(F.size(i["settings"]) == 0, F.lit("no setting")),
+        F.when(none_but(i["characters"], boxed) | none_but(i["objects"], boxed), F.lit("bounding box")),
+    )
+
+
 def scene_fault(scenes: Column, phases: Column, n_images: Column, width: Column, height: Column) -> Column:
-    """The first rule that a description breaks, null if none: image count, ids, settings, boxes, phases."""
-    any_image = lambda test: F.exists(scenes, test)
-    bad_char = any_image(lambda i: F.exists(i["characters"], lambda c: ~F.startswith(c["character_id"], F.lit("char"))))
-    bad_object = any_image(lambda i: F.exists(i["objects"], lambda o: ~F.rlike(o["object_id"], F.lit("^(obj|lm|bg)"))))
-    no_setting = any_image(lambda i: F.size(i["settings"]) == 0)
-    boxes = lambda i: F.concat(F.transform(i["characters"], lambda c: c["bounding_box"]), F.transform(i["objects"], lambda o: o["bounding_box"]))
-    bad_box = any_image(lambda i: F.exists(boxes(i), lambda b: ~geometry.box_is_valid(b, width, height)))
+    """The first rule that a description breaks, null if none: the count of images, then ids, settings and boxes image by image, then phases."""
+    in_images = F.filter(F.transform(scenes, lambda i: _image_fault(i, width, height)), lambda f: f.isNotNull())
     missing = F.array_except(F.array(*map(F.lit, text.NARRATIVE_PHASES)), F.transform(phases, lambda p: p["narrative_phase"]))
     return F.coalesce(
         F.when(F.size(scenes) != n_images, F.lit("image count")),
-        F.when(bad_char, F.lit("character id")),
-        F.when(bad_object, F.lit("object id")),
-        F.when(no_setting, F.lit("no setting")),
-        F.when(bad_box, F.lit("bounding box")),
+        F.try_element_at(in_images, F.lit(1)),
+        F.when(F.size(phases) == 0, F.lit("no narrative structure")),
         F.when(F.size(missing) > 0, F.concat(F.lit("missing phases: "), F.array_join(missing, ", "))),
     )
 

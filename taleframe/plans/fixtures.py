@@ -29,11 +29,12 @@ ENTITY = f"""SELECT DISTINCT l_orderkey AS story_id,
 FRAME = """SELECT o_orderkey AS pos, concat('m', CAST(o_custkey % 20 AS VARCHAR(9)), '_scene_', lpad(CAST(o_orderkey % 12 AS VARCHAR(9)), 3, '0'), '_', lpad(CAST(o_orderkey AS VARCHAR(9)), 9, '0')) AS image_id,
   o_orderpriority LIKE '1%' AS has_person FROM orders"""
 
-#: A tagged sentence for each line, images in order.
+#: A tagged sentence for each line, images in order: pronouns of every kind, names, some of them outside tags.
 STORY = f"""SELECT l_orderkey AS story_id, {_POS} AS pos, 1 + (l_linenumber - 1) % 5 AS image_number,
   concat(CASE l_returnflag WHEN 'R' THEN '<gdo char' WHEN 'A' THEN '<gdo obj' ELSE '<gdl bg' END, CAST(l_suppkey % 6 AS VARCHAR(9)), '>',
-         CASE WHEN l_linenumber % 2 = 0 THEN 'She' ELSE 'the thing' END, CASE WHEN l_returnflag IN ('R', 'A') THEN '</gdo>' ELSE '</gdl>' END,
-         CASE WHEN l_linenumber % 3 = 0 THEN ' <gda char1>walks on</gda>' ELSE ' waits' END) AS sentence FROM lineitem"""
+         CASE l_partkey % 10 WHEN 0 THEN 'She' WHEN 1 THEN 'he' WHEN 2 THEN 'I' WHEN 3 THEN 'His' WHEN 4 THEN 'them' WHEN 5 THEN 'you' WHEN 6 THEN 'its' WHEN 7 THEN 'our' WHEN 8 THEN 'Mary Stone' ELSE 'the thing' END,
+         CASE WHEN l_returnflag IN ('R', 'A') THEN '</gdo>' ELSE '</gdl>' END,
+         CASE WHEN l_linenumber % 3 = 0 THEN ' <gda char1>walks on</gda> with her.' WHEN l_suppkey % 7 = 0 THEN ' and Tom waits for him' WHEN l_suppkey % 7 = 1 THEN ' meets Mary' ELSE ' waits.' END) AS sentence FROM lineitem"""
 
 RATINGS = """SELECT doc_id AS item, 0 AS coder, CAST(quality AS DOUBLE) AS value FROM labels
   UNION ALL SELECT doc_id, 1, CAST(toxic AS DOUBLE) FROM labels UNION ALL SELECT doc_id, 2, CAST(doc_id % 3 AS DOUBLE) FROM labels"""

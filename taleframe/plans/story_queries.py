@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taleframe.functions import text
 from taleframe.operators import chat, detections, evaluate, matching, metrics, statistics, stories, validate
 from taleframe.plans.fixtures import view
-from taleframe.plans.queries import _RUN, _TAGGED, query, r6, scene_texts, table, tagged
+from taleframe.plans.queries import _NAMES, _POSSESSIVES, _REFS, _RUN, _SAID, _SUBJECTS, _TAGGED, query, r6, scene_texts, table, tagged
 from taleframe.sources import story_files
 
 # --- detections -----------------------------------------------------------------------------------------
@@ -168,27 +168,29 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cot.join(tagged(spark, sf_dir).select("story_id", F.col("text").alias("story")), "story_id")
 
 
-_STATS = rf"""{_TAGGED}, {_RUN},
+_STATS = rf"""{_SAID}, {_NAMES}, {_RUN},
 e AS (SELECT story_id, image_number, entity_id, entity_id LIKE 'char%' AS c, entity_id LIKE 'bg%' AS b FROM entity_frame JOIN run USING (story_id, image_number)),
 sp AS (SELECT story_id, entity_id, c, count(*) AS n FROM e WHERE NOT b GROUP BY ALL),
 mf AS (SELECT story_id, avg((n >= 2)::int) FILTER (c) * 100 AS mc, avg((n >= 2)::int) FILTER (NOT c) * 100 AS mo FROM sp GROUP BY story_id),
 sh AS (SELECT f.story_id, f.frames, coalesce(count(DISTINCT e.image_number), 0) AS images, count(*) FILTER (c) AS nc, count(*) FILTER (NOT c) AS no FROM (SELECT story_id, count(DISTINCT image_number) AS frames FROM entity_frame GROUP BY story_id) f LEFT JOIN e USING (story_id) GROUP BY ALL),
 tg AS (SELECT story_id, len(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>.*?</gdo>')) AS cr, len(regexp_extract_all(text, '(?s)<gdo obj\d+[^>]*>.*?</gdo>')) AS orf, len(regexp_extract_all(text, '(?s)<gda[^>]*>.*?</gda>')) AS ar, len(regexp_extract_all(text, '(?s)<gdl[^>]*>.*?</gdl>')) AS sr,
-  len(list_distinct(regexp_extract_all(text, '<gdo char(\d+)', 1))) AS dc, len(list_filter(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>(.*?)</gdo>', 1), lambda r: lower(r) = 'she')) AS pr, len(regexp_extract_all(text, '<gda char\d+')) AS ca,
-  len(regexp_extract_all(regexp_replace(text, '<[^>]+>', '', 'g'), '[\p{{L}}\p{{N}}_]+')) AS words, len(list_filter(regexp_extract_all(lower(regexp_replace(text, '<[^>]+>', '', 'g')), '[\p{{L}}\p{{N}}_]+'), lambda x: x = 'she')) AS she FROM tagged),
-u AS (SELECT story_id, greatest(0, she - pr) * 100.0::double / she AS u FROM tg WHERE she > 0)"""
+  len(list_distinct(regexp_extract_all(text, '<gdo char(\d+)', 1))) AS dc, len(list_filter(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>(.*?)</gdo>', 1), lambda r: lower(r) IN {_REFS})) AS pr, len(list_filter(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>(.*?)</gdo>', 1), lambda r: lower(r) IN ('he', 'she', 'they', 'we', 'you'))) AS ps, len(list_filter(regexp_extract_all(text, '(?s)<gdo char\d+[^>]*>(.*?)</gdo>', 1), lambda r: lower(r) IN ('his', 'her', 'their', 'my', 'our', 'your'))) AS pp, len(regexp_extract_all(text, '<gda char\d+')) AS ca,
+  len(regexp_extract_all(regexp_replace(text, '<[^>]+>', '', 'g'), '[\p{{L}}\p{{N}}_]+')) AS words FROM tagged),
+u AS (SELECT story_id, sum(ungrounded) * 100.0::double / sum(total) AS u, sum(ungrounded) FILTER (pronoun IN {_SUBJECTS}) * 100.0::double / sum(total) FILTER (pronoun IN {_SUBJECTS}) AS us,
+  sum(ungrounded) FILTER (pronoun IN {_POSSESSIVES}) * 100.0::double / sum(total) FILTER (pronoun IN {_POSSESSIVES}) AS up FROM said GROUP BY story_id),
+nn AS (SELECT story_id, sum(ungrounded) * 100.0::double / sum(total) AS un FROM nouns GROUP BY story_id)"""
 _MEANS = {
     "total_stories": "count(*)::double", "avg_frames_per_story": "avg(frames)", "max_frames_per_story": "max(frames)::double", "pct_chars_multi_frame": "avg(mc)", "pct_objs_multi_frame": "avg(mo)",
     "avg_entity_refs": "avg(cr + orf + ar + sr)", "avg_char_refs": "avg(cr)", "avg_obj_refs": "avg(orf)", "avg_setting_refs": "avg(sr)", "avg_action_refs": "avg(ar)",
-    "avg_pronoun_pct": "avg(CASE WHEN cr > 0 THEN pr * 100.0::double / cr END)", "avg_subject_pronoun_pct": "avg(CASE WHEN cr > 0 THEN pr * 100.0::double / cr END)", "avg_possessive_pronoun_pct": "0",
-    "avg_ungrounded_pronouns_pct": "avg(u)", "avg_ungrounded_subject_pronouns_pct": "avg(u)", "avg_ungrounded_possessive_pronouns_pct": "0",
+    "avg_pronoun_pct": "avg(CASE WHEN cr > 0 THEN pr * 100.0::double / cr END)", "avg_subject_pronoun_pct": "avg(CASE WHEN cr > 0 THEN ps * 100.0::double / cr END)", "avg_possessive_pronoun_pct": "avg(CASE WHEN cr > 0 THEN pp * 100.0::double / cr END)",
+    "avg_ungrounded_pronouns_pct": "avg(u)", "avg_ungrounded_subject_pronouns_pct": "avg(us)", "avg_ungrounded_possessive_pronouns_pct": "avg(up)", "avg_ungrounded_proper_nouns_pct": "avg(un)",
     "avg_chars_per_image": "sum(nc)::double / sum(images)", "avg_objs_per_image": "sum(no)::double / sum(images)", "avg_settings_per_image": "1",
-    "pct_complete_narratives": "avg((story_id % 2 = 0)::int) * 100", "avg_words_per_story": "avg(words)", "avg_distinct_chars": "avg(dc)", "avg_char_actions": "avg(ca)", "ungrounded_she": "avg(u)",
+    "pct_complete_narratives": "avg((story_id % 2 = 0)::int) * 100", "avg_words_per_story": "avg(words)", "avg_distinct_chars": "avg(dc)", "avg_char_actions": "avg(ca)",
 }
 
 
-@query(f"""WITH {_STATS}, a AS (SELECT {", ".join(f"round(coalesce({x}, 0), 6)::double AS {n}" for n, x in _MEANS.items())} FROM sh LEFT JOIN mf USING (story_id) JOIN tg USING (story_id) LEFT JOIN u USING (story_id))
-SELECT metric, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value)""")
+@query(f"""WITH {_STATS}, a AS (SELECT {", ".join(f"round(coalesce({x}, 0), 6)::double AS {n}" for n, x in _MEANS.items())} FROM sh LEFT JOIN mf USING (story_id) JOIN tg USING (story_id) LEFT JOIN u USING (story_id) LEFT JOIN nn USING (story_id))
+SELECT metric, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT 'ungrounded_' || pronoun, round(avg(ungrounded * 100.0::double / total), 6) FROM said GROUP BY pronoun""")
 def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics of a dataset of samples, from their texts."""
     return statistics.dataset_statistics(samples(spark, sf_dir)).withColumn("value", r6("value"))
@@ -206,7 +208,8 @@ def invalid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.invalid_samples(s)
 
 
-@query(f"""WITH {_STATS} SELECT 'she' AS pronoun, 'subject' AS kind, round(avg(u), 6) AS mean, 1 AS rank FROM u""")
+@query(f"""WITH {_SAID}, m AS (SELECT pronoun, avg(ungrounded * 100.0::double / total) AS v FROM said GROUP BY pronoun)
+SELECT pronoun, CASE WHEN pronoun IN {_SUBJECTS} THEN 'subject' WHEN pronoun IN {_POSSESSIVES} THEN 'possessive' ELSE 'object' END AS kind, round(v, 6) AS mean, row_number() OVER (ORDER BY round(v, 9) DESC, pronoun) AS rank FROM m""")
 def pronoun_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pronouns by how often no reference grounds them."""
     said = statistics.ungrounded_pronouns(tagged(spark, sf_dir)).withColumn("share", F.col("ungrounded") * 100 / F.col("total"))
@@ -251,7 +254,3 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate(real, generated).unionByName(missing).withColumn("score", r6("score"))
 
 
-@query()
-def sample_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BLEU of the fixed sample pairs, two references each."""
-    return metrics.bleu(evaluate.sample_pairs(spark, 15)).withColumn("score", r6("score"))

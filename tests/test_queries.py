@@ -68,5 +68,5 @@ def test_matches_and_samples_are_whole(spark, db, tmp_path):
     assert queries.year_members(spark, str(DATA)).count() < db.sql("select o_orderkey from orders").count("*").fetchall()[0][0]
     docs = [(3, "a\nb"), (5, "c"), (8, None), (9, "  ")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(map(tuple, queries.complete_documents(spark, str(tmp_path)).collect())) == [(3, 2), (5, 1)]
-    assert {r["story_id"] for r in queries.mentioned_in_all(spark, str(DATA)).collect()} == {r[0] for r in db.sql("select distinct l_orderkey from lineitem").fetchall()}
+    assert sorted(map(tuple, queries.complete_samples(spark, str(tmp_path)).collect())) == [(3, 2), (5, 1)]
+    assert {r["story_id"] for r in queries.mentioned_entities(spark, str(DATA)).collect()} == {r[0] for r in db.sql("select distinct l_orderkey from lineitem").fetchall()}
