@@ -643,12 +643,25 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rouge_l(turn_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
-@query()
+@query(f"""WITH {_TURNS}, o(n) AS (VALUES (1), (2), (3), (4)),
+own AS (SELECT n, id, g, count(*) AS k FROM (SELECT n, id, unnest(list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ' '))) AS g FROM t, o) GROUP BY ALL),
+ref AS (SELECT n, id, g, count(*) AS k FROM (SELECT n, id, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM t, o) GROUP BY ALL),
+held AS (SELECT n, g, ln(count(*)) AS df FROM ref GROUP BY n, g), w AS (SELECT ln(count(*)) AS sets FROM t),
+wa AS (SELECT id, n, g, k * (sets - coalesce(df, 0)) AS a FROM own LEFT JOIN held USING (n, g), w), wb AS (SELECT id, n, g, k * (sets - df) AS b FROM ref JOIN held USING (n, g), w),
+na AS (SELECT id, n, sqrt(sum(a * a)) AS na FROM wa GROUP BY id, n), nb AS (SELECT id, n, sqrt(sum(b * b)) AS nb FROM wb GROUP BY id, n),
+d AS (SELECT id, sum(CASE WHEN na > 0 AND nb > 0 THEN d / (na * nb) ELSE d END) / 4 AS s FROM (SELECT id, n, sum(least(a, b) * b) AS d FROM wa JOIN wb USING (id, n, g) GROUP BY id, n) JOIN na USING (id, n) JOIN nb USING (id, n) GROUP BY id)
+SELECT id, round(10 * coalesce(s, 0) * exp(-power(greatest(len(c) - 1, 0) - greatest(len(r) - 1, 0), 2) / 72.0::double), 6) AS score FROM t LEFT JOIN d USING (id)""")
 def cider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus of tf-idf n-grams of each pair."""
+    """Consensus of tf-idf n-grams of each assistant turn with the turn before it."""
     return metrics.cider(turn_pairs(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
+@query()
+def meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments in few chunks of each assistant turn with the turn before it."""
+    return metrics.meteor(turn_pairs(spark, sf_dir)).withColumn("score", r6("score"))
+
+
 @query(f"""WITH {_TURNS}, c AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(c) AS w FROM t) GROUP BY ALL), r AS (SELECT id, w, count(*) AS r FROM (SELECT id, unnest(r) AS w FROM t) GROUP BY ALL),
 h AS (SELECT id, sum(least(c, r))::double AS hit FROM c JOIN r USING (id, w) GROUP BY id)
 SELECT id, round(coalesce(hit / len(t.c) * hit / len(t.r) / (0.9 * hit / len(t.c) + 0.1 * hit / len(t.r)), 0), 6) AS score FROM t LEFT JOIN h USING (id)""")

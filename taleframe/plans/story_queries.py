@@ -227,7 +227,7 @@ def _f1(tp: str, c: str, r: str, name: str) -> str:
 _KEPT = "(image_number + length(entity_id)) % 4 <> 0"
 
 
-@query(f"""WITH {_RUN}, ce AS (SELECT * FROM entity_frame WHERE {_KEPT} AND story_id % 5 <> 0),
+@query(f"""WITH {_TAGGED}, {_RUN}, ce AS (SELECT * FROM entity_frame WHERE {_KEPT} AND story_id % 5 <> 0),
 crun AS (SELECT story_id, image_number FROM (SELECT story_id, image_number, row_number() OVER (PARTITION BY story_id ORDER BY image_number) AS k FROM (SELECT DISTINCT story_id, image_number FROM ce)) WHERE k = image_number),
 s AS (SELECT DISTINCT story_id FROM ce), r AS (SELECT story_id, entity_id LIKE 'char%' AS c FROM entity_frame JOIN run USING (story_id, image_number)),
 d AS (SELECT story_id, entity_id LIKE 'char%' AS c, row_number() OVER (PARTITION BY story_id ORDER BY image_number, entity_id NOT LIKE 'char%', entity_id) AS pos, row_number() OVER (PARTITION BY story_id, entity_id LIKE 'char%' ORDER BY image_number, entity_id) AS k FROM ce JOIN crun USING (story_id, image_number)),
@@ -239,11 +239,13 @@ curve AS (SELECT d.story_id, sum((d.k <= CASE WHEN d.c THEN tc ELSE to_ END)::in
 ap AS (SELECT story_id, sum(p) / 11 AS ap FROM (SELECT story_id, i, coalesce(max(CASE WHEN q >= i * 0.1::double THEN p END), 0) AS p FROM curve, range(11) x(i) GROUP BY story_id, i) GROUP BY story_id UNION ALL SELECT story_id, 0 FROM t WHERE rc + ro > 0 AND cc + co = 0),
 g AS (SELECT metric, value FROM (UNPIVOT w ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT 'map', avg(ap) FROM ap)
 SELECT 'grounding' AS family, metric, round(value, 6) AS score FROM g UNION ALL SELECT 'language', m, 1.0 FROM (VALUES ('bleu_1'), ('bleu_2'), ('bleu_3'), ('bleu_4'), ('rouge_l')) t(m)
+UNION ALL SELECT 'language', 'meteor', round(1 - 0.6 * power(count(*)::double / sum(len(regexp_extract_all(regexp_replace(text, '<[^>]+>', '', 'g'), '[\\p{{L}}\\p{{N}}_]+'))), 0.2::double), 6) FROM tagged JOIN s USING (story_id)
 UNION ALL SELECT 'missing', 'stories', count(*) FROM (SELECT DISTINCT story_id FROM entity_frame EXCEPT SELECT story_id FROM s)""")
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated stories scored against those of the dataset, and how many are missing.
 
-    Here a generated description leaves out some entities; its story is that of the dataset, so language metrics are 1.
+    Here a generated description leaves out some entities; its story is that of the dataset, so language metrics are 1, but for the corpus form of
+    alignments, which counts a chunk for each story.
     """
     dims = F.transform(F.sequence(F.lit(1), F.col("frames")), lambda _: F.struct(F.lit(640).alias("width"), F.lit(480).alias("height")))
     real = samples(spark, sf_dir).select("story_id", F.col("cot").alias("chain_of_thought"), "story", dims.alias("images"))

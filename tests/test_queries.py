@@ -40,7 +40,7 @@ def test_stories_of_vectors_grow_in_number(spark):
 
 def test_every_assistant_turn_is_scored(spark, db, tmp_path):
     want = db.sql("select count(*) from conversations a where role = 'assistant' and exists (select 1 from conversations b where b.conv_id = a.conv_id and b.turn < a.turn)").fetchall()[0][0]
-    for name in ("rouge_l", "cider", "unigram_f_turns"):
+    for name in ("rouge_l", "cider", "meteor", "unigram_f_turns"):
         assert queries.QUERIES[name](spark, str(DATA)).count() == want
     talk = [(1, 0, "system", "s"), (1, 1, "user", "b"), (1, 1, "user", "a"), (1, 3, "assistant", "x"), (1, 4, "user", "u"), (1, 5, "assistant", "z"), (1, 5, "assistant", "z"), (1, 5, "assistant", "y"), (2, 0, "assistant", "first")]
     talk = [(*r[:3], f"{r[3]} one two three") for r in talk]
@@ -49,7 +49,7 @@ def test_every_assistant_turn_is_scored(spark, db, tmp_path):
     assert got == [("1-3-1", "a", "x"), ("1-3-2", "b", "x"), ("1-5-1", "u", "y"), ("1-5-2", "u", "z"), ("1-5-3", "u", "z")]
     own = duckdb.connect()
     own.sql(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
-    for name in ("bleu_turns", "unigram_f_turns"):
+    for name in ("bleu_turns", "cider", "unigram_f_turns"):
         df, rel = queries.QUERIES[name](spark, str(tmp_path)), own.sql(queries.ORACLE[name])
         assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(list(rel.columns), rel.fetchall())
 
