@@ -86,11 +86,6 @@ def sample_texts(samples: DataFrame, present: DataFrame | None = None) -> DataFr
     return each.select(F.concat(F.col("idx").cast("string"), F.lit("_"), F.col("f.kind"), F.lit(".txt")).alias("name"), F.coalesce("f.text", F.lit("")).alias("text"))
 
 
-def write_samples(samples: DataFrame, folder: str, present: DataFrame | None = None) -> None:
-    """Write the texts of samples as a table of names and texts, from which ``sample_parts`` reads them again."""
-    sample_texts(samples, present).write.mode("append").parquet(folder)
-
-
 def examples(stories: DataFrame, limit_images: int | None = None) -> DataFrame:
     """The five columns of an example; at most so many images."""
     images = F.slice("images", 1, limit_images) if limit_images else F.col("images")
