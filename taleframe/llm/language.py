@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from taleframe.llm.common import DOCUMENT_COLUMNS, fold, read
 
 UNKNOWN = "und"
-#: Labelled documents that training looks at, at most, dealt evenly over the languages; longer ones than
-#: LONGEST characters are not drawn for it.  Prediction reads whole texts of any length.
+#: Labelled documents that training looks at, at most, dealt evenly over the languages, and characters of each.
+#: Prediction reads whole texts of any length.
 SAMPLE, LONGEST = 2400, 20_000
 ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 16, 16
 EPOCHS, RATE, PIECES = 6, 0.5, 2
@@ -39,11 +39,13 @@ def _buckets(data: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
             yield ((h ^ (h >> np.uint32(15))) * _MIX) >> shift
 
 
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One array with blanks after each text, so no n-gram joins two, and where each text starts."""
+def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One array with blanks after each text, where each text starts, and the places whose n-grams may reach the next text."""
     pad = b" " * max(ORDERS)
-    starts = np.cumsum([0, *(len(t) + len(pad) for t in texts[:-1])])
-    return np.frombuffer(pad.join([*texts, b" "]) + pad, dtype=np.uint8).astype(np.uint32), starts
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum([0, *(sizes[:-1] + len(pad))])
+    beyond = (starts + sizes + 1)[:-1, None] + np.arange(len(pad) - 1)
+    return np.frombuffer(pad.join(texts) + pad, dtype=np.uint8).astype(np.uint32), starts, beyond.ravel()
 
 
 @dataclass
@@ -57,11 +59,14 @@ class LanguageModel:
     threshold: float = 0.0
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        data, starts = _padded(texts)
+        """A row a text, whatever the texts beside it: means over the n-grams that start in it or right behind it."""
+        data, starts, beyond = _padded(texts)
+        table = np.vstack([self.table, np.zeros((1, len(self.languages)), self.table.dtype)])
         total = np.zeros((len(texts), len(self.languages)), dtype=np.float64)
-        size = np.diff(np.r_[starts, len(data) - max(ORDERS) + 1])
         for idx in _buckets(data, len(self.table)):
-            total += np.add.reduceat(self.table[idx], starts, axis=0)
+            idx[beyond] = len(self.table)
+            total += np.add.reduceat(table[idx], starts, axis=0, dtype=np.float64)
+        size = np.array([len(t) + 1 for t in texts])
         return total / (size[:, None] * len(ORDERS)) + self.bias
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
@@ -71,7 +76,7 @@ class LanguageModel:
 
 
 def _sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data, _ = _padded([text])
+    data, _, _ = _padded([text])
     idx, n = np.unique(np.concatenate(list(_buckets(data, BUCKETS))), return_counts=True)
     return idx.astype(np.int64), (n / n.sum()).astype(np.float32)
 
@@ -146,17 +151,23 @@ def fit_languages(texts: list[str], labels: list[str], seed: int = 7) -> Languag
 
 
 def training_sample(labelled: DataFrame, rows: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
-    """At most ``rows`` labelled texts, as many of each language where there are, chosen by a hash of the text."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest) & F.rlike("text", F.lit(r"\p{L}")))
+    """At most ``rows`` labelled texts, as many of each language where there are, chosen by a hash of the text.
+
+    Of a text of more than ``longest`` characters a stretch of that length is taken, from a place that the hash chooses, or from
+    the first letter on if there is none in it; so no language goes because its texts are long.
+    """
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     known = known.select("lang", "text", F.xxhash64("text", "lang").alias("h"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.countDistinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return [], []
-    quota = rows / len(counts)
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, quota / n))))
-    drawn = known.where(chosen).dropDuplicates(["h"]).orderBy("h").limit(rows).collect()
+    size, quota = F.length("text"), rows / len(counts)
+    place = F.pmod(F.col("h"), F.greatest(size - longest, F.lit(0)) + 1).cast("int") + 1
+    part = F.substr("text", place, F.lit(longest))
+    part = F.when(size <= longest, F.col("text")).when(F.rlike(part, F.lit(r"\p{L}")), part).otherwise(F.substr("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(longest)))
+    shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, quota / n))))])
+    chosen = F.pmod(F.col("h"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
+    drawn = known.where(chosen).select("lang", part.alias("text"), "h").dropDuplicates(["h"]).orderBy("h").limit(rows).collect()
     return [r["text"] for r in drawn], [r["lang"] for r in drawn]
 
 

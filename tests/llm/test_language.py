@@ -1,8 +1,8 @@
+import math
 import random
-
 import zlib
 
-from taleframe.llm.language import fit_languages, identify_languages, known_language_documents, op1_language_id, train_languages
+from taleframe.llm.language import LONGEST, fit_languages, identify_languages, known_language_documents, op1_language_id, train_languages, training_sample
 
 SYLLABLES = {"aa": ["the", "ing", "and", "er"], "bb": ["ich", "und", "ß", "ver"], "cc": ["éau", "le", "que", "oi"]}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rejected string"
@@ -63,3 +63,32 @@ def test_query_never_looks_at_held_out_labels(spark, tmp_path):
     assert all(got[str(i)][0] == held(i) for i, *_ in plain)
     right = [got[str(i)][1] == lang for i, _, lang, *_ in plain[:240] if held(i)]
     assert sum(right) >= 0.9 * len(right) and got["400"][1] == plain[0][2] and got["401"][1] == "und"
+
+
+def test_long_texts_keep_their_language(spark):
+    long = [("fr", f"le chat {i} est sur la table et il mange une pomme " * 600) for i in range(30)]
+    short = [("en", f"the cat {i} sat on the table and ate an apple") for i in range(30)]
+    odd = [("de", " " * 50_000 + f"die Katze {i}") for i in range(5)]
+    df = spark.createDataFrame(long + short + odd, "lang string, text string")
+    texts, labels = training_sample(df)
+    assert sorted(set(labels)) == ["de", "en", "fr"] and max(map(len, texts)) <= LONGEST and all(any(c.isalpha() for c in t) for t in texts)
+    model = fit_languages(texts, labels)
+    rows = spark.createDataFrame([(1, "il mange une pomme sur la table et le chat est la " * 900), (2, "the apple sat on the cat")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in identify_languages(rows, model).collect()} == {1: "fr", 2: "en"}
+
+
+def test_probabilities_equal_a_plain_loop():
+    texts = [f"the cat {i} sat" for i in range(12)] + [f"le chat {i} mange" for i in range(12)]
+    model = fit_languages(texts, ["en"] * 12 + ["fr"] * 12)
+    said = [t.encode() for t in ("le chat sat", "the mange", "x", "", "le chat sat")]
+    for t, row in zip(said, model.probabilities(said), strict=True):
+        z, padded = [0.0, 0.0], t + b" " * 8
+        for place in range(len(t) + 1):
+            h = 0
+            for order in range(4):
+                h = (h * 0x01000193 + padded[place + order] + 1) % 2**32
+                bucket = ((h ^ h >> 15) * 0x9E3779B1 % 2**32) >> 16
+                z = [v + float(w) for v, w in zip(z, model.table[bucket], strict=True)]
+        z = [(v / (4 * (len(t) + 1)) + b) / model.temperature for v, b in zip(z, model.bias, strict=True)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert all(abs(v / sum(e) - p) < 1e-6 for v, p in zip(e, row, strict=True))
