@@ -519,13 +519,15 @@ def frame_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("vec_id").alias("a"), "b", F.round(geometry.similarity(F.col("embedding"), F.col("e2")), 5).alias("similarity"))
 
 
-@query("""WITH m AS (SELECT story_id, avg(score) FILTER (pos % 2 = 1) AS mean, stddev_pop(score) FILTER (pos % 2 = 1) AS spread, quantile_cont(score, 0.75) FILTER (pos % 2 = 0) AS p75 FROM ref_det GROUP BY story_id)
-SELECT story_id, round(p75, 6) AS p75, p75 >= 0.0301::double AND (spread = 0 OR mean - p75 <= 0.5::double * spread) AS admitted FROM m WHERE p75 IS NOT NULL""")
+@query("""WITH s AS (SELECT story_id, pos % 2 = 1 AS left_, round(score * 100) AS s FROM ref_det),
+m AS (SELECT story_id, avg(s) FILTER (left_) AS mean, stddev_pop(s) FILTER (left_) AS spread, quantile_cont(s, 0.75) FILTER (NOT left_) AS p75 FROM s GROUP BY story_id)
+SELECT story_id, round(p75, 6) AS p75, p75 >= 3 AND (spread = 0 OR mean - p75 <= 0.513::double * spread) AS admitted FROM m WHERE p75 IS NOT NULL""")
 def admission_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether every other score of a story would be admitted to a match whose last admission left the rest."""
-    own, left = F.col("pos") % 2 == 0, F.when(F.col("pos") % 2 == 1, F.col("score"))
-    d = view(spark, sf_dir, "ref_det").groupBy("story_id").agg(F.collect_list(F.when(own, F.col("score"))).alias("s"), F.avg(left).alias("mean"), F.stddev_pop(left).alias("spread"))
-    admitted = geometry.admission(F.col("s"), F.col("mean"), F.col("spread"), 0.0301, 0.5)
+    """Whether every other score of a story, in hundredths, would be admitted to a match whose last admission left the rest."""
+    own, s = F.col("pos") % 2 == 0, F.round(F.col("score") * 100)
+    left = F.when(~own, s)
+    d = view(spark, sf_dir, "ref_det").groupBy("story_id").agg(F.collect_list(F.when(own, s)).alias("s"), F.avg(left).alias("mean"), F.stddev_pop(left).alias("spread"))
+    admitted = geometry.admission(F.col("s"), F.col("mean"), F.col("spread"), 3.0, 0.513)
     return d.where("size(s) > 0").select("story_id", r6(geometry.percentile(F.col("s"), 0.75)).alias("p75"), admitted.alias("admitted"))
 
 
