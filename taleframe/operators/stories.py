@@ -22,38 +22,73 @@ def scene_bounds(frames: DataFrame) -> DataFrame:
     return named.groupBy("movie", "scene").agg(F.count("*").alias("n"), F.min("image").alias("first"), F.max("image").alias("last"), F.max("has_person").alias("has_person"))
 
 
+def _packed(frames: DataFrame, least: int) -> DataFrame:
+    """movie, k, s (n, first, last, scenes): the fold is over a film's scenes, so a film is the unit of work, and films are independent."""
+    s = scene_bounds(frames).select("movie", F.struct("scene", "n", "has_person", F.col("first.image_id").alias("first"), F.col("last.image_id").alias("last")).alias("s"))
+    films = s.groupBy("movie").agg(F.array_sort(F.collect_list("s")).alias("scenes"))
+    names = "array<string>"
+    story = f"struct<n:bigint,first:string,last:string,scenes:{names}>"
+    kind = f"struct<n:bigint,p:boolean,first:string,scenes:{names},out:array<{story}>>"
+    none = F.array().cast(names)
+    start = F.struct(F.lit(0), F.lit(False), F.lit(None).cast("string"), none, F.array().cast(f"array<{story}>")).cast(kind)
+
+    def step(a: Column, x: Column) -> Column:
+        n, p, first, held = a["n"] + x["n"], a["p"] | x["has_person"], F.coalesce(a["first"], x["first"]), F.array_append(a["scenes"], x["scene"])
+        done = F.array_append(a["out"], F.struct(n, first, x["last"], held).cast(story))
+        full = F.struct(F.lit(0), F.lit(False), F.lit(None).cast("string"), none, done).cast(kind)
+        return F.when((n >= least) & p, full).otherwise(F.struct(n, p, first, held, a["out"]).cast(kind))
+
+    return films.select("movie", F.posexplode(F.aggregate("scenes", start, step)["out"]).alias("k", "s"))
+
+
 def pack_stories(frames: DataFrame, least: int = 5) -> DataFrame:
     """movie, k, n_images, first_image, last_image: whole scenes in string order, a story as soon as it has
     enough images and a person; what is left of a film is dropped.
-
-    The fold is over a film's scenes, so a film is the unit of work, and films are independent.
     """
-    s = scene_bounds(frames).select("movie", F.struct("scene", "n", "has_person", F.col("first.image_id").alias("first"), F.col("last.image_id").alias("last")).alias("s"))
-    films = s.groupBy("movie").agg(F.array_sort(F.collect_list("s")).alias("scenes"))
-    story = "struct<n:bigint,first:string,last:string>"
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("p"), F.lit(None).cast("string").alias("first"), F.array().cast(f"array<{story}>").alias("out"))
+    return _packed(frames, least).select("movie", "k", F.col("s.n").alias("n_images"), F.col("s.first").alias("first_image"), F.col("s.last").alias("last_image"))
 
-    def step(a: Column, x: Column) -> Column:
-        n, p, first = a["n"] + x["n"], a["p"] | x["has_person"], F.coalesce(a["first"], x["first"])
-        done = F.array_append(a["out"], F.struct(n.alias("n"), first.alias("first"), x["last"].alias("last")).cast(story))
-        kind = f"struct<n:bigint,p:boolean,first:string,out:array<{story}>>"
-        full = F.struct(F.lit(0), F.lit(False), F.lit(None).cast("string"), done).cast(kind)
-        return F.when((n >= least) & p, full).otherwise(F.struct(n, p, first, a["out"]).cast(kind))
 
-    stories = films.select("movie", F.posexplode(F.aggregate("scenes", start, step)["out"]).alias("k", "s"))
-    return stories.select("movie", "k", F.col("s.n").alias("n_images"), F.col("s.first").alias("first_image"), F.col("s.last").alias("last_image"))
+def story_frames(frames: DataFrame, least: int = 5) -> DataFrame:
+    """movie, k, place, image_id, pos: the frames of each packed story, by scene, then by image id and position."""
+    movie, scene = text.movie_and_scene(F.col("image_id"))
+    named = frames.select(movie.alias("movie"), F.coalesce(scene, F.lit("default")).alias("scene"), "image_id", "pos")
+    members = named.join(_packed(frames, least).select("movie", "k", F.explode("s.scenes").alias("scene")), ["movie", "scene"])
+    place = F.row_number().over(Window.partitionBy("movie", "k").orderBy("scene", "image_id", "pos"))
+    return members.select("movie", "k", place.alias("place"), "image_id", "pos")
 
 
-def fallback_stories(frames: DataFrame, size: int = 5) -> DataFrame:
-    """chunk, first_pos, last_pos: full chunks of frames with a person, in order, for data that gave no story.
+def derived_stories(captions: DataFrame, least: int = 5) -> DataFrame:
+    """story_id, image_ids, captions, images, has_person, detections of the stories that a table of captioned images gives.
 
-    Ranks are a count per range of positions plus a rank inside it, so no window spans the table.
+    ``captions`` has id, pos (the order of the rows, unique), image, caption, human_annotated and detections.  Only rows
+    that were annotated by machine count.  Scenes are packed into stories on ids and labels alone; images and captions join when
+    the stories are known.  If no film gives a story, frames with a person make chunks of ``least`` in order; a story's id
+    is its film and number, or the chunk's.
     """
+    auto = captions.where(~F.coalesce("human_annotated", F.lit(False)))
+    person = F.coalesce(F.exists("detections", lambda d: F.lower(d["label"]) == "person"), F.lit(False))
+    frames = auto.select(F.col("id").alias("image_id"), "pos", person.alias("has_person"))
+    named = lambda *c: F.concat_ws("-", *[F.col(x).cast("string") for x in c]).alias("story_id")
+    members = story_frames(frames, least).select(named("movie", "k"), "place", "image_id", "pos")
+    if members.isEmpty():
+        chunks = fallback_stories(frames, least)
+        members = _ranked_people(frames, least).join(chunks.select("chunk"), "chunk").join(frames.select("pos", "image_id"), "pos").select(named("chunk"), F.col("pos").alias("place"), "image_id", "pos")
+    held = auto.select(F.col("id").alias("image_id"), "pos", "image", "caption", "detections")
+    return story_arrays(members.join(held, ["image_id", "pos"]).drop("pos").withColumnRenamed("place", "pos"))
+
+
+def _ranked_people(frames: DataFrame, size: int) -> DataFrame:
+    """pos, chunk: frames with a person in order; ranks are a count per range of positions plus a rank inside it."""
     people = frames.where("has_person").select("pos").withColumn("bucket", F.floor(F.col("pos") / 4096))
     sums = people.groupBy("bucket").agg(F.count("*").alias("n"))
     before = sums.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = people.join(before, "bucket").withColumn("r", F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("pos")) - 1)
-    chunks = ranked.groupBy(F.floor(F.col("r") / size).alias("chunk")).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("pos")) - 1
+    return people.join(before, "bucket").select("pos", F.floor(rank / size).alias("chunk"))
+
+
+def fallback_stories(frames: DataFrame, size: int = 5) -> DataFrame:
+    """chunk, first_pos, last_pos: full chunks of frames with a person, in order, for data that gave no story."""
+    chunks = _ranked_people(frames, size).groupBy("chunk").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     return chunks.where(F.col("n") == size).select("chunk", "first_pos", "last_pos")
 
 
