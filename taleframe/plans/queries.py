@@ -378,18 +378,32 @@ def movie_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("movie", "scene", F.col("n").alias("images"), "has_person", F.col("first.image_id").alias("first_image"))
 
 
-@query(r"""WITH RECURSIVE s AS (SELECT movie, scene, row_number() OVER (PARTITION BY movie ORDER BY scene) AS k, n, p, a, z FROM (
+_PACKED = r"""WITH RECURSIVE s AS (SELECT movie, scene, row_number() OVER (PARTITION BY movie ORDER BY scene) AS k, n, p, a, z FROM (
   SELECT regexp_extract(image_id, '^(.+?)_scene_?(\d+)', 1) AS movie, regexp_extract(image_id, '^(.+?)_scene_?(\d+)', 2) AS scene, count(*) AS n, bool_or(has_person) AS p, min(image_id) AS a, max(image_id) AS z FROM scene_frame GROUP BY 1, 2)),
 f(movie, k, n, p, a, out_n, out_a, out_z) AS (SELECT DISTINCT movie, 0::bigint, 0::bigint, false, NULL::varchar, NULL::bigint, NULL::varchar, NULL::varchar FROM s
   UNION ALL SELECT s.movie, s.k, CASE WHEN full_ THEN 0 ELSE m END, CASE WHEN full_ THEN false ELSE q END, CASE WHEN full_ THEN NULL ELSE b END, CASE WHEN full_ THEN m END, CASE WHEN full_ THEN b END, CASE WHEN full_ THEN s.z END
   FROM (SELECT s.*, f.n + s.n AS m, f.p OR s.p AS q, coalesce(f.a, s.a) AS b, f.n + s.n >= 150 AND (f.p OR s.p) AS full_ FROM f JOIN s ON s.movie = f.movie AND s.k = f.k + 1) s)
-SELECT movie, row_number() OVER (PARTITION BY movie ORDER BY k) - 1 AS k, out_n AS n_images, out_a AS first_image, out_z AS last_image FROM f WHERE out_n IS NOT NULL""")
+SELECT movie, row_number() OVER (PARTITION BY movie ORDER BY k) - 1 AS k, out_n AS n_images, out_a AS first_image, out_z AS last_image FROM f WHERE out_n IS NOT NULL"""
+
+
+@query(_PACKED)
 def packed_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes packed greedily into stories of enough images with a person."""
     p = stories.pack_stories(view(spark, sf_dir, "scene_frame"), least=150)
     return p.select("movie", F.col("k").cast("bigint").alias("k"), F.col("n_images").cast("bigint").alias("n_images"), "first_image", "last_image")
 
 
+@query(_PACKED.replace(">= 150", ">= 20").replace("SELECT movie, row_number() OVER (PARTITION BY movie ORDER BY k) - 1 AS k, out_n", "SELECT concat(movie, '-', row_number() OVER (PARTITION BY movie ORDER BY k) - 1) AS story_id, out_n"))
+def derived_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories of twenty images or more from a table of captioned images, with their images."""
+    f = view(spark, sf_dir, "scene_frame")
+    person = F.struct(F.when(F.col("has_person"), "Person").otherwise("cup").alias("label"), F.lit(0).alias("image_width"), F.lit(0).alias("image_height"))
+    image = F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"))
+    captions = f.select(F.col("image_id").alias("id"), "pos", image.alias("image"), F.col("image_id").alias("caption"), F.lit(False).alias("human_annotated"), F.array(person).alias("detections"))
+    d = stories.derived_stories(captions, 20)
+    return d.select("story_id", F.size("captions").cast("long").alias("n_images"), F.col("image_ids")[0].alias("first_image"), F.element_at("captions", -1).alias("last_image"))
+
+
 @query("""SELECT chunk, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT pos, (row_number() OVER (ORDER BY pos) - 1) // 5 AS chunk FROM scene_frame WHERE has_person) GROUP BY chunk HAVING count(*) = 5""")
 def fallback_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of five frames with a person, for data without stories."""
