@@ -17,7 +17,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taleframe.llm.common import noted, read, remove, shared_dir
+from taleframe.llm.common import noted, read, remove, shared_dir, write_table
 from taleframe.llm.language import known_language_documents, train_languages
 from taleframe.llm.minhash import distinct_documents
 from taleframe.llm.mixing import mixed_documents
@@ -109,7 +109,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write_table(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
         remove(spark, before)
         before = [path]

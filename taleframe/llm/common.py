@@ -28,14 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     """This application's folder in what driver and executors share; removed when the driver's JVM ends.
 
     It lies in spark.checkpoint.dir.  Where a session names none, a temporary folder does for a local master, whose
-    tasks run in the driver; on a cluster the warehouse is used, which all share.
+    tasks run in the driver; a cluster must name a folder that all machines share.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            top = tempfile.mkdtemp(prefix="taleframe-")
-        else:
-            top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/taleframe-scratch"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="taleframe-")
         spark.sparkContext.setCheckpointDir(top)
     folder = f"{top}/taleframe-{spark.sparkContext.applicationId}"
     if folder not in _REMOVED_AT_END:
@@ -46,6 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as a Parquet table, and free the files of its shuffles once the table is there.
+
+    While tasks run, shuffle files stay, so lost ones are made again as ever.  The session's own setting is put back.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
@@ -55,7 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for paths in _NOTED:
         paths.append(path)
-    df.write.parquet(path)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

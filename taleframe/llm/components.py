@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taleframe.llm.common import stage
+from taleframe.llm.common import noted, remove, stage
 
 EDGE = "u long, v long"
 #: Nodes that a task keeps while it shrinks its edges, about.
@@ -72,7 +72,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     and change nothing.  An empty table gives an empty result.
     """
     start = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = stage(start.mapInPandas(_forest, EDGE).where("u <> v"), "cc")
+    with noted() as held:
+        now = stage(start.mapInPandas(_forest, EDGE).where("u <> v"), "cc")
     before = None
     for _ in range(most_rounds):
         if (state := _state(now)) == before:
@@ -81,5 +82,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 roots.select("node", F.col("node").alias("component"))
             )
         before = state
-        now = stage(_small_star(_large_star(now)), "cc")
+        with noted() as last:
+            now = stage(_small_star(_large_star(now)), "cc")
+        remove(edges.sparkSession, held)
+        held = last
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     linked = stage(_confirmed(first, sets, percent), "links")
     found = components(linked)
     more = stage(_links_between(members.select(F.col("least.id").alias("h"), "id").distinct(), found, sets, percent), "links")
-    every = copies.unionByName(linked).unionByName(more)
+    trees = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    every = copies.unionByName(trees).unionByName(more)
     last = components(every).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(last, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
