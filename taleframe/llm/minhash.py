@@ -23,6 +23,8 @@ _FILTER_BLOCKS = 64
 _COLUMNS = 4096
 #: Documents of one chunk when the members of a neighbourhood are compared.
 CHUNK = 512
+#: Tasks that the members of one neighbourhood are dealt to when they learn its number of chunks.
+SALTS = 64
 
 
 def _second_permutation(x: np.ndarray) -> None:
@@ -183,8 +185,9 @@ def _links_between(hoods: DataFrame, found: DataFrame, sets: DataFrame, percent:
     placed = hoods.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
     placed = placed.select("h", "id", F.coalesce("c", "id").alias("c"))
     open_ = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 2 and lo < hi")
-    open_ = open_.select("h", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
-    dealt = placed.join(open_, "h").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    open_ = open_.select("h", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = placed.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    dealt = salted.join(open_, ["h", "salt"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("h", "id", "c", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
 
