@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleframe.llm.common import DOCUMENT_COLUMNS, read, stage
+from taleframe.llm.common import DOCUMENT_COLUMNS, noted, read, remove, stage
 from taleframe.llm.components import components
 from taleframe.llm.shingles import batches_of, mix, shingle_sets, slices
 
@@ -229,17 +229,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     different components are compared too, in blocks of bounded size whose pairs are never spelled out as rows, so
     no pair is left undecided.
     """
-    signed = stage(signatures(docs, words, bands, rows), "signatures")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "one", "two"]
-    classes = stage(
-        usable.groupBy(*digest).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "classes"
-    )
+    with noted() as early:
+        signed = stage(signatures(docs, words, bands, rows), "signatures")
+        usable = signed.where("n_shingles > 0 and doc_id is not null")
+        classes = stage(
+            usable.groupBy(*digest).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "classes"
+        )
+    sized = stage(signed.select("doc_id", "n_shingles"), "sizes")
     copied = usable.select(F.col("doc_id").alias("id"), *digest).distinct().join(classes.where("copies > 1").select(*digest, "copies"), digest)
     copied = stage(copied, "copied")
     member = classes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
     members = stage(member.join(shared.select("key", "least"), "key"), "members")
+    remove(docs.sparkSession, early)
     alike = lambda a, b: (F.greatest(a, b) * percent <= F.least(a, b) * 100)
     first = members.where((F.col("id") != F.col("least.id")) & alike(F.col("n"), F.col("least.n")))
     first = stage(first.select(F.col("id").alias("u"), F.col("least.id").alias("v")).distinct(), "pairs")
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     trees = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     every = copies.unionByName(trees).unionByName(more)
     last = components(every).withColumnRenamed("node", "doc_id")
-    out = signed.select("doc_id", "n_shingles").join(last, "doc_id", "left")
+    out = sized.join(last, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
