@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOTED: list[list[str]] = []
 #: Folders that the file system was asked to remove at the end.
 _REMOVED_AT_END: set[str] = set()
+#: A key that meets more than one in HEAVY of all rows, and more than LIGHT, is dealt to SALTS tasks in ``salted_join``.
+HEAVY, LIGHT, SALTS = 1000, 1000, 64
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -72,6 +74,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, per_key: DataFrame, on: list[str], n: str, by: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key, whose column ``n`` says how many of ``rows`` have that key.
+
+    Rows of a heavy key are dealt to tasks by the hash of ``by``, so no task gets them all.  Heavy keys are at most HEAVY by
+    their definition, so they are broadcast at any size of the tables.  ``per_key`` is read three times: stage it before.
+    Keys with a null and empty tables meet nothing.
+    """
+    least = max((per_key.agg(F.sum(n)).first()[0] or 0) // HEAVY, LIGHT)
+    heavy = per_key.where(F.col(n) > least).select(*on, F.lit(SALTS).alias("_salts"))
+    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(F.hash(by), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    last = F.when(F.col(n) > least, SALTS - 1).otherwise(0)
+    each = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.join(each, [*on, "_salt"]).drop("_salt")
+
+
 @contextmanager
 def noted() -> Iterator[list[str]]:
     """The paths of the tables that are staged inside the block."""
