@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleframe.llm.common import DOCUMENT_COLUMNS, noted, read, remove, stage
+from taleframe.llm.common import DOCUMENT_COLUMNS, SALTS, noted, read, remove, salted_join, stage
 from taleframe.llm.components import components
 from taleframe.llm.shingles import batches_of, mix, shingle_sets, slices
 
@@ -23,8 +23,6 @@ _FILTER_BLOCKS = 64
 _COLUMNS = 4096
 #: Documents of one chunk when the members of a neighbourhood are compared.
 CHUNK = 512
-#: Tasks that the members of one neighbourhood are dealt to when they learn its number of chunks.
-SALTS = 64
 
 
 def _second_permutation(x: np.ndarray) -> None:
@@ -237,12 +235,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             usable.groupBy(*digest).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "classes"
         )
     sized = stage(signed.select("doc_id", "n_shingles"), "sizes")
-    copied = usable.select(F.col("doc_id").alias("id"), *digest).distinct().join(classes.where("copies > 1").select(*digest, "copies"), digest)
-    copied = stage(copied, "copied")
+    alone = usable.select(F.col("doc_id").alias("id"), *digest).distinct()
+    copied = stage(salted_join(alone, classes.where("copies > 1").select(*digest, "copies"), digest, "copies", "id"), "copied")
     member = classes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
-    members = stage(member.join(shared.select("key", "least"), "key"), "members")
-    remove(docs.sparkSession, early)
+    with noted() as keys:
+        shared = stage(member.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1"), "keys")
+    members = stage(salted_join(member, shared, ["key"], "c", "id").drop("c"), "members")
+    remove(docs.sparkSession, early + keys)
     alike = lambda a, b: (F.greatest(a, b) * percent <= F.least(a, b) * 100)
     first = members.where((F.col("id") != F.col("least.id")) & alike(F.col("n"), F.col("least.n")))
     first = stage(first.select(F.col("id").alias("u"), F.col("least.id").alias("v")).distinct(), "pairs")
