@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleframe.llm.common import read, stage
+from taleframe.llm.common import read, salted_join, stage
 from taleframe.llm.components import components
 
 COSINE, BLOCK = 0.93, 8
@@ -201,11 +201,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     # a class of one row needs no second look at the vectors
     single = per_class.where("copies = 1").select(F.col("first").alias("rid"), "n_links", "root")
     shared = classes.where("copies > 1").select("label", "e", F.col("rid").alias("first"))
-    copied = good.select("rid", "label", "e").join(shared, ["label", "e"]).join(per_class, "first").select("rid", "n_links", "root")
+    shared = stage(shared.join(per_class, "first").select("label", "e", "copies", "n_links", "root"), "vector-copies")
+    copied = salted_join(good.select("rid", "label", "e"), shared, ["label", "e"], "copies", "rid").select("rid", "n_links", "root")
     placed = rows.select("vec_id", "rid").join(single.unionByName(copied), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    placed = stage(placed.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "root"), "vector-classes")
-    least = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    return placed.join(least, "root").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = stage(placed.select("vec_id", "rid", F.coalesce("n_links", F.lit(0)).alias("n_links"), "root"), "vector-classes")
+    least = stage(placed.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n")), "vector-roots")
+    return salted_join(placed, least, ["root"], "n", "rid").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
