@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taleframe.llm.common import DOCUMENT_COLUMNS, WORD, read, stage
+from taleframe.llm.common import DOCUMENT_COLUMNS, WORD, noted, read, remove, stage
 
 WEIGHTS = (5, 2, 1)
-#: Rows that one window of the running sum aims at.
-BUCKET_ROWS = 16384
+#: Rows (of a few numbers each) that one range of the running sum holds at most, about.
+BUCKET_ROWS = 1 << 20
 #: (end of the phase as a share of training, weight of a source's demand in it), for sources in turn.
 #: The first kind of source is met early, the second evenly, the third late.
 SCHEDULES = (((0.5, 1.5), (1.0, 0.5)), ((1.0, 1.0),), ((0.5, 0.5), (1.0, 1.5)))
@@ -104,31 +104,29 @@ def mix_sources(
     unless a column ``row`` numbers them: it comes last in the order and is kept in the result.
     An empty table gives an empty result; other columns are ignored.
 
-    A source's running sum is a sum over prefixes of the md5 (as many as its rows need) plus a window
-    inside one prefix, so no window holds a whole source.
+    A source's running sum is a sum over ranges of this order plus a window inside one range.  The row's number ends
+    the order, so a range splits anywhere: neither a source nor an id that many rows share fills a window.
     """
     number = [row] if row else []
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *number), "mix")
+    last = row or "_row"
+    numbered = docs if row else docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias(last))
+    with noted() as early:
+        sized = stage(numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), last), "mix")
     targets = stage(source_targets(sized, weights, share, most), "mix-targets").withColumn(
         "key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     )
-    rows = targets.agg(F.max("rows")).first()[0] or 0
-    digits = 1
-    while rows > bucket_rows * 16**digits:
-        digits += 1
-    d = sized.select(
-        "doc_id",
-        "source",
-        "size",
-        *number,
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
-    ).withColumn("bucket", F.substring("order", 1, digits))
+    rows = targets.agg(F.sum("rows")).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    order = ["order", F.col("doc_id").asc_nulls_first(), "size", last]
+    d = sized.withColumns({"key": key, "order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
+    d = stage(d.repartitionByRange(n, "key", *order).withColumn("bucket", F.spark_partition_id()), "mix-ranges")
+    remove(docs.sparkSession, early)
     by_bucket = d.groupBy("key", "bucket").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("held").over(earlier), F.lit(0))).drop("held")
     offsets = offsets.join(targets.select("key", "rank", "source_size", "target"), "key")
-    inside = Window.partitionBy("key", "bucket").orderBy("order", F.col("doc_id").asc_nulls_first(), "size", *number)
+    inside = Window.partitionBy("key", "bucket").orderBy(*order)
     d = d.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     d = d.join(offsets, ["key", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))

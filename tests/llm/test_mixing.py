@@ -92,3 +92,18 @@ def test_very_long_texts_and_one_source(spark):
     got = {r["doc_id"]: r for r in mix_sources(docs).collect()}
     assert got[3]["size"] == 200_000 and all(r["copies"] <= 3 for r in got.values())
     assert mixed_documents(docs).count() == sum(r["copies"] for r in got.values())
+
+
+def test_rows_under_one_id_fill_no_range_and_meet_the_target(spark):
+    docs = spark.createDataFrame([(7 if i % 3 else None, "w " * (1 + i % 5), "en", "a" if i % 4 else "b", 0) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mix_sources(docs, bucket_rows=50).collect()
+    starts = {}
+    for r in got:
+        starts.setdefault(r["source"], []).append((r["start"], r["size"]))
+    for spans in starts.values():  # running sums are gapless over all ranges
+        at = 0
+        for start, size in sorted(spans):
+            assert start == at
+            at += size
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in starts}
+    assert all(abs(taken[r["source"]] - r["target"]) <= 5 for r in got)
