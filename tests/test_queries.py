@@ -70,3 +70,19 @@ def test_matches_and_samples_are_whole(spark, db, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, queries.complete_samples(spark, str(tmp_path)).collect())) == [(3, 2), (5, 1)]
     assert {r["story_id"] for r in queries.mentioned_entities(spark, str(DATA)).collect()} == {r[0] for r in db.sql("select distinct l_orderkey from lineitem").fetchall()}
+
+
+@pytest.mark.parametrize("name", ["scene_round_trip", "phase_round_trip", "scene_faults", "per_image_counts", "reading_order_ids", "survival_curve"])
+def test_lines_of_an_order_are_dealt_once(spark, name):
+    plan = queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "story_id" in line or "REPARTITION_BY_NUM" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_more_lines_are_dealt_to_more_tasks(spark, monkeypatch):
+    from taleframe.plans import fixtures
+
+    assert fixtures.view(spark, str(DATA), "ref_det").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    lines = spark.read.parquet(str(DATA / "lineitem.parquet")).count()
+    assert fixtures.view(spark, str(DATA), "ref_det").rdd.getNumPartitions() == -(-lines // 500)

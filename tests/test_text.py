@@ -77,3 +77,20 @@ def test_repeated_headers_and_long_tables(spark):
     assert one(spark, F.size(text.parse_scenes(t)[0]["characters"]), t=f"## Image 1\n### Characters\n| Character ID |\n|-|\n{rows}") == 30_000
     assert one(spark, text.placeholder_tag(F.lit("cup"), F.lit(3), F.lit(None).cast("string"), tuple(map(F.lit, (0.1, 0.25, 0.333, 1.0)))), t="") == "[cup-3: 0.10,0.25,0.33,1.00]"
     assert one(spark, text.tag_counts(t)["character_actions"], t="<gda char1>a</gda><gda char>b</gda>") == 1
+
+
+def test_tables_are_read_alike_whatever_their_first_line(spark):
+    """Tables with the written header, and with one that only means the same, give the same rows; white space of any kind goes."""
+    written = "| " + " | ".join(text.PHASE_HEADERS) + " |"
+    rows = [" |   turning point | a\x85 |　| 1, 2 | more |", "|x|", "no bar", "| conflict || e | 3"]
+    tables = ["\n".join([head, text.PHASE_RULE, *rows]) for head in (written, written.replace(" | ", "|"), f"{written} -- |")]
+    d = spark.createDataFrame([(k, f"\x0b{t} \n") for k, t in enumerate(tables)], "k int, t string")
+    names = tuple(text.SNAKE[h] for h in text.PHASE_HEADERS)
+    got = [[tuple(x) for x in r["r"]] for r in d.select("k", text.typed_rows(F.col("t"), text.PHASE_HEADERS, names).alias("r")).orderBy("k").collect()]
+    assert got == [[("turning point", "a", "", "1, 2"), ("conflict", "", "e", "3")]] * 3
+
+
+def test_a_value_is_worked_out_once_for_all_names(spark):
+    plan = spark.createDataFrame([("the weather",)], "t string").select(text.coerce(F.col("t"), text.SETTING_ELEMENTS).alias("v"))
+    assert plan.collect()[0]["v"] == "Weather"
+    assert plan._jdf.queryExecution().analyzed().toString().lower().count("upper(") == 1
