@@ -204,3 +204,17 @@ def test_boxes_of_masks(spark):
     assert found[1] == found[5] == [(0.0, 0.0, 19.0, 19.0)] and sorted(found[2]) == [(0.0, 0.0, 19.0, 19.0), (60.0, 60.0, 79.0, 79.0)] and set(found) == {1, 2, 5}
     again = masks.mask_boxes(df.repartition(3)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, masks.mask_boxes(df).collect()))
+
+
+def test_many_masks_have_the_boxes_of_each_alone(spark):
+    rng, size = np.random.default_rng(0), 40
+    sets = [np.unique(rng.integers(0, s, (n, 2)), axis=0) for s in (2, 6, 30, 300) for n in (1, 2, 3, 7, size) for _ in range(3)]
+    width = max(map(len, sets))
+    real = np.arange(width)[None] < np.array([[len(s)] for s in sets])
+    p = np.stack([np.concatenate([s, np.repeat(s[:1], width - len(s), 0)]) for s in sets]).astype(float)
+    alone = [masks.best_boxes(s.astype(float)) for s in sets]
+    assert masks.many_boxes(p, real, 6, 0.9, 0.3, 6, 1) == alone and any(len(b) > 1 for b in alone)
+    rows = [(k, [(int(x), int(y)) for x, y in s]) for k, s in enumerate(sets)] + [(98, []), (99, None)]
+    got = masks.mask_boxes(spark.createDataFrame(rows, "id long, points array<struct<x:long,y:long>>").coalesce(1)).collect()
+    want = [(k, i, b[0], b[1], b[2] - b[0], b[3] - b[1]) for k, bs in enumerate(alone) for i, b in enumerate(bs)]
+    assert sorted(map(tuple, got)) == sorted(want)
