@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taleframe.functions.text import bind
+
 STORY = (
     "story_id STRING, images ARRAY<STRUCT<bytes: BINARY, path: STRING, width: INT, height: INT>>, frame_count INT, chain_of_thought STRING, story STRING"
 )
@@ -121,9 +123,12 @@ def detection_json(d: Column) -> Column:
 
 def detection_from_json(c: Column) -> Column:
     """A detection with its defaults: score 0, sides 0, label normalised; null without a box."""
-    d = F.from_json(c, DETECTION)
-    full = d.withField("score", F.coalesce(d["score"], F.lit(0.0))).withField("image_width", F.coalesce(d["image_width"], F.lit(0))).withField("image_height", F.coalesce(d["image_height"], F.lit(0)))
-    return F.when(d["box"].isNotNull(), full.withField("label", F.translate(d["label"], " _", "--")))
+
+    def full(d: Column) -> Column:
+        known = d.withField("score", F.coalesce(d["score"], F.lit(0.0))).withField("image_width", F.coalesce(d["image_width"], F.lit(0))).withField("image_height", F.coalesce(d["image_height"], F.lit(0)))
+        return F.when(d["box"].isNotNull(), known.withField("label", F.translate(d["label"], " _", "--")))
+
+    return bind(F.from_json(c, DETECTION), full)  # read once, not once a field
 
 
 def write_metrics(metrics: DataFrame, path: str, hidden: tuple[str, ...] = ()) -> None:

@@ -74,3 +74,10 @@ def test_descriptions_without_their_images(spark):
     df = spark.createDataFrame([("a", scene(1), images), ("b", scene(2), images), ("c", "nothing", images)], "story_id string, text string, images array<struct<width:int,height:int>>")
     got = sorted((r["story_id"], r["pos"], r["label"], round(r["w"], 9)) for r in evaluate.description_detections(df).collect())
     assert got == [("a", 1, "person", 0.1), ("a", 2, "red", 0.02), ("a", 3, "object", 0.02)]
+
+
+def test_a_detection_is_read_once(spark):
+    d = spark.createDataFrame([('{"id": 1, "label": "a_b", "box": {"x": 0.5}}',), ('{"id": 2}',), (None,)], "c string").repartition(2)
+    back = d.select(story_files.detection_from_json(F.col("c")).alias("d")).select("d.label", "d.score", "d.image_width", "d.box.x")
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(map(tuple, back.collect()), key=str) == [("a-b", 0.0, 0, 0.5), (None,) * 4, (None,) * 4]
