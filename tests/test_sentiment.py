@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleframe.functions import text
-from taleframe.functions.valence import compound
+from taleframe.functions.valence import Words, compound
 from taleframe.operators import names, sentiment, statistics, stories, validate
 from taleframe.plans import queries
 
@@ -119,3 +119,26 @@ def test_faults_come_image_by_image(spark):
     told = validate.scene_fault(text.parse_scenes(F.col("text")), text.parse_phases(F.col("text")), F.lit(2), F.lit(100), F.lit(100))
     for r in df.select("fault", told.alias("got")).collect():
         assert r["got"] == r["fault"]
+
+
+def test_a_phase_text_is_judged_once_and_met_by_story(spark):
+    images = spark.createDataFrame([(1, 1, "<gdo char1>Tom</gdo> smiles."), (1, 2, "<gdo char1>Tom</gdo> weeps, <gdo char2>Anna</gdo> weeps.")], "story_id int, image_number int, text string")
+    phases = spark.createDataFrame([(1, "Conflict", "2", 0), (1, "Conflict", "1, 2", 1), (1, "Conflict", "2", None)], "story_id int, narrative_phase string, images string, place int")
+    lexicon = spark.createDataFrame([("smiles", 2.0), ("weeps", -2.0)], "word string, valence double")
+    d = sentiment.phase_sentiment(phases, images, lexicon)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert sentiment.sentiment_split(d)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    joined = sentiment.phase_texts(phases.repartition(4, "story_id"), images.repartition(4, "story_id")).hint("merge")
+    assert [r["text"] for r in joined.collect()] == ["<gdo char1>Tom</gdo> smiles. <gdo char1>Tom</gdo> weeps, <gdo char2>Anna</gdo> weeps. "]
+    got = {(r["narrative_phase"], r["who"]): (r["sentiment"], r["stories"]) for r in d.collect()}
+    assert set(got) == {(p, "overall") for p in text.NARRATIVE_PHASES} | {("Conflict", "1"), ("Conflict", "2")}
+    assert got["Conflict", "overall"] == (compound("Tom smiles. Tom weeps, Anna weeps.", {"smiles": 2.0, "weeps": -2.0}), 1)
+
+
+def test_words_are_kept_from_text_to_text(monkeypatch):
+    monkeypatch.setattr(Words, "HELD", 3)
+    lexicon = {"good": 2.0, "bad": -2.5, "kind": 2.0}
+    held = Words(lexicon)
+    for t in ("never so good", "GOOD but bad", "a kind of good!", "without doubt good", "not at least good", "good"):
+        assert compound(t, held) == compound(t, lexicon) and len(held) <= 3
