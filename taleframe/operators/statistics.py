@@ -43,8 +43,8 @@ def entity_kind(e: Column) -> Column:
 def unique_entities(frames: DataFrame) -> DataFrame:
     """Per story: distinct characters, objects, backgrounds; landmarks are never among the setting elements."""
     k = entity_kind(F.col("entity_id"))
-    one = lambda kind: F.countDistinct(F.when(k == kind, F.col("entity_id"))).alias(f"{kind}s")
-    return frames.groupBy("story_id").agg(one("character"), one("object"), one("background"), F.lit(0).alias("landmarks"))
+    one = lambda kind: F.count(F.when(k == kind, F.col("entity_id"))).alias(f"{kind}s")
+    return frames.select("story_id", "entity_id").distinct().groupBy("story_id").agg(one("character"), one("object"), one("background"), F.lit(0).alias("landmarks"))
 
 
 def multi_frame_share(frames: DataFrame) -> DataFrame:
@@ -213,7 +213,10 @@ def final_statistics(tags: DataFrame, frames: DataFrame) -> DataFrame:
     """metric, value: the means of a dataset in long form, 0 where there is nothing to average."""
     names = ("character_refs", "object_refs", "action_refs", "setting_refs", "total_refs", "pronoun_refs", "pronoun_share", "words", "distinct_characters", "distinct_objects")
     means = tags.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(f"avg_{n}") for n in names])
-    kinds = unique_entities(frames).agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(f"avg_unique_{n}") for n in ("characters", "objects", "backgrounds", "landmarks")])
-    multi = multi_frame_share(frames).agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("avg_multi_frame_share"))
-    wide = means.crossJoin(kinds).crossJoin(multi)
+    # entities are found once, for their kinds and for their frames
+    k, spread = entity_kind(F.col("entity_id")), frames.groupBy("story_id", "entity_id").agg(F.countDistinct("image_number").alias("n"))
+    one = lambda kind: F.count(F.when(k == kind, F.col("entity_id"))).alias(f"unique_{kind}s")
+    each = spread.groupBy("story_id").agg(one("character"), one("object"), one("background"), F.lit(0).alias("unique_landmarks"), (F.avg((F.col("n") >= 2).cast("double")) * 100).alias("multi_frame_share"))
+    kinds = each.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(f"avg_{n}") for n in ("unique_characters", "unique_objects", "unique_backgrounds", "unique_landmarks", "multi_frame_share")])
+    wide = means.crossJoin(kinds)
     return wide.unpivot([], wide.columns, "metric", "value")
