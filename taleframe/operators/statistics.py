@@ -101,8 +101,15 @@ def ungrounded_pronouns(stories: DataFrame) -> DataFrame:
 
 def tag_density_by_phase(phases: DataFrame, images: DataFrame) -> DataFrame:
     """phase, words and tags per hundred words: texts of a phase's images joined, phases in their order, absent ones 0."""
-    listed = phases.select("story_id", "narrative_phase", F.explode(F.array_distinct(text.listed_images(F.col("images")))).alias("image_number"))
-    held = listed.join(images, ["story_id", "image_number"]).groupBy("narrative_phase", "story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_number", "text"))), lambda x: x["text"]), " ").alias("text"))
+    numbers = F.flatten(F.collect_list(F.array_distinct(text.listed_images(F.col("images"))))).alias("numbers")
+    listed = phases.groupBy("story_id", "narrative_phase").agg(numbers).groupBy("story_id").agg(F.collect_list(F.struct("narrative_phase", "numbers")).alias("phases"))
+    shown = images.groupBy("story_id").agg(F.collect_list(F.struct("image_number", "text")).alias("shown"))
+    of = lambda n: F.filter("shown", lambda i: i["image_number"] == n)
+    whole = lambda p: F.array_sort(F.flatten(F.transform(p["numbers"], of)))
+    each = lambda p: F.struct(p["narrative_phase"].alias("narrative_phase"), whole(p).alias("held"))
+    # phases and images meet by story only, so rows that are dealt by story are not dealt again
+    held = listed.join(shown, "story_id").select(F.inline_outer(F.transform("phases", each))).where(F.size("held") > 0)
+    held = held.select("narrative_phase", F.array_join(F.transform("held", lambda x: x["text"]), " ").alias("text"))
     c = text.tag_counts(F.col("text"))
     sums = held.groupBy("narrative_phase").agg(F.sum(text.word_count(text.strip_story_tags(F.col("text")))).alias("words"), *[F.sum(c[n]).alias(n) for n in ("character_refs", "object_refs", "action_refs", "setting_refs")])
     order = phases.sparkSession.createDataFrame(list(enumerate(text.NARRATIVE_PHASES)), "place int, narrative_phase string")

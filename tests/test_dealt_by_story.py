@@ -20,3 +20,11 @@ def test_entities_are_counted_without_an_expansion(spark):
     assert plan_of(d).count("Expand") == 1  # that of unpivot
     told = {r["metric"]: r["value"] for r in d.collect()}
     assert told["avg_unique_characters"] == 0.5 and abs(told["avg_multi_frame_share"] - 100 / 6) < 1e-9
+
+
+def test_phases_and_images_meet_by_story(spark):
+    images = spark.createDataFrame([(1, 1, "one two"), (1, 2, "three")], "story_id int, image_number int, text string")
+    phases = spark.createDataFrame([(1, "Conflict", "2, 1, 2"), (1, "Conflict", "1"), (1, "Conclusion", None), (1, "Development", "9")], "story_id int, narrative_phase string, images string")
+    d = statistics.tag_density_by_phase(phases, images)
+    assert not [x for x in plan_of(d).splitlines() if "Exchange hashpartitioning" in x and "image_number" in x]
+    assert {r["narrative_phase"]: r["words"] for r in d.collect() if r["words"]} == {"Conflict": 5}
