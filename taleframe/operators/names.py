@@ -25,7 +25,7 @@ def capital_shares(stories: DataFrame) -> DataFrame:
     """word, uses, share: of each word, lower-cased, how often it begins with a capital where no sentence begins (story_id, text)."""
     sentences = F.transform(F.split(text.strip_story_tags(F.col("text")), SENTENCE), words)
     inner = F.flatten(F.transform(sentences, lambda w: F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))))
-    each = stories.select(F.explode(inner).alias("w"))
+    each = stories.select(F.explode_outer(inner).alias("w")).where("w is not null")  # explode would find the words twice, to ask for texts without
     return each.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("uses"), F.avg(_capital(F.col("w")).cast("double")).alias("share"))
 
 
@@ -40,7 +40,7 @@ def proper_nouns(stories: DataFrame) -> DataFrame:
     listed = stories.select("story_id", words(text.strip_story_tags(F.col("text"))).alias("all"), words(F.array_join(F.regexp_extract_all("text", F.lit(_REFERENCE), F.lit(1)), " ")).alias("held"))
     long = lambda c: F.filter(c, lambda w: (F.length(w) > SHORT) & _capital(w))
     listed = listed.select("story_id", long(F.col("all")).alias("all"), F.transform(long(F.col("held")), F.lower).alias("held"))
-    each = listed.select("story_id", "held", F.explode(F.transform("all", F.lower)).alias("word"))
+    each = listed.select("story_id", "held", F.explode_outer(F.transform("all", F.lower)).alias("word")).where("word is not null")
     each = each.groupBy("story_id", "word").agg(F.count("*").alias("total"), F.max(F.array_contains("held", F.col("word"))).alias("named"))
     found = each.join(capital_shares(stories).where(F.col("share") >= SHARE).select("word"), "word")
     grounded = F.when(F.col("named"), F.col("total")).otherwise(0)

@@ -28,3 +28,10 @@ def test_phases_and_images_meet_by_story(spark):
     d = statistics.tag_density_by_phase(phases, images)
     assert not [x for x in plan_of(d).splitlines() if "Exchange hashpartitioning" in x and "image_number" in x]
     assert {r["narrative_phase"]: r["words"] for r in d.collect() if r["words"]} == {"Conflict": 5}
+
+
+def test_words_are_found_once(spark):
+    stories = spark.createDataFrame([(1, "We saw Tom."), (2, None), (3, "")], "story_id int, text string")
+    plan = names.capital_shares(stories)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert {r["word"]: r["uses"] for r in names.capital_shares(stories).collect()} == {"saw": 1, "tom": 1}
