@@ -35,3 +35,12 @@ def test_words_are_found_once(spark):
     plan = names.capital_shares(stories)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
     assert {r["word"]: r["uses"] for r in names.capital_shares(stories).collect()} == {"saw": 1, "tom": 1}
+
+
+def test_average_precision_deals_no_pair_again(spark):
+    rows = [(1, 1, "person", 0.0, 0.0, 1.0, 1.0, 0.9), (1, 2, "cup", 0.0, 0.0, 1.0, 1.0, 0.8), (2, 1, None, 0.0, 0.0, 1.0, 1.0, 0.7)]
+    d = spark.createDataFrame(rows, "story_id long, pos long, label string, x double, y double, w double, h double, score double").repartition(3, "story_id")
+    out = metrics.average_precision(d, d)
+    dealt = [x for x in plan_of(out).splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not [x for x in dealt if "person" in x or "pos" in x]
+    assert {r["story_id"]: r["ap"] for r in out.collect()} == {1: 1.0, 2: 0.0}
