@@ -47,31 +47,57 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` as a Parquet table, and free the files of its shuffles once the table is there.
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Files of the shuffles of what is written inside the block go once it is there.
 
     While tasks run, shuffle files stay, so lost ones are made again as ever.  The session's own setting is put back.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as a Parquet table, and free the files of its shuffles once the table is there."""
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _NOTED:
+        paths.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     The lineage ends here: a lost executor costs the tasks that read the table, not the work that made it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for paths in _NOTED:
-        paths.append(path)
+    path = _new_path(df.sparkSession, name)
     write_table(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_in_buckets(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """As ``stage``, in buckets of ``by``: a join on just these columns sends the other table only.
+
+    Writing sends nothing either.  A task writes a file for each bucket that it has rows of, so ``by`` should have few
+    values in a task.  The table's name leaves the catalog at once; its files stay as those of ``stage`` do.
+    """
+    spark, table = df.sparkSession, f"taleframe_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _shuffles_freed(spark):
+        df.write.bucketBy(n, *by).option("path", _new_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, on: list[str], n: str, by: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taleframe.llm.common import read, stage
+from taleframe.llm.common import read, stage, stage_in_buckets
 from taleframe.llm.tokens import VOCABULARY, DocumentEncoder
 
 LIMIT = 1024
@@ -287,12 +287,17 @@ def pack_documents(
     run and place (file, row in it) tell copies of a document apart.
     """
     source = training_runs(docs) if ordered else docs.select("doc_id", "text", F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("place"))
-    pieces = stage(tokenized_pieces(source, vocabulary, limit, end, with_ids), "pieces")
+    pieces = tokenized_pieces(source, vocabulary, limit, end, with_ids)
+    pieces = stage_in_buckets(pieces, "pieces", ["run", "part"]) if ordered else stage(pieces, "pieces")
     held = stage(pieces.groupBy("run", "part", "length").agg(F.count("*").alias("n")), "piece-counts")
     plan = stage(_plans(held.groupBy("run", "length").agg(F.sum("n").alias("n")), limit, schemes), "plan")
     earlier = Window.partitionBy("run", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("run", "part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    placed = pieces.join(base, ["run", "part", "length"]).join(plan if ordered else F.broadcast(plan), ["run", "length"])  # one run: at most ``limit`` rows
+    if ordered:  # one row for each run of a part, at most ``limit`` entries; pieces and their ids stay in their buckets
+        seats = base.join(plan, ["run", "length"]).groupBy("run", "part").agg(F.map_from_entries(F.collect_list(F.struct("length", F.struct("base", "runs")))).alias("seats"))
+        placed = pieces.join(seats, ["run", "part"]).withColumn("seat", F.element_at("seats", F.col("length"))).select("*", "seat.*")
+    else:  # one run: at most ``limit`` rows
+        placed = pieces.join(base, ["run", "part", "length"]).join(F.broadcast(plan), ["run", "length"])
     placed = placed.withColumn("rank", F.col("base") + F.col("local"))
     placed = placed.withColumn("put", F.element_at(F.filter("runs", lambda r: r["low"] <= F.col("rank")), -1))
     at = F.col("rank") - F.col("put.low")

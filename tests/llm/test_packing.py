@@ -100,3 +100,41 @@ def test_ordered_packing_keeps_runs_of_training(spark, tmp_path):
     assert sum(len(i) for p in by.values() for _, _, i in p) == sum(r["length"] for r in got)
     loose = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), ordered=True).collect()
     assert len({r["place"] for r in loose}) == 60
+
+
+def test_ids_are_not_sent(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["ten", "of", "tion x", "häuser"], k=rng.choice([3, 200, 1500])))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where plans are too large for it
+    try:
+        packed = pack_documents(spark.read.parquet(str(tmp_path / "docs")), ordered=True, with_ids=True)
+        packed.write.parquet(str(tmp_path / "packed"))
+        plan = packed._jdf.queryExecution().executedPlan()
+        outputs, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+                continue
+            if "Exchange" in node.nodeName():
+                outputs.append(node.output().mkString(","))
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert outputs and not any("ids#" in o for o in outputs)
+    got = spark.read.parquet(str(tmp_path / "packed")).collect()
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["ids"]))
+    for i, text in rows:
+        assert [x for _, ids in sorted(pieces[i]) for x in ids] == [*load_tokenizer(VOCABULARY).encode(text, add_special_tokens=False).ids, 2]
+    by = {}
+    for r in got:
+        assert r["sequence_id"] >> 40 == r["run"]
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(places[-1]) <= 1024
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("taleframe_")]
