@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +166,14 @@ def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]
     shared, start = vocabulary.sparkSession.sparkContext.broadcast(tables), Mixer()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Mixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0
+        model, seen, guesses = Mixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0, None
         for b in batches:
+            guesses = guesses or model.left_out(shared.value)
             for _, words, counts in _spelled_pieces(b, names):
                 event, starts = word_events(words)
                 at, cls = np.nonzero(np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
                 for a in range(0, len(at), STEP):
-                    model.learn(shared.value, event[at[a : a + STEP]], cls[a : a + STEP], RATE)
+                    model.learn_from(guesses, event[at[a : a + STEP]], cls[a : a + STEP], RATE)
                 seen += len(at)
         if seen:
             yield _state(model, start, seen)
@@ -184,12 +186,14 @@ def spell_words(words: DataFrame, tables, model: Mixer, classes: int) -> DataFra
     names = words.columns
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = None
         for b in batches:
+            guesses = guesses or model.packed(tables.value)
             for a in range(0, len(b), 1 << 17):
                 part = b.slice(a, 1 << 17)
                 event, starts = word_events([t.encode("utf-8") for t in part.column("token").to_pylist()])
                 unique, at = np.unique(event, return_inverse=True)
-                cost = np.concatenate([model.bits(tables.value, unique[i : i + 65536], classes) for i in range(0, len(unique), 65536)])
+                cost = np.concatenate([model.bits_from(guesses, unique[i : i + 65536], classes) for i in range(0, len(unique), 65536)])
                 total = np.stack([np.add.reduceat(cost[at, k], starts) for k in range(classes)])
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, total)], [*names, *(f"s_{k}" for k in range(classes))])
 
@@ -245,10 +249,10 @@ def encode_documents(marked: DataFrame, ranks, kind: str) -> DataFrame:
                 b, n_bytes = whole.slice(first, at - first), [sum(map(len, w)) + len(w) + 1 for w in texts]
                 for w in texts:
                     w.append(b"")
-                flat = [w for t in texts for w in t]
+                flat = list(chain.from_iterable(texts))
                 sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                rank = np.array([index.get(w, 0) for w in flat], dtype=np.int64)
+                rank = np.fromiter(map(index.get, flat, repeat(0)), dtype=np.int64, count=len(flat))
                 lean = held.leaning[rank]
                 before = np.cumsum(lean, axis=0, dtype=np.float64)
                 before -= lean
@@ -309,13 +313,14 @@ def fit_words(coded: DataFrame, common: np.ndarray, by_class: np.ndarray) -> tup
     shared, start = coded.sparkSession.sparkContext.broadcast((common, by_class, near)), WordMixer()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = WordMixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0
+        model, seen, guesses = WordMixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0, None
         for b in batches:
+            guesses = guesses or model.left_out(*shared.value)
             label = b.column("cls").to_numpy(zero_copy_only=False).astype(np.int32)
             for first, end, starts, stream in _streams(b):
                 own = np.repeat(label[first:end], np.diff(np.r_[starts, len(stream[0])]))
                 for a in range(0, len(own), STEP):
-                    model.learn(*shared.value, *(x[a : a + STEP] for x in stream), own[a : a + STEP], RATE)
+                    model.learn(guesses, *(x[a : a + STEP] for x in stream), own[a : a + STEP], RATE)
                 seen += len(own)
         if seen:
             yield _state(model, start, seen)

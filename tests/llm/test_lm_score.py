@@ -187,3 +187,68 @@ def test_score_is_the_plain_loop_s(spark, tmp_path):
     back = spark.createDataFrame([*rows, (1000, " ".join(reversed(rows[3][1].split())), "b", 0.0)], SCHEMA)
     again = {r["doc_id"]: r["score"] for r in score_documents(back, F.col("doc_id") < 100).collect()}
     assert abs(again[1000] - again[3]) > 0.5
+
+
+def test_equal_events_are_counted_and_learned_as_one(monkeypatch):
+    event, _ = word_events([b"banana", b"band", b"can", b"nab"] * 500)
+    cls, hashed, plain = np.arange(len(event)) // 17 % 2, [], mm._hash
+    distinct = len(set(zip(event.tolist(), cls.tolist(), strict=True)))
+    monkeypatch.setattr(mm, "_hash", lambda context, which, c: hashed.append(len(context)) or plain(context, which, c))
+    tables, model = np.zeros((len(CONTEXTS), SLOTS, 2), dtype=np.float32), Mixer()
+    add_slots(tables, event, np.eye(2, dtype=np.int64)[cls])
+    model.learn(tables, event, cls, 0.05)
+    assert len(hashed) == 2 * len(CONTEXTS) and max(hashed) <= distinct < len(event) / 50
+    # the plain way, event by event
+    want = np.zeros_like(tables)
+    for b, node, bit in mm._decisions(event):
+        for i in range(len(CONTEXTS)):
+            np.add.at(want[i], (mm._slot(plain(event >> 8, i, cls), node), bit), 1)
+    assert (tables == want).all()
+    for b, node, bit in mm._decisions(event):
+        z, inputs = np.zeros(len(event)), []
+        for i in range(len(CONTEXTS)):
+            n = want[i][mm._slot(plain(event >> 8, i, cls), node)]
+            n[np.arange(len(event)), bit] -= 1
+            st = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
+            level = np.minimum(np.log2(n.sum(axis=1) + 1).astype(int), mm.LEVELS - 1)
+            z += 0.3 * st
+            inputs.append((st, level))
+        wrong = (1 / (1 + np.exp(-z)) - bit) / len(event)
+        for i, (st, level) in enumerate(inputs):
+            g = np.bincount(level, weights=wrong * st, minlength=mm.LEVELS)
+            assert np.allclose(model.weights[i, :, b], 0.3 - 0.05 * g / np.sqrt(1e-4 + g * g), atol=1e-4)
+    assert model.cells.sum() == pytest.approx(Mixer().cells.sum() + 8 * len(event))
+
+
+def test_words_learn_without_their_own_counts():
+    rng = np.random.default_rng(6)
+    rank = rng.choice([0, 1, 2, 3, 40, 900, HEAD], 3000, p=[0.1, 0.4, 0.2, 0.1, 0.1, 0.09, 0.01]).astype(np.int32)
+    one, two, cls, own = np.r_[np.int32(START), rank[:-1]], np.r_[np.int32(START), np.int32(START), rank[:-2]], np.arange(3000) // 100 % 2, np.arange(3000) // 70 % 2
+    path = list(mm.ordered_decisions(rank[(order := mm.longest_first(rank))]))
+    back = {int(w): [] for w in order}
+    for _, m, node, bit in path:
+        for w, n, x in zip(order[:m].tolist(), node.tolist(), bit.tolist(), strict=True):
+            back[w].append((n, x))
+    assert all(back[w] == plain_path(int(rank[w])) for w in back)
+    counts = [np.bincount(rank[own == k], minlength=HEAD + 1) for k in range(2)]
+    common, by_class = node_counts(sum(counts)), np.stack([node_counts(c) for c in counts])
+    near = np.zeros((2, NEAR_SLOTS, 2), dtype=np.float32)
+    mm.add_near(near, rank, one, two)
+    model = WordMixer()
+    model.learn(model.left_out(common, by_class, near), rank, one, two, cls, own, 0.05)
+    hashes = mm.near_hashes(one, two)
+    for j, which, node, bit in mm.rank_decisions(rank):
+        which = np.arange(len(rank))[which]
+        z, inputs = np.zeros(len(which)), []
+        for i in range(4):
+            held = common[node] if i == 0 else by_class[cls[which], node] if i == 1 else near[i - 2][mm._slot(hashes[i - 2][which], node, mm.NEAR_BITS)]
+            n = held.copy()
+            n[np.arange(len(which)), bit] -= (cls == own)[which] if i == 1 else 1
+            st = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
+            level = np.minimum(np.log2(n.sum(axis=1) + 1).astype(int), mm.LEVELS - 1)
+            z += 0.3 * st
+            inputs.append((st, level))
+        wrong = (1 / (1 + np.exp(-z)) - bit) / len(which)
+        for i, (st, level) in enumerate(inputs):
+            g = np.bincount(level, weights=wrong * st, minlength=mm.LEVELS)
+            assert np.allclose(model.weights[i, :, j], 0.3 - 0.05 * g / np.sqrt(1e-4 + g * g), atol=1e-4), (i, j)
