@@ -11,14 +11,12 @@ The class of a text is not given but guessed from the words before, so it change
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +32,42 @@ HEAD_BYTES = 256
 RATE, STEP = 0.06, 32768
 #: Words that are encoded at once.
 BATCH_WORDS = 1 << 17
-_HELD, _READ = 400_000, 1 << 27
+#: Bytes of text that are split at once, and of spelled words that are turned into events at once.
+PIECE, SPELLED = 1 << 24, 1 << 23
+#: Counts that a task holds before it puts equal ones together, by rows and by bytes.
+_HELD, _HELD_BYTES = 1_000_000, 1 << 27
 _BLOCK, _FAN = 1 << 17, 64
 _CLASS_SHIFT = 24
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
+@dataclass
+class Piece:
+    """Texts that are split at once: their distinct words, the words of all in order (each text's end, the empty word, last), and how many a text has."""
+
+    at: int
+    distinct: pa.Array
+    word: np.ndarray
+    sizes: np.ndarray
+
+
+def split_words(texts: pa.Array) -> Iterator[Piece]:
+    """Words of texts (A-Z lower-cased, apart by ASCII white space; null: none), about PIECE bytes of text at a time."""
+    bytes_before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(bytes_before, (bytes_before[at - 1] if at else 0) + PIECE, side="right")))
+        trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, end - at), "")))
+        # a blank at the end makes an empty word there; a text without words is one already
+        closed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, " ", ""))
+        parts = pc.ascii_split_whitespace(closed)
+        words = parts.flatten().dictionary_encode()
+        yield Piece(at, words.dictionary, words.indices.to_numpy(), pc.list_value_length(parts).to_numpy().astype(np.int64))
+        at = end
+
+
+def _merged(held: list[pa.Table]) -> pa.Table:
+    both = pa.concat_tables(held).group_by(["token", "cls"], use_threads=False).aggregate([("n", "sum")])
+    return both.select(["token", "cls", "n_sum"]).rename_columns(["token", "cls", "n"]).combine_chunks()
 
 
 def count_words(docs: DataFrame, classes: int) -> DataFrame:
@@ -48,30 +75,25 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
 
     ``docs`` has text, cls (class number) and train; words of other documents come with count 0.
     """
+    names = ["token", "cls", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for k, c in held.items():
-                token = pa.array([t.decode("utf-8") for t in c], pa.string())
-                n = np.fromiter(c.values(), dtype=np.int64, count=len(c)) if k >= 0 else np.zeros(len(c), dtype=np.int64)
-                whole = pa.RecordBatch.from_arrays([token, pa.array(np.full(len(c), max(k, 0), np.int32)), pa.array(n)], ["token", "cls", "n"])
-                for a in range(0, len(c), 1 << 16):
-                    yield whole.slice(a, 1 << 16)
-            held.clear()
-
-        seen = 0
+        held: list[pa.Table] = []
         for b in batches:
-            for text, cls, train in zip(b.column("text"), b.column("cls").to_pylist(), b.column("train").to_pylist(), strict=True):
-                words = _words(text.as_py())
-                seen += sum(map(len, words))
-                words.append(b"")
-                held.setdefault(cls if train else -1, Counter()).update(words)
-                if seen > _READ or sum(map(len, held.values())) > _HELD:
-                    yield from rows()
-                    seen = 0
-        yield from rows()
+            own, train = b.column("cls").to_numpy().astype(np.int64), b.column("train").to_numpy(zero_copy_only=False)
+            for p in split_words(b.column("text")):
+                texts = slice(p.at, p.at + len(p.sizes))
+                key = p.word + np.repeat(own[texts] * len(p.distinct), p.sizes)
+                size = classes * len(p.distinct)
+                n, at = np.bincount(key[np.repeat(train[texts], p.sizes)], minlength=size), np.flatnonzero(np.bincount(key, minlength=size))
+                cls, word = np.divmod(at, len(p.distinct))
+                held.append(pa.table([p.distinct.take(pa.array(word)), pa.array(cls.astype(np.int32)), pa.array(n[at])], names))
+                if sum(map(len, held)) > _HELD or sum(t.nbytes for t in held) > _HELD_BYTES:
+                    held = [_merged(held)]
+                    if len(held[0]) > _HELD // 2 or held[0].nbytes > _HELD_BYTES // 2:
+                        yield from held.pop().to_batches(1 << 16)
+        if held:
+            yield from _merged(held).to_batches(1 << 16)
 
     parts = docs.select("text", "cls", "train").mapInArrow(count, "token string, cls int, n long")
     by_class = [F.sum(F.when(F.col("cls") == k, F.col("n")).otherwise(0)).alias(f"c_{k}") for k in range(classes)]
@@ -81,6 +103,16 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
 # --- tables of one size, counted by all tasks -----------------------------------------------------------
 
 
+def _zipped(part: np.ndarray) -> bytes:
+    """Pairs of counts, their bytes apart by place, as most are small and differ in few of them."""
+    return pa.compress(np.ascontiguousarray(part.astype("<f4").reshape(-1).view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> np.ndarray:
+    places = np.frombuffer(pa.decompress(data, decompressed_size=8 * _BLOCK, codec="zstd"), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(places.T).reshape(-1).view("<f4")
+
+
 def _summed(parts: DataFrame, tables: int, slots: int) -> np.ndarray:
     """The sum of what tasks have counted (which, block, task, data): ``tables`` tables of ``slots`` pairs.
 
@@ -91,8 +123,8 @@ def _summed(parts: DataFrame, tables: int, slots: int) -> np.ndarray:
         out = np.zeros(2 * _BLOCK)
         for b in batches:
             for data in b.column("data"):
-                out += np.frombuffer(zlib.decompress(data.as_py()), dtype=np.float32)
-        data = zlib.compress(out.astype(np.float32).tobytes(), 1)
+                out += _unzipped(data.as_py())
+        data = _zipped(out)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.int32()), pa.array([data])], ["which", "block", "task", "data"])
 
     schema = "which int, block int, task int, data binary"
@@ -100,7 +132,7 @@ def _summed(parts: DataFrame, tables: int, slots: int) -> np.ndarray:
     twice = once.withColumn("task", F.lit(0)).groupBy("which", "block", "task").applyInArrow(total, schema)
     out = np.zeros((tables, slots, 2), dtype=np.float32)
     for r in twice.toLocalIterator():  # tables x slots / _BLOCK rows, whatever the input
-        out[r["which"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.float32).reshape(-1, 2)
+        out[r["which"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = _unzipped(r["data"]).reshape(-1, 2)
     return out
 
 
@@ -110,7 +142,7 @@ def _blocks(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
         for block in range(tables.shape[1] // _BLOCK):
             part = tables[which, block * _BLOCK : (block + 1) * _BLOCK]
             if part.any():
-                data = zlib.compress(part.astype(np.float32).tobytes(), 1)
+                data = _zipped(part)
                 yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([data])], ["which", "block", "task", "data"])
 
 
@@ -142,11 +174,24 @@ def _state(model, start, seen: int) -> pa.RecordBatch:
 # --- spelling -------------------------------------------------------------------------------------------
 
 
-def _spelled_pieces(b: pa.RecordBatch, names: list[str], step: int = 1 << 17) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    for a in range(0, len(b), step):
-        part = b.slice(a, step)
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together, to ``rows`` or SPELLED bytes, so that events which many words share are seen once for all."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        for part in (b.slice(a, rows) for a in range(0, len(b), rows)):
+            more = pc.sum(pc.binary_length(part.column("token"))).as_py() or 0
+            if held and (n + len(part) > rows or size + more > SPELLED):
+                yield pa.concat_batches(held)
+                held, n, size = [], 0, 0
+            held, n, size = [*held, part], n + len(part), size + more
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _spelled_pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    for part in _gathered(batches):
         counts = np.stack([part.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1) > 0
-        yield a, [t.encode("utf-8") for t in part.column("token").to_pylist()], counts.astype(np.int64)
+        yield part.column("token").cast(pa.binary()).to_pylist(), counts.astype(np.int64)
 
 
 def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]:
@@ -156,10 +201,9 @@ def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((len(CONTEXTS), SLOTS, 2), dtype=np.float32)
-        for b in batches:
-            for _, words, counts in _spelled_pieces(b, names):
-                event, starts = word_events(words)
-                add_slots(tables, event, np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
+        for words, counts in _spelled_pieces(batches, names):
+            event, starts = word_events(words)
+            add_slots(tables, event, np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
         yield from _blocks(tables)
 
     tables = _summed(known.mapInArrow(count, "which int, block int, task int, data binary"), len(CONTEXTS), SLOTS)
@@ -167,14 +211,13 @@ def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen, guesses = Mixer(start.weights.copy(), start.squares.copy(), start.cells.copy()), 0, None
-        for b in batches:
+        for words, counts in _spelled_pieces(batches, names):
             guesses = guesses or model.left_out(shared.value)
-            for _, words, counts in _spelled_pieces(b, names):
-                event, starts = word_events(words)
-                at, cls = np.nonzero(np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
-                for a in range(0, len(at), STEP):
-                    model.learn_from(guesses, event[at[a : a + STEP]], cls[a : a + STEP], RATE)
-                seen += len(at)
+            event, starts = word_events(words)
+            at, cls = np.nonzero(np.repeat(counts, np.diff(np.r_[starts, len(event)]), axis=0))
+            for a in range(0, len(at), STEP):
+                model.learn_from(guesses, event[at[a : a + STEP]], cls[a : a + STEP], RATE)
+            seen += len(at)
         if seen:
             yield _state(model, start, seen)
 
@@ -187,15 +230,13 @@ def spell_words(words: DataFrame, tables, model: Mixer, classes: int) -> DataFra
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guesses = None
-        for b in batches:
+        for part in _gathered(batches):
             guesses = guesses or model.packed(tables.value)
-            for a in range(0, len(b), 1 << 17):
-                part = b.slice(a, 1 << 17)
-                event, starts = word_events([t.encode("utf-8") for t in part.column("token").to_pylist()])
-                unique, at = np.unique(event, return_inverse=True)
-                cost = np.concatenate([model.bits_from(guesses, unique[i : i + 65536], classes) for i in range(0, len(unique), 65536)])
-                total = np.stack([np.add.reduceat(cost[at, k], starts) for k in range(classes)])
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, total)], [*names, *(f"s_{k}" for k in range(classes))])
+            event, starts = word_events(part.column("token").cast(pa.binary()).to_pylist())
+            unique, at = np.unique(event, return_inverse=True)
+            cost = np.concatenate([model.bits_from(guesses, unique[i : i + 65536], classes) for i in range(0, len(unique), 65536)])
+            total = np.stack([np.add.reduceat(cost[:, k].take(at), starts) for k in range(classes)])
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, total)], [*names, *(f"s_{k}" for k in range(classes))])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + "".join(f", s_{k} double" for k in range(classes))
     return words.mapInArrow(spell, schema)
@@ -227,6 +268,21 @@ class Ranks:
     prior: np.ndarray
 
 
+def _leading(leaning: np.ndarray, prior: np.ndarray, rank: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The class that the words before each word speak for most; ``leaning`` has a row per class."""
+    for k, per_rank in enumerate(leaning):
+        lean = per_rank.take(rank)
+        total = np.cumsum(lean, dtype=np.float64)
+        total -= lean
+        total -= np.repeat(total[starts] - prior[k], sizes)
+        if k == 0:
+            most, cls = total, np.zeros(len(rank), dtype=np.int64)
+        else:
+            np.copyto(cls, k, where=total > most)
+            np.maximum(most, total, out=most)
+    return cls
+
+
 def encode_documents(marked: DataFrame, ranks, kind: str) -> DataFrame:
     """Rows of texts (rid, doc_id, train, cls, n_tokens, n_bytes, n_known, base, codes) and of their spelled words (rid, token, klass, tf).
 
@@ -236,45 +292,36 @@ def encode_documents(marked: DataFrame, ranks, kind: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Ranks = ranks.value
-        index = {w: i for i, w in enumerate(held.words, start=1)}
-        rid = TaskContext.get().partitionId() << 33
+        ranked, leaning = pa.array(held.words, pa.binary()), np.ascontiguousarray(held.leaning.T)
+        rid, none = TaskContext.get().partitionId() << 33, pa.nulls
         for whole in batches:
-            at = 0
-            while at < len(whole):
-                first, texts, size = at, [], 0
-                while at < len(whole) and size < BATCH_WORDS:
-                    words = _words(whole.column("text")[at].as_py())
-                    texts.append(words)
-                    size, at = size + len(words) + 1, at + 1
-                b, n_bytes = whole.slice(first, at - first), [sum(map(len, w)) + len(w) + 1 for w in texts]
-                for w in texts:
-                    w.append(b"")
-                flat = list(chain.from_iterable(texts))
-                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                rank = np.fromiter(map(index.get, flat, repeat(0)), dtype=np.int64, count=len(flat))
-                lean = held.leaning[rank]
-                before = np.cumsum(lean, axis=0, dtype=np.float64)
-                before -= lean
-                before -= np.repeat(before[starts] - held.prior, sizes, axis=0)
-                cls = before.argmax(axis=1)
-                codes = (rank | cls << _CLASS_SHIFT).astype("<u4")
-                blobs = [codes[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                known, base = np.add.reduceat((rank > 0).astype(np.int64), starts), np.add.reduceat(held.base[rank], starts)
-                number = np.arange(rid, rid + len(texts))
-                none = lambda k, t: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), b.column("doc_id"), b.column("train"), b.column("cls"), pa.array(sizes), pa.array(n_bytes, pa.int64()), pa.array(known), pa.array(base), pa.array(blobs, pa.binary()),
-                     none(len(texts), pa.string()), none(len(texts), pa.int32()), none(len(texts), pa.int64())], names)
-                rare = np.flatnonzero(rank == 0)
-                of = np.searchsorted(starts, rare, side="right") - 1
-                tf = Counter(zip(of.tolist(), cls[rare].tolist(), map(flat.__getitem__, rare.tolist()), strict=True))
-                if tf:
-                    k = len(tf)
+            for p in split_words(whole.column("text")):
+                rank_of = pc.fill_null(pc.index_in(p.distinct.cast(pa.binary()), value_set=ranked), -1).to_numpy() + 1
+                size_of = pc.binary_length(p.distinct).to_numpy() + 1
+                ends, first = np.cumsum(p.sizes), 0
+                while first < len(p.sizes):
+                    before = ends[first] - p.sizes[first]
+                    last = max(first + 1, int(np.searchsorted(ends, before + BATCH_WORDS)))
+                    b, sizes, word = whole.slice(p.at + first, last - first), p.sizes[first:last], p.word[before : ends[last - 1]]
+                    starts, rank = ends[first:last] - sizes - before, rank_of[word]
+                    cls = _leading(leaning, held.prior, rank, starts, sizes)
+                    codes = (rank | cls << _CLASS_SHIFT).astype("<u4")
+                    blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[starts, len(codes)].astype(np.int32) * 4), pa.py_buffer(codes)])
+                    known, base, n_bytes = (np.add.reduceat(x, starts) for x in ((rank > 0).astype(np.int64), held.base[rank], size_of[word].astype(np.int64)))
+                    number, k = np.arange(rid, rid + len(sizes)), len(sizes)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(number[[i for i, _, _ in tf]]), none(k, b.column("doc_id").type), none(k, pa.bool_()), none(k, pa.int32()), *(none(k, pa.int64()) for _ in range(3)), none(k, pa.float64()), none(k, pa.binary()),
-                         pa.array([t.decode("utf-8") for _, _, t in tf]), pa.array([c for _, c, _ in tf], pa.int32()), pa.array(list(tf.values()), pa.int64())], names)
-                rid += len(texts)
+                        [pa.array(number), b.column("doc_id"), b.column("train"), b.column("cls"), pa.array(sizes), pa.array(n_bytes), pa.array(known), pa.array(base), blobs,
+                         none(k, pa.string()), none(k, pa.int32()), none(k, pa.int64())], names)
+                    rare = np.flatnonzero(rank == 0)
+                    of = np.searchsorted(starts, rare, side="right") - 1
+                    seen, tf = np.unique((of * len(leaning) + cls[rare]) * len(p.distinct) + word[rare], return_counts=True)
+                    if len(seen):
+                        (at, token), k = np.divmod(seen, len(p.distinct)), len(seen)
+                        of, klass = np.divmod(at, len(leaning))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(number[of]), none(k, b.column("doc_id").type), none(k, pa.bool_()), none(k, pa.int32()), *(none(k, pa.int64()) for _ in range(3)), none(k, pa.float64()), none(k, pa.binary()),
+                             p.distinct.take(pa.array(token)), pa.array(klass.astype(np.int32)), pa.array(tf.astype(np.int64))], names)
+                    rid, first = rid + len(sizes), last
 
     schema = f"rid long, doc_id {kind}, train boolean, cls int, n_tokens long, n_bytes long, n_known long, base double, codes binary, token string, klass int, tf long"
     return marked.select("doc_id", "text", "train", "cls").mapInArrow(encode, schema)

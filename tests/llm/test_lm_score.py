@@ -4,12 +4,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from taleframe.llm.common import fold
 from taleframe.llm import mixing_model as mm
-from taleframe.llm.lm_score import learn_model, op2_lm_score, score_documents
+from taleframe.llm import lm_score
+from taleframe.llm.lm_score import learn_model, op2_lm_score, score_documents, spell_words, split_words
 from taleframe.llm.mixing_model import CONTEXTS, HEAD, NEAR_SLOTS, SLOTS, START, Mixer, WordMixer, add_slots, node_counts, word_events
 
 SCHEMA = "doc_id long, text string, lang string, score double"
@@ -252,3 +254,50 @@ def test_words_learn_without_their_own_counts():
         for i, (st, level) in enumerate(inputs):
             g = np.bincount(level, weights=wrong * st, minlength=mm.LEVELS)
             assert np.allclose(model.weights[i, :, j], 0.3 - 0.05 * g / np.sqrt(1e-4 + g * g), atol=1e-4), (i, j)
+
+
+def test_words_of_texts_are_the_plain_split_s(monkeypatch):
+    odd = ["", None, "  ", "A", " a\x0b\x0cB\r\nc\x1c\x1dD\x85e \u3000Z ", "É Ünd É und", "x" * 300 + "\tY", "\n\n", "the end", "The THE\x00the"]
+    texts = [random.Random(k).choice(odd) for k in range(200)] + odd
+    for size in (1, 40, 1 << 24):
+        monkeypatch.setattr(lm_score, "PIECE", size)
+        got, pieces = [], 0
+        for p in split_words(pa.array(texts, pa.string())):
+            assert p.at == len(got) and len(set(p.distinct.to_pylist())) == len(p.distinct)
+            words = [p.distinct[i].as_py().encode() for i in p.word.tolist()]
+            for n in p.sizes.tolist():
+                got.append(words[:n])
+                words = words[n:]
+            assert not words
+            pieces += 1
+        assert got == [(t or "").encode().lower().split() + [b""] for t in texts]
+        assert pieces > 20 if size < 100 else pieces == 1
+    assert not list(split_words(pa.array([], pa.string())))
+
+
+def test_spellings_that_batches_share_are_costed_once(spark):
+    words = [f"st{k % 40}er{k % 7}" for k in range(4000)]
+    model, asked = Mixer(), []
+    model.bits_from = lambda guesses, event, classes: asked.append(event) or Mixer().bits_from(guesses, event, classes)
+    tables = np.zeros((len(CONTEXTS), SLOTS, 2), dtype=np.float32)
+
+    class Words:
+        """A frame that hands its function over instead of running it on executors."""
+
+        columns, schema = ["token"], spark.createDataFrame([], "token string").schema
+
+        def mapInArrow(self, function, schema):  # noqa: N802
+            return function
+
+    class Shared:
+        value = tables
+
+    spell = spell_words(Words(), Shared(), model, 2)
+    got = pa.Table.from_batches(spell(pa.RecordBatch.from_arrays([pa.array(words[a : a + 100])], ["token"]) for a in range(0, len(words), 100)))
+    event, starts = word_events([w.encode() for w in words])
+    # batches of the input have most events in common, and each is costed once for all of them
+    assert sum(map(len, asked)) == len(np.unique(event))
+    assert got["token"].to_pylist() == words
+    plain = Mixer().bits(tables, event, 2)
+    for k in range(2):
+        assert np.allclose(got[f"s_{k}"].to_numpy(), np.add.reduceat(plain[:, k], starts))
