@@ -33,9 +33,9 @@ RATE, STEP = 0.06, 32768
 #: Words that are encoded at once.
 BATCH_WORDS = 1 << 17
 #: Bytes of text that are split at once, and of spelled words that are turned into events at once.
-PIECE, SPELLED = 1 << 24, 1 << 23
+PIECE, SPELLED = 1 << 23, 1 << 20
 #: Counts that a task holds before it puts equal ones together, by rows and by bytes.
-_HELD, _HELD_BYTES = 1_000_000, 1 << 27
+_HELD, _HELD_BYTES = 800_000, 1 << 26
 _BLOCK, _FAN = 1 << 17, 64
 _CLASS_SHIFT = 24
 
@@ -50,18 +50,24 @@ class Piece:
     sizes: np.ndarray
 
 
+def _split(texts: pa.Array, at: int) -> Piece:
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # a blank at the end makes an empty word there; a text without words is one already
+    closed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, " ", ""))
+    del trimmed
+    parts = pc.ascii_split_whitespace(closed)
+    del closed
+    words = parts.flatten().dictionary_encode()
+    return Piece(at, words.dictionary, words.indices.to_numpy(), pc.list_value_length(parts).to_numpy().astype(np.int64))
+
+
 def split_words(texts: pa.Array) -> Iterator[Piece]:
     """Words of texts (A-Z lower-cased, apart by ASCII white space; null: none), about PIECE bytes of text at a time."""
-    bytes_before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    read = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(bytes_before, (bytes_before[at - 1] if at else 0) + PIECE, side="right")))
-        trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, end - at), "")))
-        # a blank at the end makes an empty word there; a text without words is one already
-        closed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, " ", ""))
-        parts = pc.ascii_split_whitespace(closed)
-        words = parts.flatten().dictionary_encode()
-        yield Piece(at, words.dictionary, words.indices.to_numpy(), pc.list_value_length(parts).to_numpy().astype(np.int64))
+        end = max(at + 1, int(np.searchsorted(read, read[at] + PIECE, side="right")) - 1)
+        yield _split(texts.slice(at, end - at), at)
         at = end
 
 
@@ -174,7 +180,7 @@ def _state(model, start, seen: int) -> pa.RecordBatch:
 # --- spelling -------------------------------------------------------------------------------------------
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Batches of words put together, to ``rows`` or SPELLED bytes, so that events which many words share are seen once for all."""
     held, n, size = [], 0, 0
     for b in batches:
@@ -191,7 +197,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterato
 def _spelled_pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for part in _gathered(batches):
         counts = np.stack([part.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1) > 0
-        yield part.column("token").cast(pa.binary()).to_pylist(), counts.astype(np.int64)
+        yield part.column("token").cast(pa.binary()).to_pylist(), counts.astype(np.uint8)
 
 
 def fit_spelling(vocabulary: DataFrame, classes: int) -> tuple[Broadcast, Mixer]:
