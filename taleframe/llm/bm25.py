@@ -30,11 +30,17 @@ K, K1, B = 10, 1.2, 0.75
 #: Postings and documents of a shard, at most (one document may have more postings); documents of one block.
 SHARD_POSTINGS, SHARD, BLOCK = 3_000_000, 16384, 128
 #: Query terms that one round sends to all shards, about; there are as many rounds as the queries need.
-ROUND_TERMS = 1_500_000
+ROUND_TERMS = 3_000_000
 #: Each phase searches this many times the shards of the one before.
 PHASE = 8
-#: A list with a posting in one of so many documents of its shard is also kept as a dense row.
-DENSE = 6
+#: A list with a posting in one of so many documents of its group is kept as a dense row, up to so many cells a group.
+DENSE, DENSE_CELLS = 20, 16_000_000
+#: Cells (query and document) of a batch of queries, and postings that are added up at once, about.
+BATCH_CELLS, BATCH_POSTINGS = 1_200_000, 100_000
+#: Groups of fewer documents are not divided; words are told apart by so many bits there, and so many columns are compared.
+GROUP, GROUP_BITS, GROUP_COLUMNS = 1024, 16, 128
+#: A division leaves at most this share of the variance along its line; halves of one bell curve leave 0.36.
+WITHIN = 0.2
 #: Scores closer than this are equal.
 PLACES = 6
 _SLACK = 2 * 10.0**-PLACES
@@ -48,42 +54,85 @@ def _term_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.unique(hashes[a:z], return_counts=True)
 
 
+def _groups(found: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Documents in groups that share common words (languages, say), those of a group by their number of terms.
+
+    Where two clouds of documents lie apart along the line of most variance, they are divided, and each again.  Groups
+    only decide what is read together: any division gives the same results.
+    """
+    held = np.array([len(t) for t, _ in found])
+    by_size = np.argsort(held, kind="stable")
+    if len(found) < 2 * GROUP:
+        return [by_size]
+    bucket = (np.concatenate([t for t, _ in found]) & np.uint64((1 << GROUP_BITS) - 1)).astype(np.int64)
+    column = np.full(1 << GROUP_BITS, -1)
+    column[np.argsort(-np.bincount(bucket, minlength=1 << GROUP_BITS), kind="stable")[:GROUP_COLUMNS]] = np.arange(GROUP_COLUMNS)
+    column = column[bucket]
+    common = np.flatnonzero(column >= 0)
+    has = np.zeros((len(found), GROUP_COLUMNS))
+    has[np.repeat(np.arange(len(found)), held)[common], column[common]] = 1
+    has /= np.maximum(np.sqrt(has.sum(axis=1, keepdims=True)), 1)
+    out, todo = [], [by_size]
+    while todo:
+        docs = todo.pop()
+        if len(docs) >= 2 * GROUP:
+            x = has[docs] - has[docs].mean(axis=0)
+            along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+            cut, last = 0.0, None
+            while cut != last:  # two means
+                last, left = cut, along <= cut
+                if not 0 < left.sum() < len(docs):
+                    break
+                cut = (along[left].mean() + along[~left].mean()) / 2
+            least = min(left.sum(), (~left).sum())
+            if least >= GROUP // 4 and along[left].var() * left.mean() + along[~left].var() * (~left).mean() <= WITHIN * along.var():
+                todo += [docs[~left], docs[left]]
+                continue
+        out.append(docs)
+    return out
+
+
+def _shard(name: int, ids: list[int | None], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row of the index, of documents and their (distinct term hashes, counts)."""
+    groups = _groups(found)
+    order = np.concatenate(groups).tolist()
+    ids, found = [ids[i] for i in order], [found[i] for i in order]
+    sizes = np.array([int(n.sum()) for _, n in found], dtype=np.int32)
+    term = np.concatenate([t for t, _ in found]).view(np.int64)
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t, _ in found])
+    tf = np.concatenate([n for _, n in found]).astype(np.int32)
+    order = np.argsort(term, kind="stable")
+    term, doc, tf = term[order], doc[order], tf[order]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name]), pa.array([int(sizes.sum())]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()]), pa.array([np.cumsum([0, *map(len, groups)])], pa.list_(pa.int32())),
+         pa.array([term[first]], pa.list_(pa.int64())), pa.array([np.r_[first, len(term)].astype(np.int32)], pa.list_(pa.int32())), pa.array([doc.tobytes()]), pa.array([tf.tobytes()])],
+        ["shard", "words", "doc_ids", "sizes", "groups", "terms", "starts", "posting", "tf"],
+    )
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """Shards: shard, words (in all), doc_ids, sizes (words), terms, starts (of each term's postings), posting (document), tf."""
+    """Shards: shard, words (in all), doc_ids, sizes (words), groups (edges of documents), terms, starts (of each term's postings), posting (document), tf."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
         shard = TaskContext.get().partitionId() << 33
 
-        def flush() -> pa.RecordBatch:
-            sizes = np.array([int(n.sum()) for _, n in found], dtype=np.int32)
-            term = np.concatenate([t for t, _ in found]).view(np.int64)
-            doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t, _ in found])
-            tf = np.concatenate([n for _, n in found]).astype(np.int32)
-            order = np.argsort(term, kind="stable")
-            term, doc, tf = term[order], doc[order], tf[order]
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), pa.array([int(sizes.sum())]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()]), pa.array([term[first]], pa.list_(pa.int64())),
-                 pa.array([np.r_[first, len(term)].astype(np.int32)], pa.list_(pa.int32())), pa.array([doc.tobytes()]), pa.array([tf.tobytes()])],
-                ["shard", "words", "doc_ids", "sizes", "terms", "starts", "posting", "tf"],
-            )
-
         postings = 0
         for b in slices(batches):
             ids_here = b.column("doc_id").to_pylist()
             for i, pair in zip(ids_here, _term_counts(b.column("text").to_pylist()), strict=True):
                 if ids and (len(ids) == SHARD or postings + len(pair[0]) > SHARD_POSTINGS):
-                    yield flush()
+                    yield _shard(shard, ids, found)
                     ids, found, shard, postings = [], [], shard + 1, 0
                 ids.append(i)
                 found.append(pair)
                 postings += len(pair[0])
         if ids:
-            yield flush()
+            yield _shard(shard, ids, found)
 
-    schema = "shard long, words long, doc_ids array<long>, sizes binary, terms array<long>, starts array<int>, posting binary, tf binary"
+    schema = "shard long, words long, doc_ids array<long>, sizes binary, groups array<int>, terms array<long>, starts array<int>, posting binary, tf binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(index, schema)
 
 
@@ -105,154 +154,207 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.cumsum(np.r_[0, sizes[:-1]]), sizes) + np.arange(int(sizes.sum()))
 
 
+class _Group:
+    """Documents of a shard that share most of their words: their lists, block maxima and upper bounds."""
+
+    def __init__(self, first: int, n: int, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, terms: int, block: int):
+        self.first, self.n, self.doc, self.impact = first, n, doc, impact
+        self.starts = np.r_[0, np.cumsum(np.bincount(term, minlength=terms))]
+        df = np.diff(self.starts)
+        self.upper = np.zeros(terms)
+        some = np.flatnonzero(df)
+        if len(some):
+            self.upper[some] = np.maximum.reduceat(impact, self.starts[some])
+        often = np.flatnonzero(df * DENSE >= n) if n else some
+        if len(often) * n > DENSE_CELLS:
+            often = np.sort(often[np.argsort(-df[often], kind="stable")[: DENSE_CELLS // n]])
+        self.row = np.full(terms, -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        at = np.flatnonzero(row >= 0)
+        # dense rows in single precision find candidates; impacts in double precision score them
+        self.key, self.exact = row[at].astype(np.int64) * n + doc[at], impact[at]
+        self.dense = np.zeros((len(often), n), dtype=np.float32)
+        self.dense.reshape(-1)[self.key] = self.exact
+        self.edges = np.arange(0, n, block)
+        self.widths = np.diff(np.r_[self.edges, n])
+        self.dense_best = np.maximum.reduceat(self.dense, self.edges, axis=1) if n and len(often) else np.zeros((len(often), len(self.edges)), dtype=np.float32)
+        #: A sum of products of so many non-negative numbers in single precision is off by at most this share.
+        self.off = (len(often) + 8) * 2.0**-23
+
+    def search(self, query: np.ndarray, at: np.ndarray, idf: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, document, score) of all that may be among the k best and reach their floors, which rise meanwhile.
+
+        ``query`` numbers the queries in order; ``at`` and ``idf`` are their terms' lists in this shard.
+        """
+        here = self.starts[at + 1] > self.starts[at]
+        query, at, idf = query[here], at[here], idf[here]
+        # a query whose lists' upper bounds together stay under its floor reads nothing
+        upper = np.bincount(query, weights=idf * self.upper[at], minlength=len(floors))
+        hopeful = (upper > 0) & (upper >= floors - _SLACK)
+        here = hopeful[query]
+        query, at, idf = query[here], at[here], idf[here]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
+        bounds = np.r_[first, len(query)]
+        most = max(1, BATCH_CELLS // max(self.n, 1))
+        for i in range(0, len(first), most):
+            a, z = bounds[i], bounds[min(i + most, len(first))]
+            names = query[first[i : i + most]]
+            yield self._batch(names, np.repeat(np.arange(len(names)), np.diff(bounds[i : i + most + 1])), at[a:z], idf[a:z], floors, k)
+
+    def _short(self, m: int, query: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What the lists add to the scores of m queries."""
+        scores = np.zeros((m, self.n))
+        lo, hi = self.starts[at], self.starts[at + 1]
+        sizes = hi - lo
+        cost = np.cumsum(sizes)
+        done = 0
+        while done < len(at):
+            # as many queries as have few enough postings, one at least
+            spent = cost[done - 1] if done else 0
+            last = query[min(int(np.searchsorted(cost, spent + BATCH_POSTINGS, side="right")), len(at) - 1)]
+            end = int(np.searchsorted(query, max(last, query[done] + 1))) if cost[-1] > spent + BATCH_POSTINGS else len(at)
+            i, j = int(query[done]), int(query[end - 1]) + 1
+            here = slice(done, end)
+            posting = _spread(lo[here], hi[here])
+            cell = self.doc[posting] + np.repeat((query[here] - i) * self.n, sizes[here])
+            scores[i:j] = np.bincount(cell, weights=self.impact[posting] * np.repeat(idf[here], sizes[here]), minlength=(j - i) * self.n).reshape(j - i, self.n)
+            done = end
+        return scores
+
+    def _batch(self, names: np.ndarray, query: np.ndarray, at: np.ndarray, idf: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m, n, row = len(names), self.n, self.row[at]
+        short = np.flatnonzero(row < 0)
+        scores = self._short(m, query[short], at[short], idf[short])
+        long = np.flatnonzero(row >= 0)
+        weights = np.zeros((m, len(self.dense)), dtype=np.float32)
+        weights[query[long], row[long]] = idf[long]
+        floor = floors[names]
+        # dense lists are optional: blocks are scored with them if the block maxima of all lists reach the floor
+        bound = np.maximum.reduceat(scores, self.edges, axis=1) + (weights @ self.dense_best) * (1 + self.off)
+        able = bound >= np.maximum(floor - _SLACK, 1e-300)[:, None]
+        asked = np.flatnonzero(able.any(axis=1))
+        if not len(asked):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0)
+        blocks = np.flatnonzero(able.any(axis=0))
+        a, z = int(self.edges[blocks[0]]), int(self.edges[blocks[-1]] + self.widths[blocks[-1]])
+        found = weights[asked] @ self.dense[:, a:z]
+        found += scores[asked, a:z]
+        # what a document has at most: its sum here and what single precision may have lost
+        least = np.maximum((floor[asked] - _SLACK) * (1 - 2 * self.off), 1e-30).astype(np.float32)
+        good = found >= least[:, None]
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+        if len(many):
+            kth = np.partition(found[many], z - a - k, axis=1)[:, z - a - k].astype(np.float64) * (1 - self.off)
+            floors[names[asked[many]]] = np.maximum(floor[asked[many]], kth)
+            good[many] = found[many] >= np.maximum(least[many], ((kth - _SLACK) * (1 - 2 * self.off)).astype(np.float32))[:, None]
+        q, doc = np.nonzero(good)
+        q, doc = asked[q], doc + a
+        total = scores[q, doc]
+        # exact scores of candidates
+        begin = np.searchsorted(query[long], np.arange(m + 1))
+        lo, hi = begin[q], begin[q + 1]
+        if len(lo) and len(self.key):
+            one = np.repeat(np.arange(len(q)), hi - lo)
+            term = long[_spread(lo, hi)]
+            key = row[term].astype(np.int64) * n + doc[one]
+            place = np.searchsorted(self.key, key)
+            place[place == len(self.key)] = 0
+            hit = self.key[place] == key
+            total = total + np.bincount(one[hit], weights=self.exact[place[hit]] * idf[term[hit]], minlength=len(q))
+        ok = total >= np.maximum(floors[names[q]] - _SLACK, 1e-300)
+        return names[q[ok]], doc[ok] + self.first, total[ok]
+
+
 class Shard:
-    """One shard's lists with impacts, block maxima and upper bounds, ready for queries."""
+    """One shard's groups of documents, ready for queries."""
 
     def __init__(self, b: pa.RecordBatch, mean: float, block: int = BLOCK):
         ids = b.column("doc_ids").flatten()
         sizes = np.frombuffer(b.column("sizes")[0].as_py(), dtype=np.int32)
         self.ids, self.nameless = ids.fill_null(-1).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-        self.terms, self.starts = b.column("terms").flatten().to_numpy(), b.column("starts").flatten().to_numpy().astype(np.int64)
-        self.doc = np.frombuffer(b.column("posting")[0].as_py(), dtype=np.int32)
+        self.terms, self.starts = b.column("terms").flatten().to_numpy(), b.column("starts").flatten().to_numpy()
+        self.doc = doc = np.frombuffer(b.column("posting")[0].as_py(), dtype=np.int32)
         tf = np.frombuffer(b.column("tf")[0].as_py(), dtype=np.int32).astype(np.float64)
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(len(sizes), K1)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.block, self.blocks = block, -(-len(self.ids) // block)
-        # runs of postings of one list inside one block
-        df = np.diff(self.starts)
-        term = np.repeat(np.arange(len(self.terms)), df)
-        run = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(self.doc // block) != 0)]) if len(term) else np.zeros(0, dtype=np.int64)
-        self.run_start = np.r_[run, len(term)]
-        self.run_block = self.doc[run] // block
-        self.run_best = np.maximum.reduceat(self.impact, run) if len(run) else np.zeros(0)
-        self.term_runs = np.searchsorted(run, self.starts)
-        self.upper = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(df) else np.zeros(0)
-        often = np.flatnonzero(df * DENSE >= len(self.ids))
-        self.row = np.full(len(self.terms), -1, dtype=np.int32)
-        self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(self.ids)))
-        for r, t in enumerate(often):
-            self.dense[r, self.doc[self.starts[t] : self.starts[t + 1]]] = self.impact[self.starts[t] : self.starts[t + 1]]
-        self.dense_best = np.maximum.reduceat(self.dense, np.arange(0, len(self.ids), block), axis=1) if len(self.ids) else self.dense
-
-    def _add(self, scores: np.ndarray, at: np.ndarray, idf: np.ndarray, visited: np.ndarray | None) -> None:
-        """Score lists ``at`` in the visited blocks (None: in all)."""
-        row = self.row[at]
-        for r, w in zip(row[row >= 0].tolist(), idf[row >= 0].tolist(), strict=True):
-            scores += self.dense[r] * w
-        at, idf = at[row < 0], idf[row < 0]
-        if not len(at):
-            return
-        if visited is None:
-            lo, hi, weight = self.starts[at], self.starts[at + 1], idf
-        else:
-            first, last = self.term_runs[at], self.term_runs[at + 1]
-            runs, weight = _spread(first, last), np.repeat(idf, last - first)
-            mine = visited[self.run_block[runs]]
-            runs, weight = runs[mine], weight[mine]
-            lo, hi = self.run_start[runs], self.run_start[runs + 1]
-        if len(lo):
-            posting = _spread(lo, hi)
-            scores += np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight, hi - lo), minlength=len(scores))
-
-    def _look_up(self, docs: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """What the lists of dense rows add to the scores of ``docs``."""
-        if DENSE * len(docs) < len(self.ids):
-            return idf @ self.dense[np.ix_(rows, docs)]
-        out = np.zeros(len(self.ids))
-        for r, w in zip(rows.tolist(), idf.tolist(), strict=True):
-            out += self.dense[r] * w
-        return out[docs]
+        self.impact = impact = tf * (K1 + 1) / (tf + norm[doc])
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
+        edges = b.column("groups").flatten().to_numpy().astype(np.int64) if "groups" in b.schema.names else np.array([0, len(self.ids)])
+        group = np.searchsorted(edges, np.arange(len(self.ids)), side="right").astype(np.int16)[doc]
+        order = np.argsort(group, kind="stable") if len(edges) > 2 else np.arange(len(doc))
+        cuts = np.searchsorted(group[order], np.arange(1, len(edges) + 1))
+        self.groups = []
+        for g, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            mine, first = order[a:z], int(edges[g])
+            self.groups.append(_Group(first, int(edges[g + 1]) - first, term[mine], doc[mine] - first, impact[mine], len(self.terms), block))
+
+    def lists(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term's list, -1 where there is none."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
+
+    def search(self, query: np.ndarray, at: np.ndarray, idf: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As of its groups, of all of them."""
+        parts = [x for g in self.groups for x in g.search(query, at, idf, floors, k) if len(x[0])]
+        if not parts:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0)
+        query, doc, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ok = score >= floors[query] - _SLACK
+        return query[ok], doc[ok], score[ok]
 
     def best(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores that may be among the k best of this shard and reach the floor, all ties included."""
-        none = np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
-        at, idf = at[hit], idf[hit]
-        upper = idf * self.upper[at] if len(at) else np.zeros(0)
-        if not len(at) or upper.sum() < floor - _SLACK:
-            return none
-        order = np.argsort(upper)
-        at, idf, upper = at[order], idf[order], upper[order]
-        row = self.row[at]
-        optional, short = row >= 0, np.flatnonzero(row < 0)  # short lists are scored at once for less than their look-ups cost
-        lo, hi = self.term_runs[at[short]], self.term_runs[at[short] + 1]
-        runs, list_of = _spread(lo, hi), np.repeat(short, hi - lo)
-        block = self.run_block[runs]
-        maxima = idf[optional, None] * self.dense_best[row[optional]]
-        bound = np.bincount(block, weights=idf[list_of] * self.run_best[runs], minlength=self.blocks) + maxima.sum(axis=0)
-        scores, todo = np.zeros(len(self.ids)), np.ones(self.blocks, dtype=bool)
-        width = self.blocks if floor > 0 else 4  # without a floor, a few promising blocks give one
-        while True:
-            pivot = int(np.searchsorted(np.cumsum(upper), floor - _SLACK)) if floor > 0 else 0
-            late = optional & (np.arange(len(at)) < pivot)
-            held = (maxima[~late[optional]] > 0).any(axis=0)
-            held[block[list_of >= pivot]] = True
-            visited = np.flatnonzero(todo & held & (bound >= floor - _SLACK))
-            if not len(visited):
-                break
-            if len(visited) > width:
-                visited = visited[np.argsort(-bound[visited], kind="stable")[:width]]
-            width = self.blocks
-            here = np.zeros(self.blocks, dtype=bool)
-            here[visited] = True
-            todo &= ~here
-            part = np.zeros(len(scores))
-            self._add(part, at[~late], idf[~late], None if 2 * len(visited) > self.blocks else here)
-            if late.any():
-                able = part + np.repeat(maxima[late[optional]].sum(axis=0), self.block)[: len(part)]
-                docs = np.flatnonzero((able >= floor - _SLACK) & (part > 0) & np.repeat(here, self.block)[: len(part)])
-                scores[docs] = part[docs] + self._look_up(docs, row[late], idf[late])
-            else:
-                docs = np.repeat(here, self.block)[: len(part)]
-                scores[docs] = part[docs]
-            good = scores[scores >= max(floor - _SLACK, 1e-300)]
-            if len(good) >= k:
-                floor = max(floor, np.partition(good, len(good) - k)[len(good) - k])
-        keep = np.flatnonzero((scores >= floor - _SLACK) & (scores > 0))
-        return keep, scores[keep]
-
-
-def _top(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
-    """The k best, ties by the smaller id (null first)."""
-    named = ids.is_valid().to_numpy(zero_copy_only=False)
-    order = np.lexsort((ids.fill_null(0).to_numpy(zero_copy_only=False), named, -scores))[:k]
-    return ids.take(pa.array(order)), scores[order]
+        at = self.lists(terms)
+        hit = np.flatnonzero(at >= 0)
+        _, docs, scores = self.search(np.zeros(len(hit), dtype=np.int64), at[hit], idf[hit], np.array([floor]), k)
+        return docs, scores
+
+
+def _top(query: np.ndarray, ids: np.ndarray, nameless: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the k best of each query, query by query, ties by the smaller id (null first)."""
+    order = np.lexsort((ids, ~nameless, -scores, query))
+    query = query[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
+    return order[np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)])) < k]
 
 
 def _search(shards: DataFrame, queries: tuple, n: int, mean: float, k: int) -> DataFrame:
-    """The k best of each partition's shards for each query that reach its floor; one list a query over all its shards."""
+    """The k best of each partition's shards for each query that reach its floor; one list a query over all its shards.
+
+    ``queries`` has their ids, the bounds of their terms, these as numbers into a list of terms, the list with its document
+    frequencies, and the floors.
+    """
     shared = shards.sparkSession.sparkContext.broadcast(queries)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, bounds, terms, df, floors = shared.value
+        qids, bounds, number, terms, df, floors = shared.value
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         floor = floors.copy()
-        held: dict[int, tuple[pa.Array, np.ndarray]] = {}
+        query = np.repeat(np.arange(len(qids), dtype=np.int32), np.diff(bounds))
+        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0))
         for b in slices(batches, 1):
             shard = Shard(b, mean, BLOCK)
-            for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                docs, scores = shard.best(terms[a:z], idf[a:z], k, floor[i])
-                if not len(docs):
-                    continue
-                rounded = np.round(scores, PLACES)
-                ok = rounded >= floor[i]
-                ids, rounded = pa.array(shard.ids[docs[ok]], mask=shard.nameless[docs[ok]]), rounded[ok]
-                if i in held:
-                    ids, rounded = pa.concat_arrays([held[i][0], ids]), np.r_[held[i][1], rounded]
-                if len(rounded):
-                    held[i] = _top(ids, rounded, k)
-                    if len(held[i][1]) == k:
-                        floor[i] = max(floor[i], held[i][1][-1])
-        items = list(held.items())
-        for first in range(0, len(items), 4096):
-            part = items[first : first + 4096]
-            sizes = [len(s) for _, (_, s) in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qids[[i for i, _ in part]], sizes)), pa.concat_arrays([x for _, (x, _) in part]), pa.array(np.concatenate([s for _, (_, s) in part]))], ["query_id", "doc_id", "score"]
-            )
+            at = shard.lists(terms).astype(np.int32)[number]
+            hit = np.flatnonzero(at >= 0)
+            names, docs, scores = shard.search(query[hit], at[hit], idf[number[hit]], floor, k)
+            del at, hit
+            rounded = np.round(scores, PLACES)
+            ok = rounded >= floors[names]
+            names, docs, rounded = names[ok], docs[ok], rounded[ok]
+            if not len(names):
+                continue
+            held = tuple(np.r_[x, y] for x, y in zip(held, (names, shard.ids[docs], shard.nameless[docs], rounded), strict=True))
+            best = _top(*held, k)
+            held = tuple(x[best] for x in held)
+            last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True])
+            full = last[np.diff(np.r_[-1, last]) == k]
+            floor[held[0][full]] = np.maximum(floor[held[0][full]], held[3][full])
+        for first in range(0, len(held[0]), 40960):
+            names, ids, nameless, scores = (x[first : first + 40960] for x in held)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[names]), pa.array(ids, mask=nameless), pa.array(scores)], ["query_id", "doc_id", "score"])
 
     return shards.mapInArrow(search, "query_id long, doc_id long, score double")
 
@@ -289,12 +391,13 @@ def top_documents(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == r).toArrow()
         qid, term, dfs = (part.column(c).to_numpy() for c in ("qid", "term", "df"))
         order = np.lexsort((term, qid))
-        qid, term, dfs = qid[order], term[order], dfs[order].astype(np.float64)
+        qid, (terms, one, number) = qid[order], np.unique(term[order], return_index=True, return_inverse=True)
+        dfs = dfs[order][one].astype(np.float64)
         first = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]]) if len(qid) else np.zeros(0, dtype=np.int64)
         floors, so_far = np.full(len(first), -np.inf), None
         for phase in range(powers, -1, -1):
             chosen = index.where(level == phase) if powers else index
-            found = stage(_search(chosen, (qid[first], np.r_[first, len(qid)], term, dfs, floors), n, mean, k), "found")
+            found = stage(_search(chosen, (qid[first], np.r_[first, len(qid)], number.astype(np.int32), terms, dfs, floors), n, mean, k), "found")
             so_far = found if so_far is None else so_far.unionByName(found)
             if phase:  # the k-th best so far: one number a query of this round
                 least = _ranked(so_far, k).where(F.col("rank") == k).select("query_id", "score").toArrow()

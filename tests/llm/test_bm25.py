@@ -86,3 +86,60 @@ def test_pruning_loses_nothing_above_the_floor(block):
             least = max(floor, np.sort(whole)[-10])
             want = {i: s for i, s in enumerate(whole) if s > 0 and s >= least}
             assert set(want) <= set(got) and all(abs(got[i] - whole[i]) < 1e-9 for i in got)
+
+
+def of_two_languages(rng, n):
+    """Texts of two languages that share one word; every third is of the second."""
+    words = [[f"{x}{k}" for k in range(150)] for x in "ab"]
+    return [" ".join(["both", *rng.choices(words[i % 3 == 2], [1 / (k + 3) for k in range(150)], k=rng.randint(5, 60))]) for i in range(n)]
+
+
+def test_a_query_reads_no_documents_that_share_too_few_words(monkeypatch):
+    monkeypatch.setattr(bm25, "GROUP", 100)
+    texts = of_two_languages(random.Random(2), 900)
+    row = bm25._shard(0, list(range(900)), list(bm25._term_counts(texts)))
+    edges, ids = row.column("groups")[0].as_py(), row.column("doc_ids")[0].as_py()
+    assert sorted(ids) == list(range(900))
+    kinds = [{i % 3 == 2 for i in ids[a:z]} for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    assert {True} in kinds and {False} in kinds and all(len(k) == 1 for k in kinds)
+    shard = bm25.Shard(row, 30.0, 16)
+    at = np.flatnonzero(np.isin(shard.terms, next(bm25._term_counts([texts[2]]))[0].view(np.int64)))
+    read = [len(list(g.search(np.zeros(len(at), dtype=np.int64), at, np.ones(len(at)), np.array([10.0]), 10))) for g in shard.groups]
+    assert [bool(n) for n in read] == [True in k for k in kinds]
+
+
+@pytest.mark.parametrize(("cells", "postings", "dense"), [(10**6, 10**6, 10**6), (2000, 50, 10**6), (10**6, 1, 0)])
+def test_queries_searched_together_find_what_each_finds_alone(cells, postings, dense, monkeypatch):
+    for name, value in (("GROUP", 100), ("BATCH_CELLS", cells), ("BATCH_POSTINGS", postings), ("DENSE_CELLS", dense)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(5)
+    texts = of_two_languages(rng, 700)
+    texts += texts[:30] + ["", None, "both"]
+    row = bm25._shard(0, list(range(len(texts))), list(bm25._term_counts(texts)))
+    shard = bm25.Shard(row, 30.0, 16)
+    asked = [t.view(np.int64) for t, _ in bm25._term_counts(texts[:60])]
+    weight = {t: 0.1 + rng.random() * 8 for a in asked for t in a.tolist()}
+    whole = np.zeros((len(asked), len(texts)))
+    for q, terms in enumerate(asked):
+        for t in terms.tolist():
+            a = int(np.searchsorted(shard.terms, t))
+            here = slice(shard.starts[a], shard.starts[a + 1])
+            whole[q, shard.doc[here]] += weight[t] * shard.impact[here]
+    tenth = np.sort(whole, axis=1)[:, -10]
+    for floors in (np.full(len(asked), -np.inf), tenth, tenth * np.array([rng.choice([0.3, 0.9, 1, 1.1]) for _ in asked])):
+        query = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+        at = shard.lists(np.concatenate(asked))
+        q, doc, score = shard.search(query, at, np.array([weight[t] for a in asked for t in a.tolist()]), floors.copy(), 10)
+        got = {(i, d): s for i, d, s in zip(q.tolist(), doc.tolist(), score.tolist(), strict=True)}
+        assert len(got) == len(q) and all(abs(whole[x] - s) < 1e-9 for x, s in got.items())
+        least = np.maximum(floors, tenth)
+        assert {(i, d) for i, d in zip(*np.nonzero(whole), strict=True) if whole[i, d] >= least[i]} <= set(got)
+
+
+def test_many_like_documents_and_null_ids(spark):
+    docs = [(None if i % 50 == 7 else i, t) for i, t in enumerate(of_two_languages(random.Random(3), 2600))]
+    queries = [d for d in docs if d[0] is not None and d[0] % 100 == 0]
+    got = bm25.top_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "qid long, text string"), 4).collect()
+    got, want = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in got), sorted(brute(docs, queries, 4))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
