@@ -5,11 +5,11 @@ documents, their mean length and document frequencies of the whole corpus.  Shar
 about eight times as large as the one before: a query's k-th best score so far is the floor of the next phase, so
 each phase adds some 8 k rows a query to those that are merged, however many shards there are.
 
-Inside a shard WAND's tests are made for many documents at once.  Every list has an upper bound; lists are put in the
-order of their bounds, and those before the pivot, whose bounds together stay under the floor, are optional: they are
-never walked on their own.  A block of documents is visited if a list from the pivot on has a posting in it and the block
-maxima of all its lists reach the floor; others are skipped.  In a visited block the lists from the pivot on are scored, and
-optional lists that most blocks share are looked up only for documents that can still reach the floor.
+Inside a shard documents lie in groups that share their common words (languages, say), and WAND's tests are made for a
+group and many queries at once.  Every list has an upper bound in its group; a query whose lists' bounds together stay under
+its floor reads nothing there.  Lists of few documents are walked and scored.  Frequent lists are optional: they are
+read only if the block maxima of all lists reach the floor in some block, and then as rows of a matrix, by one product in
+single precision for all such queries, whose error has a bound.  Documents that can reach the floor are scored in double precision.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ K, K1, B = 10, 1.2, 0.75
 #: Postings and documents of a shard, at most (one document may have more postings); documents of one block.
 SHARD_POSTINGS, SHARD, BLOCK = 3_000_000, 16384, 128
 #: Query terms that one round sends to all shards, about; there are as many rounds as the queries need.
-ROUND_TERMS = 3_000_000
+ROUND_TERMS = 2_000_000
 #: Each phase searches this many times the shards of the one before.
 PHASE = 8
 #: A list with a posting in one of so many documents of its group is kept as a dense row, up to so many cells a group.
 DENSE, DENSE_CELLS = 20, 16_000_000
+#: Queries that a shard takes at once.
+QUERIES = 2048
 #: Cells (query and document) of a batch of queries, and postings that are added up at once, about.
-BATCH_CELLS, BATCH_POSTINGS = 1_200_000, 100_000
-#: Groups of fewer documents are not divided; words are told apart by so many bits there, and so many columns are compared.
+BATCH_CELLS, BATCH_POSTINGS = 1_200_000, 40_000
+#: Groups of fewer than twice so many documents are not divided; words are told apart by so many bits there, and so many columns are compared.
 GROUP, GROUP_BITS, GROUP_COLUMNS = 1024, 16, 128
 #: A division leaves at most this share of the variance along its line; halves of one bell curve leave 0.36.
 WITHIN = 0.2
@@ -158,9 +160,9 @@ class _Group:
     """Documents of a shard that share most of their words: their lists, block maxima and upper bounds."""
 
     def __init__(self, first: int, n: int, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, terms: int, block: int):
-        self.first, self.n, self.doc, self.impact = first, n, doc, impact
+        self.first, self.n, self.doc, self.impact = first, n, doc.astype(np.int64), impact
         self.starts = np.r_[0, np.cumsum(np.bincount(term, minlength=terms))]
-        df = np.diff(self.starts)
+        self.df = df = np.diff(self.starts)
         self.upper = np.zeros(terms)
         some = np.flatnonzero(df)
         if len(some):
@@ -187,12 +189,10 @@ class _Group:
 
         ``query`` numbers the queries in order; ``at`` and ``idf`` are their terms' lists in this shard.
         """
-        here = self.starts[at + 1] > self.starts[at]
-        query, at, idf = query[here], at[here], idf[here]
         # a query whose lists' upper bounds together stay under its floor reads nothing
-        upper = np.bincount(query, weights=idf * self.upper[at], minlength=len(floors))
-        hopeful = (upper > 0) & (upper >= floors - _SLACK)
-        here = hopeful[query]
+        most = self.upper[at] * idf
+        upper = np.bincount(query, weights=most, minlength=len(floors))
+        here = np.flatnonzero((most > 0) & (upper >= floors - _SLACK)[query])
         query, at, idf = query[here], at[here], idf[here]
         first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
         bounds = np.r_[first, len(query)]
@@ -204,23 +204,22 @@ class _Group:
 
     def _short(self, m: int, query: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """What the lists add to the scores of m queries."""
-        scores = np.zeros((m, self.n))
-        lo, hi = self.starts[at], self.starts[at + 1]
-        sizes = hi - lo
+        scores = np.zeros(m * self.n)
+        lo, sizes, cell = self.starts[at], self.df[at], query * self.n
         cost = np.cumsum(sizes)
-        done = 0
-        while done < len(at):
-            # as many queries as have few enough postings, one at least
-            spent = cost[done - 1] if done else 0
-            last = query[min(int(np.searchsorted(cost, spent + BATCH_POSTINGS, side="right")), len(at) - 1)]
-            end = int(np.searchsorted(query, max(last, query[done] + 1))) if cost[-1] > spent + BATCH_POSTINGS else len(at)
-            i, j = int(query[done]), int(query[end - 1]) + 1
-            here = slice(done, end)
-            posting = _spread(lo[here], hi[here])
-            cell = self.doc[posting] + np.repeat((query[here] - i) * self.n, sizes[here])
-            scores[i:j] = np.bincount(cell, weights=self.impact[posting] * np.repeat(idf[here], sizes[here]), minlength=(j - i) * self.n).reshape(j - i, self.n)
-            done = end
-        return scores
+        a = 0
+        while a < len(at):
+            z = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + BATCH_POSTINGS, side="right")))
+            size = sizes[a:z]
+            posting = np.repeat(lo[a:z] - np.cumsum(np.r_[0, size[:-1]]), size)
+            posting += np.arange(len(posting))
+            to = self.doc.take(posting, mode="clip")
+            to += np.repeat(cell[a:z], size)
+            add = self.impact.take(posting, mode="clip")
+            add *= np.repeat(idf[a:z], size)
+            np.add.at(scores, to, add)
+            a = z
+        return scores.reshape(m, self.n)
 
     def _batch(self, names: np.ndarray, query: np.ndarray, at: np.ndarray, idf: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m, n, row = len(names), self.n, self.row[at]
@@ -240,7 +239,7 @@ class _Group:
         blocks = np.flatnonzero(able.any(axis=0))
         a, z = int(self.edges[blocks[0]]), int(self.edges[blocks[-1]] + self.widths[blocks[-1]])
         found = weights[asked] @ self.dense[:, a:z]
-        found += scores[asked, a:z]
+        found += scores[:, a:z] if len(asked) == m else scores[asked, a:z]
         # what a document has at most: its sum here and what single precision may have lost
         least = np.maximum((floor[asked] - _SLACK) * (1 - 2 * self.off), 1e-30).astype(np.float32)
         good = found >= least[:, None]
@@ -333,14 +332,21 @@ def _search(shards: DataFrame, queries: tuple, n: int, mean: float, k: int) -> D
         qids, bounds, number, terms, df, floors = shared.value
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         floor = floors.copy()
-        query = np.repeat(np.arange(len(qids), dtype=np.int32), np.diff(bounds))
         held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0))
         for b in slices(batches, 1):
             shard = Shard(b, mean, BLOCK)
-            at = shard.lists(terms).astype(np.int32)[number]
-            hit = np.flatnonzero(at >= 0)
-            names, docs, scores = shard.search(query[hit], at[hit], idf[number[hit]], floor, k)
-            del at, hit
+            lists, found = shard.lists(terms).astype(np.int32), []
+            for first in range(0, len(qids), QUERIES):  # few at once, for their terms' sake
+                edges = bounds[first : first + QUERIES + 1]
+                mine = number[edges[0] : edges[-1]]
+                at = lists[mine]
+                hit = np.flatnonzero(at >= 0)
+                query = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[hit]
+                names, docs, scores = shard.search(query, at[hit], idf[mine[hit]], floor[first : first + QUERIES], k)
+                found.append((names + first, docs, scores))
+            if not found:
+                break
+            names, docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
             rounded = np.round(scores, PLACES)
             ok = rounded >= floors[names]
             names, docs, rounded = names[ok], docs[ok], rounded[ok]

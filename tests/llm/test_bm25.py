@@ -136,7 +136,9 @@ def test_queries_searched_together_find_what_each_finds_alone(cells, postings, d
         assert {(i, d) for i, d in zip(*np.nonzero(whole), strict=True) if whole[i, d] >= least[i]} <= set(got)
 
 
-def test_many_like_documents_and_null_ids(spark):
+def test_many_like_documents_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERIES", 7)
+    monkeypatch.setattr(bm25, "ROUND_TERMS", 400)
     docs = [(None if i % 50 == 7 else i, t) for i, t in enumerate(of_two_languages(random.Random(3), 2600))]
     queries = [d for d in docs if d[0] is not None and d[0] % 100 == 0]
     got = bm25.top_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "qid long, text string"), 4).collect()
