@@ -334,6 +334,7 @@ def _search(shards: DataFrame, queries: tuple, n: int, mean: float, k: int) -> D
         floor = floors.copy()
         held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0))
         for b in slices(batches, 1):
+            shard = None  # the last one goes before the next is made
             shard = Shard(b, mean, BLOCK)
             lists, found = shard.lists(terms).astype(np.int32), []
             for first in range(0, len(qids), QUERIES):  # few at once, for their terms' sake
