@@ -218,3 +218,31 @@ def test_many_masks_have_the_boxes_of_each_alone(spark):
     got = masks.mask_boxes(spark.createDataFrame(rows, "id long, points array<struct<x:long,y:long>>").coalesce(1)).collect()
     want = [(k, i, b[0], b[1], b[2] - b[0], b[3] - b[1]) for k, bs in enumerate(alone) for i, b in enumerate(bs)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sums_of_clusters_follow_the_points_that_move(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = np.stack([np.unique(rng.integers(-9, 60, (300, 2)), axis=0)[:200] for _ in range(5)]).astype(float)
+    real = np.ones(p.shape[:2], dtype=bool)
+    for k in (1, 2, 6):
+        owner, sums = masks._owners(p, real, k, masks._drawn(1, k, 0, real.sum(1)))
+        for i in range(len(p)):
+            assert (owner[i] == masks._clusters(p[i], k, np.random.default_rng([1, k, 0]))).all()
+            assert [[(owner[i] == j).sum(), *p[i][owner[i] == j].sum(0)] for j in range(k)] == sums[:, i].T.tolist()
+    starts, owners = [], masks._owners
+    monkeypatch.setattr(masks, "_owners", lambda p, real, k, drawn: starts.append(k) or owners(p, real, k, drawn))
+    masks.many_boxes(p, real, 3, 2.0, 0.0, 4, 1)
+    assert starts == [1] + [2] * 4 + [3] * 4  # one cluster is the same from any start
+
+
+def test_lines_are_dealt_before_they_are_pixels(spark, tmp_path):
+    from taleframe.plans import story_queries
+
+    lines = [(1, 10, 20), (1, 10, 20), (1, 13, 20), (2, 59, 0), (None, 0, 59)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = story_queries.area_boxes(spark, str(tmp_path))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    squares = {i: {(p % 60 + k // 6, s % 60 + k % 6) for o, p, s in lines if o == i for k in range(36)} for i, _, _ in lines}
+    want = [(i, k, x1, y1, x2 - x1, y2 - y1) for i, s in squares.items() for k, (x1, y1, x2, y2) in enumerate(masks.best_boxes(np.array(sorted(s), dtype=float)))]
+    assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=lambda r: str((*r[:2], *map(float, r[2:]))))
