@@ -81,3 +81,20 @@ def test_a_detection_is_read_once(spark):
     back = d.select(story_files.detection_from_json(F.col("c")).alias("d")).select("d.label", "d.score", "d.image_width", "d.box.x")
     assert back._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert sorted(map(tuple, back.collect()), key=str) == [("a-b", 0.0, 0, 0.5), (None,) * 4, (None,) * 4]
+
+
+def test_boxes_of_an_evaluation_are_matched_once(spark, monkeypatch):
+    from taleframe.operators import metrics
+    from taleframe.plans import story_queries
+
+    calls, match = [], metrics.match_detections
+    monkeypatch.setattr(metrics, "match_detections", lambda *a, **k: calls.append(a) or match(*a, **k))
+    story_queries.evaluation(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+def test_the_first_thought_is_found_without_a_search_by_pattern(spark):
+    told = ["a</think> b <think>\n c <i>\n\nd </think>e<think>f</think>", "<think>a", "a</think>", "<think></think>b", "", None, "<think> <think> x</think>"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t string").select("i", text.reasoning_text(F.col("t")).alias("r"))
+    assert "regexp" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["r"] for r in d.orderBy("i").collect()] == ["c <i>\n\nd", "", "", "", "", None, "<think> x"]
